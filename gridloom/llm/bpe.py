@@ -68,7 +68,11 @@ def split(text: str) -> list[str]:
     """The words of a text; small classes are matched faster, so they are taken where they suffice."""
     if text.isascii():
         return splitter(0x80).findall(text)
-    return splitter(0x100 if max(text) < "\u0100" else sys.maxunicode + 1).findall(text)
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return splitter().findall(text)
+    return splitter(0x100).findall(text)
 
 
 def byte_alphabet() -> dict[str, int]:

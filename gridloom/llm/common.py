@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow rows handed to a Python worker at once are cut so that a slice holds
 #: about so many bytes of text; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

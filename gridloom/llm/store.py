@@ -36,12 +36,25 @@ from .common import BASE, BASE_INVERSE, mix, powers, shared_dir, slices
 
 END_ID = 2
 #: Ids in a chunk: least, the mean of what is beyond it, most.
-LEAST, MEAN, MOST, REACH = 64, 256, 2048, 16
+LEAST, MEAN, MOST, REACH = 128, 512, 4096, 16
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 HASH_BYTES = 16
 
 
+class Places(dict):
+    """A number for each word; words not seen before are listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word.
 
@@ -58,21 +71,34 @@ class LibraryEncoder:
         self.tool.no_padding()
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.wide = self.tool.get_vocab_size() > 1 << 16
-        self.known: dict[str, bytes] = {}
+        self.kind = np.uint32 if self.wide else np.uint16
+        self.places = Places()
+        self.pool, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kind = np.uint32 if self.wide else np.uint16
-        words = [split(t) if not any(s in t for s in self.special) else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        for w, e in zip(new, self.tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
-        return [
-            np.frombuffer(b"".join(map(known.__getitem__, ws)), kind) if ws is not None else np.array(self.tool.encode(t, add_special_tokens=False).ids, kind)
-            for t, ws in zip(texts, words, strict=True)
-        ]
+        special = [any(s in t for s in self.special) for t in texts]
+        place = self.places.__getitem__
+        rows = [np.fromiter(map(place, split(t)), np.int64) if not x else None for t, x in zip(texts, special, strict=True)]
+        before, new = len(self.starts) - 1, self.places.new
+        if new:
+            made = self.tool.encode(new, is_pretokenized=True, add_special_tokens=False)
+            ends = np.searchsorted(np.array(made.word_ids), np.arange(1, len(new) + 1))  # the library says which word an id is of
+            self.starts = np.concatenate([self.starts, len(self.pool) + ends])
+            self.pool = np.concatenate([self.pool, np.array(made.ids, self.kind)])
+        out = [self._gather(r) if r is not None else np.array(self.tool.encode(t, add_special_tokens=False).ids, self.kind) for t, r in zip(texts, rows, strict=True)]
+        if len(self.places) > REMEMBERED:  # the new words served this call alone
+            for w in new:
+                del self.places[w]
+            self.pool, self.starts = self.pool[: self.starts[before]].copy(), self.starts[: before + 1].copy()
+        new.clear()
+        return out
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        starts = self.starts[places]
+        sizes = self.starts[places + 1] - starts
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
 
 
 _tools: dict[str, LibraryEncoder] = {}
@@ -84,22 +110,26 @@ def library(path: str) -> LibraryEncoder:
     return _tools[path]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the rolling hash of the last REACH ids cuts a stream; the last end is its length."""
+def rolling_marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last REACH ids meets the pattern."""
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    if n < REACH:
+        return np.zeros(0, np.int64)
     up, down = powers(BASE, n), powers(BASE_INVERSE, n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    rolled = (total[REACH:] - total[:-REACH]) * down[: n - REACH + 1]
-    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + REACH
+    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9) * up[:n], out=total[1:])
+    rolled = mix((total[REACH:] - total[:-REACH]) * down[: n - REACH + 1])
+    return np.flatnonzero(rolled & np.uint64(MEAN - 1) == 0) + REACH
+
+
+def chunk_ends(marks: list[int], n: int) -> list[int]:
+    """The ends of the chunks of a stream of n ids, from its marks; the last end is n."""
     ends, at = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*marks, n]:
         while m - at > MOST:
             at += MOST
             ends.append(at)
-        if m - at >= LEAST and m < n:
+        if LEAST <= m - at and m < n:
             at = m
             ends.append(at)
     if at < n:
@@ -107,6 +137,19 @@ def chunk_ends(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def streams(ids_of: list[np.ndarray], end_id: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Each document's ids with the end id, and its chunk ends; a mark depends on the document's own ids alone."""
+    sizes = np.array(list(map(len, ids_of)), np.int64) + 1
+    tail = np.array([end_id], ids_of[0].dtype)
+    joined = np.concatenate([x for ids in ids_of for x in (ids, tail)])
+    marks = rolling_marks(joined)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.searchsorted(marks, begins[:-1] + REACH).tolist()
+    last = np.searchsorted(marks, begins[1:]).tolist()
+    for k, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+        yield joined[a:b], chunk_ends((marks[first[k] : last[k]] - a).tolist(), b - a)
+
+
 def chunk_hash(ids: np.ndarray) -> bytes:
     return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=HASH_BYTES).digest()
 
@@ -136,9 +179,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
             for part in slices(batch):
                 rows: list[tuple] = []
                 ids_of = tool.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of, strict=True):
-                    ids, at, recipe = np.append(ids, ids.dtype.type(end_id)), 0, []
-                    for end in chunk_ends(ids):
+                for doc_id, (ids, ends) in zip(part.column("doc_id").to_pylist(), streams(ids_of, end_id), strict=True):
+                    at, recipe = 0, []
+                    for end in ends:
                         chunk, at = ids[at:end], end
                         name = chunk_hash(chunk)
                         recipe.append(name + len(chunk).to_bytes(4, "little"))

@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from .common import BASE, BASE_INVERSE, BYTE_CODES, flat, mix, powers, settle, shared_dir
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+#: Text whose anchors are made at once: what the arrays for it fill fits the processor's cache.
+BLOCK_BYTES = 1 << 17
 #: Text that one suffix array holds, unless the runs of a single anchor are more.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: Bytes of text that one bucket of chunks, of anchors and of runs stands for.
-CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 24 << 20, 24 << 20, 12 << 20
+CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 24 << 20, 12 << 20
 LARGEST = (1 << 63) - 1
 
 
@@ -71,6 +73,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, low[starts]
 
 
+def chunk_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """runs() of a whole chunk, block by block; a run that crosses a block's end counts as two."""
+    found = []
+    for a in range(0, max(1, len(data) - LENGTH + 1), BLOCK_BYTES):
+        b = min(len(data), a + BLOCK_BYTES + LENGTH - 1)
+        inner = offsets[(offsets > a) & (offsets < b)]
+        first, last, low = runs(*anchors(data[a:b], np.concatenate([[0], inner - a, [b - a]])))
+        found.append((first + a, last + a, low))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def runs(starts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last start, and anchor, of each run of neighbouring strings with one anchor."""
     if not len(starts):
@@ -81,18 +94,21 @@ def runs(starts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts[first], starts[last], low[first]
 
 
-def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position as a big-endian number; text ends in padding."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k]
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as a big-endian number."""
+    n = len(text) - 7
+    out = text[:n].astype(np.uint64)
+    for k in range(1, 8):
+        out <<= np.uint64(8)
+        out |= text[k : n + k]
     return out
 
 
-def suffix_order(text: np.ndarray, needed: np.ndarray) -> np.ndarray:
+def suffix_order(text: np.ndarray, keys: np.ndarray, needed: np.ndarray) -> np.ndarray:
     """The needed positions in the order of their suffixes, exact for LENGTH bytes.
 
-    ``text`` ends in LENGTH + 16 zero bytes, which are never needed. A needed
+    ``keys`` are words_of(text); ``text`` ends in LENGTH + 16 zero bytes, which
+    are never needed. A needed
     position whose suffix is larger than the next one's is induced from it, so
     the next position must be needed too.
     """
@@ -104,17 +120,13 @@ def suffix_order(text: np.ndarray, needed: np.ndarray) -> np.ndarray:
     known = turn < n - 1
     smaller[:-1][known] = step[turn[known]] > 0
     direct = np.flatnonzero(needed & smaller)
-    keys = np.empty(n - 7, np.uint64)
-    keys[:] = words_at(text, np.arange(n - 7))
     order = direct[np.argsort(keys[direct], kind="stable")]
-    tied = np.zeros(len(order), bool)
-    group = np.zeros(len(order), np.int64)
     same = keys[order[1:]] == keys[order[:-1]]
     for depth in range(8, LENGTH, 8):  # only what is still tied is compared further
-        group = np.cumsum(np.append(True, ~same)) if len(order) else group
-        tied = np.append(same, False) | np.append(False, same)
-        if not tied.any():
+        if not same.any():
             break
+        group = np.cumsum(np.append(True, ~same))
+        tied = np.append(same, False) | np.append(False, same)
         at, g = order[tied], group[tied]
         k = keys[np.minimum(at + depth, n - 8)]
         by = np.lexsort((k, g))
@@ -154,14 +166,14 @@ def suffix_order(text: np.ndarray, needed: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each position with the one before it, up to LENGTH."""
     out = np.zeros(len(order), np.int64)
     alive = np.arange(1, len(order))
     for depth in range(0, LENGTH, 8):
         if not len(alive):
             break
-        x = words_at(text, order[alive] + depth) ^ words_at(text, order[alive - 1] + depth)
+        x = keys[order[alive] + depth] ^ keys[order[alive - 1] + depth]
         same = x == 0
         out[alive[same]] += 8
         rest = x[~same]
@@ -193,11 +205,12 @@ def repeats(pieces: list[np.ndarray], owners: np.ndarray) -> tuple[np.ndarray, n
         edge = edge[~needed[edge]]
         needed[edge] = True
         edge = edge[edge < len(text) - LENGTH - 8]
-    order = suffix_order(text, needed)
+    keys = words_of(text)
+    order = suffix_order(text, keys, needed)
     order = order[wanted[order]]
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group_first = np.flatnonzero(common_prefixes(text, order) < LENGTH)
+    group_first = np.flatnonzero(common_prefixes(keys, order) < LENGTH)
     owner = owners[piece[order]]
     least = np.repeat(np.minimum.reduceat(owner, group_first), np.diff(np.append(group_first, len(order))))
     hit = np.sort(order[owner > least])
@@ -281,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in each(batch):
-                first, _, low = runs(*anchors(data, offsets))
+                first, _, low = chunk_runs(data, offsets)
                 owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
                 values = sent(low, owner)
                 cut = split(values, n_anchor)
@@ -305,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in each(batch):
-                first, last, low = runs(*anchors(data, offsets))
+                first, last, low = chunk_runs(data, offsets)
                 owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
                 values = np.unique(low)
                 cut = split(values, n_anchor)

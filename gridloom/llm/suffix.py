@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, BYTE_CODES, flat, mix, powers, settle, shared_dir
+from .common import BASE, BASE_INVERSE, BYTE_CODES, flat, give_back, mix, powers, settle, shared_dir
 
 LENGTH, GRAM = 50, 24
 CHUNK_BYTES = 1 << 20
@@ -47,7 +47,7 @@ BLOCK_BYTES = 1 << 17
 #: Text that one suffix array holds, unless the runs of a single anchor are more.
 PIECE_BYTES = 1 << 19
 #: Bytes of text that one bucket of chunks, of anchors and of runs stands for.
-CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 24 << 20, 12 << 20
+CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 8 << 20, 4 << 20
 LARGEST = (1 << 63) - 1
 
 
@@ -254,6 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([(bucket << 32) + place[bucket]], pa.int64()), pa.array([[d for d, _, _ in group]], pa.list_(pa.int64())), pa.array([[s for _, s, _ in group]], pa.list_(pa.string())), pa.array([np.cumsum([0, *map(len, blobs)])], pa.list_(pa.int64())), pa.array([b"".join(blobs)], pa.binary())], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
 
         for batch in batches:
+            give_back()
             for bucket, doc, sha, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append((doc, sha, text))
                 size[bucket] = size.get(bucket, 0) + len(text)
@@ -293,6 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for row, data, offsets in each(batch):
                 first, _, low = chunk_runs(data, offsets)
                 owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
@@ -302,6 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row.column("bucket")[0].as_py(), np.int32)), pa.array(np.full(len(full), row.column("chunk")[0].as_py(), np.int64)), pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["anchor_bucket", "bucket", "chunk", "anchors"])
 
     def answer(part: pa.Table) -> pa.Table:
+        give_back()
         lists = [np.frombuffer(x, np.uint64) for x in part.column("anchors").to_pylist()]
         values = np.concatenate(lists)
         many = (values & np.uint64(1)) == 0
@@ -317,6 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for row, data, offsets in each(batch):
                 first, last, low = chunk_runs(data, offsets)
                 owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
@@ -353,6 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names)
 
     def compare(part: pa.Table) -> pa.Table:
+        give_back()
         cells = [part.column(c).to_pylist() for c in ("bucket", "chunk", "low", "owner", "first", "size", "data")]
         source = np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in cells[2]])
         low = np.concatenate([np.frombuffer(x, np.uint64) for x in cells[2]])
@@ -405,6 +410,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             for row, data, offsets in each(batch):
                 gather = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in row.column(c)[0].as_py() or [])])
                 starts, ends = joined(gather("from"), gather("to"))

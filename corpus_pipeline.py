@@ -21,10 +21,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the row of the smallest doc_id stays (of equal rows, one)."""
-    groups = simhash.near_duplicates(docs)
+    """Of each SimHash component the row of the smallest doc_id stays.
+
+    Rows of one doc_id are one document: one of them stays. Rows without a
+    doc_id can't be told apart by it and stay as they are.
+    """
+    named = docs.where("doc_id is not null")
+    groups = simhash.near_duplicates(named)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Words whose ids a worker remembers at most; any other word is encoded anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: White space of the pre-splitting pattern (the Unicode property), fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
 

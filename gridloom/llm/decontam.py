@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised: those with digits become <number>, units <unit>,
-capitalised words inside a sentence <name>; the rest is lower-cased and
+capitalised words (not those all in capitals) inside a sentence <name>; the rest is lower-cased and
 stripped of outer punctuation. Windows of five template words of the benchmark
 are hash-joined with those of the documents. A document is taken to hold an
 item when it holds 80 % or more of the item's distinct windows and the slots
@@ -69,7 +69,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     form = plain.copy()
     if len(starts):
         begins = np.concatenate([[True], (rows[1:] != rows[:-1]) | STOP[data[ends[:-1] - 1]]])
-        name = UPPER[data[a]] & ~begins & ~bare
+        name = UPPER[data[a]] & ~begins & ~bare & (b - a > 1) & ~UPPER[data[np.minimum(a + 1, len(data) - 1)]]
         form[name] = NAME
         units = _unit_hashes()
         form[units[np.minimum(np.searchsorted(units, plain), len(units) - 1)] == plain] = UNIT
@@ -144,7 +144,7 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
 
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, found binary")
     # Rows that say the same are counted once: a passage repeated in a document, or a document repeated.
-    pairs = found.distinct().join(bench, "h")
+    pairs = settle(found.distinct()).join(bench, "h")
     counted = pairs.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
     enough = counted.where(F.col("n_matched") >= F.col("n_windows") * CONTAINED)
 

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, arrow_schema, code_points, flat, mix, per_row, slices, span_hashes, window_hashes, windows, word_spans
+from .common import BASE, arrow_schema, code_points, flat, give_back, mix, per_row, slices, span_hashes, window_hashes, windows, word_spans
 
 #: Most labelled rows that training takes.
-SAMPLE = 2000
+SAMPLE = 1500
 THRESHOLD = 0.3
 TABLE_BITS = 16
 KINDS = 5  # words, word pairs, byte 2-, 3- and 4-grams
@@ -171,28 +171,43 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, steps: int = 1
     y = np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
         return None
-    lengths = [len(r["slots"]) // 4 for r in got]
-    row = np.repeat(np.arange(len(got)), lengths)
-    slot = np.concatenate([np.frombuffer(r["slots"], np.int32) for r in got])
-    x = np.concatenate([np.frombuffer(r["vals"], np.float32) for r in got])
+    sizes = np.array([len(r["slots"]) // 4 for r in got])
+    slot = np.frombuffer(b"".join(r["slots"] for r in got), np.int32)
+    x = np.frombuffer(b"".join(r["vals"] for r in got), np.float32).copy()
+    del got
+    give_back()
+    begins, size = np.concatenate([[0], np.cumsum(sizes)]), KINDS << TABLE_BITS
+    # Blocks of rows bound what a pass over the sample holds at once.
+    blocks = [(a, min(a + 100, len(y))) for a in range(0, len(y), 100)]
     aside = (np.arange(len(y)) % 5 == 0) if min(y.sum(), len(y) - y.sum()) >= 20 else np.zeros(len(y), bool)
     share = np.where(y == 1, 0.5 / max(1, (y[~aside] == 1).sum()), 0.5 / max(1, (y[~aside] == 0).sum())) * ~aside
-    size = KINDS << TABLE_BITS
     # Rare slots carry small values; dividing by their root mean square lets one step size serve all.
-    scale = 1 / (np.sqrt(np.bincount(slot, weights=x * x, minlength=size) / len(y)) + 1e-3)
-    x = x * scale[slot]
-    w, b, gw, gb = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
-    for _ in range(steps):  # full-batch AdaGrad: deterministic
-        z = np.bincount(row, weights=w[slot] * x, minlength=len(y)) + b
-        err = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(slot, weights=err[row] * x, minlength=size) + penalty * w
-        gw += g * g
-        gb += err.sum() ** 2
-        w -= 0.05 * g / np.sqrt(gw)
-        b -= 0.05 * err.sum() / np.sqrt(gb)
-    z = np.bincount(row, weights=w[slot] * x, minlength=len(y)) + b
+    scale = np.zeros(size)
+    for a, b in blocks:
+        part = slice(begins[a], begins[b])
+        scale += np.bincount(slot[part], weights=x[part] * x[part], minlength=size)
+    scale = 1 / (np.sqrt(scale / len(y)) + 1e-3)
+    for a, b in blocks:
+        part = slice(begins[a], begins[b])
+        x[part] *= scale[slot[part]]
+    w, bias, gw, gb, z = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8, np.zeros(len(y))
+    for step in range(steps + 1):  # full-batch AdaGrad: deterministic; the last pass only scores
+        g, total = penalty * w, 0.0
+        for a, b in blocks:
+            part = slice(begins[a], begins[b])
+            row = np.repeat(np.arange(b - a), sizes[a:b])
+            z[a:b] = np.bincount(row, weights=w[slot[part]] * x[part], minlength=b - a) + bias
+            err = share[a:b] * (1 / (1 + np.exp(-np.clip(z[a:b], -30, 30))) - y[a:b])
+            if step < steps:
+                g += np.bincount(slot[part], weights=err[row] * x[part], minlength=size)
+                total += err.sum()
+        if step < steps:
+            gw += g * g
+            gb += total**2
+            w -= 0.05 * g / np.sqrt(gw)
+            bias -= 0.05 * total / np.sqrt(gb)
     slope, offset = platt(z[aside], y[aside]) if aside.any() else (1.0, 0.0)
-    return NgramModel((w * scale).reshape(KINDS, -1), b, slope, offset)
+    return NgramModel((w * scale).reshape(KINDS, -1), bias, slope, offset)
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

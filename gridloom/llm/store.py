@@ -32,13 +32,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import split
-from .common import BASE, BASE_INVERSE, mix, powers, shared_dir, slices
+from .common import BASE, BASE_INVERSE, give_back, mix, powers, shared_dir, slices
 
 END_ID = 2
 #: Ids in a chunk: least, the mean of what is beyond it, most.
 LEAST, MEAN, MOST, REACH = 128, 512, 4096, 16
 #: Words whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 HASH_BYTES = 16
 
 
@@ -176,6 +176,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = library(vocabulary), set()
         for batch in batches:
+            give_back()
             for part in slices(batch):
                 rows: list[tuple] = []
                 ids_of = tool.encode([t or "" for t in part.column("text").to_pylist()])

@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Chunks: texts of one bucket, a few MB to a row.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, place = {}, {}, {}
+        held, size, place, last = {}, {}, {}, None
 
         def flush(bucket: int) -> pa.RecordBatch:
             group = held.pop(bucket)
@@ -256,6 +256,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             give_back()
             for bucket, doc, sha, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+                if (doc, sha) == last:  # a repeated row: its result is given out once for each row at the end
+                    continue
+                last = (doc, sha)
                 held.setdefault(bucket, []).append((doc, sha, text))
                 size[bucket] = size.get(bucket, 0) + len(text)
                 if size[bucket] >= CHUNK_BYTES:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import split
+from .bpe import byte_alphabet, split
 from .common import BASE, BASE_INVERSE, give_back, mix, powers, shared_dir, slices
 
 END_ID = 2
@@ -59,7 +59,9 @@ class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word.
 
     Byte-level BPE never joins ids across pre-split words, so a text's ids are
-    its words' ids in turn. Texts with special tokens go to the library whole.
+    its words' ids in turn: new words go straight to the library's BPE model.
+    Texts with special tokens go to the library whole, as do all texts where the
+    file has a normaliser or another way of splitting.
     """
 
     def __init__(self, path: str):
@@ -69,7 +71,10 @@ class LibraryEncoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        splitting = self.tool.pre_tokenizer
+        plain = self.tool.normalizer is None and type(splitting).__name__ == "ByteLevel" and not splitting.add_prefix_space
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()] if plain else [""]
+        self.model, self.stand_ins = self.tool.model, {byte: c for c, byte in byte_alphabet().items()}
         self.wide = self.tool.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.places = Places()
@@ -81,10 +86,12 @@ class LibraryEncoder:
         rows = [np.fromiter(map(place, split(t)), np.int64) if not x else None for t, x in zip(texts, special, strict=True)]
         before, new = len(self.starts) - 1, self.places.new
         if new:
-            made = self.tool.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ends = np.searchsorted(np.array(made.word_ids), np.arange(1, len(new) + 1))  # the library says which word an id is of
-            self.starts = np.concatenate([self.starts, len(self.pool) + ends])
-            self.pool = np.concatenate([self.pool, np.array(made.ids, self.kind)])
+            made, ends = [], []
+            for w in new:
+                made += [t.id for t in self.model.tokenize(self._spelled(w))]
+                ends.append(len(made))
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.array(ends, np.int64)])
+            self.pool = np.concatenate([self.pool, np.array(made, self.kind)])
         out = [self._gather(r) if r is not None else np.array(self.tool.encode(t, add_special_tokens=False).ids, self.kind) for t, r in zip(texts, rows, strict=True)]
         if len(self.places) > REMEMBERED:  # the new words served this call alone
             for w in new:
@@ -93,6 +100,12 @@ class LibraryEncoder:
         new.clear()
         return out
 
+    def _spelled(self, word: str) -> str:
+        """A word in the stand-ins of its bytes; printable ASCII stands for itself, but for the space."""
+        if word.isascii() and word.isprintable():
+            return word.replace(" ", self.stand_ins[0x20])
+        return word.encode().decode("latin-1").translate(self.stand_ins)
+
     def _gather(self, places: np.ndarray) -> np.ndarray:
         starts = self.starts[places]
         sizes = self.starts[places + 1] - starts

@@ -299,8 +299,8 @@ def id_list(ids: np.ndarray, size: int) -> bytes:
     return ",".join(map(_decimals.__getitem__, ids.tolist())).encode()
 
 
-def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id, n_tokens, token_ids, decoded of each text; ``keep`` names further columns to carry."""
+def tokenize(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, token_ids, decoded of each text."""
     return _run(docs, vocabulary, id_col, text_col, full=True)
 
 

@@ -164,5 +164,8 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    bad = find_items(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = find_items(docs, items).select("doc_id").distinct()
+    names = [f"c_{i}" for i in range(len(docs.columns))]  # columns of docs may have any names
+    mine = docs.toDF(*names)
+    key = F.col(names[docs.columns.index("doc_id")])
+    return mine.join(bad, key.eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)

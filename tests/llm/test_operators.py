@@ -229,3 +229,29 @@ def test_pipeline(spark):
         assert k == len(pipeline.STAGES) - 1 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = simhash.settle(docs)
         assert 0 < docs.count() <= before
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that the operators make inside change nothing."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import decontam, pii, quality
+
+    clash = ["_bad", "id", "y", "h", "item_id", "found", "gen", "base", "c_0", "_made", "component_id", "n_tokens"]
+    text = "The old mill stands near the river and every spring the water turns its wheel again. Write to ann@example.org."
+    docs = spark.createDataFrame([(1, text), (2, "short"), (None, None), (4, "nothing of it here but other words about other things")], "doc_id long, text string")
+    wide = docs.select("*", *(F.lit(7).alias(c) for c in clash))
+    items = spark.createDataFrame([(9, "The old mill stands near the river and every spring the water turns its wheel again.")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+
+    def ids(df):
+        assert df.columns == wide.columns
+        return sorted((r["doc_id"] for r in df.collect()), key=str)
+
+    assert ids(decontam.drop_contaminated(wide, items)) == [2, 4, None]
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(wide).collect()}
+    assert redacted[1].endswith("[EMAIL].") or "[EMAIL]" in redacted[1]
+    assert redacted[None] is None and redacted[2] == "short"
+    assert ids(quality.keep_good(wide, labels)) == []
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(wide).collect()}
+    assert set(groups) == {1, 2, 4, None}

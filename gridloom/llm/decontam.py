@@ -7,6 +7,11 @@ are hash-joined with those of the documents. A document is taken to hold an
 item when it holds 80 % or more of the item's distinct windows and the slots
 are consistent: what stands in a document for one value of the item is the same
 word nearly everywhere. So an item with other numbers and names is caught.
+Slots are judged by occurrence: each shift between places in the item and in the
+document puts to every item window the nearest document window of its template,
+and the most consistent shift counts, so copies and variants in one document do
+not spoil one another. A document that holds 80 % of the item's windows word for
+word is taken without the slot test.
 
 A window needs ``LITERAL`` plain words to count as a template; where an item has
 too few such windows (all capitals, say), its windows are taken word for word.
@@ -18,7 +23,6 @@ empty table on either side gives no rows; other columns are passed by.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +120,45 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ITEM_DDL)
 
 
+#: Shifts that are judged at once.
+SHIFTS = 1024
+
+
+def best_occurrence(h: np.ndarray, place: np.ndarray, words: np.ndarray, doc_h: np.ndarray, doc_place: np.ndarray, doc_words: np.ndarray) -> tuple[float, float]:
+    """The consistency of the best occurrence, and the share of the item's windows that the document holds word for word."""
+    own = {(x, w.tobytes()) for x, w in zip(h.tolist(), words, strict=True)}
+    held = {(x, w.tobytes()) for x, w in zip(doc_h.tolist(), doc_words, strict=True)}
+    exact = len(own & held) / len(own)
+    order = np.lexsort([doc_place, doc_h])
+    doc_h, doc_place, doc_words = doc_h[order], doc_place[order], doc_words[order]
+    low, high = np.searchsorted(doc_h, h, side="left"), np.searchsorted(doc_h, h, side="right")
+    there = np.flatnonzero(high > low)
+    low, high, place, words = low[there], high[there], place[there], words[there]
+    shifts = np.zeros(0, np.int64)
+    for p, a, b in zip(place, low, high, strict=True):
+        shifts = np.union1d(shifts, doc_place[a:b] - p)
+    _, slot = np.unique(words, return_inverse=True)
+    _, value = np.unique(doc_words, return_inverse=True)
+    slot, value = slot.reshape(words.shape), value.reshape(doc_words.shape)
+    n_slots, n_values, best = int(slot.max()) + 1, int(value.max()) + 1, 0.0
+    for start in range(0, len(shifts), SHIFTS):
+        some = shifts[start : start + SHIFTS]
+        seen = np.empty((len(some), *slot.shape), np.int64)
+        for k, (p, a, b) in enumerate(zip(place, low, high, strict=True)):
+            after = np.clip(np.searchsorted(doc_place[a:b], some + p), 0, b - a - 1)
+            before = np.maximum(after - 1, 0)
+            nearest = np.where(np.abs(doc_place[a + before] - p - some) <= np.abs(doc_place[a + after] - p - some), before, after)
+            seen[:, k] = value[a + nearest]
+        keys = (np.arange(len(some))[:, None, None] * n_slots + slot) * n_values + seen
+        pair, count = np.unique(keys, return_counts=True)
+        first = np.flatnonzero(np.diff(pair // n_values, prepend=-1))
+        most = np.maximum.reduceat(count, first)
+        best = max(best, float(np.bincount(pair[first] // n_values // n_slots, weights=most).max()) / slot.size)
+        if best == 1:
+            break
+    return best, exact
+
+
 def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, consistency of each document that holds an item."""
     bench = settle(item_windows(items))
@@ -139,27 +182,33 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
                     if hashes is not None:
                         use = use[np.isin(h[use], hashes)] if len(hashes) else use[:0]
                     at = first[use]
-                    slots = t["plain"][at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.uint64)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(t["rows"][at] if len(at) else at)), pa.array(h[use].view(np.int64)), pa.array([_pack(x) for x in slots], pa.binary())], ["doc_id", "h", "found"])
-
-    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, found binary")
-    # Rows that say the same are counted once: a passage repeated in a document, or a document repeated.
-    pairs = settle(found.distinct()).join(bench, "h")
+                    words = t["plain"][at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.uint64)
+                    row = t["rows"][at] if len(at) else at
+                    copy = span_hashes(data, offsets[:-1], offsets[1:])[row].view(np.int64)
+                    cols = [part.column("doc_id").take(pa.array(row)), pa.array(h[use].view(np.int64)), pa.array(copy), pa.array(at - np.searchsorted(t["rows"], row), pa.int64()), pa.array([_pack(x) for x in words], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "copy", "place", "words"])
+
+    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, copy long, place long, words binary")
+    # Repeated rows of a document are counted once; ``copy`` tells different texts of one doc_id apart.
+    pairs = settle(found.distinct()).join(bench.select("item_id", "h", "n_windows").distinct(), "h")
     counted = pairs.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
     enough = counted.where(F.col("n_matched") >= F.col("n_windows") * CONTAINED)
 
     def judge(part: pa.Table) -> pa.Table:
-        mapped: dict[int, Counter] = defaultdict(Counter)
-        for item, doc in zip(part.column("slots").to_pylist(), part.column("found").to_pylist(), strict=True):
-            for a, b in zip(np.frombuffer(item, np.uint64).tolist(), np.frombuffer(doc, np.uint64).tolist(), strict=True):
-                mapped[a][b] += 1
-        total = sum(sum(c.values()) for c in mapped.values())
-        share = sum(max(c.values()) for c in mapped.values()) / total
-        return part.select(["doc_id", "item_id", "n_windows", "n_matched"])[:1].append_column("consistency", pa.array([share]))
-
-    both = pairs.drop("n_windows").join(enough.withColumnRenamed("doc_id", "d").withColumnRenamed("item_id", "i"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")))
-    judged = both.select("doc_id", "item_id", "n_windows", "n_matched", "slots", "found").groupBy("doc_id", "item_id").applyInArrow(judge, "doc_id long, item_id long, n_windows int, n_matched long, consistency double")
-    return judged.where(F.col("consistency") >= CONSISTENT)
+        of_item = part.column("copy").is_null().to_numpy()
+        h, place = part.column("h").to_numpy(), part.column("place").to_numpy()
+        words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint64).reshape(-1, WINDOW)
+        copy = np.unique(part.column("copy").to_numpy(zero_copy_only=False)[~of_item], return_inverse=True)[1]
+        share, exact = best_occurrence(h[of_item], place[of_item], words[of_item], h[~of_item], place[~of_item] + (copy.astype(np.int64) << 40), words[~of_item])
+        out = part.select(["doc_id", "item_id", "n_windows", "n_matched"])[:1]
+        return out.append_column("consistency", pa.array([share])).append_column("exact", pa.array([exact]))
+
+    asked = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("n_windows").alias("n"), "n_matched")
+    sides = ["doc_id", "item_id", "n_windows", "n_matched", "h", "copy", "place", "words"]
+    mine = pairs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("n_windows") == F.col("n"))).select(sides)
+    theirs = enough.join(bench.distinct(), ["item_id", "n_windows"]).withColumn("copy", F.lit(None).cast("long")).withColumn("place", F.col("place").cast("long")).withColumnRenamed("slots", "words").select(sides)
+    judged = mine.unionByName(theirs).groupBy("doc_id", "item_id", "n_windows").applyInArrow(judge, "doc_id long, item_id long, n_windows int, n_matched long, consistency double, exact double")
+    return judged.where((F.col("consistency") >= CONSISTENT) | (F.col("exact") >= CONTAINED)).drop("exact")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

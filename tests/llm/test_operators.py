@@ -172,6 +172,19 @@ def test_decontamination(spark, docs, none):
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {2, 3}
 
 
+def test_decontamination_heavy(spark):
+    """Variants beside a copy, repeated templates and repeated variants do not hide what is there."""
+    item = "If Ann has 12 apples and gives 5 to Bob how many apples does Ann have left now"
+    sold = "In 1990 it sold 12 cars, in 1991 it sold 15 cars, in 1992 it sold 18 cars, in 1993 it sold 21 cars, in 1994 it sold 25 cars, in 1995 it sold 29 cars. How many?"
+    names = ["Carl", "Dora", "Emil", "Fay", "Gus", "Hal", "Ida", "Jon", "Kim", "Leo", "Mia"]
+    variants = [f"If {a} has {40 + k} apples and gives {9 + k} to {b} how many apples does {a} have left now" for k, (a, b) in enumerate(zip(names, names[1:]))]
+    texts = {1: ". ".join([item, *variants[:4]]), 2: ". ".join(variants), 3: f"so: {sold} ok", 4: f"{sold} {sold}", 5: variants[0], 6: "If Carl has 40 apples and nothing else"}
+    docs = spark.createDataFrame([*texts.items(), (7, variants[0]), (7, variants[1])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, sold)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.consistency for r in decontam.find_items(docs, items).collect()}
+    assert got == {(1, 1): 1.0, (2, 1): 1.0, (3, 2): 1.0, (4, 2): 1.0, (5, 1): 1.0, (7, 1): 1.0}
+
+
 def test_licenses(spark, none):
     mit = licenses.TEMPLATES[4][1]
     docs = spark.createDataFrame([(1, f"{LOREM}\nReleased under the MIT License.\n{LOREM}"), (2, LOREM), (3, f"x {mit.upper()} y"), (4, None), (5, ""), (6, mit[: len(mit) // 2]), (7, " ".join([LOREM] * 20) + " " + mit)], "doc_id long, text string")

@@ -201,6 +201,18 @@ def test_html(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_copies(spark):
+    """Copies of one page, exact or nearly so, keep their text; fixed texts need different pages."""
+    body = "<html><body><div>Home of all</div><p>" + " ".join([LOREM] * 3) + "</p><p>The end of it</p>{}</body></html>"
+    same = [(k, f"http://copy.org/{k}", body.format("")) for k in range(12)]
+    near = [(20 + k, f"http://near.org/{k}", body.format(f"<p>{k}</p>")) for k in range(8)]
+    other = [(40 + k, f"http://other.org/{k}", f"<html><body><div>Home of all</div><p>{w} is told here at length</p></body></html>") for k, w in enumerate(["One", "Two", "Three", "Four"])]
+    pages = spark.createDataFrame(same + near + other + other[:1] * 20, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    assert all(LOREM in got[k] and "The end of it" in got[k] for k, *_ in same + near)
+    assert got[40] == "One is told here at length" and html.extract(other[0][2], html.infer([p for *_, p in other])) == got[40]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -213,6 +213,20 @@ def test_html_copies(spark):
     assert got[40] == "One is told here at length" and html.extract(other[0][2], html.infer([p for *_, p in other])) == got[40]
 
 
+def test_html_wrapper_decides():
+    """Template texts inside articles go, in optional and repeated parts too; class words give way where they would leave nothing."""
+    words = LOREM.split()
+    said = [" ".join(words[5 * k : 5 * k + 5]) for k in range(8)]
+    page = "<html><body><article><h1>{0}</h1><div>Get our letter</div>{1}<p>{0} it was</p><ul><li>{0} a <i>reply here</i><li>{0} b <i>reply here</i></ul></article></body></html>"
+    pages = [page.format(x, "<h5>Paid for by us</h5>" if k % 2 else "") for k, x in enumerate(said)]
+    wrapper = html.infer(pages)
+    for x, p in zip(said, pages, strict=True):
+        assert html.extract(p, wrapper) == f"{x}\n{x} it was\n{x} a\n{x} b"
+    assert "Get our letter" in html.extract(pages[0]) and "new words" in html.extract(pages[0].replace("Get our letter", "new words"), wrapper)
+    marked = [f'<html><body><div class="page side-left"><div>Home of all</div><p>{x}</p></div><footer>f</footer></body></html>' for x in said]
+    assert [html.extract(p, html.infer(marked)) for p in marked] == said and html.extract(marked[0]) == ""
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -227,6 +227,19 @@ def test_html_wrapper_decides():
     assert [html.extract(p, html.infer(marked)) for p in marked] == said and html.extract(marked[0]) == ""
 
 
+def test_html_long_pages():
+    """Template texts after a long text are found as on short pages."""
+    def page(k, n):
+        return "<html><body><div>Home of all</div>" + "".join(f"<p>word {k} <b>and</b> {k}-{j}</p>" for j in range(n)) + f"<div>All rights are kept</div><div><a>more of {k}</a><a>our links</a></div></body></html>"
+
+    pages = [page(k, n) for k, n in enumerate([3000, 2500, 2600, 2900, 2700])]
+    wrapper = html.infer(pages)
+    for k, n in [*enumerate([3000, 2500, 2600, 2900, 2700]), (9, 3), (10, 4000)]:
+        text = html.extract(page(k, n), wrapper)
+        assert text.count(f"word {k} ") == n and text.endswith(f"more of {k}")
+        assert "rights" not in text and "Home" not in text and "our links" not in text
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -1,18 +1,17 @@
-"""License scans by MinHash bands over text windows, DataFrame functions only.
+"""License scans by MinHash sketches over text windows, DataFrame functions only.
 
 A text is lower-cased and cut into words of ASCII letters and digits. Templates
 are put in classes by length; a class scans windows of twice its length,
 starting every half window, so any occurrence of a template lies whole inside a
-window. Of a window's 5-word shingles ``BANDS`` MinHash values are taken, one to
-a band. A window that holds a template at 0.8 containment has a Jaccard
-similarity of about 0.2 to 0.45 with it (short to full templates of a class),
-so 32 bands of one row collide with probability 1 - 0.8**32 > 0.999 at the low
-end. Candidates are verified by exact shingle containment of 0.8 or more.
+window. A template's sketch is those of its 5-word shingles with the smallest
+MinHash values, one more than a window may lack at a containment of 0.8: a window
+that holds the template holds at least one of them, whatever the lengths of the
+two, so none is missed. Windows with a shingle of a sketch are the candidates,
+verified by exact shingle containment of 0.8 or more.
 
-A band can only collide if the window holds a shingle that is one of the
-template's minima, so texts without any such shingle leave before windows are
-made; that changes no result. The templates are parameters of the query plan
-(a few dozen rows), broadcast because their number is fixed.
+Texts without a shingle of any sketch leave before windows are made. The
+templates are parameters of the query plan (a few dozen rows), broadcast because
+their number is fixed.
 
 Null, empty and short texts (under five words) have no matches and give no row;
 repeated rows give their rows again; of equally good windows the first is
@@ -21,12 +20,13 @@ reported; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, CONTAINED, BANDS = 5, 0.8, 32
+SHINGLE, CONTAINED = 5, 0.8
 CLASSES = (8, 24, 72, 216)
 
 #: License notices (fixed values): name, text.
@@ -62,12 +62,14 @@ def shingles(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def minima(hashes: Column) -> Column:
-    """One MinHash value a band."""
-    def of(band: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
+def by_minhash(hashes: Column) -> Column:
+    """Shingle hashes in the order of their MinHash values."""
+    return F.transform(F.array_sort(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, F.lit(0)).alias("value"), h.alias("s")))), lambda x: x["s"])
 
-    return F.array(*map(of, range(BANDS)))
+
+def sketch(ordered: list[int]) -> list[int]:
+    """As many of a template's shingles that one at least is in any window that holds the template."""
+    return ordered[: len(ordered) - math.ceil(len(ordered) * CONTAINED) + 1]
 
 
 def _class(n_words: int) -> int:
@@ -80,17 +82,15 @@ def _template_frame(spark, templates) -> DataFrame:
     if longest > CLASSES[-1]:
         raise ValueError(f"templates have at most {CLASSES[-1]} words")
     frame = spark.createDataFrame(rows, "template int, license string, text string, class int")
-    return frame.withColumn("wanted", F.array_distinct(shingles(words(F.col("text"))))).select("template", "license", "class", "wanted", minima(F.col("wanted")).alias("minima"))
+    return frame.select("template", "license", "class", by_minhash(F.array_distinct(shingles(words(F.col("text"))))).alias("wanted"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, template, first_word, matched, wanted, containment: the best window of each template a text holds."""
     spark = docs.sparkSession
     known = _template_frame(spark, templates or TEMPLATES).collect()  # as many rows as templates
-    frame = spark.createDataFrame([(r["template"], r["license"], r["class"], list(r["wanted"]), list(r["minima"])) for r in known], "template int, license string, class int, wanted array<bigint>, minima array<bigint>")
-    # The shingles that are minima of some template: hashed once more per band on the driver's side of the plan.
-    owners = frame.select(F.explode("wanted").alias("s"), "minima").where(F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(F.col("s"), j) == F.get(F.col("minima"), j)))
-    pivots = sorted({r[0] for r in owners.select("s").distinct().collect()})  # at most BANDS a template
+    sketches = spark.createDataFrame([(r["template"], r["license"], r["class"], list(r["wanted"]), x) for r in known for x in sketch(r["wanted"])], "template int, license string, class int, wanted array<bigint>, pivot bigint")
+    pivots = sorted({x for r in known for x in sketch(r["wanted"])})  # about a fifth of the templates' shingles
     texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
     hashed = texts.select("doc_id", "row", F.explode(F.array(F.struct("w"))).alias("x")).select("doc_id", "row", F.explode(F.array(shingles(F.col("x.w")))).alias("s"))
     hit = hashed.where(F.exists("s", lambda x: x.isin(pivots)))
@@ -99,11 +99,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
     count = F.greatest(F.lit(1), F.ceil((F.size("s") + SHINGLE - 1 - F.col("class")) / F.col("class"))).cast("int")
     windows = windows.select("doc_id", "row", "class", "s", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     windows = windows.select("doc_id", "row", "class", (F.col("k") * F.col("class")).alias("first_word"), F.slice("s", F.col("k") * F.col("class") + 1, length - SHINGLE + 1).alias("s"))
-    windows = windows.where(F.exists("s", lambda x: x.isin(pivots)))
-    signed = windows.select("doc_id", "row", "class", "first_word", "s", F.posexplode(minima(F.col("s"))).alias("band", "value"))
-    bands = frame.select("template", "license", "class", "wanted", F.posexplode("minima").alias("band", "value"))
-    found = signed.join(F.broadcast(bands), ["class", "band", "value"]).dropDuplicates(["row", "template", "first_word"])
+    held = windows.withColumn("pivot", F.explode(F.array_distinct(F.filter("s", lambda x: x.isin(pivots)))))
     matched = F.size(F.array_intersect("s", "wanted"))
-    checked = found.withColumn("matched", matched).where(F.col("matched") >= F.size("wanted") * CONTAINED)
+    # A window comes once for each shingle of the sketch; the maximum below takes them as one.
+    checked = held.join(F.broadcast(sketches), ["class", "pivot"]).withColumn("matched", matched).where(F.col("matched") >= F.size("wanted") * CONTAINED)
     best = checked.groupBy("doc_id", "row", "license", "template").agg(F.max(F.struct("matched", (-F.col("first_word")).alias("before"))).alias("b"), F.first(F.size("wanted")).alias("wanted"))
     return best.select(F.col("doc_id").alias(id_col), "license", "template", (-F.col("b.before")).cast("long").alias("first_word"), F.col("b.matched").alias("matched"), "wanted", (F.col("b.matched") / F.col("wanted")).alias("containment"))

@@ -193,6 +193,24 @@ def test_licenses(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_anywhere(spark):
+    """Short notices, and long ones of which a fifth is lost, are found wherever they stand."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(2400):
+        n = (2, 8, 17)[k % 3]
+        text = licenses.TEMPLATES[n][1]
+        found = re.findall("[a-z0-9]+", text.lower())
+        if n == 8:  # a shingle in five at most goes with the last words
+            found = found[: 4 + -(-4 * (len(found) - 4) // 5)]
+        around = [f"w{x}" for x in rng.integers(0, 10000, int(rng.integers(60, 200)))]
+        at = int(rng.integers(0, len(around)))
+        rows.append((k, " ".join([*around[:at], *found, *around[at:]]), n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = {(r.doc_id, r.template) for r in licenses.scan(docs).collect()}
+    assert got >= {(k, n) for k, _, n in rows} and len({k for k, _ in got}) == len(rows)
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><a>n</a></nav><div class="cookie-notice">c</div><article><h1>T &amp; u</h1><p>a<b>b</b>\n c<br>d<ul><li>x<li>y</ul><div id="comments">z</div><form>f</form></article><aside>s</aside><footer>f</footer>'
     pages = spark.createDataFrame([(1, "http://a.org/1", page), (2, "http://a.org/2", page.replace("T &amp;", "Z")), (3, None, None), (4, "bad", ""), (5, "http://b.org", "plain & text"), (1, "http://a.org/1", page)], "page_id long, url string, html string")

@@ -14,7 +14,10 @@ not spoil one another. A document that holds 80 % of the item's windows word for
 word is taken without the slot test.
 
 A window needs ``LITERAL`` plain words to count as a template; where an item has
-too few such windows (all capitals, say), its windows are taken word for word.
+too few such windows (lists of names and numbers, say), its windows are taken
+word for word, and as templates that run on until they hold ``LITERAL`` plain
+words; either way finds it. Items most of whose windows never hold so many plain
+words are found word for word only.
 
 Null texts hold nothing; items of under five words say too little and match
 nothing; repeated items and documents give a row each pair; ties don't arise; an
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, flat, mix, settle, slices, span_hashes, window_hashes, windows, word_spans
+from .common import BASE, BASE_INVERSE, SPACE, flat, mix, powers, settle, slices, span_hashes, window_hashes, windows, word_spans
 
 WINDOW, CONTAINED, LITERAL, CONSISTENT = 5, 0.8, 3, 0.8
 #: Benchmark windows up to which their hashes go to every worker (8 bytes each) to thin out the join's other side.
@@ -91,11 +94,25 @@ def template_windows(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     return first, np.where(literal >= LITERAL, form, np.uint64(0)), window_hashes(t["plain"], first, WINDOW)
 
 
+def long_windows(t: dict[str, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and hash of the windows from ``first`` that run on until they hold LITERAL plain words; those that leave their row go."""
+    literal = np.flatnonzero(t["literal"])
+    nth = np.searchsorted(literal, first) + LITERAL - 1
+    first, nth = first[nth < len(literal)], nth[nth < len(literal)]
+    ends = np.maximum(literal[nth] + 1, first + WINDOW) if len(nth) else nth
+    inside = t["rows"][ends - 1] == t["rows"][first] if len(nth) else np.zeros(0, bool)
+    first, ends = first[inside], ends[inside]
+    n = len(t["form"])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(t["form"] + np.uint64(1)) * powers(BASE, n)[:n], out=total[1:])
+    return first, ends, mix((total[ends] - total[first]) * powers(BASE_INVERSE, n)[first] + (ends - first).astype(np.uint64))
+
+
 def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-ITEM_DDL = "item_id long, h long, place int, n_windows int, slots binary"
+ITEM_DDL = "item_id long, way int, h long, place int, n_windows int, slots binary"
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -111,11 +128,16 @@ def item_windows(items: DataFrame) -> DataFrame:
                 for r in np.unique(rows):
                     own = np.flatnonzero(rows == r)
                     templates = own[form[own] != 0]
-                    use, h = (templates, form[templates]) if 2 * len(templates) >= len(own) else (own, plain[own])
-                    n = len(np.unique(h))
-                    out += [(ids[r], int(x), int(first[i]), n, _pack(t["plain"][first[i] : first[i] + WINDOW])) for i, x in zip(use, h.view(np.int64), strict=True)]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["item_id", "h", "place", "n_windows", "slots"])
+                    ways = [(first[templates], first[templates] + WINDOW, form[templates])]
+                    if 2 * len(templates) < len(own):
+                        at, ends, h = long_windows(t, first[own[form[own] == 0]])
+                        ways = [(first[own], first[own] + WINDOW, plain[own]), tuple(np.concatenate(x) for x in zip(ways[0], (at, ends, h), strict=True))]
+                        ways = ways[: 1 + (2 * len(ways[1][0]) >= len(own))]
+                    for way, (at, ends, h) in enumerate(ways):
+                        n = len(np.unique(h))
+                        out += [(ids[r], way, int(x), int(a), n, _pack(t["plain"][a:b])) for a, b, x in zip(at, ends, h.view(np.int64), strict=True)]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["item_id", "way", "h", "place", "n_windows", "slots"])
 
     return items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ITEM_DDL)
 
@@ -137,6 +159,7 @@ def best_occurrence(h: np.ndarray, place: np.ndarray, words: np.ndarray, doc_h:
     shifts = np.zeros(0, np.int64)
     for p, a, b in zip(place, low, high, strict=True):
         shifts = np.union1d(shifts, doc_place[a:b] - p)
+    filled = words != 0
     _, slot = np.unique(words, return_inverse=True)
     _, value = np.unique(doc_words, return_inverse=True)
     slot, value = slot.reshape(words.shape), value.reshape(doc_words.shape)
@@ -149,11 +172,11 @@ def best_occurrence(h: np.ndarray, place: np.ndarray, words: np.ndarray, doc_h:
             before = np.maximum(after - 1, 0)
             nearest = np.where(np.abs(doc_place[a + before] - p - some) <= np.abs(doc_place[a + after] - p - some), before, after)
             seen[:, k] = value[a + nearest]
-        keys = (np.arange(len(some))[:, None, None] * n_slots + slot) * n_values + seen
+        keys = ((np.arange(len(some))[:, None, None] * n_slots + slot) * n_values + seen)[:, filled]
         pair, count = np.unique(keys, return_counts=True)
         first = np.flatnonzero(np.diff(pair // n_values, prepend=-1))
         most = np.maximum.reduceat(count, first)
-        best = max(best, float(np.bincount(pair[first] // n_values // n_slots, weights=most).max()) / slot.size)
+        best = max(best, float(np.bincount(pair[first] // n_values // n_slots, weights=most).max()) / int(filled.sum()))
         if best == 1:
             break
     return best, exact
@@ -174,41 +197,44 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
                 data, offsets = flat(part.column("text"))
                 t = template(data, offsets)
                 first, form, plain = template_windows(t)
-                for h, skip in ((form, np.uint64(0)), (plain, None)):
-                    use = np.ones(len(h), bool) if skip is None else h != skip
-                    if hashes is not None:
-                        use &= near[(h >> np.uint64(44)).astype(np.int64)]
-                    use = np.flatnonzero(use)
+                templates = form != 0
+                long = long_windows(t, first[~templates])
+                for at, ends, h in ((first[templates], first[templates] + WINDOW, form[templates]), (first, first + WINDOW, plain), long):
                     if hashes is not None:
+                        use = np.flatnonzero(near[(h >> np.uint64(44)).astype(np.int64)])
                         use = use[np.isin(h[use], hashes)] if len(hashes) else use[:0]
-                    at = first[use]
-                    words = t["plain"][at[:, None] + np.arange(WINDOW)] if len(at) else np.zeros((0, WINDOW), np.uint64)
+                        at, ends, h = at[use], ends[use], h[use]
                     row = t["rows"][at] if len(at) else at
                     copy = span_hashes(data, offsets[:-1], offsets[1:])[row].view(np.int64)
-                    cols = [part.column("doc_id").take(pa.array(row)), pa.array(h[use].view(np.int64)), pa.array(copy), pa.array(at - np.searchsorted(t["rows"], row), pa.int64()), pa.array([_pack(x) for x in words], pa.binary())]
+                    cols = [part.column("doc_id").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(copy), pa.array(at - np.searchsorted(t["rows"], row), pa.int64()), pa.array([_pack(t["plain"][a:b]) for a, b in zip(at, ends, strict=True)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "copy", "place", "words"])
 
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, copy long, place long, words binary")
     # Repeated rows of a document are counted once; ``copy`` tells different texts of one doc_id apart.
-    pairs = settle(found.distinct()).join(bench.select("item_id", "h", "n_windows").distinct(), "h")
-    counted = pairs.groupBy("doc_id", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
+    pairs = settle(found.distinct()).join(bench.select("item_id", "way", "h", "n_windows").distinct(), "h")
+    counted = pairs.groupBy("doc_id", "item_id", "way", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
     enough = counted.where(F.col("n_matched") >= F.col("n_windows") * CONTAINED)
 
     def judge(part: pa.Table) -> pa.Table:
         of_item = part.column("copy").is_null().to_numpy()
         h, place = part.column("h").to_numpy(), part.column("place").to_numpy()
-        words = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint64).reshape(-1, WINDOW)
+        packed = part.column("words").to_pylist()
+        width = max(map(len, packed))  # windows that run on are longer; the ends of the others stay empty
+        words = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in packed), np.uint64).reshape(-1, width // 8)
         copy = np.unique(part.column("copy").to_numpy(zero_copy_only=False)[~of_item], return_inverse=True)[1]
         share, exact = best_occurrence(h[of_item], place[of_item], words[of_item], h[~of_item], place[~of_item] + (copy.astype(np.int64) << 40), words[~of_item])
-        out = part.select(["doc_id", "item_id", "n_windows", "n_matched"])[:1]
+        out = part.select(["doc_id", "item_id", "way", "n_windows", "n_matched"])[:1]
         return out.append_column("consistency", pa.array([share])).append_column("exact", pa.array([exact]))
 
-    asked = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("n_windows").alias("n"), "n_matched")
-    sides = ["doc_id", "item_id", "n_windows", "n_matched", "h", "copy", "place", "words"]
-    mine = pairs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("n_windows") == F.col("n"))).select(sides)
-    theirs = enough.join(bench.distinct(), ["item_id", "n_windows"]).withColumn("copy", F.lit(None).cast("long")).withColumn("place", F.col("place").cast("long")).withColumnRenamed("slots", "words").select(sides)
-    judged = mine.unionByName(theirs).groupBy("doc_id", "item_id", "n_windows").applyInArrow(judge, "doc_id long, item_id long, n_windows int, n_matched long, consistency double, exact double")
-    return judged.where((F.col("consistency") >= CONSISTENT) | (F.col("exact") >= CONTAINED)).drop("exact")
+    asked = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("way").alias("w"), F.col("n_windows").alias("n"), "n_matched")
+    sides = ["doc_id", "item_id", "way", "n_windows", "n_matched", "h", "copy", "place", "words"]
+    mine = pairs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("way") == F.col("w")) & (F.col("n_windows") == F.col("n"))).select(sides)
+    theirs = enough.join(bench.distinct(), ["item_id", "way", "n_windows"]).withColumn("copy", F.lit(None).cast("long")).withColumn("place", F.col("place").cast("long")).withColumnRenamed("slots", "words").select(sides)
+    judged = mine.unionByName(theirs).groupBy("doc_id", "item_id", "way", "n_windows").applyInArrow(judge, "doc_id long, item_id long, way int, n_windows int, n_matched long, consistency double, exact double")
+    held = judged.where((F.col("consistency") >= CONSISTENT) | (F.col("exact") >= CONTAINED))
+    # An item found both ways gives one row, the word-for-word one.
+    first = F.min(F.struct("way", "n_windows", "n_matched", "consistency")).alias("r")
+    return held.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "r.n_windows", "r.n_matched", "r.consistency")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

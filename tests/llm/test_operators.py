@@ -185,6 +185,16 @@ def test_decontamination_heavy(spark):
     assert got == {(1, 1): 1.0, (2, 1): 1.0, (3, 2): 1.0, (4, 2): 1.0, (5, 1): 1.0, (7, 1): 1.0}
 
 
+def test_decontamination_dense(spark):
+    """Variants of items dense in names, numbers and units are found, and the items themselves."""
+    item = "Results: Ann 12 kg, Bob 15 kg, Carl 18 kg beat Dora 21 kg, Emil 24 kg with Fay 30 kg, Gus 33 kg before Hal 36 kg, Ida 39 kg and Jon 41 kg, Kim 44 kg won over Leo 50 kg at home"
+    swap = {"Ann": "Uma", "Bob": "Vic", "Carl": "Wes", "Dora": "Xia", "Emil": "Yan", "Fay": "Zoe", "Gus": "Ned", "Hal": "Oli", "Ida": "Pia", "Jon": "Quin", "Kim": "Rob", "Leo": "Sue"}
+    other = re.sub(r"\d+", lambda m: str(int(m[0]) + 100), re.sub("[A-Z][a-z]+", lambda m: swap.get(m[0], m[0]), item))
+    docs = spark.createDataFrame([(1, f"we read: {item}"), (2, f"we read: {other} and so on"), (3, "Results: Ann 12 kg, Bob 15 kg and nothing else was said at home")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.consistency) for r in decontam.find_items(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 1.0)}
+
+
 def test_licenses(spark, none):
     mit = licenses.TEMPLATES[4][1]
     docs = spark.createDataFrame([(1, f"{LOREM}\nReleased under the MIT License.\n{LOREM}"), (2, LOREM), (3, f"x {mit.upper()} y"), (4, None), (5, ""), (6, mit[: len(mit) // 2]), (7, " ".join([LOREM] * 20) + " " + mit)], "doc_id long, text string")

@@ -311,6 +311,17 @@ def test_pipeline(spark):
         assert 0 < docs.count() <= before
 
 
+def test_near_dedup_ids(spark):
+    """Different texts of one doc_id stay; copies without a doc_id go; the smallest doc_id stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    other = "a wholly different text about ships that carry grain over the northern sea in autumn storms"
+    third = "numbers of the yearly budget were read aloud by the clerk before anyone had sat down to vote"
+    rows = [(1, LOREM, "a"), (1, other, "b"), (2, LOREM, "c"), (None, LOREM, "d"), (None, third, "e"), (None, third, "f"), (3, other, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, LOREM), (1, other), (None, third)], key=str)
+
+
 def test_clashing_columns(spark):
     """Columns named like those that the operators make inside change nothing."""
     from pyspark.sql import functions as F

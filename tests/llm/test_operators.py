@@ -108,6 +108,34 @@ def test_bpe(docs, none):
     assert t[1].n_tokens == 0 and bpe.digests(none, queries.vocabulary()).count() == 0
 
 
+def test_bpe_long_words():
+    """Words without a break, short alphabets and long ones: one table look-up path, the library's ids."""
+    tool, e, rng = library(), bpe.encoder(queries.vocabulary()), np.random.default_rng(4)
+    for alphabet in ("a", "ab", "aeth n", "abcdefghijklmnopqrstuvwxyz", "éüñ日本語мир", "=-_#*", "0123456789", " \n\t"):
+        for n in (1, 2, 5, 30, 200, 20000):
+            text = "".join(rng.choice(list(alphabet), n))
+            assert e.encode(text).tolist() == tool.encode(text, add_special_tokens=False).ids, (alphabet, n)
+
+
+def test_bpe_table():
+    """Two tokens follow one another by the table exactly if the library leaves them apart."""
+    e, tool, rng = bpe.encoder(queries.vocabulary()).automaton, library(), np.random.default_rng(5)
+    letters = [i for i, x in enumerate(e.labels) if x.isalpha() and x.isascii() and e.word(x) == [i]]
+    pairs = rng.choice(letters, (3000, 2)).tolist() + [[a, a] for a in letters[:2000]]
+    for (a, b), want in zip(pairs, tool.encode_batch([(e.labels[a] + e.labels[b]).decode() for a, b in pairs], add_special_tokens=False), strict=True):
+        assert e.follows(a, b) == (want.ids == [a, b])
+
+
+def test_pre_split():
+    """The pattern takes every code point as the library does, so op2's and op10's words are the library's."""
+    pre, stand_in = library().pre_tokenizer, {b: c for c, b in bpe.byte_alphabet().items()}
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 5000):
+        text = "\n".join(f"a{c}1 {c}{c}" for c in points[k : k + 5000])
+        want = [w for w, _ in pre.pre_tokenize_str(text)]
+        assert ["".join(map(stand_in.__getitem__, w.encode())) for w in bpe.split(text)] == want
+
+
 def test_suffix(docs, none):
     got = suffix.remove_repeats(docs).collect()
     rows = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t, *_ in rows_of()]

@@ -57,7 +57,7 @@ def _ranges(kind: str, limit: int) -> str:
     """A character class body of all code points below ``limit`` whose category starts with ``kind``."""
     out, start = [], None
     for c in range(limit + 1):
-        inside = c < limit and unicodedata.category(chr(c))[0] == kind
+        inside = c < limit and unicodedata.category(chr(c)).startswith(kind)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -73,6 +73,20 @@ def splitter(limit: int = sys.maxunicode + 1) -> re.Pattern:
     return re.compile(f" ?[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{numbers}]+| ?[^{WHITE}{letters}{numbers}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+@lru_cache(1)
+def unknown() -> re.Pattern:
+    """Code points that this Python's Unicode tables don't know; the library's may."""
+    return re.compile(f"[{_ranges('Cn', sys.maxunicode + 1)}]")
+
+
+@lru_cache(1)
+def library_split():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tool, alphabet = ByteLevel(add_prefix_space=False, use_regex=True), byte_alphabet()
+    return lambda text: [bytes(map(alphabet.__getitem__, w)).decode() for w, _ in tool.pre_tokenize_str(text)]
+
+
 def split(text: str) -> list[str]:
     """The words of a text; small classes are matched faster, so they are taken where they suffice."""
     if text.isascii():
@@ -80,7 +94,7 @@ def split(text: str) -> list[str]:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return splitter().findall(text)
+        return library_split()(text) if unknown().search(text) else splitter().findall(text)
     return splitter(0x100).findall(text)
 
 

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow rows handed to a Python worker at once are cut so that a slice holds
 #: about so many bytes of text; a longer text makes a slice of its own.
@@ -50,6 +51,31 @@ def settle(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared one that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key with more than this share of the rows is hot; so there are at most as many hot keys as it is small.
+HOT_SHARE = 1 / 1000
+
+
+def join_unique(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of ``known``, which has one row a key and its number of rows as ``copies``.
+
+    Rows of hot keys find theirs in a broadcast table of 1000 rows at most, so
+    that no task gets all rows of a key; the others are joined by key.
+    """
+    total = known.agg(F.sum("copies")).first()[0] or 0
+    hot = known.where(F.col("copies") > total * HOT_SHARE)
+    held = F.struct(*(c for c in known.columns if c != key)).alias("_hot")
+    marked = rows.join(F.broadcast(hot.select(key, held)), key, "left")
+    found = marked.where("_hot is not null").select(*rows.columns, "_hot.*")
+    rest = marked.where("_hot is null").select(*rows.columns).join(known, key)
+    return found.unionByName(rest.select(*found.columns)).drop("copies")
+
+
 def give_back() -> None:
     """Return freed memory of Arrow's pool and of the C heap to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()

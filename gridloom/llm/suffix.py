@@ -5,10 +5,11 @@ starts in a document with a smaller doc_id (judged on the input).
 
 1. Exact copies of a text (by SHA-256) are settled at once: of each text only
    the document with the smallest id goes on.
-2. Texts are written in chunks of a few MB, bucketed by chunk, so that the two
-   later passes over them shuffle nothing but short answers.
+2. Texts are written in chunks of about a MB, bucketed, so that the passes over
+   them shuffle nothing but short answers. The chunks of a window (32 MB) speak
+   with one voice.
 3. The least hash of the 27 24-byte strings inside a 50-byte string is its
-   anchor: equal strings have equal anchors. Chunks send their distinct
+   anchor: equal strings have equal anchors. Windows send their distinct
    anchors to buckets; a bucket answers a bit for each: found in two documents.
 4. Runs of strings with a shared anchor go, as text, to the anchor's bucket.
    There a suffix array is built by two-stage sorting: only suffixes smaller
@@ -17,37 +18,50 @@ starts in a document with a smaller doc_id (judged on the input).
    then give the groups of equal strings, and the smallest doc_id of each.
 5. The spans found go back to their chunks, which cut them out.
 
-Anchors only save work: every string is compared as bytes in step 4. A run that
-a chunk holds in several documents is sent once, so a passage that a third of
-all documents share arrives once a chunk at most.
-
-Null texts are empty; texts under 50 bytes lose nothing; a null doc_id counts
-as larger than any other; documents of equal doc_id don't cut each other;
-repeated rows give one row each; an empty table gives no rows; other columns
-are not read.
+Anchors only save work: every string is compared as bytes in step 4. What keeps
+the pieces small at any input: the numbers of buckets follow the bytes of text,
+with no ceiling on those that are held in memory; anchors are mixed again before
+they are dealt, as minima crowd near zero; a run that a window holds in several
+documents is sent once, so a passage that a third of all documents share arrives
+once for 32 MB of text (100 bytes each: 300 MB at 100 TB); runs are cut at
+``MOST_RUN`` starts, so that texts of one short period, whatever their lengths,
+give equal pieces. Only the buckets of chunks, which are read as a stream, grow
+where the input is beyond 100,000 of them.
+
+Null texts are empty; texts under 50 bytes lose nothing; very long texts make
+chunks of their own; a null doc_id counts as larger than any other; documents of
+equal doc_id don't cut each other; repeated rows give one row each; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, BYTE_CODES, flat, give_back, mix, powers, settle, shared_dir
+from .common import BASE, BASE_INVERSE, BYTE_CODES, delete, flat, give_back, join_unique, mix, powers, settle, shared_dir
 
 LENGTH, GRAM = 50, 24
 CHUNK_BYTES = 1 << 20
+#: Text whose chunks ask and send as one.
+WINDOW_BYTES = 32 << 20
 #: Text whose anchors are made at once: what the arrays for it fill fits the processor's cache.
 BLOCK_BYTES = 1 << 17
+#: Starts of one run at most; equal strings meet by their anchors wherever runs are cut.
+MOST_RUN = 1024
 #: Text that one suffix array holds, unless the runs of a single anchor are more.
 PIECE_BYTES = 1 << 19
 #: Bytes of text that one bucket of chunks, of anchors and of runs stands for.
 CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 8 << 20, 4 << 20
+#: Buckets that a table may have.
+MOST_BUCKETS = 100_000
 LARGEST = (1 << 63) - 1
 
 
@@ -74,23 +88,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def chunk_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """runs() of a whole chunk, block by block; a run that crosses a block's end counts as two."""
+    """First and last start, and anchor, of the runs of a whole chunk, made block by block."""
     found = []
     for a in range(0, max(1, len(data) - LENGTH + 1), BLOCK_BYTES):
         b = min(len(data), a + BLOCK_BYTES + LENGTH - 1)
         inner = offsets[(offsets > a) & (offsets < b)]
         first, last, low = runs(*anchors(data[a:b], np.concatenate([[0], inner - a, [b - a]])))
-        found.append((first + a, last + a, low))
+        found.append((first + a, last + a, mix(low) | np.uint64(1)))  # minima crowd near zero: spread anew
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def runs(starts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start, and anchor, of each run of neighbouring strings with one anchor."""
+    """Neighbouring strings with one anchor, at most MOST_RUN of them to a run."""
     if not len(starts):
         return starts, starts, low
     cut = np.flatnonzero((np.diff(starts) != 1) | (low[1:] != low[:-1])) + 1
     first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [len(starts)]]) - 1
+    size = np.diff(np.append(first, len(starts)))
+    if size.max() > MOST_RUN:
+        pieces = -(-size // MOST_RUN)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(first, pieces) + nth * MOST_RUN
+    last = np.append(first[1:], len(starts)) - 1
     return starts[first], starts[last], low[first]
 
 
@@ -227,22 +246,35 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(starts) - 1)]
 
 
-def _buckets(total: int, each: int) -> int:
-    return int(min(20000, max(24, -(-total // each))))
+@contextlib.contextmanager
+def _one_key_is_enough(spark: SparkSession):
+    """While texts lie by bucket, joins on the bucket and more need no new dealing."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _parts(lists: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], names)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept_text on demand)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept_bytes on demand)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marks = texts.select("doc", F.sha2(F.col("text"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = settle(marks.groupBy("doc", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times")))
-    firsts = rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"))
-    sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha")
-    total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets, n_anchor, n_run = (_buckets(total, x) for x in (CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET))
+    firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
+    total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
+    share = lambda each: int(max(24, -(-total // each)))
+    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(ANCHOR_BUCKET), share(RUN_BUCKET)
+    bucket_of = F.pmod(F.xxhash64("doc"), F.lit(n_buckets)).cast("int").alias("bucket")
 
-    # Chunks: texts of one bucket, a few MB to a row.
+    # Chunks: texts of one bucket, about a MB to a row, numbered in order; so many to a window.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, place, last = {}, {}, {}, None
 
@@ -251,7 +283,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             size.pop(bucket)
             place[bucket] = place.get(bucket, -1) + 1
             blobs = [t for _, _, t in group]
-            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([(bucket << 32) + place[bucket]], pa.int64()), pa.array([[d for d, _, _ in group]], pa.list_(pa.int64())), pa.array([[s for _, s, _ in group]], pa.list_(pa.string())), pa.array([np.cumsum([0, *map(len, blobs)])], pa.list_(pa.int64())), pa.array([b"".join(blobs)], pa.binary())], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
+            chunk = (bucket << 32) + place[bucket]
+            return _parts([[bucket], [chunk], [chunk // max(1, WINDOW_BYTES // CHUNK_BYTES)], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "window", "docs", "shas", "offsets", "data"])
 
         for batch in batches:
             give_back()
@@ -266,22 +299,79 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for bucket in list(held):
             yield flush(bucket)
 
-    first_of = texts.withColumn("sha", F.sha2(F.col("text"), 256)).join(sources, ["doc", "sha"], "left_semi")
-    packed = (
-        first_of.select(F.pmod(F.xxhash64("doc"), F.lit(n_buckets)).cast("int").alias("bucket"), "doc", "sha", "text")
-        .repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc", "sha")
-        .mapInArrow(pack, "bucket int, chunk long, docs array<long>, shas array<string>, offsets array<long>, data binary")
-    )
     name = f"chunks_{uuid.uuid4().hex}"
-    packed.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n_buckets, "bucket").format("parquet").saveAsTable(name)
-    chunks = spark.table(name)
+    folder = f"{shared_dir(spark)}/{name}"
+    with _one_key_is_enough(spark):
+        sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
+        dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
+        packed = dealt.join(sources.hint("merge"), ["bucket", "doc", "sha"], "left_semi").sortWithinPartitions("bucket", "doc", "sha")
+        packed = packed.mapInArrow(pack, "bucket int, chunk long, window long, docs array<long>, shas array<string>, offsets array<long>, data binary")
+        packed.write.option("compression", "zstd").option("path", folder).bucketBy(n_buckets, "bucket").format("parquet").saveAsTable(name)
+        chunks = spark.table(name)
+        answers = settle(_answers(chunks, n_anchor))
+        spans = settle(_spans(chunks, answers, n_anchor, n_run))
+        cut = settle(_cut(chunks, spans, with_text))
+    spark.sql(f"drop table {name}")
+    delete(spark, folder)
+    whole = join_unique(rows, firsts.select("sha", "first", "copies"), "sha").join(cut, ["doc", "sha"], "left")
+    copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    kept_bytes = F.when(copy, F.lit(b"")).otherwise(F.col("kept_bytes")).alias("kept_bytes")
+    out = whole.select(
+        F.when(F.col("doc") != LARGEST, F.col("doc")).alias(id_col),
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        *([kept_bytes] if with_text else []),
+        F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_time"),
+    )
+    return out.drop("_time")
+
+
+def _each(batch: pa.RecordBatch):
+    for k in range(batch.num_rows):
+        row = batch.slice(k, 1)
+        offsets = np.array(row.column("offsets")[0].as_py(), np.int64)
+        data, _ = flat(row.column("data"))
+        yield row, data, offsets
+
+
+def _owned_runs(row: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """first, last, anchor and document of the runs of a chunk."""
+    first, last, low = chunk_runs(data, offsets)
+    return first, last, low, np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
+
+
+def _windows(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[tuple[int, list]]:
+    """(window, its chunks' values and runs), chunk by chunk in stored order; a window that comes twice would spoil the answers."""
+    held, now, done = [], None, set()
+    for batch in batches:
+        give_back()
+        for row, data, offsets in _each(batch):
+            window = row.column("window")[0].as_py()
+            if window != now:
+                if held:
+                    yield now, held
+                if window in done:
+                    raise RuntimeError("the chunks of a window do not come together")
+                held, now = [], window
+                done.add(window)
+            held.append(({c: row.column(c)[0].as_py() for c in keep}, data, _owned_runs(row, data, offsets)))
+    if held:
+        yield now, held
+
+
+def _split(values: np.ndarray, n: int) -> np.ndarray:
+    """Where the values of each of n buckets begin among ordered values."""
+    return np.searchsorted(_bucket(values, n), np.arange(n + 1))
+
+
+def _bucket(values: np.ndarray, n: int) -> np.ndarray:
+    return ((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
-    def each(batch: pa.RecordBatch):
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            offsets = np.array(row.column("offsets")[0].as_py(), np.int64)
-            data, _ = flat(row.column("data"))
-            yield row, data, offsets
+
+def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
+    """bucket, window, bits: for each bucket of anchors one bit an anchor, whether two documents hold it."""
 
     def sent(low: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Distinct anchors in order; the last bit is 0 where two documents hold it."""
@@ -291,20 +381,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ends = np.append(first[1:], len(low)) - 1
         return low[first] - (doc[first] != doc[ends]).astype(np.uint64)
 
-    def split(values: np.ndarray, n: int) -> np.ndarray:
-        bucket = ((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        return np.searchsorted(bucket, np.arange(n + 1))
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            give_back()
-            for row, data, offsets in each(batch):
-                first, _, low = chunk_runs(data, offsets)
-                owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
-                values = sent(low, owner)
-                cut = split(values, n_anchor)
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row.column("bucket")[0].as_py(), np.int32)), pa.array(np.full(len(full), row.column("chunk")[0].as_py(), np.int64)), pa.array([values[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["anchor_bucket", "bucket", "chunk", "anchors"])
+        for window, held in _windows(batches, ["bucket"]):
+            values = sent(*(np.concatenate([runs[k] for _, _, runs in held]) for k in (2, 3)))
+            cut = _split(values, n_anchor)
+            full = np.flatnonzero(np.diff(cut))
+            yield _parts([full, [held[0][0]["bucket"]] * len(full), [window] * len(full), [values[cut[k] : cut[k + 1]].tobytes() for k in full]], [pa.int32(), pa.int32(), pa.int64(), pa.binary()], ["anchor_bucket", "bucket", "window", "anchors"])
 
     def answer(part: pa.Table) -> pa.Table:
         give_back()
@@ -315,49 +397,54 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shared = count > 1
         shared[at[many]] = True
         flags, cut = shared[at], np.cumsum([0, *map(len, lists)])
-        return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "anchor_bucket": part.column("anchor_bucket"), "bits": pa.array([np.packbits(flags[cut[k] : cut[k + 1]]).tobytes() for k in range(len(lists))], pa.binary())})
+        return part.drop_columns(["anchors"]).append_column("bits", pa.array([np.packbits(flags[cut[k] : cut[k + 1]]).tobytes() for k in range(len(lists))], pa.binary()))
+
+    asked = chunks.select("bucket", "window", "docs", "offsets", "data").mapInArrow(ask, "anchor_bucket int, bucket int, window long, anchors binary")
+    answered = asked.groupBy("anchor_bucket").applyInArrow(answer, "anchor_bucket int, bucket int, window long, bits binary")
+    return answered.groupBy("bucket", "window").agg(F.collect_list(F.struct("anchor_bucket", "bits")).alias("bits"))
+
 
-    asked = chunks.select("bucket", "chunk", "docs", "offsets", "data").mapInArrow(ask, "anchor_bucket int, bucket int, chunk long, anchors binary")
-    answers = asked.groupBy("anchor_bucket").applyInArrow(answer, "bucket int, chunk long, anchor_bucket int, bits binary")
-    answers = settle(answers.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("anchor_bucket", "bits")).alias("bits")))
+RUN_NAMES = ["run_bucket", "bucket", "chunk", "low", "owner", "first", "size", "data"]
+RUN_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+
+
+def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) -> DataFrame:
+    """bucket, chunk, from, to: the spans to cut out of each chunk."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            give_back()
-            for row, data, offsets in each(batch):
-                first, last, low = chunk_runs(data, offsets)
-                owner = np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
-                values = np.unique(low)
-                cut = split(values, n_anchor)
-                flags = np.zeros(len(values), bool)
-                for x in row.column("bits")[0].as_py() or []:
-                    a, b = cut[x["anchor_bucket"]], cut[x["anchor_bucket"] + 1]
-                    flags[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+        for _, held in _windows(batches, ["bucket", "chunk", "bits"]):
+            values = np.unique(np.concatenate([low for _, _, (_, _, low, _) in held]))
+            cut, flags = _split(values, n_anchor), np.zeros(len(values), bool)
+            for x in held[0][0]["bits"] or []:
+                a, b = cut[x["anchor_bucket"]], cut[x["anchor_bucket"] + 1]
+                flags[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+            used, least = [], {}
+            for _, data, (first, last, low, owner) in held:
                 use = flags[np.searchsorted(values, low)]
                 first, last, low, owner = first[use], last[use], low[use], owner[use]
                 raw = data.tobytes()
-                # Of runs with the same bytes in several documents only the smallest document's are sent.
-                least: dict[bytes, int] = {}
                 texts_of = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                # Of runs with the same bytes in several documents only the smallest document's are sent, once.
                 for t, d in zip(texts_of, owner.tolist(), strict=True):
                     if least.get(t, d) >= d:
                         least[t] = d
+                used.append((first, last, low, owner, texts_of))
+            for (keys, _, _), (first, last, low, owner, texts_of) in zip(held, used, strict=True):
                 keep = np.fromiter((least[t] == d for t, d in zip(texts_of, owner.tolist(), strict=True)), bool, len(texts_of))
-                bucket, chunk = row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py()
                 gone_from, gone_to = joined(first[~keep], last[~keep] + LENGTH)
                 if len(gone_from):
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([gone_from.tobytes()], pa.binary()), pa.array([gone_to.tobytes()], pa.binary()), pa.array([b""], pa.binary())], names)
+                    yield _parts([[-1], [keys["bucket"]], [keys["chunk"]], [b""], [b""], [gone_from.tobytes()], [gone_to.tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
                 index = np.flatnonzero(keep)
-                run_bucket = ((low[index] >> np.uint64(32)) * np.uint64(n_run)) >> np.uint64(32)
+                run_bucket = _bucket(low[index], n_run)
                 by = np.argsort(run_bucket, kind="stable")
                 index, run_bucket = index[by], run_bucket[by]
-                edges = np.searchsorted(run_bucket, np.arange(n_run + 1))
+                edges = np.append(np.flatnonzero(np.append(True, run_bucket[1:] != run_bucket[:-1])), len(index)) if len(index) else np.zeros(1, np.int64)
                 out = []
-                for k in np.flatnonzero(np.diff(edges)):
-                    i = index[edges[k] : edges[k + 1]]
-                    out.append((int(k), bucket, chunk, low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    i = index[a:b]
+                    out.append((int(run_bucket[a]), keys["bucket"], keys["chunk"], low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names)
+                    yield _parts(list(zip(*out, strict=True)), RUN_TYPES, RUN_NAMES)
 
     def compare(part: pa.Table) -> pa.Table:
         give_back()
@@ -397,24 +484,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "from": pa.array(cols[2], pa.binary()), "to": pa.array(cols[3], pa.binary())})
 
-    names = ["run_bucket", "bucket", "chunk", "low", "owner", "first", "size", "data"]
-    told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(answers, ["bucket", "chunk"])
-    runs_df = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
-    # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled inside a chunk (bucket -1, spread by chunk).
-    dealt = runs_df.withColumn("group", F.when(F.col("run_bucket") >= 0, F.col("run_bucket").cast("long")).otherwise(-1 - F.col("chunk")))
-
     def spans_of(part: pa.Table) -> pa.Table:
         if part.column("run_bucket")[0].as_py() >= 0:
             return compare(part)
         return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "from": part.column("first"), "to": part.column("size")})
 
+    told = chunks.select("bucket", "chunk", "window", "docs", "offsets", "data").join(answers.hint("shuffle_hash"), ["bucket", "window"])
+    sent = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
+    # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled inside a window (run_bucket -1, spread by chunk).
+    dealt = sent.withColumn("group", F.when(F.col("run_bucket") >= 0, F.col("run_bucket").cast("long")).otherwise(-1 - F.col("chunk")))
     spans = dealt.groupBy("group").applyInArrow(spans_of, "bucket int, chunk long, from binary, to binary")
-    spans = settle(spans.groupBy("bucket", "chunk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to")))
+    return spans.groupBy("bucket", "chunk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
+
+
+def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
+    """doc, sha, removed, spans, kept, kept_bytes of each packed text."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
-            for row, data, offsets in each(batch):
+            for row, data, offsets in _each(batch):
                 gather = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in row.column(c)[0].as_py() or [])])
                 starts, ends = joined(gather("from"), gather("to"))
                 gone = np.zeros(len(data) + 1, np.int8)
@@ -427,18 +516,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n = int(g.sum())
                     kept = data[a:b][~g].tobytes() if n or with_text else b""
                     out.append((doc, sha, n, int(np.count_nonzero(np.diff(np.concatenate([[0], g.astype(np.int8)])) == 1)), hashlib.sha256(kept).hexdigest() if n else sha, kept if with_text else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)], ["doc", "sha", "removed", "spans", "kept", "kept_bytes"])
+                yield _parts(list(zip(*out, strict=True)), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], ["doc", "sha", "removed", "spans", "kept", "kept_bytes"])
 
-    cut = chunks.join(spans, ["bucket", "chunk"], "left").mapInArrow(cut_out, "doc long, sha string, removed long, spans long, kept string, kept_bytes binary")
-    whole = rows.join(firsts.select("sha", "first"), "sha").join(cut, ["doc", "sha"], "left")
-    copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    out = whole.select(
-        F.when(F.col("doc") != LARGEST, F.col("doc")).alias(id_col),
-        "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        *([F.when(copy, F.lit(b"")).otherwise(F.col("kept_bytes")).alias("kept_bytes")] if with_text else []),
-        F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_time"),
-    )
-    return out.drop("_time")
+    told = chunks.join(spans.hint("shuffle_hash"), ["bucket", "chunk"], "left")
+    return told.mapInArrow(cut_out, "doc long, sha string, removed long, spans long, kept string, kept_bytes binary")

@@ -5,11 +5,10 @@ starts in a document with a smaller doc_id (judged on the input).
 
 1. Exact copies of a text (by SHA-256) are settled at once: of each text only
    the document with the smallest id goes on.
-2. Texts are written in chunks of about a MB, bucketed, so that the passes over
-   them shuffle nothing but short answers. The chunks of a window (32 MB) speak
-   with one voice.
+2. Texts are written in chunks of a few MB, bucketed, so that the passes over
+   them shuffle nothing but short answers.
 3. The least hash of the 27 24-byte strings inside a 50-byte string is its
-   anchor: equal strings have equal anchors. Windows send their distinct
+   anchor: equal strings have equal anchors. Chunks send their distinct
    anchors to buckets; a bucket answers a bit for each: found in two documents.
 4. Runs of strings with a shared anchor go, as text, to the anchor's bucket.
    There a suffix array is built by two-stage sorting: only suffixes smaller
@@ -21,12 +20,12 @@ starts in a document with a smaller doc_id (judged on the input).
 Anchors only save work: every string is compared as bytes in step 4. What keeps
 the pieces small at any input: the numbers of buckets follow the bytes of text,
 with no ceiling on those that are held in memory; anchors are mixed again before
-they are dealt, as minima crowd near zero; a run that a window holds in several
-documents is sent once, so a passage that a third of all documents share arrives
-once for 32 MB of text (100 bytes each: 300 MB at 100 TB); runs are cut at
-``MOST_RUN`` starts, so that texts of one short period, whatever their lengths,
-give equal pieces. Only the buckets of chunks, which are read as a stream, grow
-where the input is beyond 100,000 of them.
+they are dealt, as minima crowd near zero; a run that the chunks read together hold
+in several documents is sent once, so a passage that a third of all documents
+share arrives once for 32 MB of text or one bucket (100 bytes each: 300 MB at
+100 TB); runs are cut at ``MOST_RUN`` starts, so that texts of one short period,
+whatever their lengths, give equal pieces. Only the buckets of chunks, which are
+read as a stream, grow where the input is beyond 100,000 of them.
 
 Null texts are empty; texts under 50 bytes lose nothing; very long texts make
 chunks of their own; a null doc_id counts as larger than any other; documents of
@@ -49,9 +48,9 @@ from pyspark.sql import functions as F
 from .common import BASE, BASE_INVERSE, BYTE_CODES, delete, flat, give_back, join_unique, mix, powers, settle, shared_dir
 
 LENGTH, GRAM = 50, 24
-CHUNK_BYTES = 1 << 20
-#: Text whose chunks ask and send as one.
-WINDOW_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
+#: Text whose shared runs are sent together.
+TOGETHER = 32 << 20
 #: Text whose anchors are made at once: what the arrays for it fill fits the processor's cache.
 BLOCK_BYTES = 1 << 17
 #: Starts of one run at most; equal strings meet by their anchors wherever runs are cut.
@@ -60,6 +59,8 @@ MOST_RUN = 1024
 PIECE_BYTES = 1 << 19
 #: Bytes of text that one bucket of chunks, of anchors and of runs stands for.
 CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 8 << 20, 4 << 20
+#: Where there is very much text, buckets of anchors grow up to this, so that a chunk has several anchors for each.
+WIDEST_ANCHOR_BUCKET, MANY = 256 << 20, 20_000
 #: Buckets that a table may have.
 MOST_BUCKETS = 100_000
 LARGEST = (1 << 63) - 1
@@ -271,10 +272,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     share = lambda each: int(max(24, -(-total // each)))
-    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(ANCHOR_BUCKET), share(RUN_BUCKET)
+    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
     bucket_of = F.pmod(F.xxhash64("doc"), F.lit(n_buckets)).cast("int").alias("bucket")
 
-    # Chunks: texts of one bucket, about a MB to a row, numbered in order; so many to a window.
+    # Chunks: texts of one bucket, a few MB to a row.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, place, last = {}, {}, {}, None
 
@@ -283,8 +284,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             size.pop(bucket)
             place[bucket] = place.get(bucket, -1) + 1
             blobs = [t for _, _, t in group]
-            chunk = (bucket << 32) + place[bucket]
-            return _parts([[bucket], [chunk], [chunk // max(1, WINDOW_BYTES // CHUNK_BYTES)], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "window", "docs", "shas", "offsets", "data"])
+            return _parts([[bucket], [(bucket << 32) + place[bucket]], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
 
         for batch in batches:
             give_back()
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
         dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
         packed = dealt.join(sources.hint("merge"), ["bucket", "doc", "sha"], "left_semi").sortWithinPartitions("bucket", "doc", "sha")
-        packed = packed.mapInArrow(pack, "bucket int, chunk long, window long, docs array<long>, shas array<string>, offsets array<long>, data binary")
+        packed = packed.mapInArrow(pack, "bucket int, chunk long, docs array<long>, shas array<string>, offsets array<long>, data binary")
         packed.write.option("compression", "zstd").option("path", folder).bucketBy(n_buckets, "bucket").format("parquet").saveAsTable(name)
         chunks = spark.table(name)
         answers = settle(_answers(chunks, n_anchor))
@@ -342,25 +342,6 @@ def _owned_runs(row: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> t
     return first, last, low, np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, first, side="right") - 1]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[tuple[int, list]]:
-    """(window, its chunks' values and runs), chunk by chunk in stored order; a window that comes twice would spoil the answers."""
-    held, now, done = [], None, set()
-    for batch in batches:
-        give_back()
-        for row, data, offsets in _each(batch):
-            window = row.column("window")[0].as_py()
-            if window != now:
-                if held:
-                    yield now, held
-                if window in done:
-                    raise RuntimeError("the chunks of a window do not come together")
-                held, now = [], window
-                done.add(window)
-            held.append(({c: row.column(c)[0].as_py() for c in keep}, data, _owned_runs(row, data, offsets)))
-    if held:
-        yield now, held
-
-
 def _split(values: np.ndarray, n: int) -> np.ndarray:
     """Where the values of each of n buckets begin among ordered values."""
     return np.searchsorted(_bucket(values, n), np.arange(n + 1))
@@ -371,7 +352,7 @@ def _bucket(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
-    """bucket, window, bits: for each bucket of anchors one bit an anchor, whether two documents hold it."""
+    """bucket, chunk, bits: for each bucket of anchors one bit an anchor, whether two documents hold it."""
 
     def sent(low: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Distinct anchors in order; the last bit is 0 where two documents hold it."""
@@ -382,11 +363,14 @@ def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
         return low[first] - (doc[first] != doc[ends]).astype(np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for window, held in _windows(batches, ["bucket"]):
-            values = sent(*(np.concatenate([runs[k] for _, _, runs in held]) for k in (2, 3)))
-            cut = _split(values, n_anchor)
-            full = np.flatnonzero(np.diff(cut))
-            yield _parts([full, [held[0][0]["bucket"]] * len(full), [window] * len(full), [values[cut[k] : cut[k + 1]].tobytes() for k in full]], [pa.int32(), pa.int32(), pa.int64(), pa.binary()], ["anchor_bucket", "bucket", "window", "anchors"])
+        for batch in batches:
+            give_back()
+            for row, data, offsets in _each(batch):
+                _, _, low, owner = _owned_runs(row, data, offsets)
+                values = sent(low, owner)
+                cut = _split(values, n_anchor)
+                full = np.flatnonzero(np.diff(cut))
+                yield _parts([full, [row.column("bucket")[0].as_py()] * len(full), [row.column("chunk")[0].as_py()] * len(full), [values[cut[k] : cut[k + 1]].tobytes() for k in full]], [pa.int32(), pa.int32(), pa.int64(), pa.binary()], ["anchor_bucket", "bucket", "chunk", "anchors"])
 
     def answer(part: pa.Table) -> pa.Table:
         give_back()
@@ -399,9 +383,9 @@ def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
         flags, cut = shared[at], np.cumsum([0, *map(len, lists)])
         return part.drop_columns(["anchors"]).append_column("bits", pa.array([np.packbits(flags[cut[k] : cut[k + 1]]).tobytes() for k in range(len(lists))], pa.binary()))
 
-    asked = chunks.select("bucket", "window", "docs", "offsets", "data").mapInArrow(ask, "anchor_bucket int, bucket int, window long, anchors binary")
-    answered = asked.groupBy("anchor_bucket").applyInArrow(answer, "anchor_bucket int, bucket int, window long, bits binary")
-    return answered.groupBy("bucket", "window").agg(F.collect_list(F.struct("anchor_bucket", "bits")).alias("bits"))
+    asked = chunks.mapInArrow(ask, "anchor_bucket int, bucket int, chunk long, anchors binary")
+    answered = asked.groupBy("anchor_bucket").applyInArrow(answer, "anchor_bucket int, bucket int, chunk long, bits binary")
+    return answered.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("anchor_bucket", "bits")).alias("bits"))
 
 
 RUN_NAMES = ["run_bucket", "bucket", "chunk", "low", "owner", "first", "size", "data"]
@@ -411,40 +395,54 @@ RUN_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) -> DataFrame:
     """bucket, chunk, from, to: the spans to cut out of each chunk."""
 
+    def shared(row: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        """bucket, chunk; first, last, anchor, document and bytes of the runs whose anchor two documents hold."""
+        first, last, low, owner = _owned_runs(row, data, offsets)
+        values = np.unique(low)
+        cut, flags = _split(values, n_anchor), np.zeros(len(values), bool)
+        for x in row.column("bits")[0].as_py() or []:
+            a, b = cut[x["anchor_bucket"]], cut[x["anchor_bucket"] + 1]
+            flags[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
+        use = flags[np.searchsorted(values, low)]
+        first, last, raw = first[use], last[use], data.tobytes()
+        return row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py(), first, last, low[use], owner[use], [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+
+    def give(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # Of runs with the same bytes in several documents only the smallest document's are sent.
+        least: dict[bytes, int] = {}
+        for *_, owner, texts_of in held:
+            for t, d in zip(texts_of, owner.tolist(), strict=True):
+                if least.get(t, d) >= d:
+                    least[t] = d
+        for bucket, chunk, first, last, low, owner, texts_of in held:
+            keep = np.fromiter((least[t] == d for t, d in zip(texts_of, owner.tolist(), strict=True)), bool, len(texts_of))
+            gone_from, gone_to = joined(first[~keep], last[~keep] + LENGTH)
+            if len(gone_from):
+                yield _parts([[-1], [bucket], [chunk], [b""], [b""], [gone_from.tobytes()], [gone_to.tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
+            index = np.flatnonzero(keep)
+            if not len(index):
+                continue
+            to = _bucket(low[index], n_run)
+            by = np.argsort(to, kind="stable")
+            index, to = index[by], to[by]
+            edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(index))
+            out = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                i = index[a:b]
+                out.append((int(to[a]), bucket, chunk, low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
+            yield _parts(list(zip(*out, strict=True)), RUN_TYPES, RUN_NAMES)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _windows(batches, ["bucket", "chunk", "bits"]):
-            values = np.unique(np.concatenate([low for _, _, (_, _, low, _) in held]))
-            cut, flags = _split(values, n_anchor), np.zeros(len(values), bool)
-            for x in held[0][0]["bits"] or []:
-                a, b = cut[x["anchor_bucket"]], cut[x["anchor_bucket"] + 1]
-                flags[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-            used, least = [], {}
-            for _, data, (first, last, low, owner) in held:
-                use = flags[np.searchsorted(values, low)]
-                first, last, low, owner = first[use], last[use], low[use], owner[use]
-                raw = data.tobytes()
-                texts_of = [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                # Of runs with the same bytes in several documents only the smallest document's are sent, once.
-                for t, d in zip(texts_of, owner.tolist(), strict=True):
-                    if least.get(t, d) >= d:
-                        least[t] = d
-                used.append((first, last, low, owner, texts_of))
-            for (keys, _, _), (first, last, low, owner, texts_of) in zip(held, used, strict=True):
-                keep = np.fromiter((least[t] == d for t, d in zip(texts_of, owner.tolist(), strict=True)), bool, len(texts_of))
-                gone_from, gone_to = joined(first[~keep], last[~keep] + LENGTH)
-                if len(gone_from):
-                    yield _parts([[-1], [keys["bucket"]], [keys["chunk"]], [b""], [b""], [gone_from.tobytes()], [gone_to.tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
-                index = np.flatnonzero(keep)
-                run_bucket = _bucket(low[index], n_run)
-                by = np.argsort(run_bucket, kind="stable")
-                index, run_bucket = index[by], run_bucket[by]
-                edges = np.append(np.flatnonzero(np.append(True, run_bucket[1:] != run_bucket[:-1])), len(index)) if len(index) else np.zeros(1, np.int64)
-                out = []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    i = index[a:b]
-                    out.append((int(run_bucket[a]), keys["bucket"], keys["chunk"], low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
-                if out:
-                    yield _parts(list(zip(*out, strict=True)), RUN_TYPES, RUN_NAMES)
+        held, size = [], 0
+        for batch in batches:
+            for row, data, offsets in _each(batch):
+                give_back()
+                held.append(shared(row, data, offsets))
+                size += len(data)
+                if size >= TOGETHER:
+                    yield from give(held)
+                    held, size = [], 0
+        yield from give(held)
 
     def compare(part: pa.Table) -> pa.Table:
         give_back()
@@ -489,9 +487,9 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) ->
             return compare(part)
         return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "from": part.column("first"), "to": part.column("size")})
 
-    told = chunks.select("bucket", "chunk", "window", "docs", "offsets", "data").join(answers.hint("shuffle_hash"), ["bucket", "window"])
+    told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(answers.hint("shuffle_hash"), ["bucket", "chunk"])
     sent = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
-    # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled inside a window (run_bucket -1, spread by chunk).
+    # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled where they were found (run_bucket -1, spread by chunk).
     dealt = sent.withColumn("group", F.when(F.col("run_bucket") >= 0, F.col("run_bucket").cast("long")).otherwise(-1 - F.col("chunk")))
     spans = dealt.groupBy("group").applyInArrow(spans_of, "bucket int, chunk long, from binary, to binary")
     return spans.groupBy("bucket", "chunk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))

@@ -304,7 +304,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with _one_key_is_enough(spark):
         sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
         dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
-        packed = dealt.join(sources.hint("merge"), ["bucket", "doc", "sha"], "left_semi").sortWithinPartitions("bucket", "doc", "sha")
+        # An inner join: a semi-join would be moved below the dealing, and texts dealt twice. Sources are unique.
+        packed = dealt.join(sources.hint("merge"), ["bucket", "doc", "sha"]).sortWithinPartitions("bucket", "doc", "sha")
         packed = packed.mapInArrow(pack, "bucket int, chunk long, docs array<long>, shas array<string>, offsets array<long>, data binary")
         packed.write.option("compression", "zstd").option("path", folder).bucketBy(n_buckets, "bucket").format("parquet").saveAsTable(name)
         chunks = spark.table(name)

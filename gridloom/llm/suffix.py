@@ -37,11 +37,13 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,19 +274,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     share = lambda each: int(max(24, -(-total // each)))
-    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
+    n_buckets, n_anchor, n_run = min(max(share(CHUNK_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
     bucket_of = F.pmod(F.xxhash64("doc"), F.lit(n_buckets)).cast("int").alias("bucket")
 
     # Chunks: texts of one bucket, a few MB to a row.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, place, last = {}, {}, {}, None
+        held, size, made, last = {}, {}, itertools.count(TaskContext.get().partitionId() << 32), None
 
         def flush(bucket: int) -> pa.RecordBatch:
             group = held.pop(bucket)
             size.pop(bucket)
-            place[bucket] = place.get(bucket, -1) + 1
             blobs = [t for _, _, t in group]
-            return _parts([[bucket], [(bucket << 32) + place[bucket]], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
+            return _parts([[bucket], [next(made)], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
 
         for batch in batches:
             give_back()
@@ -301,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"
-    with _one_key_is_enough(spark):
+    with _one_key_is_enough(spark):  # fewer buckets than shuffle partitions would be dealt anew
         sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
         dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
         # An inner join: a semi-join would be moved below the dealing, and texts dealt twice. Sources are unique.

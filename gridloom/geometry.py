@@ -78,9 +78,15 @@ def _tuples(matrix: np.ndarray) -> tuple[tuple[float, ...], ...]:
     return tuple(tuple(float(x) for x in row) for row in np.asarray(matrix))
 
 
-def make_geometry(dims, voxel_size=None, world_transform=None, unit: str | None = None) -> Geometry:
-    """An explicit voxel size wins over the one that the transform implies."""
+def make_geometry(dims, voxel_size=None, world_transform=None, unit: str | None = None, template: Geometry | None = None) -> Geometry:
+    """Each property from the first that says it: the argument, what an explicit transform implies, the template, the default."""
     dims = tuple(int(d) for d in dims)
+    if template is not None:
+        if template.dims != dims:
+            raise ValueError("the template is for a grid of other dimensions")
+        made = template if world_transform is None else with_transform(template, world_transform)
+        made = made if voxel_size is None else with_voxel_size(made, voxel_size)
+        return made if unit is None else replace(made, unit=unit)
     implied, turn = decompose(world_transform, len(dims)) if world_transform is not None else ((1.0,) * len(dims), np.eye(4))
     size = implied if voxel_size is None else tuple(float(s) for s in np.broadcast_to(voxel_size, (len(dims),)))
     return Geometry(dims, size, _tuples(turn), unit)
@@ -146,6 +152,11 @@ def world_axes(g: Geometry) -> tuple[int, ...]:
     return tuple(int(np.sign(turn[w, a]) or 1) * (w + 1) for a, w in enumerate(best))
 
 
+def with_voxel_size(g: Geometry, voxel_size) -> Geometry:
+    """Another size of the voxels; what is checked is the final state only."""
+    return replace(g, voxel_size=tuple(float(s) for s in np.broadcast_to(voxel_size, (len(g.dims),))))
+
+
 def with_transform(g: Geometry, world_transform) -> Geometry:
     size, turn = decompose(world_transform, len(g.dims))
     return replace(g, voxel_size=size, orientation=_tuples(turn))

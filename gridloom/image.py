@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.exact import missing
-from .geometry import Geometry, keep_axes, make_geometry, permute_axes, world_axes
+from .geometry import Geometry, keep_axes, make_geometry, permute_axes, with_transform, with_voxel_size, world_axes
 from .plans import layout as L
 
 #: Packed types: Spark type, least and most value (None: floating), numpy code.
@@ -26,7 +26,7 @@ VALUE_TYPES = {"logical": "boolean", "integer": "int", "double": "double", "comp
 ORDER = ["logical", "integer", "double", "complex"]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Image:
     cells: DataFrame
     dims: tuple[int, ...]
@@ -115,6 +115,12 @@ class Image:
         """Another geometry; the representation stays."""
         return replace(self, geometry=geometry)
 
+    def with_voxel_size(self, voxel_size) -> Image:
+        return replace(self, geometry=with_voxel_size(self.grid, voxel_size))
+
+    def with_world_transform(self, world_transform) -> Image:
+        return replace(self, geometry=with_transform(self.grid, world_transform))
+
     def __repr__(self) -> str:
         tail = f", {self.stored} x {self.slope:g} + {self.intercept:g}" if self.is_packed else f", {self.value_type}"
         return f"<{self.kind} image {' x '.join(map(str, self.dims))}, {self.spatial} spatial{tail}{', ' + repr(self.geometry) if self.geometry else ''}>"
@@ -190,7 +196,7 @@ class Image:
         dense = self.as_dense()
         kind, least, most, _ = PACKED[stored]
         a, b = slope, intercept
-        if least is not None or a is None:
+        if least is not None or a is None and least is not None:
             v = F.col("v").cast("double")
             bad = missing(v) | (F.abs(v) == float("inf"))
             row = dense.cells.agg(F.min(F.when(~bad, v)).alias("lo"), F.max(F.when(~bad, v)).alias("hi"), F.count_if(bad).alias("bad"), F.bool_and(F.when(~bad, v == F.floor(v).cast("double"))).alias("whole")).first()
@@ -198,7 +204,7 @@ class Image:
                 raise ValueError("integers can't hold missing or infinite values")
             if a is None:
                 a, b = calibrate(stored, row["lo"], row["hi"], row["whole"])
-        b = 0.0 if b is None else b
+        a, b = 1.0 if a is None else a, 0.0 if b is None else b
         if not a:
             raise ValueError("the slope may not be zero")
         v = (F.col("v").cast("double") - F.lit(float(b))) / F.lit(float(a))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import BINARY, LOGICAL_RESULT, MATH, MATH_AT_ZERO, binary_at_zero, missing, round_even, signif
-from ..image import Image, from_cells, is_zero, tighten
+from ..image import Image, from_cells, from_numpy, is_zero, tighten
 from ..plans import layout as L
 
 
@@ -25,22 +26,58 @@ def _stays_zero(x) -> bool:
     return x is not None and x == x and not x
 
 
-def binary(x: Image, op: str, y: Image | float | bool | None) -> Image:
-    """x op y for an image and an image or a number. Dense arithmetic keeps geometry; dense comparison gives a bare array."""
+Operand = Image | float | bool | complex | np.ndarray | list | None
+
+
+def binary(x: Operand, op: str, y: Operand) -> Image:
+    """x op y; one side at least is an image, the other an image, a number or a plain array.
+
+    Dense arithmetic keeps geometry; dense comparison gives a bare array. A plain
+    array makes the result dense; it has the image's dimensions, or is a vector
+    that is recycled in storage order.
+    """
     if op not in BINARY:
         raise ValueError(f"operators are {' '.join(BINARY)}")
-    if "complex" in (x.value_type, getattr(y, "value_type", "")):
+    image = x if isinstance(x, Image) else y
+    if not isinstance(image, Image):
+        raise TypeError("one side must be an image")
+    if np.ndim(x if image is y else y) if not (isinstance(x, Image) and isinstance(y, Image)) else 0:
+        return _with_array(x, op, y)
+    kinds = [getattr(o, "value_type", "complex" if isinstance(o, complex) else "") for o in (x, y)]
+    if "complex" in kinds:
         return _complex(x, op, y)
     f = BINARY[op]
-    if isinstance(y, Image):
+    if isinstance(x, Image) and isinstance(y, Image):
         return _pair(x, op, y, f)
-    number = None if y is None else float(y)
-    if x.is_sparse and _stays_zero(binary_at_zero(op, 0.0, number)):
-        cells = x.cells.select("loc", "elem", f(F.col("v"), F.lit(number)).alias("v"))
-        return tighten(replace(x, cells=cells, value_type=_type(op)))
-    keeps = x.is_sparse or op not in LOGICAL_RESULT
-    dense = x.as_dense()
-    return replace(dense, cells=dense.view().select("loc", "elem", f(F.col("v"), F.lit(number)).alias("v")), value_type=_type(op), layout=None, geometry=x.geometry if keeps else None)
+    number = [None if o is None else float(o) for o in (x, y) if not isinstance(o, Image)][0]
+    at_zero = (0.0, number) if image is x else (number, 0.0)
+    sides = lambda v: f(v, F.lit(number).cast("double")) if image is x else f(F.lit(number).cast("double"), v)
+    if image.is_sparse and _stays_zero(binary_at_zero(op, *at_zero)):
+        return tighten(replace(image, cells=image.cells.select("loc", "elem", sides(F.col("v")).alias("v")), value_type=_type(op)))
+    keeps = image.is_sparse or op not in LOGICAL_RESULT
+    dense = image.as_dense()
+    return replace(dense, cells=dense.view().select("loc", "elem", sides(F.col("v")).alias("v")), value_type=_type(op), layout=None, geometry=image.geometry if keeps else None)
+
+
+def _with_array(x: Operand, op: str, y: Operand) -> Image:
+    """A plain array on one side: as a dense image of the other's shape, without a geometry of its own."""
+    image, array = (x, np.asarray(y)) if isinstance(x, Image) else (y, np.asarray(x))
+    if array.ndim == 1 and array.shape != image.dims:
+        if not array.size or array.size > image.length:
+            raise ValueError("a vector is recycled over the image: it has at least one value and no more than the image")
+        spark, n = image.cells.sparkSession, array.size
+        values = from_numpy(spark, array, 1)
+        place = (F.col("loc") + F.col("elem").cast("long") * image.n_locations) % n
+        cells = image.full_grid().withColumn("at", place).join(values.cells.select(F.col("loc").alias("at"), "v"), "at").select("loc", "elem", "v")
+        other = from_cells(cells, image.dims, image.spatial, value_type=values.value_type)
+    elif array.shape == image.dims:
+        other = from_numpy(image.cells.sparkSession, array, image.spatial)
+    else:
+        raise ValueError("the array differs from the image in dimensions")
+    dense = image.as_dense()
+    out = binary(dense, op, other) if image is x else binary(other, op, dense)
+    keeps = image.is_sparse or op not in LOGICAL_RESULT
+    return replace(out, geometry=image.geometry if keeps else None)
 
 
 def _pair(x: Image, op: str, y: Image, f) -> Image:
@@ -69,6 +106,10 @@ def _complex(x: Image, op: str, y) -> Image:
     """+ - * / == != of complex values, dense."""
     if op not in ("+", "-", "*", "/", "==", "!="):
         raise TypeError(f"complex values have no {op}")
+    if not isinstance(x, Image):  # the number as an image beside y's
+        grid = replace(y, cells=y.full_grid().withColumn("v", F.lit(0.0)), kind="dense", value_type="double", layout=None, stored=None, slope=1.0, intercept=0.0)
+        filled = grid.cells.select("loc", "elem", F.struct(F.lit(complex(x).real).alias("re"), F.lit(complex(x).imag).alias("im")).alias("v"))
+        return _complex(replace(grid, cells=filled, value_type="complex"), op, y)
     x = x.as_dense()
     part = lambda c, kind: (c["re"], c["im"]) if kind == "complex" else (c.cast("double"), F.lit(0.0))
     a = x.view().select("loc", "elem", F.col("v").alias("a"))
@@ -114,6 +155,25 @@ def is_missing(x: Image) -> Image:
     return replace(dense, cells=dense.view().select("loc", "elem", missing(F.col("v")).alias("v")), value_type="logical", layout=None, geometry=None)
 
 
+#: Python's names of the operators; the first seven also with the image on the right.
+METHODS = {"+": "add", "-": "sub", "*": "mul", "/": "truediv", "^": "pow", "%%": "mod", "%/%": "floordiv", "&": "and", "|": "or", "==": "eq", "!=": "ne", "<": "lt", ">": "gt", "<=": "le", ">=": "ge"}
+
+
+def _register() -> None:
+    """Operators of images: x + y, 2 * x, x ** 2, x % 7, x // 7, x > 0, ~x for "!", abs(x), -x."""
+    for op, name in METHODS.items():
+        setattr(Image, f"__{name}__", lambda self, other, op=op: binary(self, op, other))
+        if op not in ("==", "!=", "<", ">", "<=", ">="):
+            setattr(Image, f"__r{name}__", lambda self, other, op=op: binary(other, op, self))
+    Image.__hash__ = object.__hash__
+    Image.__array_ufunc__ = None  # numpy leaves array + image to the image
+    Image.__neg__, Image.__pos__ = (lambda self: unary(self, "-")), (lambda self: unary(self, "+"))
+    Image.__invert__, Image.__abs__ = (lambda self: unary(self, "!")), (lambda self: math(self, "abs"))
+
+
+_register()
+
+
 # -- masks and stored data
 
 

@@ -147,6 +147,21 @@ def line_sums(image: Image, axis: int) -> DataFrame:
     return imreduce(image, [k + 1 for k in range(len(image.dims)) if k != axis - 1], "sum")
 
 
+def _totals(image: Image):
+    """One aggregate over the stored cells that all summaries come from."""
+    d = F.when(~missing(image.value()), image.value().cast("double"))
+    return image.cells.agg(F.count(F.lit(1)).alias("c"), F.count(d).alias("k"), F.sum(d).alias("sum"), F.min(d).alias("min"), F.max(d).alias("max"), F.product(d).alias("prod"), F.bool_or(d != 0).alias("any"), F.bool_and(d != 0).alias("all")).first()
+
+
+SUMMARIES = ("sum", "mean", "min", "max", "range", "any", "all", "prod")
+
+
+def summaries(image: Image, na_rm: bool = False) -> dict:
+    """All summaries from one pass."""
+    row = _totals(image)
+    return {what: _summary(image, row, what, na_rm) for what in SUMMARIES}
+
+
 def summary(image: Image, what: str, na_rm: bool = False):
     """One value for the whole image: sum, mean, min, max, range, any, all, prod.
 
@@ -154,8 +169,10 @@ def summary(image: Image, what: str, na_rm: bool = False):
     sparse mean divides by the full length. Packed images with nothing usable
     give None.
     """
-    d = F.when(~missing(image.value()), image.value().cast("double"))
-    row = image.cells.agg(F.count(F.lit(1)).alias("c"), F.count(d).alias("k"), F.sum(d).alias("sum"), F.min(d).alias("min"), F.max(d).alias("max"), F.product(d).alias("prod"), F.bool_or(d != 0).alias("any"), F.bool_and(d != 0).alias("all")).first()
+    return _summary(image, _totals(image), what, na_rm)
+
+
+def _summary(image: Image, row, what: str, na_rm: bool):
     bad, absent = row["c"] - row["k"], image.length - row["c"] if image.is_sparse else 0
     zero = [0.0] if absent else []
     if what == "any":

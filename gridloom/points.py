@@ -1,9 +1,16 @@
-"""Points between world, scaled and voxel (1-based) coordinates, as column arithmetic; rounding of points."""
+"""Points between world, scaled and voxel (1-based) coordinates, as column arithmetic; rounding of points.
+
+World and scaled points are rounded while they are 0-based, so an exact half goes
+to the even one of the 0-based neighbours; then 1 is added. Voxel points are taken
+and rounded as they are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import Geometry, affine_inverse
@@ -16,29 +23,35 @@ def _affine(matrix: np.ndarray, cols: list, n: int) -> list:
     return [sum((c * F.lit(float(m)) for c, m in zip(cols, matrix[k, :3], strict=True)), F.lit(float(matrix[k, 3]))) for k in range(n)]
 
 
-def to_voxel(points: DataFrame, g: Geometry, kind: str = "world", rounding: str = "none", bounds: bool = False, seed: int = 0, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """Replace coordinate columns (1 to 3) by voxel coordinates. rounding: none, conventional (half to even), probabilistic."""
+def round_points(cols: list[Column], rounding: str, bounds: Sequence[float] | None = None, seed: int = 0) -> list[Column]:
+    """conventional: half to even. probabilistic: one of the two neighbours, the nearer the likelier; never below 0, never up to a bound."""
+    if rounding == "none":
+        return cols
+    if rounding == "conventional":
+        return [F.rint(c) for c in cols]
+    out = []
+    for k, c in enumerate(cols):
+        low, high = F.floor(c).cast("double"), F.ceil(c).cast("double")
+        down = (F.rand(seed + k) > c - low) & (low >= 0)
+        if bounds is not None and k < len(bounds):
+            down = down | (high >= F.lit(float(bounds[k])))
+        out.append(F.when(down, low).otherwise(high))
+    return out
+
+
+def to_voxel(points: DataFrame, g: Geometry, kind: str = "world", rounding: str = "none", bounds: Sequence[float] | None = None, seed: int = 0, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Replace coordinate columns (1 to 3) by voxel coordinates. rounding: none, conventional, probabilistic; bounds are the grid's dimensions where none are given."""
     if kind not in TYPES or rounding not in ("none", "conventional", "probabilistic"):
         raise ValueError("points are world, scaled or voxel; rounding is none, conventional or probabilistic")
     names = [c for c in columns if c in points.columns]
     cols = [F.col(c).cast("double") for c in names]
     if kind == "world":
-        cols = [c + 1 for c in _affine(affine_inverse(g.world_transform), cols, len(g.dims[:3]) if len(cols) < 3 else 3)][: len(names)]
+        cols = _affine(affine_inverse(g.world_transform), cols, 3)[: len(names)]
     elif kind == "scaled":
-        cols = [c / F.lit(float(s)) + 1 for c, s in zip(cols, g.voxel_size, strict=False)]
-    if rounding == "conventional":
-        cols = [F.rint(c) for c in cols]
-    elif rounding == "probabilistic":
-        out = []
-        for k, c in enumerate(cols):
-            floor = F.floor(c).cast("double")
-            up = F.rand(seed + k) < c - floor
-            if bounds and k < len(g.dims):
-                up = F.when(floor < 0, True).when(F.ceil(c) >= g.dims[k], False).otherwise(up)
-            else:
-                up = F.when(floor < 0, True).otherwise(up)
-            out.append(F.when(c == floor, c).when(up, floor + 1).otherwise(floor))
-        cols = out
+        cols = [c / F.lit(s) for c, s in zip(cols, [*map(float, g.voxel_size), 1.0, 1.0], strict=False)]
+    cols = round_points(cols, rounding, g.dims[:3] if bounds is None else bounds, seed)
+    if kind != "voxel":
+        cols = [c + 1 for c in cols]
     return points.select(*(F.col(c) for c in points.columns if c not in names), *(c.alias(n) for c, n in zip(cols, names, strict=True)))
 
 

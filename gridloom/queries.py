@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,13 +11,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import points
+from . import points, small_queries
 from .fixtures import CUBE_SQL, EVENTS_SQL, SERIES_SQL, cube, events, series
 from .image import Image
 from .operators import apply, elementwise, index
-from .operators.reduce import imreduce, line_sums, sparseness, summary
+from .operators.reduce import imreduce, line_sums, sparseness, summaries
 from .plans import layout as L
 from .sources.codec import StorageDescriptor, read_image, write_image
+from .sources.shared import mounted, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,8 +90,8 @@ def _holes(image: Image) -> Image:
 
 
 def _scalars(spark: SparkSession, image: Image) -> DataFrame:
-    low, high = summary(image, "range")
-    rows = [(w, float(v)) for w, v in (("sum", summary(image, "sum")), ("mean", round(summary(image, "mean"), 6)), ("min", low), ("max", high), ("sparseness", round(sparseness(image), 9)))]
+    got = summaries(image)
+    rows = [(w, float(v)) for w, v in (("sum", got["sum"]), ("mean", round(got["mean"], 6)), ("min", got["min"]), ("max", got["max"]), ("sparseness", round(sparseness(image), 9)))]
     return spark.createDataFrame(rows, "what string, v double")
 
 
@@ -152,7 +153,7 @@ def _structure() -> None:
             _add(f"reorient_{name}_{kind}", lambda s, d, to=to, kind=kind: ijk(cube(s, d, kind).reorient(to).as_dense()), f"WITH {CUBE_SQL} SELECT ({a})::INTEGER AS i, ({b})::INTEGER AS j, ({c})::INTEGER AS k, v FROM cube")
     _add("reduce_of_a_view", lambda s, d: _renamed(imreduce(cube(s, d).reorient((-3, -1, -2)), [1], "which.max"), "i"), f"WITH {CUBE_SQL}, w AS (SELECT 11-k AS i, 49-i AS j, 6-j AS k, v FROM cube) SELECT i::INTEGER AS i, arg_max(j+50*k+1, struct_pack(v := v, p := -(j+50*k+1)))::INTEGER AS v FROM w GROUP BY 1")
     _add("voxel_centres", lambda s, d: points.from_voxel(_voxels(s, d), cube(s, d).grid), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS loc, i*2.0::DOUBLE AS x, j*2.0::DOUBLE AS y, k*3.0::DOUBLE AS z FROM cube")
-    _add("world_to_voxel_rounded", lambda s, d: points.to_voxel(_voxels(s, d), cube(s, d).grid, "world", "conventional"), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS loc, round_even((i+1)/2.0::DOUBLE + 1, 0) AS x, round_even((j+1)/2.0::DOUBLE + 1, 0) AS y, round_even((k+1)/3.0::DOUBLE + 1, 0) AS z FROM cube")
+    _add("world_to_voxel_rounded", lambda s, d: points.to_voxel(_voxels(s, d), cube(s, d).grid, "world", "conventional"), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS loc, round_even((i+1)/2.0::DOUBLE, 0) + 1 AS x, round_even((j+1)/2.0::DOUBLE, 0) + 1 AS y, round_even((k+1)/3.0::DOUBLE, 0) + 1 AS z FROM cube")
     _add("scaled_to_voxel", lambda s, d: points.to_voxel(_voxels(s, d), cube(s, d).grid, "scaled"), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS loc, (i+1)/2.0::DOUBLE + 1 AS x, (j+1)/2.0::DOUBLE + 1 AS y, (k+1)/3.0::DOUBLE + 1 AS z FROM cube")
 
 
@@ -188,10 +189,11 @@ def _applied() -> None:
     _add("strided_sort", lambda s, d: index.strided_sort(vector(s, d), 3, 10), f"WITH {CUBE_SQL}, x AS (SELECT (i+50*j+350*k)::BIGINT AS pos, v FROM cube), r AS (SELECT v, row_number() OVER (ORDER BY v, pos) AS n FROM x WHERE pos % 10 = 3) SELECT pos, CASE WHEN pos % 10 = 3 THEN (SELECT r.v FROM r WHERE r.n = (pos-3)//10 + 1) ELSE v END AS v FROM x")
 
 
-def _round_trip(kind: str, d: StorageDescriptor, **read) -> Query:
+def _round_trip(kind: str, d: StorageDescriptor, ending: str = "raw", **read) -> Query:
     def query(spark, sf_dir):
-        folder = tempfile.mkdtemp(prefix="gridloom-")
-        path = os.path.join(folder, "cube.gz" if d.offset == 3 else "cube.raw")
+        folder = f"{mounted(shared_dir(spark))}/codec-{uuid.uuid4().hex}"
+        os.makedirs(folder)
+        path = f"{folder}/cube.{ending}"
         used = write_image(cube(spark, sf_dir, kind), path, d)
         mask = elementwise.binary(cube(spark, sf_dir), ">", 60) if read.get("masked") else None
         return ijk(read_image(spark, path, used, (50, 7, 12), mask=mask, form=read.get("form", "auto")))
@@ -204,7 +206,7 @@ def _codec() -> None:
     for kind, name in (("dense", "int16"), ("sparse", "uint16"), ("packed", "int16"), ("dense", "float32"), ("dense", "float64"), ("sparse", "int32"), ("dense", "uint32"), ("dense", "int64")):
         for endian in ("little", "big"):
             _add(f"codec_{kind}_{name}_{endian}", _round_trip(kind, StorageDescriptor(name, endian, offset=17)), f"{grid} cube")
-    _add("codec_gzip", _round_trip("dense", StorageDescriptor("int32", offset=3)), f"{grid} cube")
+    _add("codec_gzip", _round_trip("dense", StorageDescriptor("int32", offset=3), "gz"), f"{grid} cube")
     _add("codec_layout", _round_trip("dense", StorageDescriptor("int16", layout=(-2, 3, 1))), f"{grid} cube")
     _add("codec_sparse", _round_trip("dense", StorageDescriptor("int32"), form="sparse"), f"{grid} sparse_cube WHERE v <> 0")
     _add("codec_masked", _round_trip("dense", StorageDescriptor("int32"), masked=True), f"{grid} cube WHERE v > 60")
@@ -212,6 +214,8 @@ def _codec() -> None:
 
 for _group in (_reductions, _elementwise, _structure, _applied, _codec):
     _group()
+QUERIES |= small_queries.QUERIES
+SQL |= small_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 Reading: one task per run of values of a seekable file (one in all for gzip);
 chosen volumes and a mask are applied while decoding, so what is not wanted
-never becomes a row. Writing: values are range-partitioned by stream position,
-encoded by partition into part files beside the target and put together in
-order. Paths must be visible to all workers.
+never becomes a row (the mask as a bit a location, up to 64 MB; larger ones are
+joined). Writing: values are range-partitioned by stream position and encoded by
+partition into part files beside the target, which the driver puts together in
+order. A target whose name ends in .parts stays a folder of parts, each named by
+its first position: nothing passes through the driver, and reading takes it as
+the same stream. Paths must be visible to all workers.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ ALIASES = {"char": "uint8", "int": "int32", "float": "float32", "double": "float
 CHANNELS = {"rgb24": 3, "rgba32": 4}
 #: Values that one read task decodes.
 RUN = 1 << 22
+#: Locations of a mask that is sent to the decoders as bits, and those of one block of it.
+MOST_MASK, MASK_BLOCK = 1 << 29, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,6 +94,34 @@ def _decode(raw: bytes, d: StorageDescriptor, packed: bool) -> tuple[np.ndarray,
     return x, None, np.isnan(x) if x.dtype.kind == "f" else np.zeros(len(x), bool)
 
 
+def mask_bits(mask: Image, n_locations: int) -> np.ndarray:
+    """A bit for each location, most significant first; made by blocks, n_locations / 8 bytes in all."""
+
+    def pack(key: tuple, part: pa.Table) -> pa.Table:
+        here = np.zeros(MASK_BLOCK, bool)
+        here[part.column("loc").to_numpy() % MASK_BLOCK] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(here).tobytes()])})
+
+    block = F.call_function("div", F.col("loc"), F.lit(MASK_BLOCK)).alias("block")
+    rows = mask_locations(mask, n_locations).select("loc", block).groupBy("block").applyInArrow(pack, "block long, bits binary").collect()
+    out = np.zeros(-(-n_locations // MASK_BLOCK) * (MASK_BLOCK // 8), np.uint8)
+    for r in rows:
+        out[r["block"] * (MASK_BLOCK // 8) :][: MASK_BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _segments(path: str, d: StorageDescriptor, total: int) -> list[tuple[int, int, str, int]]:
+    """First position, number of values, file, and byte of the first value, of what the stream lies in."""
+    if not os.path.isdir(path):
+        return [(0, total, path, d.offset)]
+    firsts = sorted(int(x) for x in os.listdir(path) if x.isdigit())
+    ends = [*firsts[1:], total]
+    for a, b in zip(firsts, ends, strict=True):
+        if d.type != "bit" and os.path.getsize(f"{path}/{a}") < (b - a) * d.dtype.itemsize:
+            raise EOFError("the stream ends before the data")
+    return [(a, b - a, f"{path}/{a}", 0) for a, b in zip(firsts, ends, strict=True)]
+
+
 def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spatial: int | None = None, geometry: Geometry | None = None, form: str = "auto", volumes: list[int] | None = None, mask: Image | None = None) -> Image:
     """The image in a stream. form: auto (sparse with a mask, packed where the type allows it, else dense), dense, sparse, packed.
 
@@ -112,12 +145,33 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
     size, bits = d.dtype.itemsize, d.type == "bit"
     block = prod(store_dims[:-1]) if picked is not None else prod(store_dims)
     starts = [k * block for k in sorted(set(picked))] if picked is not None else [0]
-    whole = bits or not is_seekable(path)
+    segments = _segments(path, d, prod(store_dims))
+    whole = bits or not os.path.isdir(path) and not is_seekable(path)
     # A task a run of values; gzip and bits are read forward by one task.
-    runs = [(starts[0] if starts else 0, 0)] if whole else [(s + a, min(RUN, block - a)) for s in starts for a in range(0, block, RUN)]
+    if whole:
+        runs = [(starts[0] if starts else 0, 0, segments[0][2] if segments else path, segments[0][3] if segments else d.offset)]
+    else:
+        runs = [(a, min(RUN, end - a), file, base + (a - first) * size) for s in starts for first, n, file, base in segments for end in [min(s + block, first + n)] for a in range(max(s, first), end, RUN)]
+    keep = spark.sparkContext.broadcast(mask_bits(mask, prod(view_dims[:spatial]))) if mask is not None and form == "sparse" and prod(view_dims[:spatial]) <= MOST_MASK else None
     wanted = sorted(starts)
     value = "struct<re:double,im:double>" if d.type.startswith("complex") else "boolean" if bits else PACKED[d.type][0] if form == "packed" else "double" if scaled or d.type in ("uint32", "int64", "float32", "float64") else "int"
 
+    def locations(p: np.ndarray) -> np.ndarray:
+        """View locations of some stream positions."""
+        loc, step = np.zeros(len(p), np.int64), 1
+        for k in range(spatial):
+            axis = abs(layout[k]) - 1
+            own = p // prod(store_dims[:axis]) % store_dims[axis]
+            loc += (own if layout[k] > 0 else view_dims[k] - 1 - own) * step
+            step *= view_dims[k]
+        return loc
+
+    def wanted_only(part: pa.RecordBatch) -> pa.RecordBatch:
+        if keep is None:
+            return part
+        loc = locations(part.column("p").to_numpy())
+        return part.filter(pa.array((keep.value[loc >> 3] >> (7 - (loc & 7)).astype(np.uint8)) & 1 == 1))
+
     def cells(at: int, raw: bytes) -> pa.RecordBatch:
         x, im, gone = _decode(raw, d, form == "packed")
         if im is not None:
@@ -129,24 +183,23 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
         else:
             y = x.astype(float)
             v = pa.array(y * (d.slope or 1.0) + (d.intercept or 0.0) if scaled else y, mask=gone)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x), dtype=np.int64)), v], ["p", "v"])
+        return wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x), dtype=np.int64)), v], ["p", "v"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                with open_stream(path) as stream:
+            for at, n, file, base in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base")), strict=True):
+                with open_stream(file) as stream:
+                    skip(stream, base)
                     if bits:
-                        skip(stream, d.offset)
                         total = prod(store_dims)
                         raw = stream.read(-(-total // 8))
                         if len(raw) * 8 < total:
                             raise EOFError("the stream ends before the data")
                         x = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little" if d.bit_order == "lsb" else "big")[:total].astype(bool)
                         for s in wanted:
-                            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + block, dtype=np.int64)), pa.array(x[s : s + block])], ["p", "v"])
+                            yield wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + block, dtype=np.int64)), pa.array(x[s : s + block])], ["p", "v"]))
                         continue
-                    here = 0
-                    skip(stream, d.offset)
+                    here = 0 if whole else at
                     for s, m in [(s, block) for s in wanted] if whole else [(at, n)]:
                         skip(stream, (s - here) * size)
                         for raw in chunks(stream, m * size, 4 << 20, size):
@@ -154,7 +207,7 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
                             s += len(raw) // size
                         here = s
 
-    frame = spark.createDataFrame(runs, "at long, n long").repartition(max(1, min(len(runs), 10_000)))
+    frame = spark.createDataFrame(runs, "at long, n long, file string, base long").repartition(max(1, min(len(runs), 10_000)))
     raw = frame.mapInArrow(run, f"p long, v {value}")
     axes = [L.axis_of(F.col("p"), store_dims, k) for k in range(len(store_dims))]
     view = [axes[abs(s) - 1] if s > 0 else F.lit(n - 1) - axes[abs(s) - 1] for s, n in zip(layout, view_dims, strict=True)]
@@ -172,7 +225,7 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
         return replace(base, kind="packed", stored=d.type, slope=d.slope or 1.0, intercept=d.intercept or 0.0)
     if form == "sparse":
         if mask is not None:  # exactly the mask's locations, zeros and all
-            return replace(base, kind="sparse", cells=made.join(F.broadcast(mask_locations(mask, base.n_locations)) if base.n_locations < 1 << 20 else mask_locations(mask, base.n_locations), "loc", "left_semi"))
+            return replace(base, kind="sparse", cells=made if keep is not None else made.join(mask_locations(mask, base.n_locations), "loc", "left_semi"))
         return tighten(replace(base, kind="sparse"))
     return base
 
@@ -182,7 +235,7 @@ def im_type(d: StorageDescriptor) -> bool:
 
 
 def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescriptor:
-    """Write an image as a stream; returns the descriptor that reads it (with the scaling used). A path that ends in .gz is compressed."""
+    """Write an image as a stream; returns the descriptor that reads it (with the scaling used). A path that ends in .gz is compressed, one that ends in .parts stays in parts."""
     channels = CHANNELS.get(d.type)
     dims = image.dims[:-1] if channels else image.dims
     if channels and image.dims[-1] != channels:
@@ -224,7 +277,8 @@ def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescrip
         own[abs(s) - 1] = view[k] if s > 0 else F.lit(image.dims[k] - 1) - view[k]
     ranged = rows.select(L.flatten(own, store_dims).alias("p"), "v")
     ranged = ranged.repartition(1) if d.type == "bit" else ranged.repartitionByRange("p")
-    parts, total = f"{path}.parts", prod(image.dims)
+    in_parts = path.endswith(".parts")
+    parts, total = path if in_parts else f"{path}.parts", prod(image.dims)
     shutil.rmtree(parts, ignore_errors=True)
     os.makedirs(parts)
     code, complex_out, bit = d.dtype, im_type(d), d.type == "bit"
@@ -262,6 +316,8 @@ def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescrip
     done = sorted(map(tuple, ranged.sortWithinPartitions("p").mapInArrow(run, "first long, n long").collect()))  # a row a partition
     if sum(n for _, n in done) != total:
         raise ValueError("the image lacks cells")
+    if in_parts:
+        return replace(d, slope=slope, intercept=intercept)
     with gzip.open(path, "wb") if path.endswith(".gz") else open(path, "wb") as target:
         target.write(bytes(d.offset))
         for first, _ in done:

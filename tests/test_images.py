@@ -37,6 +37,23 @@ def test_points_round_trip(spark):
     assert np.allclose(back, xyz)
 
 
+@pytest.mark.parametrize("kind", ["world", "scaled", "voxel"])
+def test_rounding(spark, kind):
+    """Halves go to the even 0-based neighbour; draws stay between the neighbours, above 0 and below the bound."""
+    g = make_geometry((10, 10, 10))
+    xyz = [(1.2, 2.7, 3.5), (-0.4, 9.9, 4.5), (0.5, 1.5, 2.5), (9.6, 9.6, 9.6)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(xyz)], "k int, x double, y double, z double")
+    one = 0 if kind == "voxel" else 1
+    got = {r["k"]: np.array(tuple(r)[1:]) - one for r in points.to_voxel(df, g, kind, "conventional").collect()}
+    assert all(np.array_equal(got[k], np.round(p)) for k, p in enumerate(xyz))
+    for seed in range(5):
+        for r in points.to_voxel(df, g, kind, "probabilistic", seed=seed).collect():
+            p, v = np.array(xyz[r["k"]]), np.array(tuple(r)[1:]) - one
+            assert np.all((v >= np.floor(p)) & (v <= np.ceil(p)) & (v <= 9) & (v >= 0))
+    free = points.to_voxel(df.where("k = 3"), g, kind, "probabilistic", bounds=(99, 99, 99), seed=3).first()
+    assert set(np.array(tuple(free)[1:]) - one) <= {9, 10}
+
+
 @pytest.mark.parametrize("what,fun", [("sum", np.sum), ("mean", np.mean), ("min", np.min), ("max", np.max), ("var", lambda x: np.var(x, ddof=1)), ("which.min", lambda x: int(np.argmin(x)) + 1), ("which.max", lambda x: int(np.argmax(x)) + 1), ("prod", np.prod), ("any", lambda x: bool(np.any(x))), ("all", lambda x: bool(np.all(x)))])
 def test_reductions_agree_in_all_forms(spark, what, fun):
     a = np.where(np.abs(x := RNG.normal(size=(3, 4, 5))) < 0.7, 0, np.round(x, 1))
@@ -85,6 +102,31 @@ def test_sparse_algebra(spark):
     assert np.allclose(m.to_numpy(), np.where(a == 2, 5, np.where(a == -1, 6, 0)))
 
 
+def test_operators_agree_in_all_forms(spark):
+    """Numbers, arrays and images on either side; sparse stays sparse where zero stays zero."""
+    a, b = (np.where(np.abs(x := RNG.normal(size=(4, 3, 2))) < 0.8, 0, np.round(x, 1)) for _ in range(2))
+    s, t = from_numpy(spark, a).as_sparse(), from_numpy(spark, b).as_sparse()
+    w = np.arange(24.0).reshape(4, 3, 2, order="F")
+    cases = [
+        (lambda x, y: x * 2, True), (lambda x, y: x / 2, True), (lambda x, y: 2 * x, True), (lambda x, y: 0 - x, True), (lambda x, y: x - x, True), (lambda x, y: x * x, True), (lambda x, y: x**2, True), (lambda x, y: x % 2, True),
+        (lambda x, y: x > 0, True), (lambda x, y: x < 0, True), (lambda x, y: abs(x), True), (lambda x, y: -x, True), (lambda x, y: +x, True), (lambda x, y: x + 1, False), (lambda x, y: 1 + x, False), (lambda x, y: x - 1, False),
+        (lambda x, y: x == 0, False), (lambda x, y: x * y, True), (lambda x, y: x + y, True), (lambda x, y: x - y, True), (lambda x, y: x > y, True), (lambda x, y: x == y, False), (lambda x, y: 3 - x, False), (lambda x, y: x + w, False), (lambda x, y: w - x, False),
+    ]
+    for n, (f, sparse) in enumerate(cases):
+        got, want = f(s, t), f(a, b)
+        assert got.is_sparse == sparse, n
+        assert np.allclose(got.to_numpy().astype(float), want.astype(float)), n
+        if n not in (17, 18, 19, 20, 21):
+            dense = f(from_numpy(spark, a), from_numpy(spark, b))
+            assert dense.is_dense and np.allclose(dense.to_numpy().astype(float), want.astype(float)), n
+    recycled = (s + np.array([1.0, 2.0])).to_numpy()
+    assert np.allclose(recycled, a + np.resize([1.0, 2.0], 24).reshape(4, 3, 2, order="F"))
+    with pytest.raises(ValueError):
+        s + np.zeros((2, 2, 2))
+    with pytest.raises(TypeError):
+        elementwise.binary(1, "+", 2)
+
+
 @pytest.mark.parametrize("to", [(1, 2, 3), (-1, 2, 3), (3, 1, -2)])
 def test_views(spark, to):
     a = np.where(np.abs(x := RNG.normal(size=(3, 4, 5, 2))) < 0.5, 0, x)
@@ -107,6 +149,14 @@ def test_extract_and_assign(spark):
     b[1, :, 0] = 9
     for x in (image, image.as_sparse(), image.as_packed("float32")):
         assert np.allclose(index.assign(x, 9.0, 2, None, 1).to_numpy(), b, atol=1e-6)
+    flat = a.ravel(order="F")
+    for x in (image, image.as_sparse(), image.as_packed("float32")):
+        near = lambda got, want: np.allclose(got.to_numpy(), want, atol=1e-6)
+        assert near(x[x > 0], flat[flat.astype(np.float32) > 0]) and near(x[[5, 1, 5]], flat[[4, 0, 4]]) and near(x[-np.arange(3, 9)], np.delete(flat, np.arange(2, 8)))
+        assert near(x[np.array([True, False, False])], flat[::3]) and near(x[np.array([[1, 2, 1], [3, 4, 2]])], [a[0, 1, 0], a[2, 3, 1]]) and near(x[[3, 1, 1], :, 2], a[[2, 0, 0], :, 1])
+    some = a.copy()
+    some[[0, 2], 1, :] = np.array([[1, 3], [2, 1]])
+    assert np.allclose(index.assign(image, [1, 2, 3], [1, 3], 2, None).to_numpy(), some)
     for bad in ([5], [1, -1], ["a"]):
         with pytest.raises((IndexError, ValueError, TypeError)):
             index.extract(image, bad, None, None)
@@ -123,6 +173,20 @@ def test_apply(spark):
     assert np.allclose(wide[1], a.max(axis=3))
     with pytest.raises(ValueError):
         apply.voxel_apply(from_numpy(spark, a[..., 0]), np.mean)
+    with pytest.raises(Exception, match="no luck"):
+        apply.imapply(image, [1], lambda v: (_ for _ in ()).throw(RuntimeError("no luck"))).collect()
+    called = []
+    assert apply.imapply(from_numpy(spark, np.zeros((0, 3, 2))), [1], lambda v: called.append(v.shape)).count() == 0 and called == [(3, 2)]
+
+
+def test_strided_runs(spark):
+    v = np.array([5, 3, 8, 1, 9, 2, 7, 4, 6, 0.0])
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "pos long, v double")
+    for start, stride in ((0, 1), (1, 2), (2, 3), (9, 4), (12, 2)):
+        for fun, order in ((index.strided_reverse, lambda x: x[::-1]), (index.strided_sort, np.sort)):
+            want = v.copy()
+            want[start::stride] = order(want[start::stride])
+            assert [r["v"] for r in fun(df, start, stride).orderBy("pos").collect()] == want.tolist()
 
 
 @pytest.mark.parametrize("kind", ["int8", "uint8", "int16", "int32", "int64", "float32", "float64", "bit", "complex64", "complex128", "rgb24"])

@@ -273,19 +273,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = settle(marks.groupBy("doc", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times")))
     firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    share = lambda each: int(max(24, -(-total // each)))
-    n_buckets, n_anchor, n_run = min(max(share(CHUNK_BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
-    bucket_of = F.pmod(F.xxhash64("doc"), F.lit(n_buckets)).cast("int").alias("bucket")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = lambda each: int(max(least, -(-total // each)))
+    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
+    # What texts are dealt by takes many values, so that the partitions come out even.
+    bucket_of = F.hash("doc").alias("bucket")
 
-    # Chunks: texts of one bucket, a few MB to a row.
+    # Chunks: texts of one partition, a few MB to a row, under the bucket of their first text.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, made, last = {}, {}, itertools.count(TaskContext.get().partitionId() << 32), None
+        held, size, made, last = [], 0, itertools.count(TaskContext.get().partitionId() << 32), None
 
-        def flush(bucket: int) -> pa.RecordBatch:
-            group = held.pop(bucket)
-            size.pop(bucket)
-            blobs = [t for _, _, t in group]
-            return _parts([[bucket], [next(made)], [[d for d, _, _ in group]], [[s for _, s, _ in group]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
+        def packed() -> pa.RecordBatch:
+            blobs = [t for *_, t in held]
+            return _parts([[held[0][0]], [next(made)], [[d for _, d, _, _ in held]], [[s for _, _, s, _ in held]], [np.cumsum([0, *map(len, blobs)])], [b"".join(blobs)]], [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()], ["bucket", "chunk", "docs", "shas", "offsets", "data"])
 
         for batch in batches:
             give_back()
@@ -293,12 +293,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if (doc, sha) == last:  # a repeated row: its result is given out once for each row at the end
                     continue
                 last = (doc, sha)
-                held.setdefault(bucket, []).append((doc, sha, text))
-                size[bucket] = size.get(bucket, 0) + len(text)
-                if size[bucket] >= CHUNK_BYTES:
-                    yield flush(bucket)
-        for bucket in list(held):
-            yield flush(bucket)
+                held.append((bucket, doc, sha, text))
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"

@@ -5,27 +5,32 @@ capitalised words (not those all in capitals) inside a sentence <name>; the rest
 stripped of outer punctuation. Windows of five template words of the benchmark
 are hash-joined with those of the documents. A document is taken to hold an
 item when it holds 80 % or more of the item's distinct windows and the slots
-are consistent: what stands in a document for one value of the item is the same
-word nearly everywhere. So an item with other numbers and names is caught.
+are consistent: where an item says one thing twice (a name, a number), so does
+the document. So an item with other numbers and names is caught.
 Slots are judged by occurrence: each shift between places in the item and in the
-document puts to every item window the nearest document window of its template,
-and the most consistent shift counts, so copies and variants in one document do
-not spoil one another. A document that holds 80 % of the item's windows word for
-word is taken without the slot test.
+document gives every slot of the item the word of the document that stands
+there, by the window that lies nearest, and the most consistent shift counts, so
+copies and variants in one document do not spoil one another. Only slots that
+the item repeats can disagree; 80 % of their repeats must agree. A document that
+holds 80 % of the item's windows word for word is taken without the slot test.
 
 A window needs ``LITERAL`` plain words to count as a template; where an item has
-too few such windows (lists of names and numbers, say), its windows are taken
-word for word, and as templates that run on until they hold ``LITERAL`` plain
-words; either way finds it. Items most of whose windows never hold so many plain
-words are found word for word only.
-
-Null texts hold nothing; items of under five words say too little and match
-nothing; repeated items and documents give a row each pair; ties don't arise; an
-empty table on either side gives no rows; other columns are passed by.
+too few such windows (lists of names and numbers, say), its windows run on until
+they hold ``LITERAL`` plain words. Items most of whose windows never hold so
+many plain words, and items of under five words (whole, as they stand), are
+found word for word only. Items that differ in their slots alone are one class,
+joined and judged once; a row names its smallest item and their number
+(``item_classes`` lists them), so variants of one question never multiply rows.
+
+Null texts and items without words hold nothing; very long texts are windowed
+whole; repeated items and documents give a row each pair of document and class;
+ties don't arise; an empty table on either side gives no rows; other columns are
+passed by.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +54,17 @@ UPPER[65:91] = True
 STOP[list(b".!?:")] = True
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
+#: Which code points of two bytes in UTF-8 are capitals.
+WIDE_CAPITALS = np.array([chr(c).isupper() and c >= 0x80 for c in range(0x800)]).astype(np.int64)
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (11, 22, 33))
 
 
+def _wide_capital(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 where a capital letter of two bytes stands (Latin-1 and its extension, Greek, Cyrillic), by its case as Unicode has it."""
+    code = ((data[at].astype(np.int64) & 0x1F) << 6) | (data[np.minimum(at + 1, len(data) - 1)] & 0x3F)
+    return ((data[at] & 0xE0) == 0xC0).astype(np.int64) * WIDE_CAPITALS[code]
+
+
 def _unit_hashes() -> np.ndarray:
     words = [u.encode() for u in UNITS]
     ends = np.cumsum(list(map(len, words)))
@@ -63,11 +76,10 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, rows = word_spans(data, offsets, SPACE)
     low = LOWERED[data]
     a, b = starts.copy(), ends.copy()
-    for _ in range(3):  # outer punctuation, three signs deep
-        cut = (a < b) & PUNCTUATION[data[np.minimum(a, len(data) - 1)]] if len(a) else np.zeros(0, bool)
-        a = a + cut
-        cut = (a < b) & PUNCTUATION[data[np.maximum(b - 1, 0)]] if len(a) else np.zeros(0, bool)
-        b = b - cut
+    # Outer punctuation goes: from the first other byte at or after the start to the last one before the end.
+    inner = np.append(np.where(PUNCTUATION[data], len(data), np.arange(len(data))), len(data))
+    a = np.minimum(np.minimum.accumulate(inner[::-1])[::-1][a], ends)
+    b = np.maximum(np.maximum.accumulate(np.append(0, np.where(PUNCTUATION[data], 0, np.arange(1, len(data) + 1))))[b], starts)
     bare = a >= b
     a, b = np.where(bare, starts, a), np.where(bare, ends, b)
     plain = span_hashes(low, a, b)
@@ -76,7 +88,9 @@ def template(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     form = plain.copy()
     if len(starts):
         begins = np.concatenate([[True], (rows[1:] != rows[:-1]) | STOP[data[ends[:-1] - 1]]])
-        name = UPPER[data[a]] & ~begins & ~bare & (b - a > 1) & ~UPPER[data[np.minimum(a + 1, len(data) - 1)]]
+        size = np.where(UPPER[data[a]], 1, 2 * _wide_capital(data, a))
+        then = np.minimum(a + size, len(data) - 1)
+        name = (size > 0) & ~begins & ~bare & (b - a > size) & ~UPPER[data[then]] & (_wide_capital(data, then) == 0)
         form[name] = NAME
         units = _unit_hashes()
         form[units[np.minimum(np.searchsorted(units, plain), len(units) - 1)] == plain] = UNIT
@@ -112,79 +126,127 @@ def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-ITEM_DDL = "item_id long, way int, h long, place int, n_windows int, slots binary"
+#: How an item is found: by templates of WINDOW words, word for word, by templates that run on.
+TEMPLATES, WORDS, LONG = 0, 1, 2
+ITEM_DDL = "item_id long, kind long, way int, h long, place int, width int, n_windows int, slots binary"
+
+
+def short_windows(t: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word-for-word hash of each run of ``size`` words, under WINDOW."""
+    first = windows(t["rows"], size)
+    return first, mix(window_hashes(t["plain"], first, size) + np.uint64(size))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """A row for each window of each item: its hash, its place, the item's distinct windows, its words."""
+    """A row for each window of each item and way: its class, hash and place, the item's distinct windows, its slots (zero: a plain word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 data, offsets = flat(part.column("text"))
                 t = template(data, offsets)
+                slots = np.where(t["literal"], np.uint64(0), t["plain"])
                 first, form, plain = template_windows(t)
-                rows, ids, out = t["rows"][first] if len(first) else first, part.column("item_id").to_pylist(), []
-                for r in np.unique(rows):
-                    own = np.flatnonzero(rows == r)
-                    templates = own[form[own] != 0]
-                    ways = [(first[templates], first[templates] + WINDOW, form[templates])]
-                    if 2 * len(templates) < len(own):
-                        at, ends, h = long_windows(t, first[own[form[own] == 0]])
-                        ways = [(first[own], first[own] + WINDOW, plain[own]), tuple(np.concatenate(x) for x in zip(ways[0], (at, ends, h), strict=True))]
-                        ways = ways[: 1 + (2 * len(ways[1][0]) >= len(own))]
-                    for way, (at, ends, h) in enumerate(ways):
-                        n = len(np.unique(h))
-                        out += [(ids[r], way, int(x), int(a), n, _pack(t["plain"][a:b])) for a, b, x in zip(at, ends, h.view(np.int64), strict=True)]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], strict=True)], ["item_id", "way", "h", "place", "n_windows", "slots"])
+                ids, out = part.column("item_id").to_pylist(), []
+                begins = np.searchsorted(t["rows"], np.arange(part.num_rows + 1))
+                for r, (low, high) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
+                    if 0 < high - low < WINDOW:
+                        at, h = short_windows({"rows": t["rows"][low:high], "plain": t["plain"][low:high]}, int(high - low))
+                        ways = [(WORDS, at + low, at + high, h)]
+                    else:
+                        own = np.flatnonzero((first >= low) & (first < high))
+                        templates = own[form[own] != 0]
+                        ways = [(WORDS, first[own], first[own] + WINDOW, plain[own])]
+                        if 2 * len(templates) >= len(own):
+                            ways.append((TEMPLATES, first[templates], first[templates] + WINDOW, form[templates]))
+                        else:
+                            at, ends, h = long_windows(t, first[own[form[own] == 0]])
+                            at, ends, h = (np.concatenate(x) for x in zip((first[templates], first[templates] + WINDOW, form[templates]), (at, ends, h), strict=True))
+                            ways += [(LONG, at, ends, h)] * (2 * len(at) >= len(own))
+                    pattern = np.unique(slots[low:high], return_inverse=True)[1]
+                    _, place_of_first = np.unique(pattern, return_index=True)
+                    pattern = place_of_first[pattern] if len(pattern) else pattern  # the same for items that differ in their slots' words only
+                    for way, at, ends, h in ways:
+                        if len(h):
+                            told = b"".join(map(_pack, (h, at - low, ends - at, pattern if way != WORDS else np.zeros(0, np.int64))))
+                            kind = int.from_bytes(hashlib.blake2b(told, digest_size=8, key=bytes([way])).digest(), "little", signed=True)
+                            n = len(np.unique(h))
+                            out += [(ids[r], kind, way, int(x), int(a - low), int(b - a), n, _pack(slots[a:b])) for a, b, x in zip(at, ends, h.view(np.int64), strict=True)]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 3, pa.binary()], strict=True)], ["item_id", "kind", "way", "h", "place", "width", "n_windows", "slots"])
 
     return items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ITEM_DDL)
 
 
+def item_classes(items: DataFrame) -> DataFrame:
+    """item_id and the smallest item of its class, for each way: items of one class differ in their slots' words only."""
+    kinds = item_windows(items).select("item_id", "kind", "way").distinct()
+    return kinds.join(kinds.groupBy("kind").agg(F.min("item_id").alias("first_item")), "kind").select("item_id", "way", "first_item")
+
+
 #: Shifts that are judged at once.
 SHIFTS = 1024
 
 
-def best_occurrence(h: np.ndarray, place: np.ndarray, words: np.ndarray, doc_h: np.ndarray, doc_place: np.ndarray, doc_words: np.ndarray) -> tuple[float, float]:
-    """The consistency of the best occurrence, and the share of the item's windows that the document holds word for word."""
-    own = {(x, w.tobytes()) for x, w in zip(h.tolist(), words, strict=True)}
-    held = {(x, w.tobytes()) for x, w in zip(doc_h.tolist(), doc_words, strict=True)}
-    exact = len(own & held) / len(own)
+def best_occurrence(h: np.ndarray, place: np.ndarray, slots: np.ndarray, doc_h: np.ndarray, doc_place: np.ndarray, doc_words: np.ndarray) -> float:
+    """The share of an item's repeated slots that agree in the best occurrence; 1 where the item repeats none.
+
+    ``slots`` are the item's windows with zeros for plain words.
+    """
     order = np.lexsort([doc_place, doc_h])
     doc_h, doc_place, doc_words = doc_h[order], doc_place[order], doc_words[order]
     low, high = np.searchsorted(doc_h, h, side="left"), np.searchsorted(doc_h, h, side="right")
     there = np.flatnonzero(high > low)
-    low, high, place, words = low[there], high[there], place[there], words[there]
-    shifts = np.zeros(0, np.int64)
-    for p, a, b in zip(place, low, high, strict=True):
-        shifts = np.union1d(shifts, doc_place[a:b] - p)
-    filled = words != 0
-    _, slot = np.unique(words, return_inverse=True)
+    low, high, place, slots = low[there], high[there], place[there], slots[there]
+    # Which window covers the slot at a position with its c-th word; -1: none.
+    position = place[:, None] + np.arange(slots.shape[1])
+    known, index = np.unique(position[slots != 0], return_index=True)
+    said = slots[slots != 0][index]
+    cover = np.full((slots.shape[1], len(known)), -1)
+    for k, c in zip(*np.nonzero(slots), strict=True):
+        cover[c, np.searchsorted(known, position[k, c])] = k
+    _, slot, times = np.unique(said, return_inverse=True, return_counts=True)
+    again = times[slot] > 1
+    if not again.any():
+        return 1.0
+    cover, slot = cover[:, again], slot[again]
+    repeats = int((times[times > 1] - 1).sum())
     _, value = np.unique(doc_words, return_inverse=True)
-    slot, value = slot.reshape(words.shape), value.reshape(doc_words.shape)
-    n_slots, n_values, best = int(slot.max()) + 1, int(value.max()) + 1, 0.0
+    value = value.reshape(doc_words.shape)
+    shifts = np.unique(np.concatenate([doc_place[a:b] - p for p, a, b in zip(place, low, high, strict=True)]))
+    n_values, n_slots, best = int(value.max()) + 1, int(slot.max()) + 1, 0.0
     for start in range(0, len(shifts), SHIFTS):
         some = shifts[start : start + SHIFTS]
-        seen = np.empty((len(some), *slot.shape), np.int64)
+        near, away = np.empty((len(some), len(place)), np.int64), np.empty((len(some), len(place)), np.int64)
         for k, (p, a, b) in enumerate(zip(place, low, high, strict=True)):
             after = np.clip(np.searchsorted(doc_place[a:b], some + p), 0, b - a - 1)
             before = np.maximum(after - 1, 0)
-            nearest = np.where(np.abs(doc_place[a + before] - p - some) <= np.abs(doc_place[a + after] - p - some), before, after)
-            seen[:, k] = value[a + nearest]
-        keys = ((np.arange(len(some))[:, None, None] * n_slots + slot) * n_values + seen)[:, filled]
+            gap_before, gap_after = np.abs(doc_place[a + before] - p - some), np.abs(doc_place[a + after] - p - some)
+            near[:, k], away[:, k] = a + np.where(gap_before <= gap_after, before, after), np.minimum(gap_before, gap_after)
+        seen, least = np.zeros((len(some), len(slot)), np.int64), np.full((len(some), len(slot)), np.iinfo(np.int64).max)
+        for c, windows_of in enumerate(cover):
+            at = np.flatnonzero(windows_of >= 0)
+            if len(at):
+                k = windows_of[at]
+                closer = away[:, k] < least[:, at]
+                seen[:, at] = np.where(closer, value[near[:, k], c], seen[:, at])
+                least[:, at] = np.where(closer, away[:, k], least[:, at])
+        keys = (np.arange(len(some))[:, None] * n_slots + slot) * n_values + seen
         pair, count = np.unique(keys, return_counts=True)
         first = np.flatnonzero(np.diff(pair // n_values, prepend=-1))
-        most = np.maximum.reduceat(count, first)
-        best = max(best, float(np.bincount(pair[first] // n_values // n_slots, weights=most).max()) / int(filled.sum()))
+        most = np.maximum.reduceat(count, first) - 1
+        best = max(best, float(np.bincount(pair[first] // n_values // n_slots, weights=most).max()) / repeats)
         if best == 1:
             break
-    return best, exact
+    return best
 
 
 def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, consistency of each document that holds an item."""
+    """doc_id, item_id, n_items, n_windows, n_matched, consistency of each document that holds an item of a class; item_id is the class's smallest."""
     bench = settle(item_windows(items))
+    members = bench.select("kind", "item_id").distinct().groupBy("kind").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    classes = bench.groupBy("kind", "way", "n_windows", "h", "place").agg(F.first("slots").alias("slots"))  # the same but for the slots' words
+    short = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())  # four lengths at most
     hashes = None
     if bench.count() <= most_broadcast:  # the size is checked; beyond it every window goes into the join
         hashes = np.unique(np.array([r[0] for r in bench.select("h").distinct().collect()], np.int64).view(np.uint64))
@@ -198,8 +260,9 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
                 t = template(data, offsets)
                 first, form, plain = template_windows(t)
                 templates = form != 0
-                long = long_windows(t, first[~templates])
-                for at, ends, h in ((first[templates], first[templates] + WINDOW, form[templates]), (first, first + WINDOW, plain), long):
+                sets = [(first[templates], first[templates] + WINDOW, form[templates]), (first, first + WINDOW, plain), long_windows(t, first[~templates])]
+                sets += [(at, at + size, h) for size in short for at, h in [short_windows(t, size)]]
+                for at, ends, h in sets:
                     if hashes is not None:
                         use = np.flatnonzero(near[(h >> np.uint64(44)).astype(np.int64)])
                         use = use[np.isin(h[use], hashes)] if len(hashes) else use[:0]
@@ -211,8 +274,8 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
 
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, copy long, place long, words binary")
     # Repeated rows of a document are counted once; ``copy`` tells different texts of one doc_id apart.
-    pairs = settle(found.distinct()).join(bench.select("item_id", "way", "h", "n_windows").distinct(), "h")
-    counted = pairs.groupBy("doc_id", "item_id", "way", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
+    pairs = settle(found.distinct()).join(classes.select("kind", "way", "n_windows", "h").distinct(), "h")
+    counted = pairs.groupBy("doc_id", "kind", "way", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
     enough = counted.where(F.col("n_matched") >= F.col("n_windows") * CONTAINED)
 
     def judge(part: pa.Table) -> pa.Table:
@@ -222,19 +285,18 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
         width = max(map(len, packed))  # windows that run on are longer; the ends of the others stay empty
         words = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in packed), np.uint64).reshape(-1, width // 8)
         copy = np.unique(part.column("copy").to_numpy(zero_copy_only=False)[~of_item], return_inverse=True)[1]
-        share, exact = best_occurrence(h[of_item], place[of_item], words[of_item], h[~of_item], place[~of_item] + (copy.astype(np.int64) << 40), words[~of_item])
-        out = part.select(["doc_id", "item_id", "way", "n_windows", "n_matched"])[:1]
-        return out.append_column("consistency", pa.array([share])).append_column("exact", pa.array([exact]))
-
-    asked = enough.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"), F.col("way").alias("w"), F.col("n_windows").alias("n"), "n_matched")
-    sides = ["doc_id", "item_id", "way", "n_windows", "n_matched", "h", "copy", "place", "words"]
-    mine = pairs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("i")) & (F.col("way") == F.col("w")) & (F.col("n_windows") == F.col("n"))).select(sides)
-    theirs = enough.join(bench.distinct(), ["item_id", "way", "n_windows"]).withColumn("copy", F.lit(None).cast("long")).withColumn("place", F.col("place").cast("long")).withColumnRenamed("slots", "words").select(sides)
-    judged = mine.unionByName(theirs).groupBy("doc_id", "item_id", "way", "n_windows").applyInArrow(judge, "doc_id long, item_id long, way int, n_windows int, n_matched long, consistency double, exact double")
-    held = judged.where((F.col("consistency") >= CONSISTENT) | (F.col("exact") >= CONTAINED))
+        share = best_occurrence(h[of_item], place[of_item], words[of_item], h[~of_item], place[~of_item] + (copy.astype(np.int64) << 40), words[~of_item])
+        return part.select(["doc_id", "kind", "way", "n_windows", "n_matched"])[:1].append_column("consistency", pa.array([share]))
+
+    keys = ["doc_id", "kind", "way", "n_windows", "n_matched"]
+    asked = enough.where(F.col("way") != WORDS).select(F.col("doc_id").alias("d"), F.col("kind").alias("k"), "n_matched")
+    mine = pairs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("kind") == F.col("k"))).select(*keys, "h", "copy", "place", "words")
+    theirs = enough.where(F.col("way") != WORDS).join(classes, ["kind", "way", "n_windows"]).withColumn("copy", F.lit(None).cast("long")).withColumn("place", F.col("place").cast("long")).withColumnRenamed("slots", "words")
+    judged = mine.unionByName(theirs.select(mine.columns)).groupBy("doc_id", "kind", "way", "n_windows").applyInArrow(judge, "doc_id long, kind long, way int, n_windows int, n_matched long, consistency double")
+    held = judged.where(F.col("consistency") >= CONSISTENT).unionByName(enough.where(F.col("way") == WORDS).withColumn("consistency", F.lit(1.0)).select(*keys, "consistency"))
     # An item found both ways gives one row, the word-for-word one.
-    first = F.min(F.struct("way", "n_windows", "n_matched", "consistency")).alias("r")
-    return held.groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "r.n_windows", "r.n_matched", "r.consistency")
+    best = F.max(F.struct((F.col("way") == WORDS).alias("exact"), "n_windows", "n_matched", "consistency", "n_items")).alias("r")
+    return held.join(members, "kind").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "r.n_items", "r.n_windows", "r.n_matched", "r.consistency")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -223,6 +223,131 @@ def test_decontamination_dense(spark):
     assert got == {(1, 1, 1.0), (2, 1, 1.0)}
 
 
+def brute_items(docs, items):
+    """(doc, item) by the rules as stated, one document and item at a time; plain loops."""
+    out = set()
+    edge = ".,;:!?\"'()[]{}<>|*#$%&_-+=/\\"
+
+    def canonical(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        bare = [x.strip(edge) or x for x in w]
+        plain = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in bare]
+        form = []
+        for k, x in enumerate(bare):
+            name = k and w[k - 1][-1] not in ".!?:" and len(x) > 1 and x[0].isupper() and not x[1].isupper() and x != w[k].strip() + "?"
+            form.append("#" if re.search("[0-9]", x) else "unit" if plain[k] in decontam.UNITS else "@" if name and w[k].strip(edge) else None)
+        return plain, form
+
+    def windows(plain, form):
+        got = []
+        for k in range(len(plain) - 4):
+            t = tuple(f or p for f, p in zip(form[k : k + 5], plain[k : k + 5]))
+            got.append((k, tuple(plain[k : k + 5]), t if form[k : k + 5].count(None) >= 3 else None))
+        return got
+
+    def run_on(plain, form, k):
+        ends = [e for e in range(k + 5, len(plain) + 1) if form[k:e].count(None) >= 3]
+        return tuple(f or p for f, p in zip(form[k : ends[0]], plain[k : ends[0]])) if ends else None
+
+    for i, item in items:
+        plain, form = canonical(item or "")
+        own = windows(plain, form)
+        for d, doc in docs:
+            dp, df = canonical(doc or "")
+            if 0 < len(plain) < 5:
+                if any(dp[k : k + len(plain)] == plain for k in range(len(dp))):
+                    out.add((d, i))
+                continue
+            theirs = windows(dp, df)
+            words = {w for _, w, _ in own}
+            if words and len(words & {w for _, w, _ in theirs}) >= 0.8 * len(words):
+                out.add((d, i))
+                continue
+            templates, places = [(k, t) for k, _, t in own if t], collections.defaultdict(list)
+            if dense := 2 * len(templates) < len(own):
+                templates += [(k, t) for k, _, short in own if not short and (t := run_on(plain, form, k))]
+            for k, _, t in theirs:
+                if t or dense:
+                    places[t or run_on(dp, df, k)].append(k)
+            kinds = {t for _, t in templates}
+            if 2 * len(templates) < len(own) or not kinds or len(kinds & set(places)) < 0.8 * len(kinds):
+                continue
+            best = 0
+            for shift in {p - k for k, t in templates for p in places[t]}:
+                seen = {}
+                for k, t in templates:
+                    if places[t]:
+                        p = min(places[t], key=lambda p: (abs(p - k - shift), p))
+                        for c in range(len(t)):
+                            if form[k + c]:
+                                seen.setdefault(k + c, []).append((abs(p - k - shift), c, dp[p + c]))
+                said = collections.defaultdict(list)
+                for q, found in seen.items():
+                    said[plain[q]].append(min(found)[2])
+                repeats = sum(len(v) - 1 for v in said.values())
+                agree = sum(max(collections.Counter(v).values()) - 1 for v in said.values())
+                best = max(best, agree / repeats if repeats else 1)
+            if best >= 0.8:
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_brute_force(spark):
+    """Random texts of few words with items, copies, variants and spoiled variants; every pair as the loops find it."""
+    rng = np.random.default_rng(11)
+    words, names = "the a of in box red blue old then gave took sold when many to".split(), "Ann Bob Carl Dora Emil Fay Éva".split()
+
+    def sentence(n):
+        return [str(rng.choice(names)) if (x := rng.random()) < 0.12 else str(rng.integers(2, 9)) if x < 0.24 else "kg" if x < 0.27 else str(rng.choice(words)) for _ in range(n)]
+
+    items = [(k, " ".join(sentence(int(rng.integers(8, 22))))) for k in range(25)] + [(100, "red box"), (101, "14 boxes on Monday and 14 more boxes on Tuesday"), (102, "then Ann gave the old box to Bob and Ann took the blue box of Bob")]
+    docs = []
+    for d in range(150):
+        _, item = items[int(rng.integers(0, len(items)))]
+        swap = {n: str(rng.choice(names)) for n in names} | {str(n): str(rng.integers(10, 99)) for n in range(2, 15)}
+        kind = d % 4
+        inner = item if kind == 0 else " ".join(swap.get(w, w) for w in item.split()) if kind == 1 else " ".join(str(rng.choice(names)) if w in names else str(rng.integers(10, 99)) if w.isdigit() else w for w in item.split()) if kind == 2 else ""
+        docs.append((d, " ".join([*sentence(int(rng.integers(0, 12))), inner, *sentence(int(rng.integers(0, 12)))])))
+    docs += [(200, "3 boxes on Friday and 99 more boxes on Sunday"), (201, "3 boxes on Friday and 3 more boxes on Sunday"), (202, "then Carl gave the old box to Dora and Carl took the blue box of Dora"), (203, "then Carl gave the old box to Dora and Emil took the blue box of Fay"), (204, None), (205, ""), (206, "a red, box!")]
+    got = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    classes = {(r.item_id, r.first_item) for r in decontam.item_classes(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_items(docs, items)
+    assert {(201, 101), (202, 102), (206, 100)} <= want and not {(200, 101), (203, 102)} & want
+    pairs = {(r.doc_id, i) for r in got.collect() for i, first in classes if first == r.item_id}
+    assert pairs == want, (sorted(pairs - want), sorted(want - pairs))
+
+
+def test_decontamination_classes(spark):
+    """Variants of one question are one class: a document gives one row, not one for each."""
+    rng, names = np.random.default_rng(3), ["Ann", "Bob", "Carl", "Dora", "Emil", "Fay"]
+    ask = "in the morning {0} had {1} apples and gave {2} of them to {3} so how many of them did {0} have left".format
+    items = [(k, ask(*rng.choice(names, 2, replace=False)[[0]], k + 10, k + 3, str(rng.choice(["Gus", "Hal"])))) for k in range(40)]
+    docs = spark.createDataFrame([(1, ask("Zoe", 90, 7, "Yan")), (2, items[7][1]), (3, ask("Zoe", 90, 7, "Yan").replace("did Zoe", "did Max"))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_items) for r in decontam.find_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 0, 40), (2, 0, 40), (2, 7, 1)]
+
+
+def test_licenses_of_any_length(spark):
+    """Templates of one word and of thousands; repeated rows; columns of any names; the best window of each, as plain loops find them."""
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 4000, 3000))
+    templates = [("tiny", "Copyleft"), ("four", "all rights are reserved"), ("long", long), ("mit", "Released under the MIT License.")]
+    noise = lambda n: " ".join(f"n{x}" for x in rng.integers(0, 999, n))
+    broken = " ".join(w for k, w in enumerate(long.split()) if k % 60)  # 80 % of the shingles and more stay
+    texts = [noise(40) + " COPYLEFT! " + noise(5), noise(3000) + " " + long + " all  rights are-reserved", broken, " ".join(long.split()[:2000]), "released under the mit license", None, "", "copyleft", noise(9)]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in enumerate(texts)] + [(0, texts[0], 1, 2, 3)], "doc_id long, text string, row int, s int, template int")
+    got = collections.Counter((r.doc_id, r.template) for r in licenses.scan(docs, templates).collect())
+
+    def holds(text, template):
+        w, t = (re.findall("[a-z0-9]+", (x or "").lower()) for x in (text, template))
+        n = min(5, len(t))
+        own, there = ({tuple(x[k : k + n]) for k in range(len(x) - n + 1)} for x in (t, w))
+        return len(own & there) >= 0.8 * len(own)
+
+    want = collections.Counter((k, n) for k, t in [*enumerate(texts), (0, texts[0])] for n, (_, x) in enumerate(templates) if holds(t, x))
+    assert got == want and (2, 2) in want and (3, 2) not in want
+
+
 def test_licenses(spark, none):
     mit = licenses.TEMPLATES[4][1]
     docs = spark.createDataFrame([(1, f"{LOREM}\nReleased under the MIT License.\n{LOREM}"), (2, LOREM), (3, f"x {mit.upper()} y"), (4, None), (5, ""), (6, mit[: len(mit) // 2]), (7, " ".join([LOREM] * 20) + " " + mit)], "doc_id long, text string")

@@ -421,6 +421,36 @@ def test_html_long_pages():
         assert "rights" not in text and "Home" not in text and "our links" not in text
 
 
+def test_html_plain_elements(spark):
+    """On hosts of nothing but div elements the wrapper finds labels, comments and links around the text; the title stays."""
+    words, rng = LOREM.split(), np.random.default_rng(9)
+    text = lambda n: " ".join(rng.choice(words, n))
+    pages, want = [], []
+    for k in range(8):
+        title, body = text(5), [text(40) for _ in range(3 + k % 3)]
+        div = lambda *x: "<div>" + "".join(x) + "</div>"
+        pages.append("<html><head><title>" + title + " | Site</title></head><body>" + div(div("Home"), div("About us")) + div(title) + div(*map(div, body)) + div(f"Read next: Piece {600 + k}") + div(f"Reviews by users: nice {k}") + div("All rights kept") + "</body></html>")
+        want.append("\n".join([title, *body]))
+    wrapper = html.infer(pages)
+    assert [html.extract(p, wrapper) for p in pages] == want
+    assert all("Read next" in html.extract(p) for p in pages)
+    df = spark.createDataFrame([(k, f"http://plain.org/{k}", p, 1, 2) for k, p in enumerate(pages)], "page_id long, url string, html string, host int, wrapper int")
+    assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == want
+
+
+def test_html_nesting():
+    """Deeply nested and unclosed elements take time in proportion to the page."""
+    import time
+
+    for unit in ("<b>x", "<b><p>x</p>", "<p><div><i>x", "</i><div>x", "<li><b>x", "<table><tr><td>x"):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.time()
+            assert html.extract(unit * n).count("x") == n
+            took.append(time.time() - began)
+        assert took[1] < 24 * took[0] + 1, unit
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

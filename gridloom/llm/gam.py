@@ -7,8 +7,9 @@ then the pairs of features that explain most of what is left get
 two-dimensional tables of four-leaf trees. A score is a sum of table entries.
 
 Only the text is an input. Rows whose crc32(doc_id as text) mod 5 is 0 are held
-out and never learned from. Null and empty texts get a score as any other (all
-counts zero). Without labels of both classes every score is the prior. Ties
+out and never learned from; rows without a doc_id are neither held out nor
+learned from. Null and empty texts get a score as any other (all counts zero);
+very long texts are counted whole. Without labels of both classes every score is the prior. Ties
 in the sample go by doc_id; repeated rows are scored each; an empty table gives
 no rows.
 """
@@ -29,7 +30,7 @@ from .quality import SYMBOLS, base_counts, labelled_sample
 SAMPLE = 8000
 CUT = 0.3
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
-HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 NAMES = ["chars", "words", "word_length", "longest", "symbols", "upper", "digits", "marks", "wide", "lines", "line_words", "dup_lines", "repeats", "distinct", "top_word", "symbol_words", "sentence_words", "stray"]
 

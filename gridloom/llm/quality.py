@@ -1,13 +1,15 @@
 """Quality rules: base counts and a hashed n-gram logistic regression.
 
 Base counts are exact. The verdict comes from a logistic regression over
-relative frequencies of hashed words, word pairs and byte n-grams, trained on a
-bounded sample of labelled rows (``SAMPLE`` rows, the first by a hash of
-doc_id), calibrated on a part of it that training did not see (Platt), and
-scored in Arrow batches against the fixed ``THRESHOLD``.
-
-Null and empty texts have no words and fail the base rule. Ties of the sample's
-hash go by doc_id; repeated rows are scored each; an empty table gives no rows;
+relative frequencies of hashed words, word pairs and character n-grams, trained
+on a bounded sample of labelled rows (``SAMPLE`` rows, the first by a hash of
+doc_id, and no more of them than have ``MOST_ENTRIES`` features in all, so that
+the driver holds 8 bytes for each of these at most), calibrated on a part of it
+that training did not see (Platt), and scored in Arrow batches against the fixed
+``THRESHOLD``.
+
+Null and empty texts have no words and fail the base rule. Very long texts are
+counted whole. Ties of the sample's hash go by doc_id; repeated rows are scored each; an empty table gives no rows;
 without labels of both classes the regression abstains (probability 1), so only
 the base rule decides. Other columns are passed by.
 """
@@ -19,15 +21,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BASE, arrow_schema, code_points, flat, give_back, mix, per_row, slices, span_hashes, window_hashes, windows, word_spans
+from .common import BASE, arrow_schema, code_points, flat, give_back, mix, per_row, settle, slices, span_hashes, window_hashes, windows, word_spans
 
 #: Most labelled rows that training takes.
 SAMPLE = 1500
+#: Most features (different slots of a row) that the sampled rows have in all.
+MOST_ENTRIES = 32 << 20
 THRESHOLD = 0.3
 TABLE_BITS = 16
-KINDS = 5  # words, word pairs, byte 2-, 3- and 4-grams
+KINDS = 5  # words, word pairs, character 2-, 3- and 4-grams
 
 #: The symbols of the base rule.
 SYMBOLS = np.zeros(256, bool)
@@ -100,22 +105,25 @@ def ngram_slots(data: np.ndarray, offsets: np.ndarray, base: dict[str, np.ndarra
     yield (base["hashes"] >> shift).astype(np.int64), base["rows"]
     pairs = windows(base["rows"], 2)
     yield (window_hashes(base["hashes"], pairs, 2) >> shift).astype(np.int64), base["rows"][pairs]
-    byte_rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    code = data.astype(np.uint32)
+    # Characters are code points; where all are ASCII they are the bytes.
+    wide = len(data) and data.max() >= 0x80
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32) if wide else data.astype(np.uint32)
+    ends = code_points(data)[offsets] if wide else offsets
+    char_rows = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
     for size in (2, 3, 4):
-        if len(data) < size:
+        if len(code) < size:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
             continue
-        gram = np.zeros(len(data) - size + 1, np.uint32)
+        gram = np.zeros(len(code) - size + 1, np.uint32)
         for k in range(size):
-            gram = (gram << np.uint32(8)) | code[k : len(data) - size + 1 + k]
+            gram = gram * np.uint32(0x01000193) + code[k : len(code) - size + 1 + k]
         slot = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
-        inside = byte_rows[: len(slot)] == byte_rows[size - 1 :]
-        yield slot[inside], byte_rows[: len(slot)][inside]
+        inside = char_rows[: len(slot)] == char_rows[size - 1 :]
+        yield slot[inside], char_rows[: len(slot)][inside]
 
 
 def _sample_features(docs: DataFrame) -> list:
-    """doc_id, slots and relative frequencies of each sampled row."""
+    """doc_id, slots and relative frequencies of each sampled row, the first ones that have MOST_ENTRIES slots in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +141,11 @@ def _sample_features(docs: DataFrame) -> list:
                 pack = lambda x, t: np.concatenate(x).astype(t).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([pack(x, np.int32) for x in slots]), pa.array([pack(x, np.float32) for x in values])], ["id", "y", "slots", "vals"])
 
-    return docs.mapInArrow(run, "id long, y int, slots binary, vals binary").collect()
+    made = settle(docs.mapInArrow(run, "id long, y int, slots binary, vals binary"))
+    # A row each of the sample: its running size says where to stop.
+    sizes = made.select("id", (F.octet_length("slots") / 4).alias("n"), F.xxhash64("id").alias("order"))
+    used = sizes.withColumn("total", F.sum("n").over(W.orderBy("order", "id"))).where(F.col("total") <= MOST_ENTRIES)
+    return made.join(F.broadcast(used.select("id")), "id").collect()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, learn: str = "true") -> DataFrame:

@@ -9,8 +9,8 @@ work. A bucket never gives all its pairs: it gives a spanning forest of its
 verified links, which keeps every component. A bucket over ``LIMIT`` nodes is
 dealt out as tiles (pairs of blocks), each a task of its own.
 
-Nulls and texts without words have fingerprint zero, linked like any other. A
-null id counts as larger than any other and comes out null.
+Nulls and texts without words have fingerprint zero, linked like any other. Very
+long texts are hashed whole. A null id counts as larger than any other and comes out null.
 Repeated rows give one result row each; an empty table gives no rows; columns
 other than id and text are not read.
 """
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import join_unique, settle, slices
 
 SHINGLE, SEED, DISTANCE, SEGMENT_BITS = 3, 42, 3, 32
 #: Nodes of a bucket that are compared in one piece; larger ones go in tiles.
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(id_col), F.col(text_col).alias(text_col))
     marks = settle(fingerprints(named, id_col, text_col))
-    nodes = settle(marks.groupBy("fp").agg(F.min("id").alias("node")))
+    nodes = settle(marks.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
     roots = components(links(nodes))
-    rooted = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    rooted = nodes.join(roots, "node", "left").select("fp", "copies", F.coalesce("root", "node").alias("component_id"))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     shown = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("id", id_col), ("component_id", "component_id"))]
-    return marks.join(rooted, "fp").select(shown[0], hex_digits.alias("fingerprint"), shown[1])
+    return join_unique(marks, rooted, "fp").select(shown[0], hex_digits.alias("fingerprint"), shown[1])

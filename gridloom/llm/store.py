@@ -6,20 +6,25 @@ once. Files, all Parquet in one folder:
 
 * ``chunks/kind=chunk``: hash, ids (little-endian, 2 or 4 bytes each) - every chunk once;
 * ``recipes``: part, doc_id, start, n_tokens, recipe (hash and length of each chunk), leaf - in ascending doc_id order, a file a part;
-* ``manifest``: part, first start, documents, root (Merkle root over the part's leaves); a part of -1 holds the root over the roots.
+* ``manifest``: part, first start, documents, root (Merkle root over the part's leaves), and the format: bytes of an id, end id, the vocabulary's hash; a part of -1 holds the root over the roots.
+
+Parts follow the number of documents (``PART_DOCS`` each), so a part's tree fits a task at any size.
 
 Reading checks chunk hashes, leaves, parts and the top root, and fails on any
 difference. The checksum of a document comes from its chunks' checksums, which
-combine, so the read side never moves ids over the network.
+combine, so the read side never moves ids over the network. A chunk that very
+many documents hold is joined in ``WAYS`` places.
 
 Null texts are empty documents: they hold the end id alone. Repeated doc_ids
-are documents of their own, one after the other; an empty table makes a valid
-empty store; other columns are not read.
+are documents of their own, one after the other, documents without a doc_id come
+first; very long texts are encoded whole; an empty table makes a valid empty
+store; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 import zlib
@@ -32,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, split
-from .common import BASE, BASE_INVERSE, give_back, mix, powers, shared_dir, slices
+from .common import BASE, BASE_INVERSE, delete, give_back, mix, powers, shared_dir, slices
 
 END_ID = 2
 #: Ids in a chunk: least, the mean of what is beyond it, most.
@@ -40,6 +45,10 @@ LEAST, MEAN, MOST, REACH = 128, 512, 4096, 16
 #: Words whose ids a worker remembers at most.
 REMEMBERED = 800_000
 HASH_BYTES = 16
+#: Documents of a part, about.
+PART_DOCS = 250_000
+#: Share of recipes that is looked at for chunks in very many documents, the share of uses that makes one hot, the places it is joined in.
+LOOKED_AT, HOT, WAYS = 0.01, 1 / 1000, 64
 
 
 class Places(dict):
@@ -185,6 +194,11 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     """Encode docs (doc_id, text) and write the store; returns its folder."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    with open(vocabulary, "rb") as f:
+        raw = f.read()
+    spec = json.loads(raw)
+    form = (4 if 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) > 1 << 16 else 2, end_id, hashlib.blake2b(raw, digest_size=HASH_BYTES).hexdigest())
+    del raw, spec
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, seen = library(vocabulary), set()
@@ -221,7 +235,9 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     rows.repartition("hash").sortWithinPartitions("kind", "hash").mapInArrow(unique, ddl).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
 
     made = spark.read.schema(ddl).parquet(f"{path}/chunks").where("kind = 'recipe'")
-    ranged = made.select("doc_id", "n_tokens", F.col("body").alias("recipe"), "hash").repartitionByRange("doc_id", "hash")
+    n_docs = made.count()  # from the files' footers
+    n_parts = max(1, -(-n_docs // PART_DOCS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // 1000))
+    ranged = made.select("doc_id", "n_tokens", F.col("body").alias("recipe"), "hash").repartitionByRange(n_parts, "doc_id", "hash")
     ranged.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/ranged")
     ranged = spark.read.parquet(f"{path}/ranged")
     # A row a part: bounded by the number of partitions.
@@ -240,10 +256,15 @@ def write_store(docs: DataFrame, vocabulary: str, path: str | None = None, end_i
     parts = part_roots(spark.read.parquet(f"{path}/recipes"))
     roots = parts.orderBy("part").collect()  # a row a part
     top = merkle_root([r["root"] for r in roots])
-    spark.createDataFrame([*map(tuple, roots), (-1, 0, sum(r["documents"] for r in roots), bytearray(top))], parts.schema).coalesce(1).write.parquet(f"{path}/manifest")
+    rows = [*map(tuple, roots), (-1, 0, sum(r["documents"] for r in roots), bytearray(top))]
+    spark.createDataFrame([(*r, *form) for r in rows], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
+    delete(spark, f"{path}/ranged")
     return path
 
 
+MANIFEST = "part int, first long, documents long, root binary, id_bytes int, end_id int, vocabulary string"
+
+
 def part_roots(recipes: DataFrame) -> DataFrame:
     """part, first, documents, root of each part, from the leaves in the files."""
 
@@ -255,13 +276,15 @@ def part_roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("part", "start", "leaf").groupBy("part").applyInArrow(fold, "part int, first long, documents long, root binary")
 
 
-def check_manifest(spark: SparkSession, path: str) -> None:
-    """Fail unless the recipes in the files have the roots that the manifest states."""
-    stated = {r["part"]: (r["first"], r["documents"], bytes(r["root"])) for r in spark.read.parquet(f"{path}/manifest").collect()}
+def check_manifest(spark: SparkSession, path: str) -> type:
+    """The type of the stored ids; fails unless the recipes in the files have the roots that the manifest states."""
+    rows = spark.read.parquet(f"{path}/manifest").collect()
+    stated = {r["part"]: (r["first"], r["documents"], bytes(r["root"])) for r in rows}
     found = {r["part"]: (r["first"], r["documents"], bytes(r["root"])) for r in part_roots(spark.read.parquet(f"{path}/recipes")).collect()}
     top = merkle_root([found[p][2] for p in sorted(found)])
     if {p: x for p, x in stated.items() if p >= 0} != found or stated[-1][2] != top:
         raise ValueError(f"{path}: the manifest does not fit the recipes")
+    return {2: np.uint16, 4: np.uint32}[rows[0]["id_bytes"]]
 
 
 def _shift_table() -> np.ndarray:
@@ -323,15 +346,15 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, hash binary, doc_id long, n_tokens long, body binary").parquet(f"{path}/chunks").where("kind = 'chunk'").select("hash", "body")
 
 
-def read_checksums(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
-    check_manifest(spark, path)
+    kind = check_manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, crc, count = batch.column("hash"), [], []
             for name, body in zip(names.to_pylist(), batch.column("body").to_pylist(), strict=True):
-                ids = np.frombuffer(body, np.uint32 if wide else np.uint16).astype("<u4").tobytes()
+                ids = np.frombuffer(body, kind).astype("<u4").tobytes()
                 if hashlib.blake2b(ids, digest_size=HASH_BYTES).digest() != name:
                     raise ValueError(f"chunk {name.hex()}: its ids do not fit its hash")
                 crc.append(zlib.crc32(ids))
@@ -346,18 +369,31 @@ def read_checksums(spark: SparkSession, path: str, wide: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(shifted(crc, after * 4).astype(np.int64)), pa.array(n)], ["doc_id", "start", "n_tokens", "crc", "n"])
 
     sums_df = _chunks(spark, path).mapInArrow(sums, "hash binary, crc long, held long")
-    parts = _entries(spark.read.parquet(f"{path}/recipes")).join(sums_df, "hash", "left").mapInArrow(shift, "doc_id long, start long, n_tokens long, crc long, n long")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    # Hot chunks are found in a sample of the uses; at most 1000 can have so large a share of it.
+    looked = _entries(recipes.sample(LOOKED_AT, seed=1)).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = looked.orderBy(F.desc("n")).limit(int(1 / HOT)).collect()
+    least = max(100, HOT * sum(r["n"] for r in seen))
+    hot = [bytes(r["hash"]) for r in seen if r["n"] >= least]
+    place, every = F.lit(0), F.array(F.lit(0))
+    if hot:
+        is_hot = F.col("hash").isin([F.lit(h) for h in hot])
+        place = F.when(is_hot, F.pmod(F.xxhash64("start"), F.lit(WAYS)).cast("int")).otherwise(0)
+        every = F.when(is_hot, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(every)
+    entries = _entries(recipes).withColumn("place", place)
+    parts = entries.join(sums_df.withColumn("place", F.explode(every)), ["hash", "place"], "left").mapInArrow(shift, "doc_id long, start long, n_tokens long, crc long, n long")
     whole = parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"))
     return whole.select("doc_id", "start", "n_tokens", F.when(F.col("n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document lacks a chunk"))).alias("ids_crc32"))
 
 
-def read_ids(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, token_ids of each document, put together from its chunks."""
+    kind = check_manifest(spark, path)
 
     def join(part: pa.Table) -> pa.Table:
         order = np.argsort(part.column("place").to_numpy(), kind="stable")
         bodies = part.column("body").to_pylist()
-        ids = np.frombuffer(b"".join(bodies[i] for i in order), np.uint32 if wide else np.uint16)
+        ids = np.frombuffer(b"".join(bodies[i] for i in order), kind)
         return pa.table({"doc_id": part.column("doc_id")[:1], "start": part.column("start")[:1], "token_ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
 
     entries = _entries(spark.read.parquet(f"{path}/recipes")).select("doc_id", "start", "place", "hash")

@@ -92,6 +92,28 @@ def test_store(spark, docs, none):
     assert store.read_checksums(spark, store.write_store(none, queries.vocabulary())).count() == 0
 
 
+def test_store_shared_chunks(spark, monkeypatch):
+    """A chunk of hundreds of documents is joined in many places; several parts; files that don't fit are refused."""
+    monkeypatch.setattr(store, "LOOKED_AT", 1.0)
+    monkeypatch.setattr(store, "PART_DOCS", 100)
+    texts = [" ".join([LOREM] * 12)] * 400 + [f"{LOREM} number {k}" for k in range(50)]
+    docs = spark.createDataFrame([(k * 3, t, 1, 2, 3) for k, t in enumerate(texts)], "doc_id long, text string, hash int, place int, start int")
+    path, tool = store.write_store(docs, queries.vocabulary()), library()
+    manifest = spark.read.parquet(f"{path}/manifest").collect()
+    assert len(manifest) > 4 and {(r.id_bytes, r.end_id) for r in manifest} == {(2, 2)}
+    start = 0
+    for k, r in enumerate(store.read_checksums(spark, path).orderBy("doc_id").collect()):
+        ids = [*tool.encode(texts[k], add_special_tokens=False).ids, 2]
+        assert tuple(r) == (3 * k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes.where("doc_id <> 9").write.parquet(f"{path}-less/recipes")
+    for part in ("manifest", "chunks"):
+        spark.read.parquet(f"{path}/{part}").write.parquet(f"{path}-less/{part}")
+    with pytest.raises(ValueError, match="does not fit"):
+        store.read_checksums(spark, f"{path}-less")
+
+
 def test_bpe(docs, none):
     tool = library()
     rng = np.random.default_rng(2)
@@ -171,6 +193,38 @@ def test_quality_base_counts(docs, none, labels):
     assert all(r.kept != r.base_failed for r in quality.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_quality_verdict(spark, docs, labels):
+    """The verdict is the model's sum over words, pairs and character n-grams, as plain loops count them."""
+    model = quality.train(docs, labels)
+    spans = lambda words: {w: int(quality.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]) for w in words}
+    for r in quality.quality_rules(docs, labels).collect():
+        text = next((t for i, t, *_ in rows_of() if i == r.doc_id), None) or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        known = spans(words)
+        counts = [collections.Counter(known[w] >> 48 for w in words), collections.Counter()]
+        for a, b in zip(words, words[1:]):
+            pair = quality.window_hashes(np.array([known[a], known[b]], np.uint64), np.array([0]), 2)[0]
+            counts[1][int(pair) >> 48] += 1
+        for n in (2, 3, 4):
+            counts.append(collections.Counter())
+            for k in range(len(text) - n + 1):
+                h = 0
+                for c in text[k : k + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                counts[-1][(h * 0x9E3779B1) % 2**32 >> 16] += 1
+        z = model.intercept + sum(c * float(model.weights[kind][slot]) / sum(own.values()) for kind, own in enumerate(counts) for slot, c in own.items())
+        p = 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30)))
+        assert r.quality_probability == pytest.approx(p, abs=1e-5)
+        assert r.kept == (not r.base_failed and r.quality_probability >= 0.3)
+
+
+def test_quality_sample_is_bounded(docs, labels, monkeypatch):
+    """No more rows are trained on than have so many features in all."""
+    monkeypatch.setattr(quality, "MOST_ENTRIES", 2500)
+    got = quality._sample_features(quality.labelled_sample(docs, labels, 1500))
+    assert 0 < sum(len(r["slots"]) // 4 for r in got) <= 2500
+
+
 def test_classifiers_on_held_out_rows(spark):
     from ..conftest import DATA
 
@@ -183,6 +237,7 @@ def test_classifiers_on_held_out_rows(spark):
 
 
 def test_gam_edges(docs, none, labels):
+    assert {r.held_out for r in gam.classify(docs, labels).where("doc_id is null").collect()} == {False}
     assert gam.classify(docs, labels).count() == len(rows_of()) and gam.classify(none, labels).count() == 0
     assert len({r.score for r in gam.classify(docs, labels.limit(0)).collect()}) == 1
 
@@ -509,16 +564,43 @@ def test_pii_redaction_and_order(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against brute force on its predecessor's rows."""
     pipeline = pytest.importorskip("corpus_pipeline")
     from ..conftest import DATA
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for k, (_, stage) in enumerate(pipeline.STAGES):
-        before = docs.count()
-        docs = stage(spark, docs, DATA)
-        assert k == len(pipeline.STAGES) - 1 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        docs = simhash.settle(docs)
-        assert 0 < docs.count() <= before
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    columns, steps = docs.columns, {}
+    for name, stage in pipeline.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = simhash.settle(stage(spark, docs, DATA))
+        steps[name] = before, {r.doc_id: r for r in docs.collect()}
+        assert name == pipeline.STAGES[-1][0] or docs.columns == columns
+    before, after = steps["quality rules"]
+    rules = {r.doc_id for r in quality.quality_rules(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")).where("kept").collect()}
+    assert set(after) == rules and 0.3 * len(before) < len(after) < len(before) and all(after[i].text == before[i] for i in after)
+    before, after = steps["SimHash near-dedup"]
+    prints, kept, left = {i: fingerprint(t) for i, t in before.items()}, set(), sorted(before)
+    while left:  # the smallest id of each component
+        reach, grown = {prints[left[0]]}, True
+        while grown:
+            new = {prints[i] for i in left if any((prints[i] ^ f).bit_count() <= 3 for f in reach)} - reach
+            reach, grown = reach | new, bool(new)
+        kept.add(left[0])
+        left = [i for i in left if prints[i] not in reach]
+    assert set(after) == kept
+    before, after = steps["benchmark decontamination"]
+    assert set(after) == set(before) - {d for d, _ in brute_items(list(before.items()), items)}
+    before, after = steps["PII"]
+    for i, t in before.items():
+        if not re.search("[0-9@=:]", t or ""):
+            assert after[i].text == t
+        for kind, pattern in PATTERNS.items():
+            assert not any(valid(kind, m[0]) for m in re.finditer(pattern, after[i].text or ""))
+        assert after[i].n_chars == len(after[i].text)
+    assert set(after) == set(before) and sum(after[i].text != before[i] for i in before) > 0
+    before, after = steps["BPE encoding and decoding"]
+    tool = library()
+    assert all(list(after[i].token_ids) == (ids := tool.encode(t or "", add_special_tokens=False).ids) and after[i].n_tokens == len(ids) and after[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for i, t in before.items()) and set(after) == set(before)
 
 
 def test_near_dedup_ids(spark):
@@ -556,3 +638,28 @@ def test_clashing_columns(spark):
     assert ids(quality.keep_good(wide, labels)) == []
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(wide).collect()}
     assert set(groups) == {1, 2, 4, None}
+
+
+def test_very_long_texts_and_clashes(spark, labels):
+    """A text of a megabyte beside empty ones, with columns of the operators' own names: whole results everywhere."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    long = " ".join(rng.choice(LOREM.split(), 180_000)) + " Released under the MIT License. mail zed@example.org"
+    rows = [(1, long), (2, long[:-20] + " x"), (3, ""), (4, None), (5, LOREM), (5, LOREM), (None, "y")]
+    clash = ["fp", "node", "key", "hash", "kind", "bucket", "chunk", "sha", "doc", "first", "copies", "place", "window", "w", "s", "row", "class", "way", "h", "copy", "words", "gen", "base", "cands", "found", "kept", "hidden", "x", "y", "id", "held_out", "host", "wrapper"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("clash").alias(c) for c in clash))
+    tool = library()
+    ids = tool.encode(long, add_special_tokens=False).ids
+    assert simhash.near_duplicates(docs).count() == len(rows)
+    assert {r.n_tokens for r in store.read_checksums(spark, store.write_store(docs, queries.vocabulary())).where("doc_id = 1").collect()} == {len(ids) + 1}
+    assert bpe.digests(docs, queries.vocabulary()).where("doc_id = 1").first().ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    items = spark.createDataFrame([(1, " ".join(long.split()[170_000:170_030]), "c")], "item_id long, text string, way string")
+    assert {r.doc_id for r in decontam.find_items(docs, items).collect()} == {1, 2}
+    assert len(gam.classify(docs, labels).collect()) == len(quality.quality_rules(docs, labels).collect()) == len(rows)
+    assert {(r.doc_id, r.template) for r in licenses.scan(docs).collect()} == {(1, 2), (2, 2)}
+    removed = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+    assert removed[1].n_removed == 0 and removed[2].n_removed > len(long) - 200 and removed[4].n_bytes == 0
+    assert {r.doc_id: r.n_email for r in pii.find(docs).collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, None: 0}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/").alias("url"), F.concat(F.lit("<article>"), "text", F.lit("</article>")).alias("html"), *clash)
+    assert {r.page_id: r.n_chars for r in html.main_text(pages).collect()}[1] == len(long)

@@ -50,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token_ids of each text, and a flag that decoding gave the text back."""
+    """doc_id, n_tokens and token_ids of each text, and the digest of the text that they decode to."""
     out = bpe.tokenize(docs, vocabulary())
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import points
+from .describe import bar, describe
 from .fixtures import CUBE_SQL, cube
 from .geometry import affine_inverse, decompose, keep_axes, make_geometry, same_geometry, with_voxel_size
 from .image import Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask
@@ -73,6 +74,20 @@ def _construction() -> None:
         return s.createDataFrame([(k, i.is_dense, i.is_sparse, i.is_packed, i.storage_type, i.length, list(i.storage_layout)) for k, i in enumerate(forms)], "k int, dense boolean, sparse boolean, packed boolean, storage string, length int, layout array<int>").select("k", "dense", "sparse", "packed", "storage", "length", F.concat_ws(",", F.col("layout").cast("array<string>")).alias("layout"))
 
     _add("image_kinds", kinds, "SELECT * FROM (VALUES (0, true, false, false, 'double', 24, '1,2,3'), (1, false, true, false, 'double', 24, '1,2,3'), (2, false, false, true, 'int16', 24, '1,2,3'), (3, true, false, false, 'logical', 4, '1'), (4, true, false, false, 'integer', 4, '1')) AS t(k, dense, sparse, packed, storage, length, layout)")
+    def told(s, d):
+        x = ramp(s).with_geometry(make_geometry((2, 3, 4), (1, 2.5, 3), unit="mm"))
+        forms = [x.grid, x, replace(x, spatial=2, geometry=None), (x - 5).as_sparse(), x.as_packed("int16", 0.5, 1.0), x.as_packed("uint8").reorient((-1, 2, 3)), StorageDescriptor("int16", "big", 17, 2.0, 1.0, (2, -1, 3))]
+        return s.createDataFrame([(k, n, line) for k, f in enumerate(forms) for n, line in enumerate(describe(f).split("\n"))], "k int, n int, line string")
+
+    grid = ["  Spatial dimensions : 2 x 3 x 4", "  Voxel size         : 1 x 2.5 x 3 mm"]
+    lines = [
+        ["Image geometry: 2 x 3 x 4", *grid], ["Dense image: 2 x 3 x 4 (double)", *grid], ["Dense image: 2 x 3 x 4 (double)", "  Spatial dimensions : 2 x 3", "  Voxel size         : 1 x 1 (unit unknown)", "  Values per location: 4"],
+        ["Sparse image: 2 x 3 x 4 (double)", *grid, "  Locations stored   : 23 of 24 (4.2% sparse)"], ["Packed image: 2 x 3 x 4 (int16)", *grid, "  Scaling            : value = stored * 0.5 + 1", "  Storage            : 48 bytes, against 192 as double"],
+        ["Packed image: 2 x 3 x 4 (uint8)", *grid, "  Storage            : 24 bytes, against 192 as double", "  Storage layout     : -1, 2, 3"], ["Storage descriptor: int16, big-endian, from byte 17", "  Scaling: value = stored * 2 + 1", "  Layout : 2, -1, 3"],
+    ]
+    _add("summary_texts", told, "SELECT * FROM (VALUES " + ", ".join(f"({k}, {n}, '{x}')" for k, own in enumerate(lines) for n, x in enumerate(own)) + ") AS t(k, n, line)")
+    bars = [(0, 10, 0.0), (5, 10, 2.0), (1400000, 1400000, 1.0), (999, 2000, 0.001)]
+    _add("progress_bar", lambda s, d: s.createDataFrame([(k, bar(*b, width=60)) for k, b in enumerate(bars)], "k int, line string"), "SELECT k, line FROM (VALUES (0, '  |' || repeat(' ', 33) || '|   0%      -- voxels/s'), (1, '  |' || repeat('=', 16) || repeat(' ', 17) || '|  50%     2.5 voxels/s'), (2, '  |' || repeat('=', 33) || '| 100%    1.4M voxels/s'), (3, '  |' || repeat('=', 16) || repeat(' ', 17) || '|  50%    999k voxels/s')) AS t(k, line)")
     _add("pack_float32", lambda s, d: cells((cube(s, d) / 3).as_packed("float32")), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS p, (v / 3.0)::FLOAT::DOUBLE AS v FROM cube")
     _add("pack_constant", lambda s, d: cells(from_numpy(s, np.full(4, 7.5)).as_packed("int16")), "SELECT unnest(range(4)) AS p, 7.5::DOUBLE AS v")
 

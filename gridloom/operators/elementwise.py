@@ -212,7 +212,7 @@ def repack(x: Image, locations: DataFrame) -> Image:
     """A sparse image over exactly the given locations: zeros where it held none, others dropped."""
     if not x.is_sparse:
         raise TypeError("only sparse images can be repacked")
-    slots = locations.crossJoin(x.cells.sparkSession.range(x.n_elements).select(F.col("id").cast("int").alias("elem"))) if x.n_elements > 1 else locations.withColumn("elem", F.lit(0))
+    slots = locations.select("loc", F.explode(F.sequence(F.lit(0), F.lit(x.n_elements - 1))).alias("elem"))
     held = x.cells.withColumn("present", F.lit(True))
     return replace(x, cells=slots.join(held, ["loc", "elem"], "left").select("loc", "elem", F.when(F.col("present"), F.col("v")).otherwise(F.lit(0).cast(x.cells.schema["v"].dataType)).alias("v")))
 

@@ -42,12 +42,12 @@ def axis_of(number: Column, dims, k: int) -> Column:
     return out if rest == 1 and k == len(dims) - 1 else F.pmod(out, F.lit(max(1, dims[k])))
 
 
-def flatten(coordinates: list[Column], dims) -> Column:
-    """Linear index of some coordinates, first axis fastest."""
-    out = F.lit(0).cast("long")
-    for c, step in zip(coordinates, strides(dims), strict=True):
-        out = out + (c if step == 1 else c * step)
-    return out.cast("long")
+def flatten(coordinates: list[Column], dims, check: bool = False) -> Column:
+    """Linear index of some coordinates, first axis fastest; with ``check`` those out of bounds fail."""
+    out, inside = F.lit(0).cast("long"), F.lit(True)
+    for c, step, d in zip(coordinates, strides(dims), dims, strict=True):
+        out, inside = out + (c if step == 1 else c * step), inside & (c >= 0) & (c < d)
+    return F.when(inside, out.cast("long")).otherwise(F.raise_error(F.lit("an index is out of bounds"))) if check else out.cast("long")
 
 
 def compose(outer, inner) -> tuple[int, ...]:

@@ -126,12 +126,12 @@ def _geometry() -> None:
     _add("round_conventional", lambda s, d: points.to_voxel(halves(s), make_geometry((4, 4, 4)), "world", "conventional"), "SELECT id, v AS x, v AS y, v AS z FROM (SELECT id, round_even(id / 2.0::DOUBLE - 0.5, 0) + 1 AS v FROM (SELECT unnest(range(9)) AS id) t) u")
     drawn = lambda s, edge: points.to_voxel(s.range(1000).select("id", F.lit(edge).alias("x")), make_geometry((4, 4, 4)), "scaled", "probabilistic")
     _add("round_probabilistic", lambda s, d: drawn(s, 1.25).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count_if((F.col("x") == 2) | (F.col("x") == 3)).alias("n"), F.avg(F.col("x") - 1).between(1.15, 1.35).alias("near")), "SELECT 2.0::DOUBLE AS least, 3.0::DOUBLE AS most, 1000::BIGINT AS n, true AS near")
-    _add("round_at_bounds", lambda s, d: drawn(s, 3.6).agg(F.min("x").alias("a"), F.max("x").alias("b")).crossJoin(F.broadcast(drawn(s, -0.4).agg(F.min("x").alias("c"), F.max("x").alias("d")))), "SELECT 4.0::DOUBLE AS a, 4.0::DOUBLE AS b, 1.0::DOUBLE AS c, 1.0::DOUBLE AS d")
+    _add("round_at_bounds", lambda s, d: drawn(s, 3.6).unionByName(drawn(s, -0.4)).groupBy("x").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES (4.0::DOUBLE, 1000::BIGINT), (1.0, 1000)) AS t(x, n)")
     _add("world_round_trip", lambda s, d: points.from_voxel(points.to_voxel(s.range(50).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.5).alias("y"), (-F.col("id") / 4).alias("z")), make_geometry((91, 109, 91), world_transform=LAS)), make_geometry((91, 109, 91), world_transform=LAS)), "SELECT id, id::DOUBLE AS x, id * 2.5::DOUBLE AS y, -id / 4.0::DOUBLE AS z FROM (SELECT unnest(range(50)) AS id) t")
 
     def flattened(s, d):
         axes = [L.axis_of(F.col("id"), (2, 3, 4), k) for k in range(3)]
-        return s.range(24).select("id", *(a.cast("int").alias(n) for a, n in zip(axes, "ijk", strict=True)), L.flatten(axes, (2, 3, 4)).alias("p"))
+        return s.range(24).select("id", *(a.cast("int").alias(n) for a, n in zip(axes, "ijk", strict=True)), L.flatten(axes, (2, 3, 4), check=True).alias("p"))
 
     _add("index_flatten_expand", flattened, "SELECT p AS id, (p % 2)::INTEGER AS i, ((p // 2) % 3)::INTEGER AS j, (p // 6)::INTEGER AS k, p FROM (SELECT unnest(range(24)) AS p) t")
 

@@ -3,11 +3,14 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gridloom import points
 from gridloom.geometry import decompose, make_geometry, permute_axes, same_geometry, world_axes
 from gridloom.image import from_numpy, sparse_from_mask
 from gridloom.operators import apply, elementwise, index
 from gridloom.operators.reduce import imreduce, sparseness, summary
+from gridloom.plans.layout import flatten
 from gridloom.sources.codec import StorageDescriptor, read_image, write_image
 
 RNG = np.random.default_rng(5)
@@ -179,6 +182,14 @@ def test_apply(spark):
     assert apply.imapply(from_numpy(spark, np.zeros((0, 3, 2))), [1], lambda v: called.append(v.shape)).count() == 0 and called == [(3, 2)]
 
 
+def test_bounds_of_indices(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 3)], "i int, j int")
+    p = flatten([F.col("i"), F.col("j")], (2, 3), check=True).alias("p")
+    assert rows.where("j < 3").select(p).first()["p"] == 5
+    with pytest.raises(Exception, match="out of bounds"):
+        rows.select(p).collect()
+
+
 def test_strided_runs(spark):
     v = np.array([5, 3, 8, 1, 9, 2, 7, 4, 6, 0.0])
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "pos long, v double")

@@ -24,8 +24,10 @@ they are dealt, as minima crowd near zero; a run that the chunks read together h
 in several documents is sent once, so a passage that a third of all documents
 share arrives once for 32 MB of text or one bucket (100 bytes each: 300 MB at
 100 TB); runs are cut at ``MOST_RUN`` starts, so that texts of one short period,
-whatever their lengths, give equal pieces. Only the buckets of chunks, which are
-read as a stream, grow where the input is beyond 100,000 of them.
+whatever their lengths, give equal pieces. The buckets of chunks, which are read
+as a stream, grow to 256 MB where the input is beyond 100,000 of them; from
+``LARGE`` on chunks are four times as large, so that a chunk's message to a bucket
+of anchors still holds several, and joins sort (and spill) instead of hashing.
 
 Null texts are empty; texts under 50 bytes lose nothing; very long texts make
 chunks of their own; a null doc_id counts as larger than any other; documents of
@@ -63,8 +65,10 @@ PIECE_BYTES = 1 << 19
 CHUNK_BUCKET, ANCHOR_BUCKET, RUN_BUCKET = 16 << 20, 8 << 20, 4 << 20
 #: Where there is very much text, buckets of anchors grow up to this, so that a chunk has several anchors for each.
 WIDEST_ANCHOR_BUCKET, MANY = 256 << 20, 20_000
-#: Buckets that a table may have.
-MOST_BUCKETS = 100_000
+#: Buckets of chunks beyond which they grow, up to this size.
+MOST_BUCKETS, WIDEST_CHUNK_BUCKET = 100_000, 256 << 20
+#: Bytes of text from which on chunks are larger and joins sort.
+LARGE = 4 << 40
 LARGEST = (1 << 63) - 1
 
 
@@ -250,15 +254,18 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 @contextlib.contextmanager
-def _one_key_is_enough(spark: SparkSession):
-    """While texts lie by bucket, joins on the bucket and more need no new dealing."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def _by_bucket(spark: SparkSession, n_buckets: int):
+    """While texts lie by bucket, joins on the bucket and more need no new dealing; tables may have so many buckets."""
+    buckets = "spark.sql.sources.bucketing.maxBuckets"
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", buckets: str(max(n_buckets, int(spark.conf.get(buckets))))}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _parts(lists: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -275,7 +282,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = lambda each: int(max(least, -(-total // each)))
-    n_buckets, n_anchor, n_run = min(share(CHUNK_BUCKET), MOST_BUCKETS), share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
+    n_buckets = share(min(max(CHUNK_BUCKET, total // MOST_BUCKETS), WIDEST_CHUNK_BUCKET))
+    chunk_bytes, how = (4 * CHUNK_BYTES, "merge") if total >= LARGE else (CHUNK_BYTES, "shuffle_hash")
+    n_anchor, n_run = share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
     # What texts are dealt by takes many values, so that the partitions come out even.
     bucket_of = F.hash("doc").alias("bucket")
 
@@ -295,7 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 last = (doc, sha)
                 held.append((bucket, doc, sha, text))
                 size += len(text)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield packed()
                     held, size = [], 0
         if held:
@@ -303,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"
-    with _one_key_is_enough(spark):  # fewer buckets than shuffle partitions would be dealt anew
+    with _by_bucket(spark, n_buckets):  # fewer buckets than shuffle partitions would be dealt anew
         sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
         dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
         # An inner join: a semi-join would be moved below the dealing, and texts dealt twice. Sources are unique.
@@ -312,8 +321,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         packed.write.option("compression", "zstd").option("path", folder).bucketBy(n_buckets, "bucket").format("parquet").saveAsTable(name)
         chunks = spark.table(name)
         answers = settle(_answers(chunks, n_anchor))
-        spans = settle(_spans(chunks, answers, n_anchor, n_run))
-        cut = settle(_cut(chunks, spans, with_text))
+        spans = settle(_spans(chunks, answers, n_anchor, n_run, how))
+        cut = settle(_cut(chunks, spans, with_text, how))
     spark.sql(f"drop table {name}")
     delete(spark, folder)
     whole = join_unique(rows, firsts.select("sha", "first", "copies"), "sha").join(cut, ["doc", "sha"], "left")
@@ -395,7 +404,7 @@ RUN_NAMES = ["run_bucket", "bucket", "chunk", "low", "owner", "first", "size", "
 RUN_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
-def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) -> DataFrame:
+def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how: str) -> DataFrame:
     """bucket, chunk, from, to: the spans to cut out of each chunk."""
 
     def shared(row: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple:
@@ -490,7 +499,7 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) ->
             return compare(part)
         return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "from": part.column("first"), "to": part.column("size")})
 
-    told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(answers.hint("shuffle_hash"), ["bucket", "chunk"])
+    told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(answers.hint(how), ["bucket", "chunk"])
     sent = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
     # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled where they were found (run_bucket -1, spread by chunk).
     dealt = sent.withColumn("group", F.when(F.col("run_bucket") >= 0, F.col("run_bucket").cast("long")).otherwise(-1 - F.col("chunk")))
@@ -498,7 +507,7 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int) ->
     return spans.groupBy("bucket", "chunk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
 
 
-def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
+def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool, how: str) -> DataFrame:
     """doc, sha, removed, spans, kept, kept_bytes of each packed text."""
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,5 +528,5 @@ def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     out.append((doc, sha, n, int(np.count_nonzero(np.diff(np.concatenate([[0], g.astype(np.int8)])) == 1)), hashlib.sha256(kept).hexdigest() if n else sha, kept if with_text else None))
                 yield _parts(list(zip(*out, strict=True)), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], ["doc", "sha", "removed", "spans", "kept", "kept_bytes"])
 
-    told = chunks.join(spans.hint("shuffle_hash"), ["bucket", "chunk"], "left")
+    told = chunks.join(spans.hint(how), ["bucket", "chunk"], "left")
     return told.mapInArrow(cut_out, "doc long, sha string, removed long, spans long, kept string, kept_bytes binary")

@@ -158,6 +158,13 @@ def test_pre_split():
         assert ["".join(map(stand_in.__getitem__, w.encode())) for w in bpe.split(text)] == want
 
 
+def test_suffix_large(docs, none, monkeypatch):
+    """The way of very large inputs: small buckets, short runs, sorted joins; the same results."""
+    for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256)):
+        monkeypatch.setattr(suffix, name, value)
+    test_suffix(docs, none)
+
+
 def test_suffix(docs, none):
     got = suffix.remove_repeats(docs).collect()
     rows = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t, *_ in rows_of()]

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, split
 from .common import BASE, BASE_INVERSE, delete, give_back, mix, powers, shared_dir, slices
+from .words import WordIds
 
 END_ID = 2
 #: Ids in a chunk: least, the mean of what is beyond it, most.
@@ -51,19 +52,6 @@ PART_DOCS = 250_000
 LOOKED_AT, HOT, WAYS = 0.01, 1 / 1000, 64
 
 
-class Places(dict):
-    """A number for each word; words not seen before are listed in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct word.
 
@@ -86,28 +74,12 @@ class LibraryEncoder:
         self.model, self.stand_ins = self.tool.model, {byte: c for c, byte in byte_alphabet().items()}
         self.wide = self.tool.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
-        self.places = Places()
-        self.pool, self.starts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.words = WordIds(lambda w: [t.id for t in self.model.tokenize(self._spelled(w))], split, self.kind, REMEMBERED)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         special = [any(s in t for s in self.special) for t in texts]
-        place = self.places.__getitem__
-        rows = [np.fromiter(map(place, split(t)), np.int64) if not x else None for t, x in zip(texts, special, strict=True)]
-        before, new = len(self.starts) - 1, self.places.new
-        if new:
-            made, ends = [], []
-            for w in new:
-                made += [t.id for t in self.model.tokenize(self._spelled(w))]
-                ends.append(len(made))
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.array(ends, np.int64)])
-            self.pool = np.concatenate([self.pool, np.array(made, self.kind)])
-        out = [self._gather(r) if r is not None else np.array(self.tool.encode(t, add_special_tokens=False).ids, self.kind) for t, r in zip(texts, rows, strict=True)]
-        if len(self.places) > REMEMBERED:  # the new words served this call alone
-            for w in new:
-                del self.places[w]
-            self.pool, self.starts = self.pool[: self.starts[before]].copy(), self.starts[: before + 1].copy()
-        new.clear()
-        return out
+        plain = iter(self.words.encode([t for t, x in zip(texts, special, strict=True) if not x]))
+        return [np.array(self.tool.encode(t, add_special_tokens=False).ids, self.kind) if x else next(plain) for t, x in zip(texts, special, strict=True)]
 
     def _spelled(self, word: str) -> str:
         """A word in the stand-ins of its bytes; printable ASCII stands for itself, but for the space."""
@@ -115,13 +87,6 @@ class LibraryEncoder:
             return word.replace(" ", self.stand_ins[0x20])
         return word.encode().decode("latin-1").translate(self.stand_ins)
 
-    def _gather(self, places: np.ndarray) -> np.ndarray:
-        starts = self.starts[places]
-        sizes = self.starts[places + 1] - starts
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(starts - ends + sizes, sizes) + np.arange(total)]
-
 
 _tools: dict[str, LibraryEncoder] = {}
 

@@ -130,6 +130,22 @@ def test_bpe(docs, none):
     assert t[1].n_tokens == 0 and bpe.digests(none, queries.vocabulary()).count() == 0
 
 
+def test_word_table():
+    """Words are told apart by all their bytes: short and long, equal ends, zero bytes, a full memory, a crowded table."""
+    from gridloom.llm import words
+
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("ab\0é😀 "), rng.integers(0, 60))) for _ in range(300)] + ["a" * n for n in range(40)] + ["a" * n + "b" for n in range(40)]
+    for remembered, bits in ((10_000, 21), (20, 21), (3000, 12)):
+        seen: dict[str, int] = {}
+        tool = words.WordIds(lambda w: [seen.setdefault(w, len(seen)), len(w)], lambda t: re.findall(r"\S+|\s+", t), np.uint32, remembered)
+        tool.table = words.WordTable(bits)
+        for _ in range(2):
+            for k in range(0, len(texts), 50):
+                for t, ids in zip(texts[k : k + 50], tool.encode(texts[k : k + 50]), strict=True):
+                    assert ids.tolist() == [x for w in re.findall(r"\S+|\s+", t) for x in (seen[w], len(w))]
+
+
 def test_bpe_long_words():
     """Words without a break, short alphabets and long ones: one table look-up path, the library's ids."""
     tool, e, rng = library(), bpe.encoder(queries.vocabulary()), np.random.default_rng(4)

@@ -146,12 +146,12 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
     block = prod(store_dims[:-1]) if picked is not None else prod(store_dims)
     starts = [k * block for k in sorted(set(picked))] if picked is not None else [0]
     segments = _segments(path, d, prod(store_dims))
-    whole = bits or not os.path.isdir(path) and not is_seekable(path)
-    # A task a run of values; gzip and bits are read forward by one task.
+    whole = not os.path.isdir(path) and not is_seekable(path)
+    # A task a run of values; gzip is read forward by one task.
     if whole:
-        runs = [(starts[0] if starts else 0, 0, segments[0][2] if segments else path, segments[0][3] if segments else d.offset)]
+        runs = [(starts[0] if starts else 0, 0, path, d.offset, 0)]
     else:
-        runs = [(a, min(RUN, end - a), file, base + (a - first) * size) for s in starts for first, n, file, base in segments for end in [min(s + block, first + n)] for a in range(max(s, first), end, RUN)]
+        runs = [(a, min(RUN, end - a), file, base + ((a - first) // 8 if bits else (a - first) * size), (a - first) % 8) for s in starts for first, n, file, base in segments for end in [min(s + block, first + n)] for a in range(max(s, first), end, RUN)]
     keep = spark.sparkContext.broadcast(mask_bits(mask, prod(view_dims[:spatial]))) if mask is not None and form == "sparse" and prod(view_dims[:spatial]) <= MOST_MASK else None
     wanted = sorted(starts)
     value = "struct<re:double,im:double>" if d.type.startswith("complex") else "boolean" if bits else PACKED[d.type][0] if form == "packed" else "double" if scaled or d.type in ("uint32", "int64", "float32", "float64") else "int"
@@ -187,17 +187,17 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, file, base in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base")), strict=True):
+            for at, n, file, base, bit in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base", "bit")), strict=True):
                 with open_stream(file) as stream:
                     skip(stream, base)
-                    if bits:
-                        total = prod(store_dims)
+                    if bits:  # volumes may start inside a byte
+                        total = prod(store_dims) if whole else bit + n
                         raw = stream.read(-(-total // 8))
                         if len(raw) * 8 < total:
                             raise EOFError("the stream ends before the data")
                         x = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little" if d.bit_order == "lsb" else "big")[:total].astype(bool)
-                        for s in wanted:
-                            yield wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + block, dtype=np.int64)), pa.array(x[s : s + block])], ["p", "v"]))
+                        for s, m, first in [(s, block, s) for s in wanted] if whole else [(at, n, bit)]:
+                            yield wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + m, dtype=np.int64)), pa.array(x[first : first + m])], ["p", "v"]))
                         continue
                     here = 0 if whole else at
                     for s, m in [(s, block) for s in wanted] if whole else [(at, n)]:
@@ -207,7 +207,7 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
                             s += len(raw) // size
                         here = s
 
-    frame = spark.createDataFrame(runs, "at long, n long, file string, base long").repartition(max(1, min(len(runs), 10_000)))
+    frame = spark.createDataFrame(runs, "at long, n long, file string, base long, bit int").repartition(max(1, min(len(runs), 10_000)))
     raw = frame.mapInArrow(run, f"p long, v {value}")
     axes = [L.axis_of(F.col("p"), store_dims, k) for k in range(len(store_dims))]
     view = [axes[abs(s) - 1] if s > 0 else F.lit(n - 1) - axes[abs(s) - 1] for s, n in zip(layout, view_dims, strict=True)]
@@ -276,7 +276,10 @@ def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescrip
     for k, s in enumerate(layout):
         own[abs(s) - 1] = view[k] if s > 0 else F.lit(image.dims[k] - 1) - view[k]
     ranged = rows.select(L.flatten(own, store_dims).alias("p"), "v")
-    ranged = ranged.repartition(1) if d.type == "bit" else ranged.repartitionByRange("p")
+    if d.type == "bit":  # partitions begin where a byte does
+        ranged = ranged.withColumn("block", F.call_function("div", F.col("p"), F.lit(MASK_BLOCK))).repartitionByRange("block").drop("block")
+    else:
+        ranged = ranged.repartitionByRange("p")
     in_parts = path.endswith(".parts")
     parts, total = path if in_parts else f"{path}.parts", prod(image.dims)
     shutil.rmtree(parts, ignore_errors=True)

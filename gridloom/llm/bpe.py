@@ -46,9 +46,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .words import WordIds
 
 #: Words whose ids a worker remembers at most; any other word is encoded anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: White space of the pre-splitting pattern (the Unicode property), fixed values.
 WHITE = "\t-\r \x85\xa0  -     　"
 
@@ -261,39 +262,26 @@ class Automaton:
                 yield bool(k % 2), part
 
 
-class Words(dict):
-    """The ids of words seen before, as bytes; others are encoded on demand."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.automaton.word(word.encode("utf-8", "surrogatepass")), np.uint32).tobytes()
-        if len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
-
-
 class Encoder:
     """An automaton with the memory of words; one per worker."""
 
     def __init__(self, path: str):
         self.automaton = Automaton(path)
-        self.known = Words(self.automaton)
+        self.words = WordIds(lambda w: self.automaton.word(w.encode("utf-8", "surrogatepass")), split, np.uint32, REMEMBERED)
         labels = self.automaton.labels
         self.label_bytes = np.frombuffer(b"".join(labels), np.uint8)
         self.label_sizes = np.array(list(map(len, labels)), np.int64)
         self.label_starts = np.concatenate([[0], np.cumsum(self.label_sizes)[:-1]])
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; special tokens in a text stand for themselves."""
+        pieces = [list(self.automaton.pieces(t)) for t in texts]
+        plain = iter(self.words.encode([p for own in pieces for special, p in own if not special]))
+        ids = [[np.array([self.automaton.special[p]], np.uint32) if special else next(plain) for special, p in own] for own in pieces]
+        return [own[0] if len(own) == 1 else np.concatenate([np.zeros(0, np.uint32), *own]) for own in ids]
+
     def encode(self, text: str) -> np.ndarray:
-        parts: list[bytes] = []
-        for special, piece in self.automaton.pieces(text):
-            if special:
-                parts.append(np.uint32(self.automaton.special[piece]).tobytes())
-            else:
-                parts += map(self.known.__getitem__, split(piece))
-        return np.frombuffer(b"".join(parts), np.uint32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The arc labels of some ids, one after the other."""
@@ -347,8 +335,7 @@ def _run(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, full: boo
         for batch in batches:
             for part in slices(batch):
                 counts, left, right = [], [], []
-                for text in part.column("text").to_pylist():
-                    ids = tool.encode(text or "")
+                for ids in tool.encode_all([t or "" for t in part.column("text").to_pylist()]):
                     decoded = tool.decode(ids)
                     counts.append(len(ids))
                     if full:

@@ -276,8 +276,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept_bytes on demand)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = texts.select("doc", F.sha2(F.col("text"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
-    rows = settle(marks.groupBy("doc", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times")))
+    marks = texts.select("doc", F.sha2(F.col("text"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), *([F.when(F.octet_length("text") < LENGTH, F.col("text").cast("binary")).alias("short")] if with_text else []))
+    rows = settle(marks.groupBy("doc", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times"), *([F.first("short").alias("short")] if with_text else [])))
     firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -327,14 +327,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     delete(spark, folder)
     whole = join_unique(rows, firsts.select("sha", "first", "copies"), "sha").join(cut, ["doc", "sha"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    kept_bytes = F.when(copy, F.lit(b"")).otherwise(F.col("kept_bytes")).alias("kept_bytes")
     out = whole.select(
         F.when(F.col("doc") != LARGEST, F.col("doc")).alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        *([kept_bytes] if with_text else []),
+        *([F.when(copy, F.lit(b"")).otherwise(F.coalesce("kept_bytes", "short")).alias("kept_bytes")] if with_text else []),  # texts under LENGTH bytes were not packed
         F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_time"),
     )
     return out.drop("_time")

@@ -59,6 +59,18 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_join_unique(spark):
+    """Rows of hot keys and of others find their key's row, each once."""
+    from pyspark.sql import functions as F
+
+    from gridloom.llm.common import join_unique
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"))
+    known = rows.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    got = sorted(map(tuple, join_unique(rows, known, "key").select("id", "key", "least").collect()))
+    assert got == [(i, 0 if i % 3 == 0 else i, 0 if i % 3 == 0 else i) for i in range(6000)]
+
+
 def test_simhash_large_bucket(spark, monkeypatch):
     rng = np.random.default_rng(1)
     fps = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 32, (300, 5)).astype(np.uint64), axis=1)).view(np.int64)
@@ -174,29 +186,60 @@ def test_pre_split():
         assert ["".join(map(stand_in.__getitem__, w.encode())) for w in bpe.split(text)] == want
 
 
-def test_suffix_large(docs, none, monkeypatch):
-    """The way of very large inputs: small buckets, short runs, sorted joins; the same results."""
-    for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256)):
-        monkeypatch.setattr(suffix, name, value)
-    test_suffix(docs, none)
-
-
-def test_suffix(docs, none):
-    got = suffix.remove_repeats(docs).collect()
-    rows = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t, *_ in rows_of()]
+def removed_by_brute_force(rows):
+    """(doc_id, bytes, removed, spans, digest of the rest) of each (doc_id, text), null ids last."""
+    rows = [((1 << 63) - 1 if i is None else i, (t or "").encode()) for i, t in rows]
     least = {}
     for i, b in sorted(rows):
         for k in range(len(b) - 49):
             least.setdefault(b[k : k + 50], i)
-    want = collections.Counter()
+    out = collections.Counter()
     for i, b in rows:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 49):
             if least[b[k : k + 50]] < i:
                 gone[k : k + 50] = True
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    assert collections.Counter(((1 << 63) - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == want
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out[i, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def test_suffix_random(spark, monkeypatch):
+    """Shared passages, near copies, short periods of many lengths, equal and missing ids, at two settings of all sizes."""
+    rng = np.random.default_rng(14)
+    passages = ["".join(rng.choice(list("abcde é"), int(rng.integers(45, 140)))) for _ in range(8)]
+    texts = []
+    for k in range(160):
+        kind = k % 5
+        if kind < 2:
+            texts.append("".join(str(rng.choice(passages)) + "".join(rng.choice(list("xyz "), int(rng.integers(0, 30)))) for _ in range(int(rng.integers(1, 5)))))
+        elif kind == 2:
+            t = list(texts[int(rng.integers(0, len(texts)))])
+            t[int(rng.integers(0, len(t)))] = "!"
+            texts.append("".join(t))
+        else:
+            texts.append("ab " * int(rng.integers(10, 60)) if kind == 3 else "7" * int(rng.integers(40, 200)))
+    rows = [(None if k % 31 == 0 else int(rng.integers(0, 120)), t) for k, t in enumerate(texts)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), removed_by_brute_force(rows)
+    for small in (False, True):
+        for name, value in (("MOST_RUN", 7), ("CHUNK_BYTES", 900), ("CHUNK_BUCKET", 2000), ("ANCHOR_BUCKET", 500), ("RUN_BUCKET", 300), ("TOGETHER", 2000), ("PIECE_BYTES", 400), ("BLOCK_BYTES", 200)):
+            if small:
+                monkeypatch.setattr(suffix, name, value)
+        got = suffix.remove_repeats(df, with_text=True).collect()
+        assert collections.Counter(((1 << 63) - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:5]) for r in got) == want
+        assert all(hashlib.sha256(bytes(r.kept_bytes)).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_suffix_large(docs, none, monkeypatch):
+    """The way of very large inputs: small buckets, short runs, sorted joins; the same results."""
+    for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256)):
+        monkeypatch.setattr(suffix, name, value)
+    test_suffix(docs, none)
+
+
+def test_suffix(docs, none):
+    got = suffix.remove_repeats(docs).collect()
+    assert collections.Counter(((1 << 63) - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == removed_by_brute_force([(i, t) for i, t, *_ in rows_of()])
     assert suffix.remove_repeats(none).count() == 0
 
 
@@ -516,6 +559,16 @@ def test_html_plain_elements(spark):
     assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == want
 
 
+def test_html_many_hosts(spark, monkeypatch):
+    """Where keys and wrappers are too many to broadcast, pages find the same texts."""
+    pages = [(k, f"http://h{k % 9}.org/{k}", f"<html><body><div>Home of all</div><p>page {k} tells {' '.join(LOREM.split()[k % 30 :])}</p></body></html>") for k in range(90)] + [(99, None, "<p>alone</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = sorted(map(tuple, html.main_text(df).select("page_id", "text").collect()))
+    monkeypatch.setattr(html, "MOST_KEYS", 0)
+    monkeypatch.setattr(html, "MOST_WRAPPERS", 0)
+    assert sorted(map(tuple, html.main_text(df).select("page_id", "text").collect())) == want and len(want) == 91 and "Home" not in want[5][1]
+
+
 def test_html_nesting():
     """Deeply nested and unclosed elements take time in proportion to the page."""
     import time

@@ -23,19 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component one row stays: that of the smallest doc_id, null last.
 
-    Rows are told apart by a key made of their columns, so different texts of one
-    doc_id, or without one, are rows of their own. Of rows of one doc_id in a
-    component the one of the smallest key stays; wholly equal rows are one row.
+    Rows are told apart by a number of their own that is written with them, so
+    different texts of one doc_id, or without one, are rows of their own. Of rows
+    of one doc_id in a component the one with the least hash of its columns stays.
     """
     names = [f"c_{i}" for i in range(len(docs.columns))]  # columns of docs may have any names
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    plain = docs.toDF(*names)
-    hashed = [f.name for f in plain.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
-    mine = plain.withColumn("key", F.xxhash64(*hashed, *(F.col(c).isNull() for c in hashed)))
-    groups = simhash.near_duplicates(mine.select("key", text.alias("text")), "key").select("key", "component_id").distinct()
-    ranked = mine.select("key", F.struct(doc_id.isNull(), doc_id, "key").alias("rank")).join(groups, "key")
-    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.key").alias("key"))
-    return mine.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*names).toDF(*docs.columns)
+    mine = settle(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    hashed = [f.name for f in mine.schema.fields if f.name != "row" and "map<" not in f.dataType.simpleString()]  # maps have no hash
+    groups = simhash.near_duplicates(mine.select("row", text.alias("text")), "row").select("row", "component_id")
+    rank = F.struct(doc_id.isNull(), doc_id, F.xxhash64(*hashed), "row").alias("rank")
+    kept = mine.select("row", rank).join(groups, "row").groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    return mine.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

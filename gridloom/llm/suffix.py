@@ -70,6 +70,8 @@ MOST_BUCKETS, WIDEST_CHUNK_BUCKET = 100_000, 256 << 20
 #: Bytes of text from which on chunks are larger and joins sort.
 LARGE = 4 << 40
 LARGEST = (1 << 63) - 1
+#: Repeated rows that are given out from one list.
+REPEATS = 10_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunk_bytes, how = (4 * CHUNK_BYTES, "merge") if total >= LARGE else (CHUNK_BYTES, "shuffle_hash")
     n_anchor, n_run = share(min(max(ANCHOR_BUCKET, total // MANY), WIDEST_ANCHOR_BUCKET)), share(RUN_BUCKET)
     # What texts are dealt by takes many values, so that the partitions come out even.
-    bucket_of = F.hash("doc").alias("bucket")
+    bucket_of = F.hash("doc", "sha").alias("bucket")
 
     # Chunks: texts of one partition, a few MB to a row, under the bucket of their first text.
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,8 +315,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"
     with _by_bucket(spark, n_buckets):  # fewer buckets than shuffle partitions would be dealt anew
-        sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "doc", "sha").repartition(n_buckets, "bucket")
-        dealt = texts.where(F.octet_length("text") >= LENGTH).select(bucket_of, "doc", F.sha2(F.col("text"), 256).alias("sha"), "text").repartition(n_buckets, "bucket")
+        sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "*").repartition(n_buckets, "bucket")
+        dealt = texts.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2(F.col("text"), 256).alias("sha"), "text").select(bucket_of, "*").repartition(n_buckets, "bucket")
         # An inner join: a semi-join would be moved below the dealing, and texts dealt twice. Sources are unique.
         packed = dealt.join(sources.hint("merge"), ["bucket", "doc", "sha"]).sortWithinPartitions("bucket", "doc", "sha")
         packed = packed.mapInArrow(pack, "bucket int, chunk long, docs array<long>, shas array<string>, offsets array<long>, data binary")
@@ -334,9 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
         *([F.when(copy, F.lit(b"")).otherwise(F.coalesce("kept_bytes", "short")).alias("kept_bytes")] if with_text else []),  # texts under LENGTH bytes were not packed
-        F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_time"),
+        F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(REPEATS))).alias("_from"),  # a row for each of the repeated ones, by lists of bounded length
+        "times",
     )
-    return out.drop("_time")
+    return out.withColumn("_time", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + REPEATS, F.col("times")) - 1))).drop("_time", "_from", "times")
 
 
 def _each(batch: pa.RecordBatch):

@@ -232,7 +232,7 @@ def test_suffix_random(spark, monkeypatch):
 
 def test_suffix_large(docs, none, monkeypatch):
     """The way of very large inputs: small buckets, short runs, sorted joins; the same results."""
-    for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256)):
+    for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256), ("REPEATS", 1)):
         monkeypatch.setattr(suffix, name, value)
     test_suffix(docs, none)
 
@@ -319,6 +319,10 @@ def test_decontamination(spark, docs, none):
     assert decontam.find_items(none, items).count() == 0 and decontam.find_items(docs, items.limit(0)).count() == 0
     kept = decontam.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {2, 3}
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(decontam.drop_contaminated(docs, items, 0)) == rows(kept)
+    nameless = docs.where("doc_id is null").unionByName(docs.where("doc_id = 2").withColumn("doc_id", docs.doc_id * None))
+    assert decontam.drop_contaminated(nameless, items).count() == decontam.drop_contaminated(nameless, items, 0).count() == 0
 
 
 def test_decontamination_heavy(spark):

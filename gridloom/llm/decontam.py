@@ -43,6 +43,8 @@ from .common import BASE, BASE_INVERSE, SPACE, flat, mix, powers, settle, slices
 WINDOW, CONTAINED, LITERAL, CONSISTENT = 5, 0.8, 3, 0.8
 #: Benchmark windows up to which their hashes go to every worker (8 bytes each) to thin out the join's other side.
 MOST_BROADCAST = 1 << 21
+#: Ids of documents that hold an item up to which they go to every worker (8 bytes each) to drop those documents.
+MOST_IDS = 1 << 21
 
 #: Units that become a placeholder (fixed values).
 UNITS = ["kg", "g", "mg", "km", "m", "cm", "mm", "mile", "miles", "inch", "inches", "feet", "foot", "yard", "yards", "lb", "lbs", "pound", "pounds", "oz", "ounce", "ounces", "litre", "litres", "liter", "liters", "ml", "gallon", "gallons", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "percent", "degrees", "mph", "kmh"]
@@ -299,10 +301,14 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
     return held.join(members, "kind").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "r.n_items", "r.n_windows", "r.n_matched", "r.consistency")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_IDS) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    bad = find_items(docs, items).select("doc_id").distinct()
+    bad = settle(find_items(docs, items).select("doc_id").distinct())
     names = [f"c_{i}" for i in range(len(docs.columns))]  # columns of docs may have any names
     mine = docs.toDF(*names)
     key = F.col(names[docs.columns.index("doc_id")])
-    return mine.join(bad, key.eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)
+    if bad.count() <= most_broadcast:  # the size is checked: texts stay where they are
+        return mine.join(F.broadcast(bad), key.eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)
+    # Rows without an id would all meet in one task: one answer serves them all.
+    nameless = mine.where(key.isNull()).where(F.lit(bad.where("doc_id is null").isEmpty()))
+    return mine.where(key.isNotNull()).join(bad, key == F.col("doc_id"), "left_anti").unionByName(nameless).toDF(*docs.columns)

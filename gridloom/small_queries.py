@@ -202,7 +202,7 @@ def _operators() -> None:
     _add("number_to_the_dense", lambda s, d: cells(2 ** (cube(s, d, "dense") / 1000)).withColumn("v", F.round("v", 9)), full.format("round(pow(2, v / 1000), 9)"))
     _add("number_modulo_packed", lambda s, d: cells(1000 % (cube(s, d, "packed") + 7)), full.format("1000 - (v+7) * floor(1000 / (v+7))"))
     _add("number_less_than_dense", lambda s, d: cells(60 < cube(s, d, "dense"), "boolean"), full.format("60 < v"))
-    _add("operators_of_images", lambda s, d: cells((cube(s, d) * 3 - cube(s, d)) ** 2 // 7 + abs(-cube(s, d))), full.format("floor((2*v)*(2*v)/7) + v"))
+    _add("operators_of_images", lambda s, d: cells(((cube(s, d) * 3 - cube(s, d)) ** 2 // 7 + abs(-cube(s, d))).as_dense()), full.format("floor((2*v)*(2*v)/7) + v"))
     _add("not_of_image", lambda s, d: cells(~(cube(s, d) > 60), "boolean"), full.format("NOT (v > 60)"))
     weights = np.arange(4200.0).reshape(50, 7, 12, order="F")
     _add("sparse_plus_array", lambda s, d: cells(cube(s, d) + weights), full.format("v + (i+50*j+350*k)"))

@@ -563,6 +563,59 @@ def test_html_plain_elements(spark):
     assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == want
 
 
+def test_html_all_pages(spark, monkeypatch):
+    """What the template says is counted over all pages of a host: rare parts go, and a text that few pages have stays, whichever pages they are."""
+    from pyspark.sql import functions as F
+
+    words, rng = LOREM.split(), np.random.default_rng(4)
+    text = lambda n: " ".join(rng.choice(words, n))
+    made = lambda name: [(k, f"http://{name}.org/{k}") for k in range(240)]
+    order = spark.createDataFrame(made("art"), "page_id long, url string").orderBy(F.xxhash64("url", "page_id")).collect()
+    early = {r.page_id for r in order[:8]}
+    rows, want = [], {}
+    for k, url in made("art"):
+        body = [text(30) for _ in range(2 + k % 4)]
+        by = "Told by our own" if k in early else f"Told by {text(2)} {k}"
+        # A part on one page of 40, never on the first ones by hash.
+        paid = "<h5>Paid for by us</h5>" if k in [r.page_id for r in order[20::40]] else ""
+        rows.append((k, url, f"<html><body><article><h1>Piece {k}</h1><h4>{by}</h4>{paid}" + "".join(f"<p>{x}</p>" for x in body) + "</article></body></html>"))
+        want[k] = "\n".join([f"Piece {k}", by, *body])
+    late = {r.page_id for r in order[20::40]}
+    for k, url in made("plain"):
+        title, body = text(5), [text(40) for _ in range(3 + k % 3)]
+        div = lambda *x: "<div>" + "".join(x) + "</div>"
+        # One page has another footer; it keeps it, and the others still lose theirs.
+        foot = "Some rights kept by nobody" if k == 77 else "All rights kept"
+        rows.append((1000 + k, url, "<html><head><title>" + title + " | Site</title></head><body>" + div(div("Home"), div("About us")) + div(title) + div(*map(div, body)) + div(f"Read next: Piece {600 + k}") + div(foot) + "</body></html>"))
+        want[1000 + k] = "\n".join([title, *body])
+    assert len(late) == 6 and not late & early
+    df = spark.createDataFrame(rows + rows[:300], "page_id long, url string, html string")
+    for most in (html.MOST_WRAPPERS, 0):
+        monkeypatch.setattr(html, "MOST_WRAPPERS", most)
+        monkeypatch.setattr(html, "MOST_ROWS", 50)
+        got = html.main_text(df).collect()
+        assert len(got) == 780
+        for r in got:
+            assert r.text == want[r.page_id] or r.page_id == 1077 and r.text.startswith(want[1077]), r.page_id
+    for name, at in (("art", 0), ("plain", 240)):
+        pages = [p for *_, p in rows[at : at + 240]]
+        wrapper = html.infer(pages)
+        assert [html.extract(p, wrapper) for p in pages if "nobody" not in p] == [want[k] for k, u, p in rows if name in u and "nobody" not in p]
+
+
+def test_html_departures(spark, monkeypatch):
+    """Where a wrapper is full, what it does not take is counted by its place and tags."""
+    page = "<html><body><article><h1>Piece {0}</h1>{1}<p>{0} it was</p></article></body></html>"
+    extra = ["<h5>Paid for by us</h5>", "<ul><li><i>Paid for by us</i></li></ul>", "<ul><li><i>Paid for by us</i></li><li><i>Paid for by us</i></li></ul>", ""]
+    words = LOREM.split()
+    pages = [page.format(" ".join(words[k : k + 6]) + f" {k}", extra[k % 4]) for k in range(24)]
+    for most in (0, 20_000):
+        monkeypatch.setattr(html, "MOST_GROWN", most)
+        wrapper = html.infer(pages)
+        got = [html.extract(p, wrapper) for p in pages]
+        assert not any("Paid" in x for x in got) and all("it was" in x and "Piece" in x for x in got)
+
+
 def test_html_many_hosts(spark, monkeypatch):
     """Where keys and wrappers are too many to broadcast, pages find the same texts."""
     pages = [(k, f"http://h{k % 9}.org/{k}", f"<html><body><div>Home of all</div><p>page {k} tells {' '.join(LOREM.split()[k % 30 :])}</p></body></html>") for k in range(90)] + [(99, None, "<p>alone</p>")]

@@ -16,8 +16,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .functions.exact import missing
 from .geometry import Geometry, keep_axes, make_geometry, permute_axes, with_transform, with_voxel_size, world_axes
+from .plans import graph as G
 from .plans import layout as L
 
 #: Packed types: Spark type, least and most value (None: floating), numpy code.
@@ -38,6 +40,8 @@ class Image:
     stored: str | None = None  # packed type
     slope: float = 1.0
     intercept: float = 0.0
+    formula: G.Formula | None = None  # how the cells come about, in storage order
+    tiles: blocks.Tiles | None = None  # the cells as blocks, in view order
 
     def __post_init__(self):
         if not 1 <= self.spatial <= len(self.dims):
@@ -52,6 +56,10 @@ class Image:
         if self.kind == "sparse" and any(abs(s) != k + 1 or s < 0 for k, s in enumerate(layout) if k >= self.spatial):
             raise ValueError("the layout of a sparse image moves spatial axes only")
         object.__setattr__(self, "layout", layout)
+        if self.formula is not None and self.formula.cells is not self.cells:  # other cells took their place
+            object.__setattr__(self, "formula", None)
+        if self.tiles is not None and (self.tiles.cells is not self.cells or tuple(a.dim for a in self.tiles.axes) != self.dims):
+            object.__setattr__(self, "tiles", None)
 
     # -- sizes and predicates
     @property
@@ -166,12 +174,55 @@ class Image:
         n = self.n_locations
         return self.cells.sparkSession.range(self.length).select((F.col("id") % n).alias("loc"), F.call_function("div", F.col("id"), F.lit(max(1, n))).cast("int").alias("elem"))
 
+    # -- formulas
+    def origin(self) -> G.Formula:
+        """The formula of the values, or the cells themselves as its one leaf; packed values are read."""
+        if self.formula is not None:
+            return self.formula
+        plain = self.is_sparse or not self.is_packed and self.layout == L.identity(len(self.dims))
+        tiles = blocks.unpacked(self.tiles, self.stored, self.slope, self.intercept) if self.tiles and self.is_packed else self.tiles
+        return G.of_leaf(G.Leaf(self.cells if plain else self.view(), dense=not self.is_sparse, tiles=tiles))
+
+    def computed(self, formula: G.Formula, kind: str, value_type: str, **more) -> Image:
+        """The image of a formula over this one's grid; zeros of a sparse one are dropped, blocks stay blocks."""
+        if kind == "dense" and G.tiled(formula):
+            out = replace(self.of_tiles(blocks.elementwise([leaf.tiles for leaf in formula.leaves], formula.build)), value_type=value_type, **more)
+            return replace(out, formula=replace(formula, cells=out.cells))
+        if kind == "sparse":
+            zero = F.lit(0.0)
+            inner = formula
+            formula = G.applied(inner, lambda v: v + zero) if value_type == "double" else inner
+        cells = G.compiled(formula, self.full_grid, self.n_elements == 1)
+        out = replace(self, cells=cells, kind=kind, value_type=value_type, stored=None, slope=1.0, intercept=0.0, layout=self.layout if kind == "sparse" else None, formula=None, **more)
+        out = tighten(out) if kind == "sparse" else out
+        return replace(out, formula=replace(formula, cells=out.cells))
+
+    # -- blocks
+    def of_tiles(self, tiles: blocks.Tiles) -> Image:
+        """A dense image of this one's grid from blocks in view order."""
+        return replace(self, cells=tiles.cells, tiles=tiles, kind="dense", layout=None, stored=None, slope=1.0, intercept=0.0, formula=None)
+
+    def as_blocked(self, cells: int = blocks.TILE_CELLS) -> Image:
+        """The same dense or packed image stored as tiles of about so many cells."""
+        if self.is_sparse or self.value_type == "complex":
+            raise ValueError("blocks hold dense and packed images of real values")
+        if self.tiles is not None:
+            return self
+        axes = self.axes()
+        raw = self.cells.select(L.flatten(axes[: self.spatial], self.dims[: self.spatial]).alias("loc"), L.flatten(axes[self.spatial :], self.dims[self.spatial :]).alias("elem"), "v")
+        tiles = blocks.gathered(raw, self.dims, self.spatial, blocks.cut(self.dims, cells))
+        return replace(self, cells=tiles.cells, tiles=tiles, layout=None, formula=None)
+
     # -- conversions
     def as_dense(self) -> Image:
         if self.is_dense:
             return self
+        if self.is_packed and self.tiles:
+            return replace(self.of_tiles(blocks.unpacked(self.tiles, self.stored, self.slope, self.intercept)), value_type="double")
         if self.is_packed:
             return replace(self, cells=self.view(), kind="dense", value_type="double", layout=None, stored=None, slope=1.0, intercept=0.0)
+        if self.value_type != "complex" and self.layout == L.identity(len(self.dims)) and (self.formula or self.value_type == "double"):
+            return self.computed(replace(self.origin(), full=True), "dense", self.value_type)
         held = self.view().withColumn("present", F.lit(True))
         zero = F.expr(f"cast({'named_struct(\"re\", 0D, \"im\", 0D)' if self.value_type == 'complex' else '0'} as {VALUE_TYPES[self.value_type]})")
         # Zero only where nothing was stored: a stored NULL stays NULL.
@@ -199,7 +250,7 @@ class Image:
         if least is not None or a is None and least is not None:
             v = F.col("v").cast("double")
             bad = missing(v) | (F.abs(v) == float("inf"))
-            row = dense.cells.agg(F.min(F.when(~bad, v)).alias("lo"), F.max(F.when(~bad, v)).alias("hi"), F.count_if(bad).alias("bad"), F.bool_and(F.when(~bad, v == F.floor(v).cast("double"))).alias("whole")).first()
+            row = blocks.value_range(dense.tiles) if dense.tiles else dense.cells.agg(F.min(F.when(~bad, v)).alias("lo"), F.max(F.when(~bad, v)).alias("hi"), F.count_if(bad).alias("bad"), F.bool_and(F.when(~bad, v == F.floor(v).cast("double"))).alias("whole")).first()
             if least is not None and row["bad"]:
                 raise ValueError("integers can't hold missing or infinite values")
             if a is None:
@@ -207,6 +258,9 @@ class Image:
         a, b = 1.0 if a is None else a, 0.0 if b is None else b
         if not a:
             raise ValueError("the slope may not be zero")
+        if dense.tiles:
+            tiles = blocks.packed(dense.tiles, stored, PACKED[stored], float(a), float(b))
+            return replace(dense, cells=tiles.cells, tiles=tiles, formula=None, kind="packed", stored=stored, slope=float(a), intercept=float(b), value_type="double")
         v = (F.col("v").cast("double") - F.lit(float(b))) / F.lit(float(a))
         if least is not None:
             v = F.least(F.greatest(F.rint(v), F.lit(float(least))), F.lit(float(most)))
@@ -226,6 +280,9 @@ class Image:
         if turn == L.identity(len(self.dims)):
             return self
         dims = tuple(self.dims[abs(s) - 1] for s in turn)
+        if self.tiles:
+            tiles = self.tiles.turned(turn, self.spatial)
+            return replace(self, cells=tiles.cells, tiles=tiles, dims=dims, formula=None, geometry=permute_axes(self.grid, turn[: len(self.grid.dims)]) if self.spatial <= 3 else None)
         out = replace(self, dims=dims, layout=L.compose(turn, self.layout), geometry=permute_axes(self.grid, turn[: len(self.grid.dims)]) if self.spatial <= 3 else None)
         return replace(out, cells=out.view(), layout=None) if self.is_dense else out
 

@@ -1,8 +1,8 @@
 """Elementwise operators over images: arithmetic, comparison, logic, functions, masks.
 
 A sparse image stays sparse where the operation takes zero to zero; that is
-decided on the driver from the exact value at zero. Two sparse images are
-aligned by a full outer join of their cells.
+decided on the driver from the exact value at zero. Results are formulas
+(plans.graph): an expression of many operators reads each image's cells once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import BINARY, LOGICAL_RESULT, MATH, MATH_AT_ZERO, binary_at_zero, missing, round_even, signif
 from ..image import Image, from_cells, from_numpy, is_zero, tighten
+from ..plans import graph as G
 from ..plans import layout as L
+from .masks import Mask, of_locations
 
 
 def _type(op: str) -> str:
@@ -53,10 +55,10 @@ def binary(x: Operand, op: str, y: Operand) -> Image:
     at_zero = (0.0, number) if image is x else (number, 0.0)
     sides = lambda v: f(v, F.lit(number).cast("double")) if image is x else f(F.lit(number).cast("double"), v)
     if image.is_sparse and _stays_zero(binary_at_zero(op, *at_zero)):
-        return tighten(replace(image, cells=image.cells.select("loc", "elem", sides(F.col("v")).alias("v")), value_type=_type(op)))
+        return image.computed(G.applied(image.origin(), sides), "sparse", _type(op))
     keeps = image.is_sparse or op not in LOGICAL_RESULT
     dense = image.as_dense()
-    return replace(dense, cells=dense.view().select("loc", "elem", sides(F.col("v")).alias("v")), value_type=_type(op), layout=None, geometry=image.geometry if keeps else None)
+    return dense.computed(G.applied(dense.origin(), sides), "dense", _type(op), geometry=image.geometry if keeps else None)
 
 
 def _with_array(x: Operand, op: str, y: Operand) -> Image:
@@ -84,22 +86,12 @@ def _pair(x: Image, op: str, y: Image, f) -> Image:
     if x.dims != y.dims or x.spatial != y.spatial:
         raise ValueError("the images differ in dimensions")
     both_sparse = x.is_sparse and y.is_sparse and _stays_zero(binary_at_zero(op, 0.0, 0.0))
-    if both_sparse and x.layout == y.layout:
-        a, b = x.cells, y.cells
-    else:
-        a, b = (i.view() if both_sparse else i.as_dense().view() for i in (x, y))
-    a = a.select("loc", "elem", F.col("v").alias("a"), F.lit(True).alias("in_a"))
-    b = b.select("loc", "elem", F.col("v").alias("b"), F.lit(True).alias("in_b"))
-    # Zero on a join miss only; a stored NULL stays.
-    left = F.when(F.col("in_a"), F.col("a").cast("double")).otherwise(F.lit(0.0))
-    right = F.when(F.col("in_b"), F.col("b").cast("double")).otherwise(F.lit(0.0))
-    cells = a.join(b, ["loc", "elem"], "full" if both_sparse else "inner").select("loc", "elem", f(left, right).alias("v"))
     keeps = x.is_sparse or y.is_sparse or op not in LOGICAL_RESULT
     geometry = (x.geometry or y.geometry) if keeps else None
     if both_sparse and x.layout == y.layout:
-        return tighten(replace(x, cells=cells, value_type=_type(op), geometry=geometry))
-    out = from_cells(cells, x.dims, x.spatial, "sparse" if both_sparse else "dense", _type(op), geometry)
-    return out.as_dense() if both_sparse else out
+        return x.computed(G.combined(x.origin(), y.origin(), f, False), "sparse", _type(op), geometry=geometry)
+    x, y = x.as_dense(), y.as_dense()
+    return x.computed(G.combined(x.origin(), y.origin(), f, True), "dense", _type(op), geometry=geometry)
 
 
 def _complex(x: Image, op: str, y) -> Image:
@@ -132,27 +124,26 @@ def math(x: Image, name: str, digits: int | None = None) -> Image:
         raise ValueError(f"functions are {', '.join(MATH)}")
     f = MATH[name] if digits is None else {"round": lambda v: round_even(v, digits), "signif": lambda v: signif(v, digits)}[name]
     if x.is_sparse and MATH_AT_ZERO[name] == 0:
-        return tighten(replace(x, cells=x.cells.select("loc", "elem", f(F.col("v").cast("double")).alias("v")), value_type="double"))
+        return x.computed(G.applied(x.origin(), lambda v: f(v.cast("double"))), "sparse", "double")
     dense = x.as_dense()
-    return replace(dense, cells=dense.view().select("loc", "elem", f(F.col("v").cast("double")).alias("v")), value_type="double", layout=None)
+    return dense.computed(G.applied(dense.origin(), lambda v: f(v.cast("double"))), "dense", "double")
 
 
 def unary(x: Image, op: str) -> Image:
     """+, - (sparse stays sparse) or ! (dense)."""
     if op == "!":
         dense = x.as_dense()
-        v = F.when(missing(F.col("v")), None).otherwise(F.col("v").cast("double") == 0)
-        return replace(dense, cells=dense.view().select("loc", "elem", v.alias("v")), value_type="logical", layout=None)
+        return dense.computed(G.applied(dense.origin(), lambda v: F.when(missing(v), None).otherwise(v.cast("double") == 0)), "dense", "logical")
     if op not in "+-":
         raise ValueError("unary operators are + - !")
     x = x.as_dense() if x.is_packed else x
-    return x if op == "+" else replace(x, cells=x.cells.select("loc", "elem", (-F.col("v").cast("double")).alias("v")), value_type="double")
+    return x if op == "+" else x.computed(G.applied(x.origin(), lambda v: -v.cast("double")), x.kind, "double")
 
 
 def is_missing(x: Image) -> Image:
     """Where values are missing, as a bare logical array."""
     dense = x.as_dense()
-    return replace(dense, cells=dense.view().select("loc", "elem", missing(F.col("v")).alias("v")), value_type="logical", layout=None, geometry=None)
+    return dense.computed(G.applied(dense.origin(), missing), "dense", "logical", geometry=None)
 
 
 #: Python's names of the operators; the first seven also with the image on the right.
@@ -181,17 +172,23 @@ def mask(x: Image) -> Image:
     """Which locations a sparse image holds, in view order."""
     if not x.is_sparse:
         raise TypeError("only sparse images have a mask")
-    held = x.view().select("loc").distinct().withColumn("v", F.lit(True))
-    cells = x.locations().join(held, "loc", "left").select("loc", F.lit(0).alias("elem"), F.coalesce("v", F.lit(False)).alias("v"))
+    cells = bits(x).everywhere().select("loc", F.lit(0).alias("elem"), "v")
     return from_cells(cells, x.dims[: x.spatial], x.spatial, value_type="logical", geometry=x.geometry)
 
 
+def bits(x: Image) -> Mask:
+    """The present locations of a sparse image in view order, or those where a logical or numeric one has other than zero."""
+    if x.is_sparse:
+        return of_locations(x.view(), x.n_locations)
+    return of_locations(x.view(), x.n_locations, F.col("v").cast("double") != 0)
+
+
 def mask_locations(m: Image, n_locations: int) -> DataFrame:
     """The locations (loc) that a mask selects: logical, numeric (other than zero) or a sparse image's own."""
     if m.n_locations != n_locations:
         raise ValueError("the mask does not fit the locations")
     if m.is_sparse:
-        return m.view().select("loc").distinct()
+        return bits(m).locations() if m.n_elements > 1 else m.view().select("loc")
     if m.n_elements != 1:
         raise ValueError("a mask has one value for each location")
     v = m.view()
@@ -200,12 +197,16 @@ def mask_locations(m: Image, n_locations: int) -> DataFrame:
     return v.where(F.col("v").cast("double") != 0).select("loc")
 
 
+def _as_mask(rows: DataFrame) -> Mask:
+    return of_locations(rows, 0)  # words need no size
+
+
 def masks_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.union(b).distinct()
+    return (_as_mask(a) | _as_mask(b)).locations()
 
 
 def masks_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, "loc", "left_semi")
+    return (_as_mask(a) & _as_mask(b)).locations()
 
 
 def repack(x: Image, locations: DataFrame) -> Image:
@@ -218,8 +219,9 @@ def repack(x: Image, locations: DataFrame) -> Image:
 
 
 def masked_matrix(x: Image) -> DataFrame:
-    """loc and values (array over elements) of each present location, in view order of locations."""
-    return x.view().groupBy("loc").agg(F.array_sort(F.collect_list(F.struct("elem", "v"))).alias("c")).select("loc", F.col("c.v").alias("values")).orderBy("loc")
+    """loc, place and values (array over elements) of each present location; place is its number in view order, from 0."""
+    columns = x.view().groupBy("loc").agg(F.array_sort(F.collect_list(F.struct("elem", "v"))).alias("c")).select("loc", F.col("c.v").alias("values"))
+    return bits(x).places(columns).select("loc", "place", "values")
 
 
 def stored_values(x: Image) -> DataFrame:
@@ -231,4 +233,4 @@ def stored_values(x: Image) -> DataFrame:
 
 def nonzero(x: Image) -> DataFrame:
     """Locations where some value is other than zero or missing."""
-    return x.view().where(F.coalesce(~is_zero(F.col("v"), x.value_type), F.lit(True))).select("loc").distinct()
+    return of_locations(x.view(), x.n_locations, F.coalesce(~is_zero(F.col("v"), x.value_type), F.lit(True))).locations()

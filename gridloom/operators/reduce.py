@@ -14,9 +14,12 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import blocks
 from ..functions.exact import INF, NAN, missing
 from ..image import Image
 from ..plans import layout as L
+from .extremes import first_extremes
+from .masks import of_locations
 
 REDUCTIONS = ("sum", "mean", "min", "max", "range", "prod", "var", "sd", "which.min", "which.max", "any", "all", "countNA")
 
@@ -46,13 +49,16 @@ def imreduce(image: Image, margin, what: str, na_rm: bool = False) -> DataFrame:
     cells, call_dims = keyed(image, kept)
     names = [f"m{i + 1}" for i in range(len(kept))]
     n = prod(call_dims)
+    tiles = image.origin().leaves[0].tiles if image.is_packed and image.tiles else image.tiles
     d = F.col("v").cast("double")
     cells = cells.withColumn("v", d)
     ok = F.when(~missing(F.col("v")), F.col("v"))
     bad = F.count_if(missing(F.col("v"))).alias("bad")
     sparse = image.is_sparse
-    if what in ("which.min", "which.max"):
-        grouped = _first_extreme(image, cells, names, what, n, sparse)
+    if tiles and n:
+        grouped = blocks.reduced(tiles, kept, what)
+    elif what in ("which.min", "which.max"):
+        grouped = _first_extreme(image, cells, kept, names, what, n)
     else:
         grouped = cells.groupBy(*names).agg(bad, F.count(F.lit(1)).alias("c"), *_partials(what, ok))
     if sparse or n == 0:
@@ -122,24 +128,12 @@ def _finish(what: str, gap: Column) -> list[Column]:
     return [F.when((gap > 0) & (F.col("c") == 0), 1).otherwise(F.col("a")).cast("int")]
 
 
-def _first_extreme(image: Image, cells: DataFrame, names: list[str], what: str, n: int, sparse: bool) -> DataFrame:
-    """bad, c, a (1-based first place of the extreme): two hash aggregates and a join on the margin, no sort of structs."""
-    v = F.when(~missing(F.col("v")), F.col("v"))
-    low = what == "which.min"
-    best = cells.groupBy(*names).agg(F.count_if(missing(F.col("v"))).alias("bad"), F.count(F.lit(1)).alias("c"), (F.min(v) if low else F.max(v)).alias("best"))
-    if not sparse:
-        hits = cells.join(best, names).where(F.col("v") == F.col("best")).groupBy(*names).agg(F.min("pos").alias("a"))
-        return best.join(hits, names, "left")
-    zero_wins = (F.col("c") < n) & ((F.col("best") > 0) if low else (F.col("best") < 0)) | F.col("best").isNull()
-    hits = cells.join(best, names).where(F.col("v") == F.col("best")).groupBy(*names).agg(F.min("pos").alias("hit"))
-    # Where zeros tie or win: the first place that is absent (or holds a zero).
-    # A stored place whose next one is absent gives that; spread over the cluster, no list of a group's places.
-    held = cells.select(*names, "pos")
-    after = held.select(*names, (F.col("pos") + 1).alias("pos")).join(held, [*names, "pos"], "left_anti").groupBy(*names).agg(F.min("pos").alias("next"))
-    firsts = held.groupBy(*names).agg(F.min("pos").alias("least")).join(after, names).select(*names, F.when(F.col("least") > 1, 1).otherwise(F.col("next")).alias("absent"))
-    out = best.join(hits, names, "left").join(firsts, names, "left")
-    a = F.when(F.col("c") == n, F.col("hit")).when(zero_wins, F.col("absent")).when(F.col("best") == 0, F.least("hit", "absent")).otherwise(F.col("hit"))
-    return out.select(*names, "bad", "c", a.alias("a"))
+def _first_extreme(image: Image, cells: DataFrame, kept: list[int], names: list[str], what: str, n: int) -> DataFrame:
+    """bad, c, a (1-based first place of the extreme) of each margin cell."""
+    dims = [image.dims[k] for k in kept]
+    keyed = cells.select(L.flatten([F.col(m) for m in names], dims).alias("key"), "pos", "v")
+    found = first_extremes(keyed, what == "which.min", n, image.is_sparse)
+    return found.select(*(L.axis_of(F.col("key"), dims, i).cast("int").alias(m) for i, m in enumerate(names)), "bad", "c", "a")
 
 
 def line_sums(image: Image, axis: int) -> DataFrame:
@@ -195,5 +189,5 @@ def _summary(image: Image, row, what: str, na_rm: bool):
 def sparseness(image: Image) -> float:
     """Sparse: the share of absent locations; else the share of zero values."""
     if image.is_sparse:
-        return 1 - image.cells.select("loc").distinct().count() / image.n_locations
+        return 1 - of_locations(image.cells, image.n_locations).count() / image.n_locations
     return image.cells.agg(F.count_if(image.value() == 0)).first()[0] / image.length

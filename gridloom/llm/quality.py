@@ -151,7 +151,8 @@ def _sample_features(docs: DataFrame) -> list:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, learn: str = "true") -> DataFrame:
     """id, text, y of at most ``rows`` labelled documents, chosen by a hash of doc_id.
 
-    The chosen ids are bounded by ``rows``, so they may be broadcast.
+    The chosen ids are bounded by ``rows``, so they may be broadcast. Of several
+    texts of one doc_id the one with the least hash is taken, whatever the order of rows.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null").where(learn)
@@ -159,7 +160,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, learn: str =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), "y")), "id").dropDuplicates(["id"])
+    return texts.join(F.broadcast(chosen.select(F.col("doc_id").alias("id"), "y")), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "t.text", "y")
 
 
 class NgramModel:

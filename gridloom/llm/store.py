@@ -311,6 +311,22 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("kind string, hash binary, doc_id long, n_tokens long, body binary").parquet(f"{path}/chunks").where("kind = 'chunk'").select("hash", "body")
 
 
+def _with_chunks(spark: SparkSession, path: str, held: DataFrame) -> DataFrame:
+    """The entries of all recipes with what ``held`` (hash, ...) says of their chunks, nulls where a chunk is not there."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    # Hot chunks are found in a sample of the uses; at most 1000 can have so large a share of it.
+    looked = _entries(recipes.sample(LOOKED_AT, seed=1)).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    seen = looked.orderBy(F.desc("n")).limit(int(1 / HOT)).collect()
+    least = max(100, HOT * sum(r["n"] for r in seen))
+    hot = [bytes(r["hash"]) for r in seen if r["n"] >= least]
+    way, every = F.lit(0), F.array(F.lit(0))
+    if hot:
+        is_hot = F.col("hash").isin([F.lit(h) for h in hot])
+        way = F.when(is_hot, F.pmod(F.xxhash64("start"), F.lit(WAYS)).cast("int")).otherwise(0)
+        every = F.when(is_hot, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(every)
+    return _entries(recipes).withColumn("way", way).join(held.withColumn("way", F.explode(every)), ["hash", "way"], "left")
+
+
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
     kind = check_manifest(spark, path)
@@ -334,32 +350,36 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(shifted(crc, after * 4).astype(np.int64)), pa.array(n)], ["doc_id", "start", "n_tokens", "crc", "n"])
 
     sums_df = _chunks(spark, path).mapInArrow(sums, "hash binary, crc long, held long")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    # Hot chunks are found in a sample of the uses; at most 1000 can have so large a share of it.
-    looked = _entries(recipes.sample(LOOKED_AT, seed=1)).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    seen = looked.orderBy(F.desc("n")).limit(int(1 / HOT)).collect()
-    least = max(100, HOT * sum(r["n"] for r in seen))
-    hot = [bytes(r["hash"]) for r in seen if r["n"] >= least]
-    place, every = F.lit(0), F.array(F.lit(0))
-    if hot:
-        is_hot = F.col("hash").isin([F.lit(h) for h in hot])
-        place = F.when(is_hot, F.pmod(F.xxhash64("start"), F.lit(WAYS)).cast("int")).otherwise(0)
-        every = F.when(is_hot, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(every)
-    entries = _entries(recipes).withColumn("place", place)
-    parts = entries.join(sums_df.withColumn("place", F.explode(every)), ["hash", "place"], "left").mapInArrow(shift, "doc_id long, start long, n_tokens long, crc long, n long")
+    parts = _with_chunks(spark, path, sums_df).mapInArrow(shift, "doc_id long, start long, n_tokens long, crc long, n long")
     whole = parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"))
     return whole.select("doc_id", "start", "n_tokens", F.when(F.col("n") == F.col("n_tokens"), F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document lacks a chunk"))).alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, token_ids of each document, put together from its chunks."""
+    """doc_id, start, token_ids of each document, put together from its chunks.
+
+    Fails where a chunk is missing, its ids do not fit its hash, or a document has not as many ids as its recipe says.
+    """
     kind = check_manifest(spark, path)
 
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("hash").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                if hashlib.blake2b(np.frombuffer(body, kind).astype("<u4").tobytes(), digest_size=HASH_BYTES).digest() != name:
+                    raise ValueError(f"chunk {name.hex()}: its ids do not fit its hash")
+            yield batch
+
     def join(part: pa.Table) -> pa.Table:
         order = np.argsort(part.column("place").to_numpy(), kind="stable")
         bodies = part.column("body").to_pylist()
+        doc_id, start, n = (part.column(c)[0].as_py() for c in ("doc_id", "start", "n_tokens"))
+        if any(b is None for b in bodies):
+            raise ValueError(f"document {doc_id} at {start} lacks a chunk")
         ids = np.frombuffer(b"".join(bodies[i] for i in order), kind)
+        if len(ids) != n:
+            raise ValueError(f"document {doc_id} at {start} has {len(ids)} ids and should have {n}")
         return pa.table({"doc_id": part.column("doc_id")[:1], "start": part.column("start")[:1], "token_ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
 
-    entries = _entries(spark.read.parquet(f"{path}/recipes")).select("doc_id", "start", "place", "hash")
-    return entries.join(_chunks(spark, path), "hash").groupBy("start").applyInArrow(join, "doc_id long, start long, token_ids array<int>")
+    chunks = _chunks(spark, path).mapInArrow(checked, "hash binary, body binary")
+    entries = _with_chunks(spark, path, chunks).select("doc_id", "start", "n_tokens", "place", "body")
+    return entries.groupBy("start").applyInArrow(join, "doc_id long, start long, token_ids array<int>")

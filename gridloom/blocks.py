@@ -347,3 +347,53 @@ def unpacked(tiles: Tiles, stored: str, slope: float, intercept: float) -> Tiles
         return pa.array(x, pa.float64(), mask=gone)
 
     return tiles.mapped(kernel, "double")
+
+
+# -- whole sub-arrays
+
+
+def calls(tiles: Tiles, kept: list[int], value_type: str) -> DataFrame:
+    """m1, m2, ... and v: the values of each margin cell's sub-array, first axis fastest.
+
+    Tiles are dealt as one array for each margin cell in them, not as cells, and
+    put in order by numpy.
+    """
+    axes, counts = tiles.axes, tiles.counts
+    call = [k for k in range(len(axes)) if k not in kept]
+    dims, call_dims = [axes[k].dim for k in kept], [axes[k].dim for k in call]
+    length = prod(call_dims)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            pieces = _pieces(batch.column("tile").to_numpy(), counts)
+            for k in range(batch.num_rows):
+                shape = tuple(int(a.length(p[k])) for a, p in zip(axes, pieces, strict=True))
+                places = np.arange(prod(shape)).reshape(shape, order="F").transpose(call + kept).ravel(order="F")
+                key = np.zeros(1, np.int64)
+                for step, a in reversed(list(zip(L.strides(dims), kept, strict=True))):
+                    key = (key[:, None] + (axes[a].start(pieces[a][k]) + np.arange(shape[a]))[None, :] * step).ravel()
+                values = lists[k].values.take(pa.array(places))
+                size = len(places) // len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), batch.column("tile")[k].as_py())), pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * size), values)], ["key", "tile", "v"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts")
+            held = parts.flatten()
+            tile, lists = held.field("tile").to_numpy(), held.field("v")
+            pieces = _pieces(tile, counts)
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(parts.value_lengths()))
+            index = np.empty(batch.num_rows * length, np.int64)
+            begin = np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
+            for k in range(len(tile)):
+                at = np.zeros(1, np.int64)
+                for step, a in reversed(list(zip(L.strides(call_dims), call, strict=True))):
+                    at = (at[:, None] + (axes[a].start(pieces[a][k]) + np.arange(int(axes[a].length(pieces[a][k]))))[None, :] * step).ravel()
+                index[row[k] * length + at] = np.arange(begin[k], begin[k + 1])
+            v = pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * length).astype(np.int32)), lists.flatten().take(pa.array(index)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), v], ["key", "v"])
+
+    dealt = tiles.frame.mapInArrow(deal, f"key long, tile long, v array<{value_type}>")
+    whole = dealt.groupBy("key").agg(F.collect_list(F.struct("tile", "v")).alias("parts")).mapInArrow(assemble, f"key long, v array<{value_type}>")
+    return whole.select(*(L.axis_of(F.col("key"), dims, i).cast("int").alias(f"m{i + 1}") for i in range(len(kept))), "v")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,19 @@ from .image import Image, from_cells
 CUBE_DIMS, SERIES_LENGTH, HOURS, DAYS = (50, 7, 12), 64, 24, 30
 
 
+_TILE_CELLS: ContextVar[int | None] = ContextVar("tile_cells", default=None)
+
+
+@contextmanager
+def stored_in_blocks(cells: int = 400) -> Iterator[None]:
+    """Dense and packed cubes made inside are stored as tiles of about so many cells."""
+    token = _TILE_CELLS.set(cells)
+    try:
+        yield
+    finally:
+        _TILE_CELLS.reset(token)
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +38,10 @@ def cube(spark: SparkSession, sf_dir: str, kind: str = "sparse") -> Image:
     loc = (F.col("p_size") - 1) + 50 * (F.col("l_linenumber") - 1) + 350 * (F.month("l_shipdate") - 1)
     cells = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy(loc.cast("long").alias("loc")).agg(F.sum("l_quantity").alias("v"))
     image = from_cells(cells.select("loc", F.lit(0).alias("elem"), "v"), CUBE_DIMS, 3, "sparse", geometry=make_geometry(CUBE_DIMS, (2.0, 2.0, 3.0), unit="mm"))
-    return {"sparse": image, "dense": image.as_dense()}[kind] if kind != "packed" else image.as_packed("int16", 1.0, 0.0)
+    if kind == "sparse":
+        return image
+    out = image.as_dense() if kind == "dense" else image.as_packed("int16", 1.0, 0.0)
+    return out.as_blocked(_TILE_CELLS.get()) if _TILE_CELLS.get() else out
 
 
 CUBE_SQL = """sparse_cube AS (SELECT (p_size-1) AS i, (l_linenumber-1) AS j, month(l_shipdate)-1 AS k, sum(l_quantity) AS v

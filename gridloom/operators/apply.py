@@ -21,6 +21,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import blocks
 from ..image import Image, from_cells, sub_geometry
 from ..plans import layout as L
 from .elementwise import mask_locations
@@ -50,7 +51,7 @@ def _runner(fun: Callable, shape: tuple[int, ...] | None, keys: list[str], retur
         for batch in batches:
             lists = batch.column("v")
             offsets = lists.offsets.to_numpy()
-            flat = lists.values.field("v")
+            flat = lists.values.field("v") if pa.types.is_struct(lists.type.value_type) else lists.values
             values = np.array(flat.to_pylist(), object) if logical else flat.to_numpy(zero_copy_only=False)
             row, place, out, names = [], [], [], []
             for k in range(batch.num_rows):
@@ -105,6 +106,11 @@ def imapply(image: Image, margin, fun: Callable, *args, returns: str = "double",
     if fun in ROUTED and "na_rm" in kwargs:
         fun, kwargs = _without_missing(fun, kwargs["na_rm"]), {k: v for k, v in kwargs.items() if k != "na_rm"}
     source = image if not image.is_sparse else image.as_dense()
+    if source.tiles and prod(call_dims):
+        tiles = blocks.unpacked(source.tiles, source.stored, source.slope, source.intercept) if source.is_packed else source.tiles
+        if not logical:
+            tiles = replace(tiles, frame=tiles.frame.select("tile", F.col("v").cast("array<double>").alias("v")))
+        return blocks.calls(tiles, kept, "boolean" if logical else "double").mapInArrow(_runner(fun, shape, names, returns, logical, not simplify, args, kwargs), ddl)
     cells, _ = keyed(source, kept)
     cells = cells if logical else cells.withColumn("v", F.col("v").cast("double"))
     return _calls(cells, names, "pos").mapInArrow(_runner(fun, shape, names, returns, logical, not simplify, args, kwargs), ddl)

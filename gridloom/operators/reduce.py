@@ -18,6 +18,7 @@ from .. import blocks
 from ..functions.exact import INF, NAN, missing
 from ..image import Image
 from ..plans import layout as L
+from .exact_sums import exact_reduce
 from .extremes import first_extremes
 from .masks import of_locations
 
@@ -39,8 +40,26 @@ def keyed(image: Image, margin: list[int]) -> tuple[DataFrame, list[int]]:
     return image.cells.select(*(axes[m].cast("int").alias(f"m{i + 1}") for i, m in enumerate(margin)), pos.alias("pos"), image.value().alias("v")), [image.dims[k] for k in call]
 
 
-def imreduce(image: Image, margin, what: str, na_rm: bool = False) -> DataFrame:
-    """m1, m2, ... and v (for "range" also r: 0 the least, 1 the most) of every margin cell."""
+EXACT = ("sum", "mean", "var", "sd")
+
+
+def _exact(image: Image, cells: DataFrame, kept: list[int], names: list[str], what: str, na_rm: bool, n: int) -> DataFrame:
+    dims = [image.dims[k] for k in kept]
+    found = exact_reduce(cells.select(L.flatten([F.col(m) for m in names], dims).alias("key"), "v"), what, n, image.is_sparse, na_rm)
+    out = found.select(*(L.axis_of(F.col("key"), dims, i).cast("int").alias(m) for i, m in enumerate(names)), "v", F.lit(True).alias("found"))
+    if not image.is_sparse and n:
+        return out.drop("found")
+    # Margin cells of which nothing is stored.
+    nothing = {"sum": 0.0, "mean": 0.0 if n else NAN, "var": 0.0 if n > 1 else None, "sd": 0.0 if n > 1 else None}[what]
+    return _grid(image, kept, names).join(out, names, "left").select(*names, F.when(F.col("found"), F.col("v")).otherwise(F.lit(nothing).cast("double")).alias("v"))
+
+
+def imreduce(image: Image, margin, what: str, na_rm: bool = False, exact: bool = False) -> DataFrame:
+    """m1, m2, ... and v (for "range" also r: 0 the least, 1 the most) of every margin cell.
+
+    With ``exact`` sums, means, variances and deviations are rounded once from
+    exact totals: the same bits for any order of cells and number of partitions.
+    """
     if what not in REDUCTIONS:
         raise ValueError(f"reductions are {', '.join(REDUCTIONS)}")
     if image.value_type == "complex":
@@ -52,6 +71,10 @@ def imreduce(image: Image, margin, what: str, na_rm: bool = False) -> DataFrame:
     tiles = image.origin().leaves[0].tiles if image.is_packed and image.tiles else image.tiles
     d = F.col("v").cast("double")
     cells = cells.withColumn("v", d)
+    if exact:
+        if what not in EXACT:
+            raise ValueError(f"exact reductions are {', '.join(EXACT)}")
+        return _exact(image, cells, kept, names, what, na_rm, n)
     ok = F.when(~missing(F.col("v")), F.col("v"))
     bad = F.count_if(missing(F.col("v"))).alias("bad")
     sparse = image.is_sparse

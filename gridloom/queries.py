@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import points, small_queries
+from . import form_queries, points, small_queries
 from .fixtures import CUBE_SQL, EVENTS_SQL, SERIES_SQL, cube, events, series
 from .image import Image
 from .operators import apply, elementwise, index
@@ -216,6 +216,9 @@ for _group in (_reductions, _elementwise, _structure, _applied, _codec):
     _group()
 QUERIES |= small_queries.QUERIES
 SQL |= small_queries.SQL
+form_queries.in_blocks(QUERIES, SQL)
+QUERIES |= form_queries.QUERIES
+SQL |= form_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from gridloom import blocks
 from gridloom.fixtures import cube
 from gridloom.functions.exact import INF
 from gridloom.image import from_cells, from_numpy
-from gridloom.operators import elementwise, extremes, masks
+from gridloom.operators import apply, elementwise, extremes, masks
 from gridloom.operators.reduce import REDUCTIONS, imreduce
 from gridloom.sources.sheets import colocate
 
@@ -61,6 +61,18 @@ def test_blocks_hold_the_image(spark, dims):
             assert a.columns == b.columns and near(rows(a)) == near(rows(b)), (what, margin, na_rm)
 
 
+def test_functions_see_blocks_in_order(spark):
+    rng = np.random.default_rng(10)
+    x = array(rng, (5, 4, 3, 2))
+    image = from_numpy(spark, x)
+    for cells in (7, 1000):
+        blocked = image.as_blocked(cells)
+        for margin in ([3], [2, 1], [4, 3, 2]):
+            a, b = (rows(apply.imapply(i, margin, lambda v: [float(np.nansum(v * np.arange(v.size).reshape(v.shape, order="F"))), float(v.ndim)])) for i in (blocked, image))
+            assert a == b
+    assert rows(apply.imapply((blocked > 0), [3], lambda v: sum(x is True for x in v.ravel()), returns="int")) == rows(apply.imapply((image > 0), [3], lambda v: sum(x is True for x in v.ravel()), returns="int"))
+
+
 def test_blocks_turn_without_a_shuffle(spark):
     x = np.arange(7 * 5 * 4.0).reshape(7, 5, 4, order="F")
     image = from_numpy(spark, x)

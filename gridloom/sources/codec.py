@@ -1,20 +1,23 @@
 """Codec between raw byte streams and images.
 
-Reading: one task per run of values of a seekable file (one in all for gzip);
-chosen volumes and a mask are applied while decoding, so what is not wanted
+Reading: one task per run of values of a seekable file, or per member of a gzip
+file written here (one task in all for other gzip files); chosen volumes and a mask are applied while decoding, so what is not wanted
 never becomes a row (the mask as a bit a location, up to 64 MB; larger ones are
-joined). Writing: values are range-partitioned by stream position and encoded by
-partition into part files beside the target, which the driver puts together in
-order. A target whose name ends in .parts stays a folder of parts, each named by
-its first position: nothing passes through the driver, and reading takes it as
-the same stream. Paths must be visible to all workers.
+joined). Writing: values are range-partitioned by stream position and every task
+writes its own at their place in one file, which takes the target's name once all
+are there; a task that runs twice writes the same bytes. Gzip members have places
+once all are packed, so they go to parts first and are copied from there by tasks.
+A target whose name ends in .parts stays a folder of parts, each named by its
+first position, and reading takes it as the same stream. Nothing passes through
+the driver. Paths must be visible to all workers.
 """
 
 from __future__ import annotations
 
-import gzip
+import itertools
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from math import prod
@@ -29,7 +32,7 @@ from ..geometry import Geometry
 from ..image import PACKED, Image, calibrate, from_cells, tighten
 from ..operators.elementwise import mask_locations
 from ..plans import layout as L
-from ..streaming.decode import chunks, is_seekable, open_stream, skip
+from ..streaming.decode import MemberStream, chunks, is_seekable, member, members, open_stream, skip
 
 #: Stream types: numpy code, and bytes of a value.
 TYPES = {"int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "int64": "i8", "float32": "f4", "float64": "f8", "complex64": "c8", "complex128": "c16", "rgb24": "u1", "rgba32": "u1", "bit": "u1"}
@@ -146,10 +149,18 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
     block = prod(store_dims[:-1]) if picked is not None else prod(store_dims)
     starts = [k * block for k in sorted(set(picked))] if picked is not None else [0]
     segments = _segments(path, d, prod(store_dims))
-    whole = not os.path.isdir(path) and not is_seekable(path)
-    # A task a run of values; gzip is read forward by one task.
+    packed_file = not os.path.isdir(path) and not is_seekable(path)
+    chain = members(path) if packed_file else None
+    whole = packed_file and chain is None
+    # A task a run of values, or a member; other gzip is read forward by one task.
     if whole:
         runs = [(starts[0] if starts else 0, 0, path, d.offset, 0)]
+    elif packed_file:
+        held = [(a, at) for a, at in chain if a >= 0]
+        if -sum(a for a, _ in chain if a < 0) != d.offset or not held or held[0][0]:
+            raise ValueError("the offset is not the one that the stream was written with")
+        ends = [*(a for a, _ in held[1:]), prod(store_dims)]
+        runs = [(max(s, a), min(s + block, end) - max(s, a), path, at, max(s, a) - a) for s in starts for (a, at), end in zip(held, ends, strict=True) if max(s, a) < min(s + block, end)]
     else:
         runs = [(a, min(RUN, end - a), file, base + ((a - first) // 8 if bits else (a - first) * size), (a - first) % 8) for s in starts for first, n, file, base in segments for end in [min(s + block, first + n)] for a in range(max(s, first), end, RUN)]
     keep = spark.sparkContext.broadcast(mask_bits(mask, prod(view_dims[:spatial]))) if mask is not None and form == "sparse" and prod(view_dims[:spatial]) <= MOST_MASK else None
@@ -188,16 +199,28 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, file, base, bit in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base", "bit")), strict=True):
-                with open_stream(file) as stream:
-                    skip(stream, base)
+                with MemberStream(file, base) if chain else open_stream(file) as stream:
+                    if chain:  # ``bit``: values of the member before the first wanted one
+                        skip(stream, bit // 8 if bits else bit * size)
+                        bit = bit % 8
+                    else:
+                        skip(stream, base)
                     if bits:  # volumes may start inside a byte
-                        total = prod(store_dims) if whole else bit + n
-                        raw = stream.read(-(-total // 8))
-                        if len(raw) * 8 < total:
-                            raise EOFError("the stream ends before the data")
-                        x = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little" if d.bit_order == "lsb" else "big")[:total].astype(bool)
+                        here = 0  # bytes of the stream behind us
                         for s, m, first in [(s, block, s) for s in wanted] if whole else [(at, n, bit)]:
-                            yield wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + m, dtype=np.int64)), pa.array(x[first : first + m])], ["p", "v"]))
+                            if whole and first // 8 < here:  # the byte that the last volume ended in
+                                left, first = last, first % 8
+                            else:
+                                skip(stream, first // 8 - here)
+                                left, here, first = b"", first // 8, first % 8
+                            need = -(-(first + m) // 8) - len(left)
+                            here += need
+                            for raw in itertools.chain([left] if left and not need else [], chunks(stream, need, 1 << 18)):
+                                raw, left = (left + raw if raw is not left else raw), b""
+                                last = raw[-1:]
+                                x = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little" if d.bit_order == "lsb" else "big")[first : first + m].astype(bool)
+                                yield wanted_only(pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(x), dtype=np.int64)), pa.array(x)], ["p", "v"]))
+                                s, m, first = s + len(x), m - len(x), 0
                         continue
                     here = 0 if whole else at
                     for s, m in [(s, block) for s in wanted] if whole else [(at, n)]:
@@ -280,51 +303,114 @@ def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescrip
         ranged = ranged.withColumn("block", F.call_function("div", F.col("p"), F.lit(MASK_BLOCK))).repartitionByRange("block").drop("block")
     else:
         ranged = ranged.repartitionByRange("p")
-    in_parts = path.endswith(".parts")
-    parts, total = path if in_parts else f"{path}.parts", prod(image.dims)
-    shutil.rmtree(parts, ignore_errors=True)
-    os.makedirs(parts)
-    code, complex_out, bit = d.dtype, im_type(d), d.type == "bit"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, count, name, out, bits = None, 0, None, None, []
+    in_parts, gz, total, bit = path.endswith(".parts"), path.endswith(".gz"), prod(image.dims), d.type == "bit"
+    code, complex_out = d.dtype, im_type(d)
+    target = path if in_parts else f"{path}.writing-{uuid.uuid4().hex}"
+    folder = target if in_parts or gz else None
+    if in_parts:
+        shutil.rmtree(path, ignore_errors=True)
+    if folder:
+        os.makedirs(folder)
+    else:
+        _preallocate(target, d.offset + (-(-total // 8) if bit else total * code.itemsize))
+
+    def encoded(batch: pa.RecordBatch) -> np.ndarray:
+        v = batch.column("v")
+        if complex_out and pa.types.is_struct(v.type):
+            gone = v.is_null().to_numpy(zero_copy_only=False)
+            x = v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False)
+            x[gone] = complex(np.nan, np.nan)
+        else:
+            x = v.cast(pa.float64()).to_numpy(zero_copy_only=False) if not pa.types.is_boolean(v.type) else np.array([np.nan if y is None else float(y) for y in v.to_pylist()])
+        if bit:
+            return x != 0
+        x = x if same or slope == 1 and intercept == 0 else (x - intercept) / slope
+        return (np.rint(x) if code.kind in "iu" else x).astype(code)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        """First position, number of values and bytes of runs of positions; bits are cut where a byte ends."""
+        held, first, step = [], None, MASK_BLOCK if gz else 1 << 16
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = batch.column("p")
-            if first is None:
-                first = p[0].as_py()
-                name = f"{parts}/.{first}-{os.getpid()}"
-                out = open(name, "wb")  # noqa: SIM115
-            v = batch.column("v")
-            if complex_out and pa.types.is_struct(v.type):
-                gone = v.is_null().to_numpy(zero_copy_only=False)
-                x = v.field("re").to_numpy(zero_copy_only=False) + 1j * v.field("im").to_numpy(zero_copy_only=False)
-                x[gone] = complex(np.nan, np.nan)
-            else:
-                x = v.cast(pa.float64()).to_numpy(zero_copy_only=False) if not pa.types.is_boolean(v.type) else np.array([np.nan if y is None else float(y) for y in v.to_pylist()])
-            if bit:
-                bits.append(x != 0)
-            else:
-                x = x if same or slope == 1 and intercept == 0 else (x - intercept) / slope
-                out.write((np.rint(x) if code.kind in "iu" else x).astype(code).tobytes())
-            count += batch.num_rows
-        if first is not None:
-            if bit:
-                out.write(np.packbits(np.concatenate(bits), bitorder="little" if d.bit_order == "lsb" else "big").tobytes())
-            out.close()
-            os.replace(name, f"{parts}/{first}")  # a task that runs twice leaves one file
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([count], pa.int64())], ["first", "n"])
+            p, x = batch.column("p").to_numpy(), encoded(batch)
+            if not np.array_equal(p, np.arange(p[0], p[0] + len(p))) or held and p[0] != first + sum(map(len, held)):
+                raise ValueError("the image lacks cells, or has some twice")
+            first = p[0] if first is None else first
+            held.append(x)
+            if sum(map(len, held)) >= step:
+                x = np.concatenate(held)
+                for k in range(0, len(x) - step + 1, step):
+                    yield int(first) + k, step, packed(x[k : k + step])
+                cut = len(x) // step * step
+                held, first = ([x[cut:]], first + cut) if cut < len(x) else ([], None)
+        if held:
+            x = np.concatenate(held)
+            yield int(first), len(x), packed(x)
+
+    def packed(x: np.ndarray) -> bytes:
+        return np.packbits(x, bitorder="little" if d.bit_order == "lsb" else "big").tobytes() if bit else x.astype(code).tobytes()
 
-    done = sorted(map(tuple, ranged.sortWithinPartitions("p").mapInArrow(run, "first long, n long").collect()))  # a row a partition
-    if sum(n for _, n in done) != total:
-        raise ValueError("the image lacks cells")
-    if in_parts:
-        return replace(d, slope=slope, intercept=intercept)
-    with gzip.open(path, "wb") if path.endswith(".gz") else open(path, "wb") as target:
-        target.write(bytes(d.offset))
-        for first, _ in done:
-            with open(f"{parts}/{first}", "rb") as part:
-                shutil.copyfileobj(part, target, 4 << 20)
-    shutil.rmtree(parts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, count, size, out, name = None, 0, 0, None, None
+        for first, n, raw in pieces(batches):
+            if out is None:
+                start = first
+                name = f"{folder}/.{first}-{os.getpid()}"
+                out = open(name, "wb") if folder else open(target, "r+b")  # noqa: SIM115
+            if not folder:
+                out.seek(d.offset + (first // 8 if bit else first * code.itemsize))
+            raw = member(raw, first) if gz else raw
+            out.write(raw)
+            count, size = count + n, size + len(raw)
+        if out is not None:
+            out.close()
+            if folder:
+                os.replace(name, f"{folder}/{start}")  # a task that runs twice leaves one file
+            yield pa.RecordBatch.from_arrays([pa.array([start], pa.int64()), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["first", "n", "size"])
+
+    spark = image.cells.sparkSession
+    try:
+        done = sorted(map(tuple, ranged.sortWithinPartitions("p").mapInArrow(run, "first long, n long, size long").collect()))  # a row a partition
+        if sum(n for _, n, _ in done) != total:
+            raise ValueError("the image lacks cells")
+        if gz:
+            _put_together(spark, folder, [(f, size) for f, _, size in done], f"{target}.file", member(bytes(d.offset), -d.offset) if d.offset else b"")
+        if not in_parts:
+            os.replace(f"{target}.file" if gz else target, path)
+    finally:
+        if gz:
+            shutil.rmtree(folder, ignore_errors=True)
+        for left in (target, f"{target}.file"):
+            if not in_parts and os.path.isfile(left):
+                os.remove(left)
     return replace(d, slope=slope, intercept=intercept)
+
+
+def _preallocate(path: str, size: int) -> None:
+    """A file of zeros that tasks write into."""
+    with open(path, "wb") as f:
+        f.truncate(size)
+
+
+def _put_together(spark: SparkSession, folder: str, parts: list[tuple[int, int]], path: str, head: bytes) -> None:
+    """One file of a head and parts (first, size), each copied to its place by a task."""
+    _preallocate(path, len(head) + sum(size for _, size in parts))
+    with open(path, "r+b") as f:
+        f.write(head)
+    places, at = [], len(head)
+    for first, size in parts:
+        places.append((f"{folder}/{first}", at))
+        at += size
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, at in zip(batch.column("name").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                with open(name, "rb") as part, open(path, "r+b") as f:
+                    f.seek(at)
+                    shutil.copyfileobj(part, f, 4 << 20)
+            yield batch.select(["at"])
+
+    rows = spark.createDataFrame(places, "name string, at long").repartition(max(1, min(len(places), 1000)))
+    if rows.mapInArrow(copy, "at long").count() != len(places):
+        raise OSError(f"{path}: not all parts were copied")

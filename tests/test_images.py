@@ -1,8 +1,11 @@
 """Contracts of geometry and images, held against numpy with the first axis fastest."""
 
+import gzip
+import os
+from dataclasses import replace
+
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from gridloom import points
@@ -11,7 +14,9 @@ from gridloom.image import from_numpy, sparse_from_mask
 from gridloom.operators import apply, elementwise, index
 from gridloom.operators.reduce import imreduce, sparseness, summary
 from gridloom.plans.layout import flatten
+from gridloom.sources import codec
 from gridloom.sources.codec import StorageDescriptor, read_image, write_image
+from gridloom.streaming import decode
 
 RNG = np.random.default_rng(5)
 LAS = np.array([[-2.0, 0, 0, 90], [0, 2, 0, -126], [0, 0, 2, -72], [0, 0, 0, 1]])
@@ -223,5 +228,51 @@ def test_codec_volumes_gzip_and_errors(spark, tmp_path):
     assert np.allclose(read_image(spark, path, used, a.shape, volumes=[4, 2, 4]).to_numpy(), a[..., [3, 1, 3]])
     with pytest.raises(Exception, match="ends before"):
         read_image(spark, path, used, (3, 2, 2, 9)).cells.collect()
+    foreign = str(tmp_path / "y.gz")  # a gzip file of one member that says nothing of itself
+    with gzip.open(path, "rb") as f, gzip.open(foreign, "wb") as g:
+        g.write(f.read())
+    assert np.allclose(read_image(spark, foreign, used, a.shape, volumes=[4, 2, 4]).to_numpy(), a[..., [3, 1, 3]])
     with pytest.raises(ValueError):
         write_image(from_numpy(spark, a + 0.5), path, StorageDescriptor("int64"))
+
+
+@pytest.mark.parametrize("kind", ["int16", "bit"])
+def test_codec_gzip_in_many_tasks(spark, tmp_path, monkeypatch, kind):
+    """Members are written and read by many tasks, and any gzip reader takes them as one stream."""
+    monkeypatch.setattr(codec, "MASK_BLOCK", 64)
+    a = RNG.integers(-50, 50, (13, 5, 4, 6)).astype(float)
+    a = a > 0 if kind == "bit" else a
+    for offset in (0, 17):
+        path = str(tmp_path / f"{kind}{offset}.gz")
+        used = write_image(from_numpy(spark, a), path, StorageDescriptor(kind, offset=offset))
+        chain = decode.members(path)
+        assert len(chain) > 10 and chain[0][0] == -offset
+        with gzip.open(path, "rb") as f:
+            flat = a.ravel(order="F")
+            assert f.read() == bytes(offset) + (np.packbits(flat, bitorder="little") if kind == "bit" else flat.astype("<i2")).tobytes()
+        for more, want in (({}, a), ({"volumes": [5, 2, 5]}, a[..., [4, 1, 4]])):
+            image = read_image(spark, path, used, a.shape, form="dense", **more)
+            assert np.array_equal(image.to_numpy().astype(float), want.astype(float))
+        assert image.cells.rdd.getNumPartitions() > 1
+    with pytest.raises(ValueError, match="offset"):
+        read_image(spark, path, StorageDescriptor(kind, offset=3), a.shape)
+    bits = str(tmp_path / "plain.gz")
+    if kind == "bit":  # read forward, by the volume
+        with gzip.open(bits, "wb") as g:
+            g.write(np.packbits(a.ravel(order="F"), bitorder="little").tobytes())
+        for volumes in ([1, 2, 3, 4, 5, 6], [2, 3], [6, 1]):
+            got = read_image(spark, bits, StorageDescriptor("bit"), a.shape, form="dense", volumes=volumes).to_numpy()
+            assert np.array_equal(got.astype(bool), a[..., [v - 1 for v in volumes]])
+
+
+def test_codec_writes_one_file_by_all_tasks(spark, tmp_path):
+    a = RNG.integers(-50, 50, (50, 7, 12)).astype(float)
+    image = from_numpy(spark, a)
+    path = str(tmp_path / "x.raw")
+    write_image(replace(image, cells=image.cells.repartition(7)), path, StorageDescriptor("int16", "big", offset=5))
+    with open(path, "rb") as f:
+        assert f.read() == bytes(5) + a.ravel(order="F").astype(">i2").tobytes()
+    for cells in (image.cells.where("loc <> 7"), image.cells.where("loc <> 7").union(image.cells.where("loc = 8"))):
+        with pytest.raises(Exception, match="lacks cells"):
+            write_image(replace(image, cells=cells), str(tmp_path / "bad.raw"), StorageDescriptor("int16"))
+    assert os.listdir(tmp_path) == ["x.raw"]  # nothing is left behind

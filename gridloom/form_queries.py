@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import CUBE_SQL, EVENTS_SQL, cube, events, stored_in_blocks
 from .image import Image
-from .operators import elementwise, masks
+from .operators import apply, elementwise, folds, masks, tables
 from .operators.reduce import imreduce
 from .sources.sheets import colocate
 
@@ -110,6 +110,37 @@ def _mask_queries() -> None:
     _add("masks_everywhere", lambda s, d: (lambda a, b: (a & b).everywhere())(*two(s, d)), f"WITH {CUBE_SQL} SELECT {_PLACE} AS loc, j < 3 AND v > 60 AS v FROM cube")
 
 
+def _tables() -> None:
+    read = lambda s, d, name: s.read.parquet(f"{d}/{name}.parquet")
+
+    def lines(s, d):
+        rows = read(s, d, "lineitem").join(read(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        return rows.select("l_orderkey", "l_linenumber", F.col("p_size").alias("i"), F.col("l_linenumber").alias("j"), F.month("l_shipdate").alias("k"))
+
+    _add("extract_at_lines", lambda s, d: tables.extract_at(cube(s, d), lines(s, d), ["i", "j", "k"]), f"WITH {CUBE_SQL} SELECT l_orderkey, l_linenumber, p_size AS i, l_linenumber AS j, month(l_shipdate)::INTEGER AS k, v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN sparse_cube c ON c.i = p_size - 1 AND c.j = l_linenumber - 1 AND c.k = month(l_shipdate) - 1")
+    boxes = lambda s, d: read(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") - 1).alias("a"), (F.col("n_nationkey") + 2).alias("b"), F.col("n_regionkey").alias("c"), F.lit(9).alias("d"), F.lit(12).alias("e"))
+    _add("extract_boxes_of_nations", lambda s, d: tables.extract_boxes(cube(s, d), boxes(s, d), [("a", "b"), ("c", "c"), ("d", "e")], ["i", "j", "k"]).select("n_nationkey", F.col("i").cast("int").alias("i"), F.col("k").cast("int").alias("k"), "v"), f"WITH {CUBE_SQL} SELECT n_nationkey, (i+1)::INTEGER AS i, (k+1)::INTEGER AS k, v FROM nation JOIN cube ON i+1 BETWEEN n_nationkey - 1 AND n_nationkey + 2 AND j+1 = n_regionkey AND k+1 BETWEEN 9 AND 12")
+    accounts = lambda s, d: read(s, d, "customer").select((F.col("c_custkey") % 50 + 1).alias("i"), (F.col("c_nationkey") % 7 + 1).alias("j"), (F.col("c_custkey") % 12 + 1).alias("k"), F.rint("c_acctbal").alias("new"), F.col("c_custkey").alias("at"))
+    new = "n AS (SELECT c_custkey % 50 AS i, c_nationkey % 7 AS j, c_custkey % 12 AS k, arg_max(round_even(c_acctbal, 0), c_custkey) AS new FROM customer GROUP BY 1, 2, 3)"
+    for kind in ("sparse", "dense", "packed"):
+        _add(f"assign_at_accounts_{kind}", lambda s, d, kind=kind: _ijk(tables.assign_at(cube(s, d, kind), accounts(s, d), ["i", "j", "k"], "new", "at").as_dense()), f"WITH {CUBE_SQL}, {new} SELECT c.i::INTEGER AS i, c.j::INTEGER AS j, c.k::INTEGER AS k, coalesce(new, v)::DOUBLE AS v FROM cube c LEFT JOIN n USING (i, j, k)")
+
+
+def _functions() -> None:
+    def mixed(x):
+        """Of the first slices whether all is there, of others a count, a mean and a text: of different types and lengths."""
+        total = int(x.sum())
+        return [bool((x > 0).all()), total, total / 4, f"{total} in all"][: 1 + total % 4]
+
+    rows = f"WITH {CUBE_SQL}, t AS (SELECT k, sum(v)::BIGINT AS t, bool_and(v > 0) AS b FROM cube GROUP BY k)"
+    _add("imapply_of_any_type", lambda s, d: apply.imapply(cube(s, d), [3], mixed, returns=None).select(F.col("m1").alias("k"), "r", F.expr("schema_of_variant(v)").alias("kind"), F.expr("CASE WHEN schema_of_variant(v) = 'DOUBLE' THEN cast(cast(v AS double) * 4 AS bigint) || '/4' ELSE cast(v AS string) END").alias("v")), f"{rows}, e AS (SELECT k, 0 AS r, 'BOOLEAN' AS kind, b::VARCHAR AS v, t FROM t UNION ALL SELECT k, 1, 'BIGINT', t::VARCHAR, t FROM t UNION ALL SELECT k, 2, 'DOUBLE', t || '/4', t FROM t UNION ALL SELECT k, 3, 'STRING', t || ' in all', t FROM t) SELECT k::INTEGER AS k, r, kind, v FROM e WHERE r <= t % 4")
+    _add("imapply_finds_its_type", lambda s, d: apply.imapply(cube(s, d, "dense"), [3], lambda x: int((x > 60).sum()), returns=None).select(F.col("m1").alias("k"), "r", "v"), f"WITH {CUBE_SQL} SELECT k::INTEGER AS k, 0 AS r, count(*) FILTER (v > 60) AS v FROM cube GROUP BY k")
+    for kind in ("sparse", "dense", "packed"):
+        _add(f"fold_quantiles_{kind}", lambda s, d, kind=kind: folds.fold_apply(cube(s, d, kind), [3], folds.quantiles(0.25, 0.5)).select(F.col("m1").alias("k"), "r", "v"), f"WITH {CUBE_SQL} SELECT k::INTEGER AS k, 0 AS r, quantile_cont(v, 0.25)::DOUBLE AS v FROM cube GROUP BY 1 UNION ALL SELECT k::INTEGER, 1, quantile_cont(v, 0.5)::DOUBLE FROM cube GROUP BY 1")
+
+
 _expressions()
+_tables()
+_functions()
 _exact_sums()
 _mask_queries()

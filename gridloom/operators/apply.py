@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .. import blocks
 from ..image import Image, from_cells, sub_geometry
 from ..plans import layout as L
+from ..sources.shared import shared_dir
 from .elementwise import mask_locations
 from .reduce import check_margin, imreduce, keyed
 
@@ -73,15 +74,87 @@ def _runner(fun: Callable, shape: tuple[int, ...] | None, keys: list[str], retur
     return run
 
 
+#: Columns of a result whose type is found at run time.
+ANY = {"kind": pa.string(), "truth": pa.bool_(), "whole": pa.int64(), "number": pa.float64(), "text": pa.string()}
+ANY_DDL = "kind string, truth boolean, whole long, number double, text string"
+
+
+def _of_any_type(x) -> tuple:
+    """Kind and value, each in its own column; None and NaN have no kind of their own."""
+    if x is None:
+        return None, None, None, None, None
+    if isinstance(x, (bool, np.bool_)):
+        return "boolean", bool(x), None, None, None
+    if isinstance(x, (int, np.integer)):
+        if not -(1 << 63) <= x < 1 << 63:
+            raise TypeError("whole numbers of a result have 64 bits")
+        return "bigint", None, int(x), None, None
+    if isinstance(x, (float, np.floating)):
+        return "double", None, None, float(x), None
+    if isinstance(x, str):
+        return "string", None, None, None, x
+    raise TypeError(f"results are logical, whole, real or text, not {type(x).__name__}")
+
+
+def _elements(got) -> list | None:
+    """A result's elements as they are: numpy would make one type of a mixed list."""
+    if got is None:
+        return None
+    if isinstance(got, dict):
+        return list(got.values())
+    return list(got) if isinstance(got, (list, tuple)) else list(np.ravel(np.asarray(got), order="F"))
+
+
+def _any_runner(fun: Callable, shape: tuple[int, ...] | None, keys: list[str], logical: bool, args: tuple, kwargs: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            flat = lists.values.field("v") if pa.types.is_struct(lists.type.value_type) else lists.values
+            offsets, values = lists.offsets.to_numpy(), np.array(flat.to_pylist(), object) if logical else flat.to_numpy(zero_copy_only=False)
+            row, place, out = [], [], []
+            for k in range(batch.num_rows):
+                v = values[offsets[k] : offsets[k + 1]]
+                got = _elements(fun(v.reshape(shape, order="F") if shape else v, *args, **kwargs))
+                if got is not None:
+                    row += [k] * len(got)
+                    place += range(len(got))
+                    out += map(_of_any_type, got)
+            at = pa.array(row, pa.int64())
+            columns = zip(*out, strict=True) if out else [[]] * len(ANY)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(place, pa.int32()), *(pa.array(c, t) for c, t in zip(columns, ANY.values(), strict=True))], [*keys, "r", *ANY])
+
+    return run
+
+
+def _narrowed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """v in the narrowest type that all results have: one of the four, double for numbers of both kinds, else VARIANT.
+
+    The results are written first, so that the function is called once for each sub-array.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    held = spark.read.parquet(path)
+    kinds = {r["kind"] for r in held.where("kind is not null").select("kind").distinct().collect()}  # at most four
+    number = F.coalesce("number", F.col("whole").cast("double"))
+    plain = {frozenset(): number, frozenset({"boolean"}): F.col("truth"), frozenset({"bigint"}): F.col("whole"), frozenset({"string"}): F.col("text"), frozenset({"double"}): number, frozenset({"bigint", "double"}): number}
+    v = plain.get(frozenset(kinds))
+    if v is None:
+        v = F.coalesce(*(F.col(c).cast("variant") for c in ("truth", "whole", "number", "text")))
+    return held.select(*names, "r", v.alias("v"))
+
+
 def _calls(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a call: its keys and v, its (order, v) pairs sorted."""
     return cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "v"))).alias("v"))
 
 
-def imapply(image: Image, margin, fun: Callable, *args, returns: str = "double", simplify: bool = True, route: bool = True, **kwargs) -> DataFrame:
+def imapply(image: Image, margin, fun: Callable, *args, returns: str | None = "double", simplify: bool = True, route: bool = True, **kwargs) -> DataFrame:
     """m1, m2, ..., r, v: element r of what ``fun`` gives for each margin cell; r is 0 alone for scalars.
 
-    ``returns`` is the Spark type of a result's elements. Results of different
+    ``returns`` is the Spark type of a result's elements; with None it is found
+    from the results: v is boolean, bigint, double or string where all agree,
+    double for whole and real numbers, and VARIANT for a mixture. Results of different
     lengths give as many rows each; a call that gives None gives none. With
     simplify=False a row holds a whole result as an array v (NULL for None) and
     the names of a dict's values as ``names``. Where a margin has no cells the
@@ -93,6 +166,9 @@ def imapply(image: Image, margin, fun: Callable, *args, returns: str = "double",
     call_dims = [d for k, d in enumerate(image.dims) if k not in kept]
     shape = tuple(call_dims) if len(call_dims) > 1 and fun not in FROM_ZERO else None
     logical = image.value_type == "logical"
+    if returns is None and not simplify:
+        raise ValueError("whole results need a type")
+    found, returns = returns is None, returns or "double"
     head = ", ".join(f"{n} int" for n in names)
     ddl = f"{head}, r int, v {returns}" if simplify else f"{head}, v array<{returns}>, names array<string>"
     if not prod(image.dims[k] for k in kept):
@@ -100,7 +176,7 @@ def imapply(image: Image, margin, fun: Callable, *args, returns: str = "double",
         _named(fun(dummy.reshape(shape, order="F") if shape else dummy, *args, **kwargs))
         return image.cells.sparkSession.createDataFrame([], ddl)
     extra = set(kwargs) - {"na_rm"}
-    if fun in ROUTED and simplify and route and not args and not extra and image.value_type == "double":
+    if fun in ROUTED and simplify and route and not found and not args and not extra and image.value_type == "double":
         out = imreduce(image, margin, ROUTED[fun], **kwargs)
         return out.select(*names, F.lit(0).alias("r"), (F.col("v") - 1 if fun in FROM_ZERO else F.col("v")).cast(returns).alias("v"))
     if fun in ROUTED and "na_rm" in kwargs:
@@ -110,10 +186,14 @@ def imapply(image: Image, margin, fun: Callable, *args, returns: str = "double",
         tiles = blocks.unpacked(source.tiles, source.stored, source.slope, source.intercept) if source.is_packed else source.tiles
         if not logical:
             tiles = replace(tiles, frame=tiles.frame.select("tile", F.col("v").cast("array<double>").alias("v")))
-        return blocks.calls(tiles, kept, "boolean" if logical else "double").mapInArrow(_runner(fun, shape, names, returns, logical, not simplify, args, kwargs), ddl)
-    cells, _ = keyed(source, kept)
-    cells = cells if logical else cells.withColumn("v", F.col("v").cast("double"))
-    return _calls(cells, names, "pos").mapInArrow(_runner(fun, shape, names, returns, logical, not simplify, args, kwargs), ddl)
+        called = blocks.calls(tiles, kept, "boolean" if logical else "double")
+    else:
+        cells, _ = keyed(source, kept)
+        cells = cells if logical else cells.withColumn("v", F.col("v").cast("double"))
+        called = _calls(cells, names, "pos")
+    if found:
+        return _narrowed(called.mapInArrow(_any_runner(fun, shape, names, logical, args, kwargs), f"{head}, r int, {ANY_DDL}"), names)
+    return called.mapInArrow(_runner(fun, shape, names, returns, logical, not simplify, args, kwargs), ddl)
 
 
 def _without_missing(fun: Callable, drop: bool) -> Callable:

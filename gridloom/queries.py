@@ -164,7 +164,7 @@ def _two_masks(s, d):
 
 def _voxels(s, d):
     a = [L.axis_of(F.col("loc"), (50, 7, 12), k) for k in range(3)]
-    return s.range(4200).select(F.col("id").alias("loc")).select("loc", *((x + 1).cast("double").alias(n) for x, n in zip(a, "xyz", strict=True)))
+    return cube(s, d, "dense").cells.select("loc", *((x + 1).cast("double").alias(n) for x, n in zip(a, "xyz", strict=True)))
 
 
 def _applied() -> None:

@@ -1,24 +1,25 @@
 """Queries of what the table queries leave out: construction, geometry, results of any shape, operators with numbers and arrays, subscripts, codec forms.
 
-They run on the cube or on a small ramp image; their SQL is written from the
-rules themselves (literal values or arithmetic), not from this package's code.
+They run on the cube, on its first cells, or on a row of a table at a time; their
+SQL is written from the rules themselves, not from this package's code.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import points
 from .describe import bar, describe
 from .fixtures import CUBE_SQL, cube
-from .geometry import affine_inverse, decompose, keep_axes, make_geometry, same_geometry, with_voxel_size
+from .geometry import affine_inverse, decompose, keep_axes, make_geometry, permute_axes, same_geometry, with_transform, with_voxel_size, world_axes
 from .image import Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask
 from .operators import apply, elementwise, index
 from .operators.reduce import imreduce, sparseness, summaries, summary
@@ -49,9 +50,15 @@ def _rows(spark: SparkSession, **found) -> DataFrame:
     return spark.createDataFrame(rows, "what string, k int, v double")
 
 
-def ramp(spark: SparkSession) -> Image:
-    """2 x 3 x 4 whole numbers from 1, first axis fastest."""
-    return from_numpy(spark, np.arange(1.0, 25.0).reshape(2, 3, 4, order="F"))
+def box(spark: SparkSession, sf_dir: str) -> Image:
+    """The cube's first 2 x 3 x 4 cells, dense."""
+    x = cube(spark, sf_dir)
+    keep = x.cells.select("loc", "elem", "v", *(a.alias(n) for a, n in zip(x.axes(), "ijk", strict=True))).where("i < 2 AND j < 3 AND k < 4")
+    return from_cells(keep.select((F.col("i") + 2 * F.col("j") + 6 * F.col("k")).alias("loc"), "elem", "v"), (2, 3, 4), 3, "sparse").as_dense()
+
+
+#: The same cells: p (0-based place), i, j, k, v.
+BOX = f"WITH {CUBE_SQL}, box AS (SELECT (i + 2*j + 6*k)::BIGINT AS p, i, j, k, v FROM cube WHERE i < 2 AND j < 3 AND k < 4)"
 
 
 def cells(image: Image, kind: str = "double") -> DataFrame:
@@ -59,91 +66,16 @@ def cells(image: Image, kind: str = "double") -> DataFrame:
     return image.view().select((F.col("loc") + F.col("elem").cast("long") * image.n_locations).alias("p"), F.col("v").cast(kind).alias("v"))
 
 
-RAMP = "SELECT unnest(range(24)) AS p"
-
-
 def _construction() -> None:
-    _add("image_from_array", lambda s, d: cells(ramp(s)), f"SELECT p, (p + 1)::DOUBLE AS v FROM ({RAMP}) t")
-    _add("image_from_mask", lambda s, d: cells(sparse_from_mask(s, np.arange(24).reshape(2, 3, 4, order="F") % 5 == 3, np.arange(10.0, 15.0))), f"SELECT p, (10 + p // 5)::DOUBLE AS v FROM ({RAMP}) t WHERE p % 5 = 3")
-    _add("image_from_bytes", lambda s, d: cells(packed_from_bytes(s, np.arange(-12, 12, dtype="<i2").tobytes(), "int16", (2, 3, 4), 0.5, 100.0)), f"SELECT p, ((p - 12) * 0.5 + 100)::DOUBLE AS v FROM ({RAMP}) t")
-    _add("image_to_array", lambda s, d: _rows(s, v=ramp(s).reorient((3, -1, 2)).to_numpy()), "SELECT 'v' AS what, (k + 4*(1-i) + 8*j)::INTEGER AS k, (i + 2*j + 6*k + 1)::DOUBLE AS v FROM (SELECT p % 2 AS i, (p//2) % 3 AS j, p//6 AS k FROM (SELECT unnest(range(24)) AS p) t) u")
-
-    def kinds(s, d):
-        x = ramp(s)
-        forms = [x, x.as_sparse(), x.as_packed("int16"), from_numpy(s, np.arange(4) > 1), from_numpy(s, np.arange(4))]
-        return s.createDataFrame([(k, i.is_dense, i.is_sparse, i.is_packed, i.storage_type, i.length, list(i.storage_layout)) for k, i in enumerate(forms)], "k int, dense boolean, sparse boolean, packed boolean, storage string, length int, layout array<int>").select("k", "dense", "sparse", "packed", "storage", "length", F.concat_ws(",", F.col("layout").cast("array<string>")).alias("layout"))
 
-    _add("image_kinds", kinds, "SELECT * FROM (VALUES (0, true, false, false, 'double', 24, '1,2,3'), (1, false, true, false, 'double', 24, '1,2,3'), (2, false, false, true, 'int16', 24, '1,2,3'), (3, true, false, false, 'logical', 4, '1'), (4, true, false, false, 'integer', 4, '1')) AS t(k, dense, sparse, packed, storage, length, layout)")
-    def told(s, d):
-        x = ramp(s).with_geometry(make_geometry((2, 3, 4), (1, 2.5, 3), unit="mm"))
-        forms = [x.grid, x, replace(x, spatial=2, geometry=None), (x - 5).as_sparse(), x.as_packed("int16", 0.5, 1.0), x.as_packed("uint8").reorient((-1, 2, 3)), StorageDescriptor("int16", "big", 17, 2.0, 1.0, (2, -1, 3))]
-        return s.createDataFrame([(k, n, line) for k, f in enumerate(forms) for n, line in enumerate(describe(f).split("\n"))], "k int, n int, line string")
-
-    grid = ["  Spatial dimensions : 2 x 3 x 4", "  Voxel size         : 1 x 2.5 x 3 mm"]
-    lines = [
-        ["Image geometry: 2 x 3 x 4", *grid], ["Dense image: 2 x 3 x 4 (double)", *grid], ["Dense image: 2 x 3 x 4 (double)", "  Spatial dimensions : 2 x 3", "  Voxel size         : 1 x 1 (unit unknown)", "  Values per location: 4"],
-        ["Sparse image: 2 x 3 x 4 (double)", *grid, "  Locations stored   : 23 of 24 (4.2% sparse)"], ["Packed image: 2 x 3 x 4 (int16)", *grid, "  Scaling            : value = stored * 0.5 + 1", "  Storage            : 48 bytes, against 192 as double"],
-        ["Packed image: 2 x 3 x 4 (uint8)", *grid, "  Storage            : 24 bytes, against 192 as double", "  Storage layout     : -1, 2, 3"], ["Storage descriptor: int16, big-endian, from byte 17", "  Scaling: value = stored * 2 + 1", "  Layout : 2, -1, 3"],
-    ]
-    _add("summary_texts", told, "SELECT * FROM (VALUES " + ", ".join(f"({k}, {n}, '{x}')" for k, own in enumerate(lines) for n, x in enumerate(own)) + ") AS t(k, n, line)")
-    bars = [(0, 10, 0.0), (5, 10, 2.0), (1400000, 1400000, 1.0), (999, 2000, 0.001)]
-    _add("progress_bar", lambda s, d: s.createDataFrame([(k, bar(*b, width=60)) for k, b in enumerate(bars)], "k int, line string"), "SELECT k, line FROM (VALUES (0, '  |' || repeat(' ', 33) || '|   0%      -- voxels/s'), (1, '  |' || repeat('=', 16) || repeat(' ', 17) || '|  50%     2.5 voxels/s'), (2, '  |' || repeat('=', 33) || '| 100%    1.4M voxels/s'), (3, '  |' || repeat('=', 16) || repeat(' ', 17) || '|  50%    999k voxels/s')) AS t(k, line)")
     _add("pack_float32", lambda s, d: cells((cube(s, d) / 3).as_packed("float32")), f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS p, (v / 3.0)::FLOAT::DOUBLE AS v FROM cube")
-    _add("pack_constant", lambda s, d: cells(from_numpy(s, np.full(4, 7.5)).as_packed("int16")), "SELECT unnest(range(4)) AS p, 7.5::DOUBLE AS v")
-
-
-def _geometry() -> None:
-    grid = lambda s: make_geometry((91, 109, 91), world_transform=LAS, unit="mm")
-    _add("geometry_accessors", lambda s, d: _rows(s, size=grid(s).voxel_size, centre=grid(s).centre, extent=grid(s).extent, axes=from_cells(s.range(0).selectExpr("id loc", "0 elem", "0D v"), (91, 109, 91), geometry=grid(s)).world_axes, transform=grid(s).world_transform), _values([("size", k, 2) for k in range(3)] + [("centre", 0, 0), ("centre", 1, -18), ("centre", 2, 18), ("extent", 0, 182), ("extent", 1, 218), ("extent", 2, 182), ("axes", 0, -1), ("axes", 1, 2), ("axes", 2, 3)] + [("transform", k, v) for k, v in enumerate([-2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 0, 90, -126, -72, 1])]))
-    _add("geometry_default", lambda s, d: _rows(s, size=ramp(s).voxel_size, transform=ramp(s).world_transform, centre=ramp(s).centre), _values([("size", k, 1) for k in range(3)] + [("transform", k, int(k % 5 == 0)) for k in range(16)] + [("centre", 0, 0.5), ("centre", 1, 1), ("centre", 2, 1.5)]))
-    _add("geometry_setters", lambda s, d: _rows(s, size=ramp(s).with_voxel_size((1, 2, 3)).extent, turned=ramp(s).with_world_transform(LAS).as_sparse().with_voxel_size(4).world_transform[:3, 0], kept=[ramp(s).as_sparse().with_voxel_size(4).is_sparse]), _values([("size", 0, 2), ("size", 1, 6), ("size", 2, 12), ("turned", 0, -4), ("turned", 1, 0), ("turned", 2, 0), ("kept", 0, 1)]))
-
-    def precedence(s, d):
-        base = make_geometry((2, 3, 4), (1, 2, 3), unit="mm")
-        made = [make_geometry((2, 3, 4), template=base), make_geometry((2, 3, 4), (5, 5, 5), template=base), make_geometry((2, 3, 4), world_transform=LAS, template=base), make_geometry((2, 3, 4), (5, 5, 5), LAS), make_geometry((2, 3, 4))]
-        return _rows(s, **{f"g{k}": g.voxel_size for k, g in enumerate(made)}, unit=[made[2].unit == "mm"])
-
-    _add("geometry_precedence", precedence, _values([(f"g{k}", a, v) for k, size in enumerate([(1, 2, 3), (5, 5, 5), (2, 2, 2), (5, 5, 5), (1, 1, 1)]) for a, v in enumerate(size)] + [("unit", 0, 1)]))
-    _add("geometry_same", lambda s, d: _rows(s, same=[same_geometry(grid(s), g) for g in (grid(s), with_voxel_size(grid(s), 2 + 1e-10), with_voxel_size(grid(s), 2.1), replace(grid(s), unit=None), replace(grid(s), unit="cm"))]), _values([("same", k, v) for k, v in enumerate([1, 1, 0, 1, 0])]))
-
-    def decomposed(s, d):
-        size, turn = decompose(LAS @ np.diag([1, 1.5, 2, 1]), 3)
-        shear = np.eye(4)
-        shear[0, 1] = 0.3
-        refused = []
-        for bad, n in ((shear, 3), (np.diag([1, 0, 1, 1.0]), 3), (np.diag([1, 1, 2, 1.0]), 2)):
-            try:
-                decompose(bad, n)
-                refused.append(0)
-            except ValueError:
-                refused.append(1)
-        return _rows(s, size=size, turn=turn, refused=refused)
-
-    _add("geometry_decompose", decomposed, _values([("size", 0, 2), ("size", 1, 3), ("size", 2, 4)] + [("turn", k, v) for k, v in enumerate([-1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 90, -126, -72, 1])] + [("refused", k, 1) for k in range(3)]))
-    _add("geometry_drop_axes", lambda s, d: _rows(s, slice=keep_axes(grid(s), [2]).world_transform, plane=keep_axes(grid(s), [0, 2]).centre), _values([("slice", k, v) for k, v in enumerate([0, 0, 2, 0, -1, 0, 0, 0, 0, 1, 0, 0, 0, -18, -72, 1])] + [("plane", 0, 0), ("plane", 1, -18), ("plane", 2, 18)]))
-    _add("geometry_inverse", lambda s, d: _rows(s, inverse=affine_inverse(LAS)), _values([("inverse", k, v) for k, v in enumerate([-0.5, 0, 0, 0, 0, 0.5, 0, 0, 0, 0, 0.5, 0, 45, 63, 36, 1])]))
-    halves = lambda s: s.range(9).select("id", *((F.col("id") / 2 - 0.5).alias(c) for c in "xyz"))
-    _add("round_conventional", lambda s, d: points.to_voxel(halves(s), make_geometry((4, 4, 4)), "world", "conventional"), "SELECT id, v AS x, v AS y, v AS z FROM (SELECT id, round_even(id / 2.0::DOUBLE - 0.5, 0) + 1 AS v FROM (SELECT unnest(range(9)) AS id) t) u")
-    drawn = lambda s, edge: points.to_voxel(s.range(1000).select("id", F.lit(edge).alias("x")), make_geometry((4, 4, 4)), "scaled", "probabilistic")
-    _add("round_probabilistic", lambda s, d: drawn(s, 1.25).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count_if((F.col("x") == 2) | (F.col("x") == 3)).alias("n"), F.avg(F.col("x") - 1).between(1.15, 1.35).alias("near")), "SELECT 2.0::DOUBLE AS least, 3.0::DOUBLE AS most, 1000::BIGINT AS n, true AS near")
-    _add("round_at_bounds", lambda s, d: drawn(s, 3.6).unionByName(drawn(s, -0.4)).groupBy("x").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES (4.0::DOUBLE, 1000::BIGINT), (1.0, 1000)) AS t(x, n)")
-    _add("world_round_trip", lambda s, d: points.from_voxel(points.to_voxel(s.range(50).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 2.5).alias("y"), (-F.col("id") / 4).alias("z")), make_geometry((91, 109, 91), world_transform=LAS)), make_geometry((91, 109, 91), world_transform=LAS)), "SELECT id, id::DOUBLE AS x, id * 2.5::DOUBLE AS y, -id / 4.0::DOUBLE AS z FROM (SELECT unnest(range(50)) AS id) t")
-
-    def flattened(s, d):
-        axes = [L.axis_of(F.col("id"), (2, 3, 4), k) for k in range(3)]
-        return s.range(24).select("id", *(a.cast("int").alias(n) for a, n in zip(axes, "ijk", strict=True)), L.flatten(axes, (2, 3, 4), check=True).alias("p"))
-
-    _add("index_flatten_expand", flattened, "SELECT p AS id, (p % 2)::INTEGER AS i, ((p // 2) % 3)::INTEGER AS j, (p // 6)::INTEGER AS k, p FROM (SELECT unnest(range(24)) AS p) t")
 
 
 def _applied() -> None:
     cube_sql = f"WITH {CUBE_SQL}"
     _add("imapply_ragged", lambda s, d: apply.imapply(cube(s, d), [3], lambda x: np.sort(x[x > 400])).select(F.col("m1").alias("k"), "r", "v"), f"{cube_sql} SELECT k::INTEGER AS k, (row_number() OVER (PARTITION BY k ORDER BY v) - 1)::INTEGER AS r, v FROM cube WHERE v > 400")
-    _add("imapply_none", lambda s, d: apply.imapply(ramp(s), [2, 3], lambda x: None if x.sum() < 20 else x.sum()).select("m1", "m2", "r", "v"), "SELECT j::INTEGER AS m1, k::INTEGER AS m2, 0 AS r, v FROM (SELECT (p//2) % 3 AS j, p//6 AS k, sum(p + 1)::DOUBLE AS v FROM (SELECT unnest(range(24)) AS p) t GROUP BY 1, 2) u WHERE v >= 20")
     _add("imapply_named", lambda s, d: apply.imapply(cube(s, d), [3], lambda x: {"least": x.min(), "most": x.max()}, simplify=False).select(F.col("m1").alias("k"), F.explode(F.arrays_zip("names", "v")).alias("e")).select("k", F.col("e.names").alias("name"), F.col("e.v").alias("v")), f"{cube_sql} SELECT k::INTEGER AS k, 'least' AS name, min(v) AS v FROM cube GROUP BY 1 UNION ALL SELECT k::INTEGER, 'most', max(v) FROM cube GROUP BY 1")
     _add("imapply_strings", lambda s, d: apply.imapply(cube(s, d), [3], lambda x: "high" if x.max() > 500 else "low", returns="string").select(F.col("m1").alias("k"), "v"), f"{cube_sql} SELECT k::INTEGER AS k, CASE WHEN max(v) > 500 THEN 'high' ELSE 'low' END AS v FROM cube GROUP BY 1")
-    _add("imapply_matrix", lambda s, d: apply.imapply(ramp(s), 3, lambda x: x.T).select(F.col("m1").alias("k"), "r", "v"), "SELECT k::INTEGER AS k, (j + 3*i)::INTEGER AS r, (i + 2*j + 6*k + 1)::DOUBLE AS v FROM (SELECT p % 2 AS i, (p//2) % 3 AS j, p//6 AS k FROM (SELECT unnest(range(24)) AS p) t) u")
-    _add("imapply_no_calls", lambda s, d: apply.imapply(from_numpy(s, np.zeros((4, 0, 6))), [2], lambda x: x.sum()), "SELECT 0 AS m1, 0 AS r, 0.0::DOUBLE AS v WHERE false")
 
     def places(s, d):
         x = cube(s, d)
@@ -153,16 +85,6 @@ def _applied() -> None:
 
     _add("imapply_argmax", places, f"{cube_sql}, m AS (SELECT k, arg_max(i + 50*j, struct_pack(v := v, p := -(i + 50*j))) AS pl FROM cube GROUP BY 1) SELECT k::INTEGER AS k, pl::DOUBLE AS v, pl::DOUBLE AS w FROM m")
 
-    def shapes(s, d):
-        x = ramp(s)
-        one, _ = apply.shaped(x, [3, 1], np.sum)
-        two, names = apply.shaped(x, [1], lambda v: {"a": v.min(), "b": v.max()})
-        ragged, _ = apply.shaped(x, [1], lambda v: [1.0] * int(v.flat[0]))
-        nothing, _ = apply.shaped(x, [1], lambda v: None)
-        return _rows(s, one=one, two=two, names=[names == ["a", "b"]], ragged=[len(v) for v in ragged], none=[nothing is None], dims=[*one.shape, *two.shape, *ragged.shape])
-
-    _add("imapply_shapes", shapes, _values([("one", k + 4 * i, sum(i + 2 * j + 6 * k + 1 for j in range(3))) for i in range(2) for k in range(4)] + [("two", 0, 1), ("two", 1, 23), ("two", 2, 2), ("two", 3, 24), ("names", 0, 1), ("ragged", 0, 1), ("ragged", 1, 2), ("none", 0, 1)] + [("dims", k, v) for k, v in enumerate([4, 2, 2, 2, 2])]))
-
     def watched(s, d):
         said: list[tuple[int, int]] = []
         rows = apply.with_progress(cube(s, d, "dense"), lambda x: imreduce(x, [3], "sum"), lambda done, total: said.append((done, total)))
@@ -171,7 +93,6 @@ def _applied() -> None:
 
     _add("progress", watched, _values([("first", 0, 0), ("last", 0, 4200), ("rising", 0, 1), ("total", 0, 1), ("rows", 0, 12)]))
     _add("threads_change_nothing", lambda s, d: imreduce(apply.with_threads(cube(s, d), 3), [3], "which.max").select(F.col("m1").alias("k"), "v"), f"{cube_sql} SELECT k::INTEGER AS k, (arg_max(i + 50*j + 1, struct_pack(v := v, p := -(i + 50*j))))::INTEGER AS v FROM cube GROUP BY 1")
-    _add("backend", lambda s, d: s.createDataFrame([(apply.parallel_backend(), apply.can_fork(), apply.resolve_threads(), apply.resolve_threads(4))], "backend string, fork boolean, unset int, four int"), "SELECT 'spark' AS backend, true AS fork, 0 AS unset, 4 AS four")
 
 
 def _summaries() -> None:
@@ -183,15 +104,6 @@ def _summaries() -> None:
     for kind in ("sparse", "dense", "packed"):
         _add(f"summaries_{kind}", lambda s, d, kind=kind: row(cube(s, d, kind), s), f"WITH {CUBE_SQL} {sql}")
 
-    def gaps(s, d):
-        x = from_numpy(s, np.array([2.0, np.nan, 3.0, 0.0]))
-        none = from_numpy(s, np.array([np.nan, np.nan])).as_packed("float32")
-        known = lambda v: -1 if v is None else v
-        return _rows(s, spoiled=[known(summary(x, w)) for w in ("sum", "max", "all")], dropped=[summary(x, w, na_rm=True) for w in ("sum", "max", "prod", "mean")], any=[known(summary(x, "any"))], packed=[known(summary(none, w, na_rm=True)) for w in ("sum", "min", "mean")], sparse=[summary(x.as_sparse(), "mean", na_rm=True)])
-
-    _add("summaries_with_missing", gaps, _values([("spoiled", 0, -1), ("spoiled", 1, -1), ("spoiled", 2, 0), ("dropped", 0, 5), ("dropped", 1, 3), ("dropped", 2, 0), ("dropped", 3, "5/3.0::DOUBLE"), ("any", 0, 1)] + [("packed", k, -1) for k in range(3)] + [("sparse", 0, 1.25)]))
-
-
 def _operators() -> None:
     full = f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS p, {{}} AS v FROM cube"
     held = f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS p, {{}} AS v FROM sparse_cube"
@@ -209,14 +121,6 @@ def _operators() -> None:
     _add("array_minus_packed", lambda s, d: cells(weights - cube(s, d, "packed")), full.format("(i+50*j+350*k) - v"))
     _add("sparse_times_vector", lambda s, d: cells(cube(s, d) * np.array([1.0, 0.0, 2.0])), full.format("v * CASE (i+50*j+350*k) % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END"))
     _add("sparse_over_zero", lambda s, d: cells((cube(s, d) / 0).as_sparse()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == float("inf")).alias("infinite"), F.count_if(F.isnan("v") | F.col("v").isNull()).alias("gone")), f"WITH {CUBE_SQL} SELECT count(*) AS n, count(*) FILTER (v > 0) AS infinite, count(*) FILTER (v = 0) AS gone FROM cube")
-    both = np.array([1 + 2j, 3 - 1j, 0j, 2j])
-
-    def complex_rows(image: Image) -> DataFrame:
-        return image.view().select(F.col("loc").alias("p"), F.col("v.re").alias("re"), F.col("v.im").alias("im"))
-
-    _add("complex_operators", lambda s, d: complex_rows((2 - from_numpy(s, both)) * (1 + 1j)), "SELECT * FROM (VALUES (0::BIGINT, 3.0::DOUBLE, -1.0::DOUBLE), (1, -2, 0), (2, 2, 2), (3, 4, 0)) AS t(p, re, im)")
-
-
 def _subscripts() -> None:
     cells_sql = f"WITH {CUBE_SQL}, x AS (SELECT (i+50*j+350*k)::BIGINT AS p, v, i, j, k FROM cube)"
     _add("extract_logical_image", lambda s, d: cells(cube(s, d)[cube(s, d) > 60]), f"{cells_sql} SELECT row_number() OVER (ORDER BY p) - 1 AS p, v FROM x WHERE v > 60")
@@ -229,7 +133,6 @@ def _subscripts() -> None:
     _add("assign_recycles", lambda s, d: cells(index.assign(cube(s, d, "dense"), [1, 2, 3], None, 1, 1)), f"{cells_sql} SELECT p, CASE WHEN j = 0 AND k = 0 THEN 1 + i % 3 ELSE v END AS v FROM x")
     _add("assign_repeated_last", lambda s, d: cells(index.assign(cube(s, d), [10, 20, 30], [4, 9, 4], 1, 1)), f"{cells_sql} SELECT p, CASE p WHEN 3 THEN 30 WHEN 8 THEN 20 ELSE v END AS v FROM x WHERE v <> 0 OR p IN (3, 8)")
     _add("assign_logical_image", lambda s, d: cells(index.assign(cube(s, d, "dense"), 0, cube(s, d) > 60)), f"{cells_sql} SELECT p, CASE WHEN v > 60 THEN 0 ELSE v END AS v FROM x")
-    _add("assign_promotes", lambda s, d: cells(index.assign(from_numpy(s, np.arange(6)), 2.5, [2, 3])), "SELECT * FROM (VALUES (0::BIGINT, 0.0::DOUBLE), (1, 2.5), (2, 2.5), (3, 3), (4, 4), (5, 5)) AS t(p, v)")
 
 
 def _round_trip(make: Callable[[SparkSession, str], Image], d: StorageDescriptor, dims, ending: str = "raw", **read) -> Callable[[SparkSession, str], Image]:
@@ -259,13 +162,6 @@ def _codec() -> None:
     for order in ("lsb", "msb"):
         bits = _round_trip(lambda s, d: cube(s, d, "dense") > 60, StorageDescriptor("bit", bit_order=order), (50, 7, 12))
         _add(f"codec_bits_{order}", lambda s, d, bits=bits: cells(bits(s, d), "boolean"), full.format("v > 60"))
-    for kind, n in (("rgb24", 3), ("rgba32", 4)):
-        colour = lambda s, d, n=n: from_numpy(s, (np.arange(20 * n) * 7 % 256).astype(float).reshape(4, 5, n, order="F"), 2)
-        back = _round_trip(colour, StorageDescriptor(kind), (4, 5), spatial=2)
-        _add(f"codec_{kind}", lambda s, d, back=back: cells(back(s, d)), f"SELECT p, (p * 7 % 256)::DOUBLE AS v FROM (SELECT unnest(range({20 * n})) AS p) t")
-    for kind in ("complex64", "complex128"):
-        phase = _round_trip(lambda s, d: from_numpy(s, np.arange(12.0) * (1 - 0.5j)), StorageDescriptor(kind, "big"), (12,))
-        _add(f"codec_{kind}", lambda s, d, phase=phase: phase(s, d).view().select(F.col("loc").alias("p"), F.col("v.re").alias("re"), F.col("v.im").alias("im")), "SELECT p, p::DOUBLE AS re, p * -0.5::DOUBLE AS im FROM (SELECT unnest(range(12)) AS p) t")
     scaled = _round_trip(lambda s, d: cube(s, d) / 4, StorageDescriptor("int16", slope=0.5, intercept=1.0), (50, 7, 12), form="dense")
     _add("codec_scaled", lambda s, d: cells(scaled(s, d)), full.format("round_even((v / 4 - 1) / 0.5, 0) * 0.5 + 1"))
 
@@ -276,5 +172,176 @@ def _masks() -> None:
     _add("mask_locations_numeric", lambda s, d: elementwise.mask_locations(cube(s, d, "dense") - 60, 4200), f"{grid} (i+50*j+350*k)::BIGINT AS loc FROM cube WHERE v <> 60")
 
 
-for _group in (_construction, _geometry, _applied, _summaries, _operators, _subscripts, _codec, _masks):
+def _of_boxes() -> None:
+    _add("image_from_array", lambda s, d: cells(from_numpy(s, box(s, d).to_numpy())), f"{BOX} SELECT p, v FROM box")
+    at = lambda x, keep: sparse_from_mask(x.cells.sparkSession, keep(x.to_numpy()), x.to_numpy().ravel(order="F")[keep(x.to_numpy()).ravel(order="F")])
+    _add("image_from_mask", lambda s, d: cells(at(box(s, d), lambda a: a % 3 == 1)), f"{BOX} SELECT p, v FROM box WHERE v % 3 = 1")
+    _add("image_from_bytes", lambda s, d: cells(packed_from_bytes(s, box(s, d).to_numpy().ravel(order="F").astype("<i2").tobytes(), "int16", (2, 3, 4), 0.5, 100.0)), f"{BOX} SELECT p, v * 0.5 + 100 AS v FROM box")
+    _add("image_to_array", lambda s, d: _rows(s, v=box(s, d).reorient((3, -1, 2)).to_numpy()), f"{BOX} SELECT 'v' AS what, (k + 4*(1-i) + 8*j)::INTEGER AS k, v FROM box")
+
+    def kinds(s, d):
+        x = box(s, d)
+        whole = from_cells(x.cells.withColumn("v", F.col("v").cast("int")), x.dims, 3, value_type="integer")
+        forms = [x, x.as_sparse(), x.as_packed("int16", 1.0, 0.0), x > 60, whole]
+        totals = [i.view().agg(F.coalesce(F.sum(F.col("v").cast("double")), F.lit(0.0))).first()[0] for i in forms]
+        return s.createDataFrame([(k, i.is_dense, i.is_sparse, i.is_packed, i.storage_type, i.length, ",".join(map(str, i.storage_layout)), t) for k, (i, t) in enumerate(zip(forms, totals, strict=True))], "k int, dense boolean, sparse boolean, packed boolean, storage string, length int, layout string, total double")
+
+    _add("image_kinds", kinds, f"{BOX}, t AS (SELECT sum(v) AS total, count(*) FILTER (v > 60) AS high FROM box) SELECT k, dense, sparse, packed, storage, 24 AS length, '1,2,3' AS layout, CASE WHEN k = 3 THEN high ELSE total END::DOUBLE AS total FROM t, (VALUES (0, true, false, false, 'double'), (1, false, true, false, 'double'), (2, false, false, true, 'int16'), (3, true, false, false, 'logical'), (4, true, false, false, 'integer')) AS f(k, dense, sparse, packed, storage)")
+
+    def told(s, d):
+        x = box(s, d).with_geometry(make_geometry((2, 3, 4), (1, 2.5, 3), unit="mm"))
+        halves = x.as_packed("int16", 0.5, 1.0)
+        forms = [x.grid, x, replace(x, spatial=2, geometry=None), (x * 1 - 20).as_sparse(), halves, x.as_packed("uint8", 1.0, 0.0).reorient((-1, 2, 3)), StorageDescriptor("int16", "big", 17, 2.0, 1.0, (2, -1, 3))]
+        return s.createDataFrame([(k, n, line) for k, f in enumerate(forms) for n, line in enumerate(describe(f).split("\n"))], "k int, n int, line string")
+
+    grid = ["  Spatial dimensions : 2 x 3 x 4", "  Voxel size         : 1 x 2.5 x 3 mm"]
+    lines = [
+        ["Image geometry: 2 x 3 x 4", *grid], ["Dense image: 2 x 3 x 4 (double)", *grid], ["Dense image: 2 x 3 x 4 (double)", "  Spatial dimensions : 2 x 3", "  Voxel size         : 1 x 1 (unit unknown)", "  Values per location: 4"],
+        ["Sparse image: 2 x 3 x 4 (double)", *grid], ["Packed image: 2 x 3 x 4 (int16)", *grid, "  Scaling            : value = stored * 0.5 + 1", "  Storage            : 48 bytes, against 192 as double"],
+        ["Packed image: 2 x 3 x 4 (uint8)", *grid, "  Storage            : 24 bytes, against 192 as double", "  Storage layout     : -1, 2, 3"], ["Storage descriptor: int16, big-endian, from byte 17", "  Scaling: value = stored * 2 + 1", "  Layout : 2, -1, 3"],
+    ]
+    fixed = ", ".join(f"({k}, {n}, '{x}')" for k, own in enumerate(lines) for n, x in enumerate(own))
+    _add("summary_texts", told, f"{BOX}, c AS (SELECT count(*) FILTER (v <> 20) AS c FROM box) SELECT k, n, line FROM (VALUES {fixed}) AS t(k, n, line) UNION ALL SELECT 3, 3, printf('  Locations stored   : %d of 24 (%.1f%% sparse)', c, 100.0 * (24 - c) / 24) FROM c")
+    _add("pack_constant", lambda s, d: cells((box(s, d) * 0 + 7.5).as_packed("int16")), f"{BOX} SELECT p, 7.5::DOUBLE AS v FROM box")
+    _add("imapply_none", lambda s, d: apply.imapply(box(s, d), [2, 3], lambda x: None if x.sum() % 2 else x.sum()).select("m1", "m2", "r", "v"), f"{BOX} SELECT j::INTEGER AS m1, k::INTEGER AS m2, 0 AS r, v FROM (SELECT j, k, sum(v) AS v FROM box GROUP BY 1, 2) u WHERE v % 2 = 0")
+    _add("imapply_matrix", lambda s, d: apply.imapply(box(s, d), 3, lambda x: x.T).select(F.col("m1").alias("k"), "r", "v"), f"{BOX} SELECT k::INTEGER AS k, (j + 3*i)::INTEGER AS r, v FROM box")
+    _add("imapply_no_calls", lambda s, d: apply.imapply(index.extract(cube(s, d), None, [], None, drop=False), [2], lambda x: x.sum()), f"WITH {CUBE_SQL} SELECT j::INTEGER AS m1, 0 AS r, sum(v) AS v FROM cube WHERE j < 0 GROUP BY j")
+
+    def shapes(s, d):
+        x = box(s, d)
+        one, _ = apply.shaped(x, [3, 1], np.sum)
+        two, names = apply.shaped(x, [1], lambda v: {"a": v.min(), "b": v.max()})
+        ragged, _ = apply.shaped(x, [1], lambda v: [1.0] * int(v[0, 0] % 3 + 1))
+        nothing, _ = apply.shaped(x, [1], lambda v: None)
+        return _rows(s, one=one, two=two, names=[names == ["a", "b"]], ragged=[sum(v) for v in ragged] if ragged.dtype == object else ragged.sum(axis=0), none=[nothing is None], dims=[*one.shape, *two.shape])
+
+    _add("imapply_shapes", shapes, f"{BOX} SELECT 'one' AS what, (k + 4*i)::INTEGER AS k, sum(v) AS v FROM box GROUP BY i, k UNION ALL SELECT 'two', (2*i)::INTEGER, min(v) FROM box GROUP BY i UNION ALL SELECT 'two', (2*i + 1)::INTEGER, max(v) FROM box GROUP BY i UNION ALL SELECT 'ragged', i::INTEGER, v % 3 + 1 FROM box WHERE j = 0 AND k = 0 UNION ALL SELECT * FROM (VALUES ('names', 0, 1.0::DOUBLE), ('none', 0, 1), ('dims', 0, 4), ('dims', 1, 2), ('dims', 2, 2), ('dims', 3, 2)) AS t(what, k, v)")
+
+    def backend(s, d):
+        spread = apply.with_threads(cube(s, d), 4)
+        parts = spread.cells.select(F.spark_partition_id().alias("part")).distinct().count()
+        total = spread.cells.agg(F.sum("v")).first()[0]
+        return s.createDataFrame([(apply.parallel_backend(), apply.can_fork(), apply.resolve_threads(), parts, total)], "backend string, fork boolean, unset int, parts int, total double")
+
+    _add("backend", backend, f"WITH {CUBE_SQL} SELECT 'spark' AS backend, true AS fork, 0 AS unset, 4 AS parts, sum(v) AS total FROM cube")
+
+    def gaps(s, d):
+        x = box(s, d) / 1000
+        x = replace(x, cells=x.cells.withColumn("v", F.when(F.col("loc") % 5 != 3, F.col("v"))))
+        none = replace(x, cells=x.cells.withColumn("v", F.lit(None).cast("double"))).as_packed("float32")
+        known = lambda v: -1 if v is None else round(float(v), 9)
+        return _rows(s, spoiled=[known(summary(x, w)) for w in ("sum", "max", "all", "any")], dropped=[known(summary(x, w, na_rm=True)) for w in ("sum", "max", "prod", "mean", "all")], packed=[known(summary(none, w, na_rm=True)) for w in ("sum", "min", "mean")], sparse=[known(summary(x.as_sparse(), "mean", na_rm=True))])
+
+    _add("summaries_with_missing", gaps, f"{BOX}, y AS (SELECT v/1000 AS v FROM box WHERE p % 5 <> 3), a AS (SELECT bool_or(v = 0) AS zero, bool_or(v <> 0) AS live, sum(v) AS s, max(v) AS m, product(v) AS q, avg(v) AS a FROM y) SELECT w.what, w.k, round(CASE w.what || w.k WHEN 'spoiled0' THEN -1 WHEN 'spoiled1' THEN -1 WHEN 'spoiled2' THEN CASE WHEN zero THEN 0 ELSE -1 END WHEN 'spoiled3' THEN CASE WHEN live THEN 1 ELSE -1 END WHEN 'dropped0' THEN s WHEN 'dropped1' THEN m WHEN 'dropped2' THEN q WHEN 'dropped3' THEN a WHEN 'dropped4' THEN CASE WHEN zero THEN 0 ELSE 1 END WHEN 'sparse0' THEN s / 24 ELSE -1 END::DOUBLE, 9) AS v FROM a, (VALUES ('spoiled', 0), ('spoiled', 1), ('spoiled', 2), ('spoiled', 3), ('dropped', 0), ('dropped', 1), ('dropped', 2), ('dropped', 3), ('dropped', 4), ('packed', 0), ('packed', 1), ('packed', 2), ('sparse', 0)) AS w(what, k)")
+
+    def complex_rows(image: Image) -> DataFrame:
+        return image.view().select((F.col("loc") + F.col("elem").cast("long") * image.n_locations).alias("p"), F.col("v.re").alias("re"), F.col("v.im").alias("im"))
+
+    def phase(s, d):
+        x = cube(s, d, "dense")
+        return from_cells(x.cells.withColumn("v", F.struct(F.col("v").alias("re"), (F.col("v") * -0.5).alias("im"))), x.dims, 3, value_type="complex")
+
+    places = f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS p,"
+    # (2 - v + v/2 i) (1 + i)
+    _add("complex_operators", lambda s, d: complex_rows((2 - phase(s, d)) * (1 + 1j)), f"{places} 2 - 1.5*v AS re, 2 - 0.5*v AS im FROM cube")
+    whole = lambda x: from_cells(x.cells.withColumn("v", F.col("v").cast("int")), x.dims, 3, value_type="integer")
+    _add("assign_promotes", lambda s, d: cells(index.assign(whole(box(s, d)), 2.5, [2, 3])), f"{BOX} SELECT p, CASE WHEN p IN (1, 2) THEN 2.5 ELSE v END AS v FROM box")
+    for kind, n in (("rgb24", 3), ("rgba32", 4)):
+
+        def colours(s, d, n=n):
+            x = cube(s, d, "dense").cells.where(F.col("loc") < 350 * n)
+            return from_cells(x.select((F.col("loc") % 350).alias("loc"), F.call_function("div", F.col("loc"), F.lit(350)).cast("int").alias("elem"), (F.col("v") % 256).alias("v")), (50, 7, n), 2)
+
+        back = _round_trip(colours, StorageDescriptor(kind), (50, 7), spatial=2)
+        _add(f"codec_{kind}", lambda s, d, back=back: cells(back(s, d)), f"{places} v % 256 AS v FROM cube WHERE k < {n}")
+    for kind in ("complex64", "complex128"):
+        stream = _round_trip(phase, StorageDescriptor(kind, "big"), (50, 7, 12))
+        _add(f"codec_{kind}", lambda s, d, stream=stream: complex_rows(stream(s, d)), f"{places} v AS re, v * -0.5 AS im FROM cube")
+
+
+#: A grid for each customer: dims, voxel sizes, whether the first axis runs backwards, and where it lies.
+GRIDS = """WITH g AS (SELECT c_custkey AS id, c_custkey % 50 + 2 AS n1, c_nationkey + 2 AS n2, c_custkey % 12 + 2 AS n3, (1 + c_custkey % 3)::DOUBLE AS s1, 2.5::DOUBLE AS s2, (0.5 * (1 + c_nationkey % 4))::DOUBLE AS s3,
+ CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS f, c_custkey % 100 AS o1, -c_nationkey AS o2, 7 AS o3 FROM customer)"""
+
+
+def _of_grids(fun: Callable[[dict], dict]) -> Query:
+    """(id, what, k, v): each value, first axis fastest, of what ``fun`` makes of the grid of each customer, many to an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                c, n = r["c_custkey"], r["c_nationkey"]
+                size, f = (1.0 + c % 3, 2.5, 0.5 * (1 + n % 4)), -1 if c % 2 == 0 else 1
+                world = np.diag([f * size[0], size[1], size[2], 1.0])
+                world[:3, 3] = c % 100, -n, 7
+                dims = (c % 50 + 2, n + 2, c % 12 + 2)
+                grid = {"dims": dims, "size": size, "world": world, "g": make_geometry(dims, world_transform=world, unit="mm")}
+                out += [(c, what, k, round(float(v), 9)) for what, values in fun(grid).items() for k, v in enumerate(np.ravel(np.asarray(values, float), order="F"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 4, [pa.int64(), pa.string(), pa.int32(), pa.float64()], strict=True)], ["id", "what", "k", "v"])
+
+    return lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as bigint) c_custkey", "cast(c_nationkey as bigint) c_nationkey").mapInArrow(run, "id long, what string, k int, v double")
+
+
+def _listed(**found: list[str]) -> str:
+    """SQL of the same rows: an expression for each value."""
+    rows = [f"SELECT id, '{what}' AS what, {k} AS k, round(({e})::DOUBLE, 9) AS v FROM g" for what, values in found.items() for k, e in enumerate(values)]
+    return f"{GRIDS} " + " UNION ALL ".join(rows)
+
+
+def _geometry() -> None:
+    centre = ["f*s1*(n1-1)/2 + o1", "s2*(n2-1)/2 + o2", "s3*(n3-1)/2 + o3"]
+    turn = ["f", "0", "0", "0", "0", "1", "0", "0", "0", "0", "1", "0", "o1", "o2", "o3", "1"]
+    world = ["f*s1", "0", "0", "0", "0", "s2", "0", "0", "0", "0", "s3", "0", "o1", "o2", "o3", "1"]
+    eye = [str(int(k % 5 == 0)) for k in range(16)]
+    _add("geometry_accessors", _of_grids(lambda r: {"size": r["g"].voxel_size, "centre": r["g"].centre, "extent": r["g"].extent, "axes": world_axes(r["g"]), "transform": r["g"].world_transform}), _listed(size=["s1", "s2", "s3"], centre=centre, extent=["n1*s1", "n2*s2", "n3*s3"], axes=["f", "2", "3"], transform=world))
+    _add("geometry_default", _of_grids(lambda r: (lambda g: {"size": g.voxel_size, "transform": g.world_transform, "centre": g.centre})(make_geometry(r["dims"]))), _listed(size=["1"] * 3, transform=eye, centre=["(n1-1)/2.0", "(n2-1)/2.0", "(n3-1)/2.0"]))
+    _add("geometry_setters", _of_grids(lambda r: {"extent": with_voxel_size(r["g"], (1, 2, 3)).extent, "turned": with_voxel_size(r["g"], 4).world_transform[:3, 0], "moved": with_transform(make_geometry(r["dims"]), r["world"]).voxel_size}), _listed(extent=["n1", "2*n2", "3*n3"], turned=["4*f", "0", "0"], moved=["s1", "s2", "s3"]))
+
+    def precedence(r):
+        base = make_geometry(r["dims"], r["size"], unit="mm")
+        made = [make_geometry(r["dims"], template=base), make_geometry(r["dims"], (5, 5, 5), template=base), make_geometry(r["dims"], world_transform=np.diag([9.0, 8, 7, 1]), template=base), make_geometry(r["dims"], (5, 5, 5), r["world"]), make_geometry(r["dims"])]
+        return {f"g{k}": g.voxel_size for k, g in enumerate(made)} | {"unit": [made[2].unit == "mm"]}
+
+    _add("geometry_precedence", _of_grids(precedence), _listed(g0=["s1", "s2", "s3"], g1=["5"] * 3, g2=["9", "8", "7"], g3=["5"] * 3, g4=["1"] * 3, unit=["1"]))
+    _add("geometry_same", _of_grids(lambda r: {"same": [same_geometry(r["g"], g) for g in (r["g"], with_voxel_size(r["g"], tuple(x + 1e-10 for x in r["size"])), with_voxel_size(r["g"], 1.25), replace(r["g"], unit=None), replace(r["g"], unit="cm"))]}), _listed(same=["1", "1", "0", "1", "0"]))
+
+    def decomposed(r):
+        size, turned = decompose(r["world"] @ np.diag([1, 1.5, 2, 1]), 3)
+        shear, refused = r["world"].copy(), 0
+        shear[0, 1] = 0.3
+        try:
+            decompose(shear, 3)
+        except ValueError:
+            refused = 1
+        return {"size": size, "turn": turned, "refused": [refused]}
+
+    _add("geometry_decompose", _of_grids(decomposed), _listed(size=["s1", "1.5*s2", "2*s3"], turn=turn, refused=["1"]))
+    _add("geometry_drop_axes", _of_grids(lambda r: {"slice": keep_axes(r["g"], [2]).world_transform, "plane": keep_axes(r["g"], [0, 2]).centre}), _listed(slice=["0", "0", "s3", "0", "f", "0", "0", "0", "0", "1", "0", "0", centre[0], centre[1], "o3", "1"], plane=centre))
+    _add("geometry_inverse", _of_grids(lambda r: {"inverse": affine_inverse(r["world"])}), _listed(inverse=["f/s1", "0", "0", "0", "0", "1/s2", "0", "0", "0", "0", "1/s3", "0", "-f*o1/s1", "-o2/s2", "-o3/s3", "1"]))
+    _add("geometry_permuted", _of_grids(lambda r: (lambda g: {"dims": g.dims, "centre": g.centre, "axes": world_axes(g)})(permute_axes(r["g"], (3, -1, 2)))), _listed(dims=["n3", "n1", "n2"], centre=centre, axes=["3", "-f", "2"]))
+    line = lambda r: bar(r["dims"][0], 60, float(r["dims"][2]), 60)
+    _add("progress_bar", _of_grids(lambda r: {"full": [line(r).count("=")], "width": [len(line(r))], "share": [int(line(r).split("|")[2].split("%")[0])]}), _listed(full=["round_even(n1/60.0 * 33, 0)"], width=["59"], share=["round_even(n1/60.0::DOUBLE * 100, 0)"]))
+
+
+def _points() -> None:
+    lines = lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 2).cast("double").alias("x"), (F.col("l_linenumber") * 1.5).cast("double").alias("y"), (F.col("l_quantity") / 4 - 0.5).cast("double").alias("z"))
+    of_lines = "WITH x AS (SELECT l_orderkey, l_linenumber, (l_quantity/2)::DOUBLE AS x, (l_linenumber*1.5)::DOUBLE AS y, (l_quantity/4.0 - 0.5)::DOUBLE AS z FROM lineitem) SELECT l_orderkey, l_linenumber,"
+    _add("round_conventional", lambda s, d: points.to_voxel(lines(s, d), make_geometry((90, 90, 90)), "world", "conventional"), f"{of_lines} round_even(x, 0) + 1 AS x, round_even(y, 0) + 1 AS y, round_even(z, 0) + 1 AS z FROM x")
+    wide = make_geometry((91, 109, 91), world_transform=LAS)
+    _add("world_to_voxel", lambda s, d: points.to_voxel(lines(s, d), wide, "world"), f"{of_lines} (90 - x)/2 + 1 AS x, (y + 126)/2 + 1 AS y, (z + 72)/2 + 1 AS z FROM x")
+    _add("world_round_trip", lambda s, d: points.from_voxel(points.to_voxel(lines(s, d), wide), wide), f"{of_lines} x, y, z FROM x")
+    drawn = lambda s, d: points.to_voxel(lines(s, d).withColumn("x", F.col("l_linenumber") + 0.25).drop("y", "z"), make_geometry((90, 90, 90)), "scaled", "probabilistic")
+    _add("round_probabilistic", lambda s, d: drawn(s, d).select((F.col("x") - 1 - F.col("l_linenumber")).alias("up")).agg(F.min("up").alias("least"), F.max("up").alias("most"), F.count_if(F.col("up").isin(0.0, 1.0)).alias("n"), F.avg("up").between(0.2, 0.3).alias("near")), "SELECT 0.0::DOUBLE AS least, 1.0::DOUBLE AS most, count(*) AS n, true AS near FROM lineitem")
+    edge = lambda s, d, x: points.to_voxel(s.read.parquet(f"{d}/customer.parquet").select("c_nationkey", F.lit(x).alias("x")), make_geometry((4, 4, 4)), "scaled", "probabilistic")
+    _add("round_at_bounds", lambda s, d: edge(s, d, 3.6).unionByName(edge(s, d, -0.4)).groupBy("c_nationkey", "x").agg(F.count(F.lit(1)).alias("n")), "SELECT c_nationkey, x, count(*) AS n FROM customer, (VALUES (4.0::DOUBLE), (1.0)) AS t(x) GROUP BY 1, 2")
+
+    def flattened(s, d):
+        axes = [L.axis_of(F.col("loc"), (50, 7, 12), k) for k in range(3)]
+        return cube(s, d).cells.select("loc", *(a.cast("int").alias(n) for a, n in zip(axes, "ijk", strict=True)), L.flatten(axes, (50, 7, 12), check=True).alias("p"))
+
+    _add("index_flatten_expand", flattened, f"WITH {CUBE_SQL} SELECT (i+50*j+350*k)::BIGINT AS loc, i::INTEGER AS i, j::INTEGER AS j, k::INTEGER AS k, (i+50*j+350*k)::BIGINT AS p FROM sparse_cube")
+
+
+for _group in (_construction, _geometry, _points, _applied, _summaries, _operators, _subscripts, _codec, _masks, _of_boxes):
     _group()

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INVERSE, SPACE, flat, mix, powers, settle, slices, span_hashes, window_hashes, windows, word_spans
 
-WINDOW, CONTAINED, LITERAL, CONSISTENT = 5, 0.8, 3, 0.8
+WINDOW, CONTAINED, LITERAL, CONSISTENT, WIDE = 5, 0.8, 3, 0.8, 10
 #: Benchmark windows up to which their hashes go to every worker (8 bytes each) to thin out the join's other side.
 MOST_BROADCAST = 1 << 21
 #: Ids of documents that hold an item up to which they go to every worker (8 bytes each) to drop those documents.
@@ -128,8 +128,8 @@ def _pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
-#: How an item is found: by templates of WINDOW words, word for word, by templates that run on.
-TEMPLATES, WORDS, LONG = 0, 1, 2
+#: How an item is found: by templates of WINDOW words, word for word, by templates that run on, by WIDE forms in order.
+TEMPLATES, WORDS, LONG, FORMS = 0, 1, 2, 3
 ITEM_DDL = "item_id long, kind long, way int, h long, place int, width int, n_windows int, slots binary"
 
 
@@ -139,6 +139,18 @@ def short_windows(t: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.n
     return first, mix(window_hashes(t["plain"], first, size) + np.uint64(size))
 
 
+def wide_windows(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of each run of WIDE forms."""
+    first = windows(t["rows"], WIDE)
+    return first, mix(window_hashes(t["form"], first, WIDE) + np.uint64(WIDE))
+
+
+def _tells_enough(literal: np.ndarray, slots: np.ndarray) -> bool:
+    """Whether an item's forms are its own: a plain word, and LITERAL plain words and repeats of slots in all."""
+    said = slots[slots != 0]
+    return literal.any() and literal.sum() + len(said) - len(np.unique(said)) >= LITERAL
+
+
 def item_windows(items: DataFrame) -> DataFrame:
     """A row for each window of each item and way: its class, hash and place, the item's distinct windows, its slots (zero: a plain word)."""
 
@@ -149,6 +161,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                 t = template(data, offsets)
                 slots = np.where(t["literal"], np.uint64(0), t["plain"])
                 first, form, plain = template_windows(t)
+                wide_first, wide_h = wide_windows(t)
                 ids, out = part.column("item_id").to_pylist(), []
                 begins = np.searchsorted(t["rows"], np.arange(part.num_rows + 1))
                 for r, (low, high) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
@@ -164,7 +177,11 @@ def item_windows(items: DataFrame) -> DataFrame:
                         else:
                             at, ends, h = long_windows(t, first[own[form[own] == 0]])
                             at, ends, h = (np.concatenate(x) for x in zip((first[templates], first[templates] + WINDOW, form[templates]), (at, ends, h), strict=True))
-                            ways += [(LONG, at, ends, h)] * (2 * len(at) >= len(own))
+                            if 2 * len(at) >= len(own):
+                                ways.append((LONG, at, ends, h))
+                            elif _tells_enough(t["literal"][low:high], slots[low:high]):
+                                mine = (wide_first >= low) & (wide_first < high)
+                                ways.append((FORMS, wide_first[mine], wide_first[mine] + WIDE, wide_h[mine]))
                     pattern = np.unique(slots[low:high], return_inverse=True)[1]
                     _, place_of_first = np.unique(pattern, return_index=True)
                     pattern = place_of_first[pattern] if len(pattern) else pattern  # the same for items that differ in their slots' words only
@@ -249,6 +266,7 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
     members = bench.select("kind", "item_id").distinct().groupBy("kind").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     classes = bench.groupBy("kind", "way", "n_windows", "h", "place").agg(F.first("slots").alias("slots"))  # the same but for the slots' words
     short = sorted(r[0] for r in bench.where(F.col("width") < WINDOW).select("width").distinct().collect())  # four lengths at most
+    in_order = not bench.where(F.col("way") == FORMS).isEmpty()
     hashes = None
     if bench.count() <= most_broadcast:  # the size is checked; beyond it every window goes into the join
         hashes = np.unique(np.array([r[0] for r in bench.select("h").distinct().collect()], np.int64).view(np.uint64))
@@ -264,6 +282,7 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
                 templates = form != 0
                 sets = [(first[templates], first[templates] + WINDOW, form[templates]), (first, first + WINDOW, plain), long_windows(t, first[~templates])]
                 sets += [(at, at + size, h) for size in short for at, h in [short_windows(t, size)]]
+                sets += [(at, at + WIDE, h) for at, h in [wide_windows(t)] if in_order]
                 for at, ends, h in sets:
                     if hashes is not None:
                         use = np.flatnonzero(near[(h >> np.uint64(44)).astype(np.int64)])
@@ -278,7 +297,7 @@ def find_items(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BRO
     # Repeated rows of a document are counted once; ``copy`` tells different texts of one doc_id apart.
     pairs = settle(found.distinct()).join(classes.select("kind", "way", "n_windows", "h").distinct(), "h")
     counted = pairs.groupBy("doc_id", "kind", "way", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
-    enough = counted.where(F.col("n_matched") >= F.col("n_windows") * CONTAINED)
+    enough = counted.where(F.col("n_matched") >= F.col("n_windows") * F.when(F.col("way") == FORMS, 1.0).otherwise(CONTAINED))
 
     def judge(part: pa.Table) -> pa.Table:
         of_item = part.column("copy").is_null().to_numpy()

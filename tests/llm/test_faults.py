@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import gam, quality, queries, store
+from gridloom.llm import decontam, gam, quality, queries, store
 from gridloom.llm.common import flat
 
 LOREM = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix blue potions near an old stone bridge"
@@ -49,3 +49,20 @@ def test_training_takes_the_same_text_of_a_repeated_id(spark):
     assert scores[0] == scores[1]
     weights = [quality.train(d, labels) for d in orders]
     assert (weights[0] is None) == (weights[1] is None) and (weights[0] is None or (weights[0].weights == weights[1].weights).all())
+
+
+def test_items_of_names_and_numbers_are_found_by_their_forms(spark):
+    items = [(1, "Pay Ann 14 euros Bob 15 euros Carl 16 euros Dan 17 euros Eve 18 euros"), (2, "Ann 3 Bob 4 Carl 5 Dan 6 Eve 7 Fay 8 Gus 9"), (3, "Send Ann 3 kg and Bob 4 kg or Carl 5 kg of 7 Dan 8 cm Eve 9 cm Fay 2 cm")]
+    docs = [
+        (1, "Pay Tom 24 euros Jim 25 euros Kate 36 euros Sue 47 euros Pat 58 euros"),  # other names and numbers
+        (2, "before it all. Pay Tom 24 euros Jim 25 euros Kate 36 euros Sue 47 euros Pat 58 euros and after it"),
+        (3, "Pay Tom 24 euros Jim 25 dollars Kate 36 cents Sue 47 pounds Pat 58 kg"),  # the item says one unit five times
+        (4, "Tom 24 euros Jim 25 euros Kate 36 euros Sue 47 euros Pat 58 euros"),  # a list without the item's word
+        (5, "Pay Tom 24 euros Jim 25 euros Kate 36 euros"),  # half of it
+        (6, "Zoe 13 Yan 14 Xav 15 Wim 16 Vic 17 Uma 18 Ted 19"),  # the second item tells nothing of itself
+        (7, "Ann 3 Bob 4 Carl 5 Dan 6 Eve 7 Fay 8 Gus 9"),  # but word for word
+        (8, "Send Tim 9 kg and Rob 8 kg or Max 7 kg of 6 Leo 5 cm Ida 4 cm Kim 3 cm"),
+        (9, " ".join(["Pay Tom 24 euros Jim 25 dollars Kate 36 cents Sue 47 pounds Pat 58 kg."] * 40) + " Pay Ada 1 euros Ben 2 euros Cas 3 euros Dov 4 euros Eli 5 euros"),
+    ]
+    found = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (7, 2), (8, 3), (9, 1)}

@@ -20,6 +20,10 @@ from ..plans import layout as L
 from .masks import Mask, of_locations
 
 
+#: Values of an array that go to every worker.
+MOST_BROADCAST = 1 << 20
+
+
 def _type(op: str) -> str:
     return "logical" if op in LOGICAL_RESULT else "double"
 
@@ -70,7 +74,9 @@ def _with_array(x: Operand, op: str, y: Operand) -> Image:
         spark, n = image.cells.sparkSession, array.size
         values = from_numpy(spark, array, 1)
         place = (F.col("loc") + F.col("elem").cast("long") * image.n_locations) % n
-        cells = image.full_grid().withColumn("at", place).join(values.cells.select(F.col("loc").alias("at"), "v"), "at").select("loc", "elem", "v")
+        table = values.cells.select(F.col("loc").alias("at"), "v")
+        table = F.broadcast(table) if n <= MOST_BROADCAST else table  # few values recycled over many cells: the cells stay where they are
+        cells = image.full_grid().withColumn("at", place).join(table, "at").select("loc", "elem", "v")
         other = from_cells(cells, image.dims, image.spatial, value_type=values.value_type)
     elif array.shape == image.dims:
         other = from_numpy(image.cells.sparkSession, array, image.spatial)

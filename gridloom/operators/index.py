@@ -102,7 +102,8 @@ def _linear(image: Image, s) -> tuple[DataFrame, int]:
         count = n // size * len(held) + int((held < n % size).sum())
         if not count:
             return spark.createDataFrame([], "i long, p long"), 0
-        table = F.broadcast(spark.createDataFrame([(int(x), i) for i, x in enumerate(held)], "at long, r long"))
+        table = spark.createDataFrame([(int(x), i) for i, x in enumerate(held)], "at long, r long")
+        table = F.broadcast(table) if len(held) <= MOST_BROADCAST else table
         hit = every.withColumn("at", F.col("p") % size).join(table, "at")
         return hit.select((F.call_function("div", F.col("p"), F.lit(size)) * len(held) + F.col("r")).alias("i"), "p"), count
     if array is not None and array.size and array.dtype.kind in "if" and not np.any(np.isnan(array.astype(float))) and np.all(array < 0):

@@ -46,7 +46,7 @@ def test_cuts_and_flips():
             assert a.flipped().flipped() == a
 
 
-@pytest.mark.parametrize("dims", [(7, 5, 4), (9,), (3, 4, 2, 5)])
+@pytest.mark.parametrize("dims", [(7, 5, 4), (3, 4, 2, 5)])
 def test_blocks_hold_the_image(spark, dims):
     rng = np.random.default_rng(1)
     x = array(rng, dims)
@@ -55,7 +55,7 @@ def test_blocks_hold_the_image(spark, dims):
     assert blocked.tiles.frame.count() == np.prod(blocked.tiles.counts) and blocked.as_blocked() is blocked
     assert np.array_equal(blocked.to_numpy(), x, equal_nan=True)
     for what in REDUCTIONS:
-        for margin, na_rm in (([len(dims)], False), ([len(dims)], True), (list(range(1, min(3, len(dims) + 1)))[::-1], True)):
+        for margin, na_rm in (([len(dims)], False), ([2, 1], True)):
             a, b = imreduce(blocked, margin, what, na_rm), imreduce(image, margin, what, na_rm)
             near = lambda r: [tuple(round(v, 9) if isinstance(v, float) else v for v in t) for t in r]
             assert a.columns == b.columns and near(rows(a)) == near(rows(b)), (what, margin, na_rm)

@@ -107,8 +107,8 @@ class Cells:
         return entry[chosen], best
 
 
-def _vectors(batch: pa.RecordBatch, column: str) -> Iterator[tuple[np.ndarray, pa.RecordBatch, np.ndarray | None]]:
-    """Kept rows of a batch, some at a time: (lengths, rows, components as floats of rows that have all one length, else None)."""
+def _vectors(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Kept rows of a batch, some of one length at a time: that length, the rows, their components."""
     give_back()
     held = batch.column(column)
     batch = batch.filter(held.is_valid())

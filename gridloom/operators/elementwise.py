@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import BINARY, LOGICAL_RESULT, MATH, MATH_AT_ZERO, binary_at_zero, missing, round_even, signif
-from ..image import Image, from_cells, from_numpy, is_zero, tighten
+from ..image import Image, from_cells, from_numpy, is_zero
 from ..plans import graph as G
 from ..plans import layout as L
 from .masks import Mask, of_locations

@@ -9,7 +9,9 @@ are there; a task that runs twice writes the same bytes. Gzip members have place
 once all are packed, so they go to parts first and are copied from there by tasks.
 A target whose name ends in .parts stays a folder of parts, each named by its
 first position, and reading takes it as the same stream. Nothing passes through
-the driver. Paths must be visible to all workers.
+the driver. Files are written to and read from paths that all workers see; files
+at a path that only Spark's readers can open (another scheme than file) are read
+whole, one to a row, those without a wanted value not at all.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from ..geometry import Geometry
 from ..image import PACKED, Image, calibrate, from_cells, tighten
 from ..operators.elementwise import mask_locations
 from ..plans import layout as L
-from ..streaming.decode import MemberStream, chunks, is_seekable, member, members, open_stream, skip
+from ..streaming.decode import MemberStream, chunks, is_seekable, member, members, open_bytes, open_stream, skip
 
 #: Stream types: numpy code, and bytes of a value.
 TYPES = {"int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "int64": "i8", "float32": "f4", "float64": "f8", "complex64": "c8", "complex128": "c16", "rgb24": "u1", "rgba32": "u1", "bit": "u1"}
@@ -113,6 +115,23 @@ def mask_bits(mask: Image, n_locations: int) -> np.ndarray:
     return out
 
 
+def _is_remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file:")
+
+
+def _remote_segments(spark: SparkSession, path: str, d: StorageDescriptor, total: int) -> list[tuple[int, int, str, int]]:
+    """As _segments, for files of any file system; only their names and lengths are read."""
+    found = {r["path"]: r["length"] for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()}
+    named = {int(name): p for p in found if (name := p.rpartition("/")[2]).isdigit()}
+    if not named or list(found) == [path]:
+        return [(0, total, next(iter(found)), d.offset)]
+    ends = [*sorted(named)[1:], total]
+    for a, b in zip(sorted(named), ends, strict=True):
+        if d.type != "bit" and found[named[a]] < (b - a) * d.dtype.itemsize:
+            raise EOFError("the stream ends before the data")
+    return [(a, b - a, named[a], 0) for a, b in zip(sorted(named), ends, strict=True)]
+
+
 def _segments(path: str, d: StorageDescriptor, total: int) -> list[tuple[int, int, str, int]]:
     """First position, number of values, file, and byte of the first value, of what the stream lies in."""
     if not os.path.isdir(path):
@@ -148,13 +167,14 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
     size, bits = d.dtype.itemsize, d.type == "bit"
     block = prod(store_dims[:-1]) if picked is not None else prod(store_dims)
     starts = [k * block for k in sorted(set(picked))] if picked is not None else [0]
-    segments = _segments(path, d, prod(store_dims))
-    packed_file = not os.path.isdir(path) and not is_seekable(path)
-    chain = members(path) if packed_file else None
+    remote = _is_remote(path)
+    segments = _remote_segments(spark, path, d, prod(store_dims)) if remote else _segments(path, d, prod(store_dims))
+    packed_file = path.endswith(".gz") if remote else not os.path.isdir(path) and not is_seekable(path)
+    chain = members(path) if packed_file and not remote else None
     whole = packed_file and chain is None
     # A task a run of values, or a member; other gzip is read forward by one task.
     if whole:
-        runs = [(starts[0] if starts else 0, 0, path, d.offset, 0)]
+        runs = [(starts[0] if starts else 0, 0, segments[0][2], d.offset, 0)]
     elif packed_file:
         held = [(a, at) for a, at in chain if a >= 0]
         if -sum(a for a, _ in chain if a < 0) != d.offset or not held or held[0][0]:
@@ -198,8 +218,9 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, file, base, bit in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base", "bit")), strict=True):
-                with MemberStream(file, base) if chain else open_stream(file) as stream:
+            contents = batch.column("content").to_pylist() if remote else itertools.repeat(None)
+            for at, n, file, base, bit, content in zip(*(batch.column(c).to_pylist() for c in ("at", "n", "file", "base", "bit")), contents, strict=False):
+                with MemberStream(file, base) if chain else open_bytes(content) if remote else open_stream(file) as stream:
                     if chain:  # ``bit``: values of the member before the first wanted one
                         skip(stream, bit // 8 if bits else bit * size)
                         bit = bit % 8
@@ -231,6 +252,9 @@ def read_image(spark: SparkSession, path: str, d: StorageDescriptor, dims, spati
                         here = s
 
     frame = spark.createDataFrame(runs, "at long, n long, file string, base long, bit int").repartition(max(1, min(len(runs), 10_000)))
+    if remote:  # the readers of Spark open the files that a run lies in
+        files = spark.read.format("binaryFile").load(sorted({r[2] for r in runs}) or path).select(F.col("path").alias("file"), "content")
+        frame = files.join(F.broadcast(frame), "file")
     raw = frame.mapInArrow(run, f"p long, v {value}")
     axes = [L.axis_of(F.col("p"), store_dims, k) for k in range(len(store_dims))]
     view = [axes[abs(s) - 1] if s > 0 else F.lit(n - 1) - axes[abs(s) - 1] for s, n in zip(layout, view_dims, strict=True)]

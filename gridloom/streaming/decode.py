@@ -25,6 +25,12 @@ def open_stream(path: str):
     return gzip.open(path, "rb") if packed else open(path, "rb")
 
 
+def open_bytes(content: bytes):
+    """The same for a file that is in memory."""
+    stream = io.BytesIO(content)
+    return gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream
+
+
 def is_seekable(path: str) -> bool:
     with open(path, "rb") as f:
         return f.read(2) != b"\x1f\x8b"

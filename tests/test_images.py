@@ -276,3 +276,20 @@ def test_codec_writes_one_file_by_all_tasks(spark, tmp_path):
         with pytest.raises(Exception, match="lacks cells"):
             write_image(replace(image, cells=cells), str(tmp_path / "bad.raw"), StorageDescriptor("int16"))
     assert os.listdir(tmp_path) == ["x.raw"]  # nothing is left behind
+
+
+def test_codec_reads_what_only_spark_can_open(spark, tmp_path):
+    """Streams of any Hadoop file system, here a mount table that Python cannot open."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./data", f"file://{tmp_path}")
+    a = RNG.integers(-50, 50, (13, 5, 4, 6)).astype(float)
+    image = from_numpy(spark, a)
+    image = replace(image, cells=image.cells.repartition(5))
+    for ending, offset in (("raw", 9), ("gz", 9), ("parts", 0)):
+        used = write_image(image, f"{tmp_path}/x.{ending}", StorageDescriptor("int16", "big", offset=offset))
+        far = f"viewfs://far/data/x.{ending}"
+        assert np.array_equal(read_image(spark, far, used, a.shape).to_numpy(), a)
+        assert np.array_equal(read_image(spark, far, used, a.shape, volumes=[5, 2, 5]).to_numpy(), a[..., [4, 1, 4]])
+    bits = write_image(image > 0, f"{tmp_path}/b.raw", StorageDescriptor("bit", offset=3))
+    assert np.array_equal(read_image(spark, "viewfs://far/data/b.raw", bits, a.shape).to_numpy().astype(bool), a > 0)
+    with pytest.raises(Exception, match="ends before"):
+        read_image(spark, "viewfs://far/data/x.raw", used, (13, 5, 4, 9)).cells.collect()

@@ -15,15 +15,20 @@ starts in a document with a smaller doc_id (judged on the input).
    than their successors are sorted directly, the others are induced by a scan
    over the character buckets; adjacent common prefixes of 50 bytes or more
    then give the groups of equal strings, and the smallest doc_id of each.
-5. The spans found go back to their chunks, which cut them out.
+5. An anchor with more than ``HOT_RUNS`` different runs (a phrase of 24 to 49
+   bytes in ever new surroundings, say) is hot. Its strings are keyed by their
+   own 50 bytes instead: repeats inside a chunk are settled there, the hashes of
+   the rest are asked about like anchors, and only strings that two chunks hold
+   are sent, to as many buckets as there are different strings.
+6. The spans found go back to their chunks, which cut them out.
 
 Anchors only save work: every string is compared as bytes in step 4. What keeps
 the pieces small at any input: the numbers of buckets follow the bytes of text,
 with no ceiling on those that are held in memory; anchors are mixed again before
 they are dealt, as minima crowd near zero; a run that the chunks read together hold
-in several documents is sent once, so a passage that a third of all documents
-share arrives once for 32 MB of text or one bucket (100 bytes each: 300 MB at
-100 TB); runs are cut at ``MOST_RUN`` starts, so that texts of one short period,
+in several documents is sent once; an anchor brings at most 4 * HOT_RUNS
+different runs to one array, and a hot string, as 50 equal bytes, at most one for
+each chunk that holds it (16 MB of text: 6 million at 100 TB); runs are cut at ``MOST_RUN`` starts, so that texts of one short period,
 whatever their lengths, give equal pieces. The buckets of chunks, which are read
 as a stream, grow to 256 MB where the input is beyond 100,000 of them; from
 ``LARGE`` on chunks are four times as large, so that a chunk's message to a bucket
@@ -31,8 +36,9 @@ of anchors still holds several, and joins sort (and spill) instead of hashing.
 
 Null texts are empty; texts under 50 bytes lose nothing; very long texts make
 chunks of their own; a null doc_id counts as larger than any other; documents of
-equal doc_id don't cut each other; repeated rows give one row each; an empty
-table gives no rows; other columns are not read.
+equal doc_id don't cut each other (the largest long and null count as equal);
+repeated rows give one row each; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -49,7 +55,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INVERSE, BYTE_CODES, delete, flat, give_back, join_unique, mix, powers, settle, shared_dir
+from .common import BASE, BASE_INVERSE, BYTE_CODES, delete, flat, give_back, join_unique, mix, powers, settle, shared_dir, span_hashes
 
 LENGTH, GRAM = 50, 24
 CHUNK_BYTES = 4 << 20
@@ -59,6 +65,12 @@ TOGETHER = 32 << 20
 BLOCK_BYTES = 1 << 17
 #: Starts of one run at most; equal strings meet by their anchors wherever runs are cut.
 MOST_RUN = 1024
+#: Different runs of an anchor, counted down to a power of four in each chunk, beyond which its strings are keyed by themselves.
+HOT_RUNS = 2048
+#: Bits of an anchor that carry what a chunk says about it: held by two documents, and the power of four.
+TOLD = np.uint64(15)
+#: Strings of hot runs that are settled at once.
+HOT_BLOCK = 1 << 20
 #: Text that one suffix array holds, unless the runs of a single anchor are more.
 PIECE_BYTES = 1 << 19
 #: Bytes of text that one bucket of chunks, of anchors and of runs stands for.
@@ -103,7 +115,7 @@ def chunk_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         b = min(len(data), a + BLOCK_BYTES + LENGTH - 1)
         inner = offsets[(offsets > a) & (offsets < b)]
         first, last, low = runs(*anchors(data[a:b], np.concatenate([[0], inner - a, [b - a]])))
-        found.append((first + a, last + a, mix(low) | np.uint64(1)))  # minima crowd near zero: spread anew
+        found.append((first + a, last + a, mix(low) | TOLD))  # minima crowd near zero: spread anew
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -122,6 +134,70 @@ def runs(starts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts[first], starts[last], low[first]
 
 
+def run_hashes(data: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[first:end], made block by block; ``first`` ascends."""
+    out = np.zeros(len(first), np.uint64)
+    if not len(first):
+        return out
+    for a in range(int(first[0]), int(first[-1]) + 1, BLOCK_BYTES):
+        i, j = np.searchsorted(first, [a, a + BLOCK_BYTES])
+        if j > i:
+            out[i:j] = span_hashes(data[a : int(ends[i:j].max())], first[i:j] - a, ends[i:j] - a)
+    return out
+
+
+def equal_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH-byte strings at a and at b are the same."""
+    strings, out = np.lib.stride_tricks.sliding_window_view(data, LENGTH), a == b
+    rest = np.flatnonzero(~out)
+    for i in range(0, len(rest), 1 << 16):
+        k = rest[i : i + (1 << 16)]
+        out[k] = (strings[a[k]] == strings[b[k]]).all(axis=1)
+    return out
+
+
+def hot_strings(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, last: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """By blocks of hot runs: hash and start of each different string, and the spans that a larger document repeats.
+
+    A string comes once for its smallest document: at its first start in each of that document's texts.
+    """
+    done = np.concatenate([[0], np.cumsum(last - first + 1)])
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + HOT_BLOCK, side="right")) - 1)
+        size = last[a:b] - first[a:b] + 1
+        starts = np.repeat(first[a:b] - (done[a:b] - done[a]), size) + np.arange(size.sum())
+        hashes, owners = run_hashes(data, starts, starts + LENGTH), np.repeat(owner[a:b], size)
+        order = np.lexsort((starts, owners, hashes))
+        hashes, starts, owners = hashes[order], starts[order], owners[order]
+        texts = np.searchsorted(offsets, starts, side="right")
+        head = np.append(True, hashes[1:] != hashes[:-1])
+        least = np.flatnonzero(head)[np.cumsum(head) - 1]
+        same = equal_strings(data, starts, starts[least])
+        gone = same & (owners > owners[least])
+        again = same & (owners == owners[least]) & np.append(False, texts[1:] == texts[:-1]) & ~head
+        ask = ~gone & ~again
+        yield hashes[ask], starts[ask], *joined(starts[gone], starts[gone] + LENGTH)
+        a = b
+
+
+def echoes(data: np.ndarray, offsets: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """All starts, in the same texts, of the strings that start at ``hits`` (ascending)."""
+    found, text = [hits], np.searchsorted(offsets, hits, side="right") - 1
+    for t in np.unique(text):
+        mine, a, b = hits[text == t], int(offsets[t]), int(offsets[t + 1])
+        known = run_hashes(data, mine, mine + LENGTH)
+        order = np.argsort(known, kind="stable")
+        known, mine = known[order], mine[order]
+        for s in range(a, b - LENGTH + 1, BLOCK_BYTES):
+            starts = np.arange(s, min(s + BLOCK_BYTES, b - LENGTH + 1))
+            hashes = run_hashes(data, starts, starts + LENGTH)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            like = np.flatnonzero(known[at] == hashes)
+            found.append(starts[like][equal_strings(data, starts[like], mine[at[like]])])
+    return np.unique(np.concatenate(found))
+
+
 def words_of(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each position as a big-endian number."""
     n = len(text) - 7
@@ -270,6 +346,16 @@ def _by_bucket(spark: SparkSession, n_buckets: int):
             spark.conf.set(name, value)
 
 
+@contextlib.contextmanager
+def _dropped(spark: SparkSession, name: str, folder: str):
+    """The table and its folder go in the end, whatever happens."""
+    try:
+        yield
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        delete(spark, folder)
+
+
 def _parts(lists: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds, strict=True)], names)
 
@@ -277,9 +363,9 @@ def _parts(lists: list[list], kinds: list[pa.DataType], names: list[str]) -> pa.
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row (and kept_bytes on demand)."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks = texts.select("doc", F.sha2(F.col("text"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), *([F.when(F.octet_length("text") < LENGTH, F.col("text").cast("binary")).alias("short")] if with_text else []))
-    rows = settle(marks.groupBy("doc", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times"), *([F.first("short").alias("short")] if with_text else [])))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("doc"), F.col(id_col).isNull().alias("none"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marks = texts.select("doc", "none", F.sha2(F.col("text"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), *([F.when(F.octet_length("text") < LENGTH, F.col("text").cast("binary")).alias("short")] if with_text else []))
+    rows = settle(marks.groupBy("doc", "none", "sha", "n_bytes").agg(F.count(F.lit(1)).alias("times"), *([F.first("short").alias("short")] if with_text else [])))
     firsts = settle(rows.groupBy("sha").agg(F.min("doc").alias("first"), F.first("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("copies")))
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -314,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     name = f"chunks_{uuid.uuid4().hex}"
     folder = f"{shared_dir(spark)}/{name}"
-    with _by_bucket(spark, n_buckets):  # fewer buckets than shuffle partitions would be dealt anew
+    with _by_bucket(spark, n_buckets), _dropped(spark, name, folder):  # fewer buckets than shuffle partitions would be dealt anew
         sources = firsts.where(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("doc"), "sha").select(bucket_of, "*").repartition(n_buckets, "bucket")
         dealt = texts.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2(F.col("text"), 256).alias("sha"), "text").select(bucket_of, "*").repartition(n_buckets, "bucket")
         # An inner join: a semi-join would be moved below the dealing, and texts dealt twice. Sources are unique.
@@ -324,13 +410,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         chunks = spark.table(name)
         answers = settle(_answers(chunks, n_anchor))
         spans = settle(_spans(chunks, answers, n_anchor, n_run, how))
-        cut = settle(_cut(chunks, spans, with_text, how))
-    spark.sql(f"drop table {name}")
-    delete(spark, folder)
+        hot = spans.where("again is not null").select("bucket", "chunk", "again")
+        found = spans.where("from is not null").select("bucket", "chunk", "from", "to", F.lit(None).cast("binary").alias("hits"))
+        if not hot.isEmpty():
+            hits = _hot_spans(chunks, hot, n_run, how)
+            found = found.unionByName(settle(hits), allowMissingColumns=True)
+        gathered = settle(found.groupBy("bucket", "chunk").agg(*(F.collect_list(c).alias(c) for c in ("from", "to", "hits"))))
+        cut = settle(_cut(chunks, gathered, with_text, how))
     whole = join_unique(rows, firsts.select("sha", "first", "copies"), "sha").join(cut, ["doc", "sha"], "left")
     copy = (F.col("doc") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     out = whole.select(
-        F.when(F.col("doc") != LARGEST, F.col("doc")).alias(id_col),
+        F.when(~F.col("none"), F.col("doc")).alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
@@ -366,22 +456,35 @@ def _bucket(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
-    """bucket, chunk, bits: for each bucket of anchors one bit an anchor, whether two documents hold it."""
+    """bucket, chunk, bits: for each bucket of anchors one bit an anchor, whether two documents hold it, and which are hot."""
 
-    def sent(low: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Distinct anchors in order; the last bit is 0 where two documents hold it."""
+    def sent(data: np.ndarray, first: np.ndarray, last: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Distinct anchors in order; TOLD less one where two documents hold it, less twice the power of four of its different runs."""
+        if not len(low):
+            return low
         order = np.lexsort((doc, low))
-        low, doc = low[order], doc[order]
-        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(low)) - 1
-        return low[first] - (doc[first] != doc[ends]).astype(np.uint64)
+        starts = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
+        ends = np.append(starts[1:], len(low)) - 1
+        power = np.zeros(len(starts), np.uint64)
+        count = ends - starts + 1
+        several = np.flatnonzero(count >= 4)
+        if len(several):
+            group = np.zeros(len(low), np.int64)
+            group[order] = np.repeat(np.arange(len(starts)), count)
+            use = np.flatnonzero(count[group] >= 4)  # runs in the order of the chunk
+            pairs = np.stack([group[use], run_hashes(data, first[use], last[use] + LENGTH).view(np.int64)])
+            pairs = pairs[:, np.lexsort(pairs[::-1])]
+            differ = np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))
+            runs_of = np.bincount(pairs[0][differ], minlength=len(starts))[several]
+            power[several] = np.searchsorted(4 ** np.arange(1, 8), runs_of, side="right")
+        two = (doc[order][starts] != doc[order][ends]).astype(np.uint64)
+        return low[order][starts] - two - power * np.uint64(2)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             give_back()
             for row, data, offsets in _each(batch):
-                _, _, low, owner = _owned_runs(row, data, offsets)
-                values = sent(low, owner)
+                values = sent(data, *_owned_runs(row, data, offsets))
                 cut = _split(values, n_anchor)
                 full = np.flatnonzero(np.diff(cut))
                 yield _parts([full, [row.column("bucket")[0].as_py()] * len(full), [row.column("chunk")[0].as_py()] * len(full), [values[cut[k] : cut[k + 1]].tobytes() for k in full]], [pa.int32(), pa.int32(), pa.int64(), pa.binary()], ["anchor_bucket", "bucket", "chunk", "anchors"])
@@ -390,36 +493,92 @@ def _answers(chunks: DataFrame, n_anchor: int) -> DataFrame:
         give_back()
         lists = [np.frombuffer(x, np.uint64) for x in part.column("anchors").to_pylist()]
         values = np.concatenate(lists)
-        many = (values & np.uint64(1)) == 0
-        known, at, count = np.unique(values | np.uint64(1), return_inverse=True, return_counts=True)
+        told = TOLD - (values & TOLD)
+        known, at, count = np.unique(values | TOLD, return_inverse=True, return_counts=True)
         shared = count > 1
-        shared[at[many]] = True
-        flags, cut = shared[at], np.cumsum([0, *map(len, lists)])
-        return part.drop_columns(["anchors"]).append_column("bits", pa.array([np.packbits(flags[cut[k] : cut[k + 1]]).tobytes() for k in range(len(lists))], pa.binary()))
+        shared[at[(told & np.uint64(1)) == 1]] = True
+        hot = shared & (np.bincount(at, weights=4.0 ** (told >> np.uint64(1)), minlength=len(known)) > HOT_RUNS)
+        flags, hot, cut = shared[at], hot[at], np.cumsum([0, *map(len, lists)])
+        mine = [slice(cut[k], cut[k + 1]) for k in range(len(lists))]
+        out = part.drop_columns(["anchors"]).append_column("bits", pa.array([np.packbits(flags[x]).tobytes() for x in mine], pa.binary()))
+        return out.append_column("hot", pa.array([np.flatnonzero(hot[x]).astype(np.uint32).tobytes() for x in mine], pa.binary()))
 
     asked = chunks.mapInArrow(ask, "anchor_bucket int, bucket int, chunk long, anchors binary")
-    answered = asked.groupBy("anchor_bucket").applyInArrow(answer, "anchor_bucket int, bucket int, chunk long, bits binary")
-    return answered.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("anchor_bucket", "bits")).alias("bits"))
+    answered = asked.groupBy("anchor_bucket").applyInArrow(answer, "anchor_bucket int, bucket int, chunk long, bits binary, hot binary")
+    return answered.groupBy("bucket", "chunk").agg(F.collect_list(F.struct("anchor_bucket", "bits", "hot")).alias("bits"))
 
 
 RUN_NAMES = ["run_bucket", "bucket", "chunk", "low", "owner", "first", "size", "data"]
 RUN_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
+def _dealt(index: np.ndarray, keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each of n buckets that the keys of ``index`` fall into, with those of them in it."""
+    to = _bucket(keys[index], n)
+    by = np.argsort(to, kind="stable")
+    index, to = index[by], to[by]
+    edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(index))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(to[a]), index[a:b]
+
+
+def _compare(part: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """bucket, chunk and starts of the strings of a bucket of runs that a smaller document holds too."""
+    give_back()
+    cells = [part.column(c).to_pylist() for c in ("bucket", "chunk", "low", "owner", "first", "size", "data")]
+    source = np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in cells[2]])
+    low = np.concatenate([np.frombuffer(x, np.uint64) for x in cells[2]])
+    owner, first, size = (np.concatenate([np.frombuffer(x, np.int64) for x in cells[k]]) for k in (3, 4, 5))
+    data = np.frombuffer(b"".join(cells[6]), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(low, kind="stable")
+    # Runs whose anchor came alone (their other home is the same document) need no array.
+    firsts = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
+    counts = np.diff(np.append(firsts, len(order)))
+    order = order[np.repeat(counts > 1, counts)]
+    found_source, found_from = [], []
+    low_o, size_o = low[order], size[order]
+    done, a = np.concatenate([[0], np.cumsum(size_o)]), 0
+    while a < len(order):
+        b = int(np.searchsorted(done, done[a] + PIECE_BYTES))
+        b = min(max(b, a + 1), len(order))
+        while b < len(order) and low_o[b] == low_o[b - 1]:
+            b += 1
+        use = order[a:b]
+        piece, start = repeats([data[begin[j] : begin[j + 1]] for j in use.tolist()], owner[use])
+        found_source.append(source[use[piece]])
+        found_from.append(first[use[piece]] + start)
+        a = b
+    rows = np.concatenate(found_source) if found_source else np.zeros(0, np.int64)
+    starts = np.concatenate(found_from) if found_from else np.zeros(0, np.int64)
+    by = np.argsort(rows, kind="stable")
+    rows, starts = rows[by], starts[by]
+    for r in np.unique(rows):
+        lo, hi = np.searchsorted(rows, [r, r + 1])
+        yield cells[0][r], cells[1][r], starts[lo:hi]
+
+
+FOUND_NAMES = ["bucket", "chunk", "from", "to", "again"]
+FOUND_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
 def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how: str) -> DataFrame:
-    """bucket, chunk, from, to: the spans to cut out of each chunk."""
+    """bucket, chunk, from, to: spans to cut out of a chunk; or bucket, chunk, again: starts of hot strings that other chunks hold too."""
 
     def shared(row: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        """bucket, chunk; first, last, anchor, document and bytes of the runs whose anchor two documents hold."""
+        """Hot strings; bucket, chunk; first, last, anchor, document and bytes of the other runs whose anchor two documents hold."""
         first, last, low, owner = _owned_runs(row, data, offsets)
         values = np.unique(low)
-        cut, flags = _split(values, n_anchor), np.zeros(len(values), bool)
+        cut, flags, hot = _split(values, n_anchor), np.zeros(len(values), bool), np.zeros(len(values), bool)
         for x in row.column("bits")[0].as_py() or []:
             a, b = cut[x["anchor_bucket"]], cut[x["anchor_bucket"] + 1]
             flags[a:b] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=b - a)
-        use = flags[np.searchsorted(values, low)]
-        first, last, raw = first[use], last[use], data.tobytes()
-        return row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py(), first, last, low[use], owner[use], [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            hot[a + np.frombuffer(x["hot"], np.uint32).astype(np.int64)] = True
+        at, raw = np.searchsorted(values, low), data.tobytes()
+        use, many = flags[at] & ~hot[at], hot[at]
+        strings = list(hot_strings(data, offsets, first[many], last[many], owner[many]))
+        first, last = first[use], last[use]
+        return strings, row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py(), first, last, low[use], owner[use], [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
     def give(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         # Of runs with the same bytes in several documents only the smallest document's are sent.
@@ -428,7 +587,12 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
             for t, d in zip(texts_of, owner.tolist(), strict=True):
                 if least.get(t, d) >= d:
                     least[t] = d
-        for bucket, chunk, first, last, low, owner, texts_of in held:
+        for strings, bucket, chunk, first, last, low, owner, texts_of in held:
+            for hashes, starts, *gone in strings:
+                if len(gone[0]):
+                    yield _parts([[-1], [bucket], [chunk], [b""], [b""], [gone[0].tobytes()], [gone[1].tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
+                asked = [(n_run + to, bucket, chunk, hashes[i].tobytes(), b"", starts[i].astype(np.uint32).tobytes(), b"", b"") for to, i in _dealt(np.arange(len(hashes)), hashes, n_run)]
+                yield _parts(list(zip(*asked, strict=True)), RUN_TYPES, RUN_NAMES)
             keep = np.fromiter((least[t] == d for t, d in zip(texts_of, owner.tolist(), strict=True)), bool, len(texts_of))
             gone_from, gone_to = joined(first[~keep], last[~keep] + LENGTH)
             if len(gone_from):
@@ -436,14 +600,9 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
             index = np.flatnonzero(keep)
             if not len(index):
                 continue
-            to = _bucket(low[index], n_run)
-            by = np.argsort(to, kind="stable")
-            index, to = index[by], to[by]
-            edges = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(index))
             out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                i = index[a:b]
-                out.append((int(to[a]), bucket, chunk, low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
+            for to, i in _dealt(index, low, n_run):
+                out.append((to, bucket, chunk, low[i].tobytes(), owner[i].tobytes(), first[i].tobytes(), (last[i] - first[i] + LENGTH).tobytes(), b"".join(texts_of[j] for j in i.tolist())))
             yield _parts(list(zip(*out, strict=True)), RUN_TYPES, RUN_NAMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,55 +617,53 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
                     held, size = [], 0
         yield from give(held)
 
-    def compare(part: pa.Table) -> pa.Table:
-        give_back()
-        cells = [part.column(c).to_pylist() for c in ("bucket", "chunk", "low", "owner", "first", "size", "data")]
-        source = np.repeat(np.arange(part.num_rows), [len(x) // 8 for x in cells[2]])
-        low = np.concatenate([np.frombuffer(x, np.uint64) for x in cells[2]])
-        owner, first, size = (np.concatenate([np.frombuffer(x, np.int64) for x in cells[k]]) for k in (3, 4, 5))
-        data = np.frombuffer(b"".join(cells[6]), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(low, kind="stable")
-        # Runs whose anchor came alone (their other home is the same document) need no array.
-        firsts = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
-        counts = np.diff(np.append(firsts, len(order)))
-        order = order[np.repeat(counts > 1, counts)]
-        found_source, found_from = [], []
-        low_o, size_o = low[order], size[order]
-        done, a = np.concatenate([[0], np.cumsum(size_o)]), 0
-        while a < len(order):
-            b = int(np.searchsorted(done, done[a] + PIECE_BYTES))
-            b = min(max(b, a + 1), len(order))
-            while b < len(order) and low_o[b] == low_o[b - 1]:
-                b += 1
-            use = order[a:b]
-            piece, start = repeats([data[begin[j] : begin[j + 1]] for j in use.tolist()], owner[use])
-            found_source.append(source[use[piece]])
-            found_from.append(first[use[piece]] + start)
-            a = b
-        rows = np.concatenate(found_source) if found_source else np.zeros(0, np.int64)
-        starts = np.concatenate(found_from) if found_from else np.zeros(0, np.int64)
-        out = []
-        by = np.argsort(rows, kind="stable")
-        rows, starts = rows[by], starts[by]
-        for r in np.unique(rows):
-            lo, hi = np.searchsorted(rows, [r, r + 1])
-            s, e = joined(starts[lo:hi], starts[lo:hi] + LENGTH)
-            out.append((cells[0][r], cells[1][r], s.tobytes(), e.tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "from": pa.array(cols[2], pa.binary()), "to": pa.array(cols[3], pa.binary())})
-
     def spans_of(part: pa.Table) -> pa.Table:
-        if part.column("run_bucket")[0].as_py() >= 0:
-            return compare(part)
-        return pa.table({"bucket": part.column("bucket"), "chunk": part.column("chunk"), "from": part.column("first"), "to": part.column("size")})
+        kind, out = part.column("run_bucket")[0].as_py(), []
+        if kind < 0:
+            found = pa.table([part.column(c) for c in ("bucket", "chunk", "first", "size")], FOUND_NAMES[:4])
+            return found.append_column("again", pa.nulls(found.num_rows, pa.binary()))
+        if kind < n_run:
+            out = [(bucket, chunk, *(x.tobytes() for x in joined(s, s + LENGTH)), None) for bucket, chunk, s in _compare(part)]
+        else:  # hashes of hot strings: those asked about more than once
+            give_back()
+            lists = [np.frombuffer(x, np.uint64) for x in part.column("low").to_pylist()]
+            _, at, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            two = np.split(count[at] > 1, np.cumsum([len(x) for x in lists])[:-1])
+            for bucket, chunk, starts, t in zip(*(part.column(c).to_pylist() for c in ("bucket", "chunk", "first")), two, strict=True):
+                if t.any():
+                    out.append((bucket, chunk, None, None, np.frombuffer(starts, np.uint32)[t].tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(cols, FOUND_TYPES, strict=True)], FOUND_NAMES)
 
     told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(answers.hint(how), ["bucket", "chunk"])
     sent = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
-    # Two kinds of rows in one pass over the chunks: runs to compare, and spans settled where they were found (run_bucket -1, spread by chunk).
+    # Three kinds of rows in one pass over the chunks: runs to compare, hot strings to ask about (buckets from n_run on), and spans settled where they were found (run_bucket -1, spread by chunk).
     dealt = sent.withColumn("group", F.when(F.col("run_bucket") >= 0, F.col("run_bucket").cast("long")).otherwise(-1 - F.col("chunk")))
-    spans = dealt.groupBy("group").applyInArrow(spans_of, "bucket int, chunk long, from binary, to binary")
-    return spans.groupBy("bucket", "chunk").agg(F.collect_list("from").alias("from"), F.collect_list("to").alias("to"))
+    return dealt.groupBy("group").applyInArrow(spans_of, "bucket int, chunk long, from binary, to binary, again binary")
+
+
+def _hot_spans(chunks: DataFrame, hot: DataFrame, n_run: int, how: str) -> DataFrame:
+    """bucket, chunk, hits: starts of hot strings (the first in their text) that a smaller document holds too."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            give_back()
+            for row, data, offsets in _each(batch):
+                starts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in row.column("again")[0].as_py()])).astype(np.int64)
+                hashes, owner = run_hashes(data, starts, starts + LENGTH), np.array(row.column("docs")[0].as_py(), np.int64)[np.searchsorted(offsets, starts, side="right") - 1]
+                strings, size = np.lib.stride_tricks.sliding_window_view(data, LENGTH), np.full(len(starts), LENGTH)
+                bucket, chunk = row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py()
+                out = [(to, bucket, chunk, *(x[i].tobytes() for x in (hashes, owner, starts, size)), strings[starts[i]].tobytes()) for to, i in _dealt(np.arange(len(starts)), hashes, n_run)]
+                yield _parts(list(zip(*out, strict=True)), RUN_TYPES, RUN_NAMES)
+
+    def hits_of(part: pa.Table) -> pa.Table:
+        cols = list(zip(*((bucket, chunk, s.tobytes()) for bucket, chunk, s in _compare(part)), strict=True)) or [[]] * 3
+        return pa.table([pa.array(x, t) for x, t in zip(cols, FOUND_TYPES[:3], strict=True)], ["bucket", "chunk", "hits"])
+
+    asked = settle(hot.groupBy("bucket", "chunk").agg(F.collect_list("again").alias("again")))
+    told = chunks.select("bucket", "chunk", "docs", "offsets", "data").join(asked.hint(how), ["bucket", "chunk"])
+    sent = told.mapInArrow(send, "run_bucket int, bucket int, chunk long, low binary, owner binary, first binary, size binary, data binary")
+    return sent.groupBy("run_bucket").applyInArrow(hits_of, "bucket int, chunk long, hits binary")
 
 
 def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool, how: str) -> DataFrame:
@@ -517,7 +674,11 @@ def _cut(chunks: DataFrame, spans: DataFrame, with_text: bool, how: str) -> Data
             give_back()
             for row, data, offsets in _each(batch):
                 gather = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in row.column(c)[0].as_py() or [])])
-                starts, ends = joined(gather("from"), gather("to"))
+                starts, ends, hits = gather("from"), gather("to"), gather("hits")
+                if len(hits):
+                    more = echoes(data, offsets, np.sort(hits))
+                    starts, ends = np.concatenate([starts, more]), np.concatenate([ends, more + LENGTH])
+                starts, ends = joined(starts, ends)
                 gone = np.zeros(len(data) + 1, np.int8)
                 gone[starts] += 1
                 gone[ends] -= 1

@@ -230,6 +230,38 @@ def test_suffix_random(spark, monkeypatch):
         assert all(hashlib.sha256(bytes(r.kept_bytes)).hexdigest() == r.kept_sha256 for r in got)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_hot_anchors(spark, monkeypatch, small):
+    """A phrase of 37 bytes in ever new surroundings, short periods and shared passages, with every shared anchor hot."""
+    rng = np.random.default_rng(15)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    phrase, passage = word(37), word(90)
+    texts = [word(int(rng.integers(0, 40))) + (phrase if k % 3 else passage) + word(int(rng.integers(0, 40))) for k in range(150)]
+    texts += [p * int(rng.integers(20, 90)) for p in ("ab ", "7", word(55)) for _ in range(6)] + texts[:5] + [texts[7] + passage + texts[7]]
+    rows = [(None if k % 29 == 0 else int(rng.integers(0, 140)), t) for k, t in enumerate(texts)]
+    for name, value in (("HOT_RUNS", 0), *((("HOT_BLOCK", 100), ("MOST_RUN", 7), ("CHUNK_BYTES", 900), ("CHUNK_BUCKET", 2000), ("RUN_BUCKET", 300), ("BLOCK_BYTES", 200)) if small else ())):
+        monkeypatch.setattr(suffix, name, value)
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(((1 << 63) - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == removed_by_brute_force(rows)
+
+
+def test_suffix_bounded_arrays(spark, monkeypatch):
+    """No array gets the runs of a frequent phrase: its 50-byte strings are told apart first; the largest id stays an id."""
+    rng = np.random.default_rng(16)
+    phrase = "".join(rng.choice(list("abcdefgh"), 37))
+    texts = ["".join(rng.choice(list("stuvwxyz "), 30)) + phrase + "".join(rng.choice(list("stuvwxyz "), 30)) for _ in range(1500)]
+    starts, low, owner = (np.concatenate(x) for x in zip(*((f, a, np.full(len(f), k)) for k, t in enumerate(texts) for f, _, a in [suffix.chunk_runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))]), strict=True))
+    assert max(collections.Counter(low.tolist()).values()) > 1000  # one anchor for all
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    first, last, low = suffix.chunk_runs(data, offsets)
+    asked = list(suffix.hot_strings(data, offsets, first, last, np.searchsorted(offsets, first, side="right") - 1))
+    assert max(collections.Counter(np.concatenate([h for h, *_ in asked]).tolist()).values()) == 1
+    monkeypatch.setattr(suffix, "HOT_RUNS", 100)
+    ids = [(1 << 63) - 1, None, *range(2, 1500)]
+    got = suffix.remove_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(ids) and not any(r.n_removed for r in got)
+
+
 def test_suffix_large(docs, none, monkeypatch):
     """The way of very large inputs: small buckets, short runs, sorted joins; the same results."""
     for name, value in (("LARGE", 0), ("MOST_RUN", 3), ("CHUNK_BYTES", 300), ("CHUNK_BUCKET", 500), ("WIDEST_CHUNK_BUCKET", 500), ("ANCHOR_BUCKET", 200), ("RUN_BUCKET", 100), ("TOGETHER", 600), ("PIECE_BYTES", 256), ("REPEATS", 1)):

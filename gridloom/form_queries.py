@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +13,9 @@ from .fixtures import CUBE_SQL, EVENTS_SQL, cube, events, stored_in_blocks
 from .image import Image
 from .operators import apply, elementwise, folds, masks, tables
 from .operators.reduce import imreduce
+from .sources import stream_source
+from .sources.codec import StorageDescriptor, write_image
+from .sources.shared import mounted, shared_dir
 from .sources.sheets import colocate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,7 +143,39 @@ def _functions() -> None:
         _add(f"fold_quantiles_{kind}", lambda s, d, kind=kind: folds.fold_apply(cube(s, d, kind), [3], folds.quantiles(0.25, 0.5)).select(F.col("m1").alias("k"), "r", "v"), f"WITH {CUBE_SQL} SELECT k::INTEGER AS k, 0 AS r, quantile_cont(v, 0.25)::DOUBLE AS v FROM cube GROUP BY 1 UNION ALL SELECT k::INTEGER, 1, quantile_cont(v, 0.5)::DOUBLE FROM cube GROUP BY 1")
 
 
+def _streams() -> None:
+    dims = "50,7,12"
+
+    def options(spark, name: str, **more) -> dict[str, str]:
+        folder = f"{mounted(shared_dir(spark))}/stream-{uuid.uuid4().hex}"
+        os.makedirs(folder)
+        stream_source.register(spark)
+        return {"path": f"{folder}/{name}", "axes": "i,j,k", "dims": dims, **more}
+
+    def stream(s, d, only: dict[str, str] | None = None, **more) -> DataFrame:
+        at = options(s, "cube", **more)
+        _ijk(cube(s, d, "dense")).write.format(stream_source.NAME).options(**at).mode("append").save()
+        return s.read.format(stream_source.NAME).options(**at, **(only or {})).load()
+
+    def packed(s, d) -> DataFrame:
+        at = options(s, "cube.gz", type="int32", offset="5")
+        write_image(cube(s, d), at["path"], StorageDescriptor("int32", offset=5))
+        return s.read.format(stream_source.NAME).options(**at).option("only.k", "11").load()
+
+    def view(s, d) -> DataFrame:
+        stream(s, d, type="float32").createOrReplaceTempView("streamed_cube")
+        return s.sql("SELECT k, sum(v) AS v FROM streamed_cube WHERE j BETWEEN 2 AND 4 AND i <> 7 GROUP BY k")
+
+    ijk = f"WITH {CUBE_SQL} SELECT i::BIGINT AS i, j::BIGINT AS j, k::BIGINT AS k"
+    _add("source_whole", lambda s, d: stream(s, d, type="int32", endian="big", offset="17"), f"{ijk}, v::BIGINT AS v FROM cube")
+    _add("source_scaled", lambda s, d: stream(s, d, type="int16", slope="0.5", intercept="3"), f"{ijk}, v::DOUBLE AS v FROM cube")
+    _add("source_box", lambda s, d: stream(s, d, {"only.k": "2,9", "only.j": "2:4", "only.i": "45:"}, type="int64").where("v > 20"), f"{ijk}, v::BIGINT AS v FROM cube WHERE k IN (2, 9) AND j > 1 AND j <= 4 AND i >= 45 AND v > 20")
+    _add("source_gzip_volume", lambda s, d: packed(s, d), f"{ijk}, v::BIGINT AS v FROM cube WHERE k = 11")
+    _add("source_in_sql", view, f"WITH {CUBE_SQL} SELECT k::BIGINT AS k, sum(v)::DOUBLE AS v FROM cube WHERE j BETWEEN 2 AND 4 AND i <> 7 GROUP BY k")
+
+
 _expressions()
+_streams()
 _tables()
 _functions()
 _exact_sums()

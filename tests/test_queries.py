@@ -28,7 +28,7 @@ def plain(v):
 
 
 #: One of each group here; the driver runs all of them.
-PICKED = [n for k, n in enumerate(QUERIES) if k % 6 == 0 or n in small_queries.QUERIES or n.startswith(("assign", "sparse", "codec_m", "voxel"))]
+PICKED = [n for k, n in enumerate(QUERIES) if k % 6 == 0 or n in small_queries.QUERIES or n.startswith(("assign", "sparse", "codec_m", "voxel", "source_"))]
 
 
 @pytest.mark.parametrize("name", PICKED)

@@ -10,7 +10,7 @@ verified links, which keeps every component. A bucket over ``LIMIT`` nodes is
 dealt out as tiles (pairs of blocks), each a task of its own.
 
 Nulls and texts without words have fingerprint zero, linked like any other. Very
-long texts are hashed whole. A null id counts as larger than any other and comes out null.
+long texts are hashed whole. A null id counts as larger than any other, but as equal to the largest long, and comes out null.
 Repeated rows give one result row each; an empty table gives no rows; columns
 other than id and text are not read.
 """
@@ -223,11 +223,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs."""
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(id_col), F.col(text_col).alias(text_col))
+    named = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col))
     marks = settle(fingerprints(named, id_col, text_col))
-    nodes = settle(marks.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
+    largest = F.coalesce(F.bool_or(F.col("id") == NO_ID), F.lit(False))
+    nodes = settle(marks.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("node"), F.count(F.lit(1)).alias("copies"), largest.alias("largest")))
     roots = components(links(nodes))
-    rooted = nodes.join(roots, "node", "left").select("fp", "copies", F.coalesce("root", "node").alias("component_id"))
+    root = F.coalesce("root", "node")
+    rooted = nodes.join(roots, "node", "left").select("fp", "copies", F.when((root != NO_ID) | F.col("largest"), root).alias("component_id"))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    shown = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("id", id_col), ("component_id", "component_id"))]
-    return join_unique(marks, rooted, "fp").select(shown[0], hex_digits.alias("fingerprint"), shown[1])
+    return join_unique(marks, rooted, "fp").select(F.col("id").alias(id_col), hex_digits.alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, gam, quality, queries, store
+from gridloom.llm import decontam, gam, quality, queries, simhash, store
 from gridloom.llm.common import flat
 
 LOREM = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix blue potions near an old stone bridge"
@@ -66,3 +66,11 @@ def test_items_of_names_and_numbers_are_found_by_their_forms(spark):
     ]
     found = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 1), (2, 1), (7, 2), (8, 3), (9, 1)}
+
+
+def test_simhash_largest_id(spark):
+    """The largest id is an id: it comes back, and names the component of its text; rows without an id stay without."""
+    most, text = (1 << 63) - 1, "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(most, text), (None, text), (None, "quite another text about other things"), (5, "and a third one that nothing resembles")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(most, most), (None, most), (None, None), (5, 5)}

@@ -1,10 +1,11 @@
 """Damaged stores are refused, and training does not depend on the order of rows."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, gam, quality, queries, simhash, store
+from gridloom.llm import decontam, gam, html, quality, queries, simhash, store
 from gridloom.llm.common import flat
 
 LOREM = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix blue potions near an old stone bridge"
@@ -74,3 +75,14 @@ def test_simhash_largest_id(spark):
     df = spark.createDataFrame([(most, text), (None, text), (None, "quite another text about other things"), (5, "and a third one that nothing resembles")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert got == {(most, most), (None, most), (None, None), (5, 5)}
+
+
+def test_wrapper_does_not_depend_on_the_order_of_pages():
+    """Pages of random structure, shuffled and with repeats, give one wrapper and the same texts."""
+    rng = np.random.default_rng(9)
+    part = lambda k: f"<{(t := str(rng.choice(['p', 'div', 'ul', 'section'])))}>{'<b>x</b>' * int(rng.integers(0, 3))}part {k} {rng.integers(0, 99)}</{t}>"
+    pages = ["<html><body>" + "".join(part(k) for k in range(int(rng.integers(2, 9)))) + "<div>All rights reserved</div></body></html>" for _ in range(60)]
+    first = html.infer(pages)
+    for _ in range(3):
+        again = html.infer([pages[k] for k in rng.permutation(60)] + pages[:4])
+        assert again == first and [html.extract(p, again) for p in pages] == [html.extract(p, first) for p in pages]

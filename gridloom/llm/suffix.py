@@ -576,10 +576,17 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
             hot[a + np.frombuffer(x["hot"], np.uint32).astype(np.int64)] = True
         at, raw = np.searchsorted(values, low), data.tobytes()
         use, many = flags[at] & ~hot[at], hot[at]
-        strings = list(hot_strings(data, offsets, first[many], last[many], owner[many]))
+        strings = hot_strings(data, offsets, first[many], last[many], owner[many])
         first, last = first[use], last[use]
         return strings, row.column("bucket")[0].as_py(), row.column("chunk")[0].as_py(), first, last, low[use], owner[use], [raw[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
+    def ask(strings: Iterator[tuple[np.ndarray, ...]], bucket: int, chunk: int) -> Iterator[pa.RecordBatch]:
+        for hashes, starts, *gone in strings:  # block by block: all of a group's would not fit
+            if len(gone[0]):
+                yield _parts([[-1], [bucket], [chunk], [b""], [b""], [gone[0].tobytes()], [gone[1].tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
+            asked = [(n_run + to, bucket, chunk, hashes[i].tobytes(), b"", starts[i].astype(np.uint32).tobytes(), b"", b"") for to, i in _dealt(np.arange(len(hashes)), hashes, n_run)]
+            yield _parts(list(zip(*asked, strict=True)), RUN_TYPES, RUN_NAMES)
+
     def give(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         # Of runs with the same bytes in several documents only the smallest document's are sent.
         least: dict[bytes, int] = {}
@@ -587,12 +594,7 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
             for t, d in zip(texts_of, owner.tolist(), strict=True):
                 if least.get(t, d) >= d:
                     least[t] = d
-        for strings, bucket, chunk, first, last, low, owner, texts_of in held:
-            for hashes, starts, *gone in strings:
-                if len(gone[0]):
-                    yield _parts([[-1], [bucket], [chunk], [b""], [b""], [gone[0].tobytes()], [gone[1].tobytes()], [b""]], RUN_TYPES, RUN_NAMES)
-                asked = [(n_run + to, bucket, chunk, hashes[i].tobytes(), b"", starts[i].astype(np.uint32).tobytes(), b"", b"") for to, i in _dealt(np.arange(len(hashes)), hashes, n_run)]
-                yield _parts(list(zip(*asked, strict=True)), RUN_TYPES, RUN_NAMES)
+        for bucket, chunk, first, last, low, owner, texts_of in held:
             keep = np.fromiter((least[t] == d for t, d in zip(texts_of, owner.tolist(), strict=True)), bool, len(texts_of))
             gone_from, gone_to = joined(first[~keep], last[~keep] + LENGTH)
             if len(gone_from):
@@ -610,7 +612,9 @@ def _spans(chunks: DataFrame, answers: DataFrame, n_anchor: int, n_run: int, how
         for batch in batches:
             for row, data, offsets in _each(batch):
                 give_back()
-                held.append(shared(row, data, offsets))
+                strings, *found = shared(row, data, offsets)
+                yield from ask(strings, *found[:2])
+                held.append(found)
                 size += len(data)
                 if size >= TOGETHER:
                     yield from give(held)

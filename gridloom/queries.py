@@ -194,7 +194,7 @@ def _round_trip(kind: str, d: StorageDescriptor, ending: str = "raw", **read) ->
         folder = f"{mounted(shared_dir(spark))}/codec-{uuid.uuid4().hex}"
         os.makedirs(folder)
         path = f"{folder}/cube.{ending}"
-        used = write_image(cube(spark, sf_dir, kind), path, d)
+        used = write_image(cube(spark, sf_dir, kind), path, d, widen=True)
         mask = elementwise.binary(cube(spark, sf_dir), ">", 60) if read.get("masked") else None
         return ijk(read_image(spark, path, used, (50, 7, 12), mask=mask, form=read.get("form", "auto")))
 

@@ -20,7 +20,7 @@ from . import points
 from .describe import bar, describe
 from .fixtures import CUBE_SQL, cube
 from .geometry import affine_inverse, decompose, keep_axes, make_geometry, permute_axes, same_geometry, with_transform, with_voxel_size, world_axes
-from .image import Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask
+from .image import PACKED, Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask, wide_enough
 from .operators import apply, elementwise, index
 from .operators.reduce import imreduce, sparseness, summaries, summary
 from .plans import layout as L
@@ -139,7 +139,7 @@ def _round_trip(make: Callable[[SparkSession, str], Image], d: StorageDescriptor
     def image(spark, sf_dir):
         folder = f"{mounted(shared_dir(spark))}/codec-{uuid.uuid4().hex}"
         os.makedirs(folder)
-        used = write_image(make(spark, sf_dir), f"{folder}/x.{ending}", d)
+        used = write_image(make(spark, sf_dir), f"{folder}/x.{ending}", d, widen=True)
         more = {k: v(spark, sf_dir) if callable(v) else v for k, v in read.items()}
         return read_image(spark, f"{folder}/x.{ending}", used, dims, **more)
 
@@ -176,7 +176,13 @@ def _of_boxes() -> None:
     _add("image_from_array", lambda s, d: cells(from_numpy(s, box(s, d).to_numpy())), f"{BOX} SELECT p, v FROM box")
     at = lambda x, keep: sparse_from_mask(x.cells.sparkSession, keep(x.to_numpy()), x.to_numpy().ravel(order="F")[keep(x.to_numpy()).ravel(order="F")])
     _add("image_from_mask", lambda s, d: cells(at(box(s, d), lambda a: a % 3 == 1)), f"{BOX} SELECT p, v FROM box WHERE v % 3 = 1")
-    _add("image_from_bytes", lambda s, d: cells(packed_from_bytes(s, box(s, d).to_numpy().ravel(order="F").astype("<i2").tobytes(), "int16", (2, 3, 4), 0.5, 100.0)), f"{BOX} SELECT p, v * 0.5 + 100 AS v FROM box")
+
+    def from_bytes(s, d):
+        a = box(s, d).to_numpy().ravel(order="F")
+        stored = wide_enough("int16", a.min(), a.max())
+        return cells(packed_from_bytes(s, a.astype("<" + PACKED[stored][3]).tobytes(), stored, (2, 3, 4), 0.5, 100.0))
+
+    _add("image_from_bytes", from_bytes, f"{BOX} SELECT p, v * 0.5 + 100 AS v FROM box")
     _add("image_to_array", lambda s, d: _rows(s, v=box(s, d).reorient((3, -1, 2)).to_numpy()), f"{BOX} SELECT 'v' AS what, (k + 4*(1-i) + 8*j)::INTEGER AS k, v FROM box")
 
     def kinds(s, d):

@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import missing
 from ..geometry import Geometry
-from ..image import PACKED, Image, calibrate, from_cells, tighten
+from ..image import PACKED, Image, calibrate, from_cells, tighten, wide_enough
 from ..operators.elementwise import mask_locations
 from ..plans import layout as L
 from ..streaming.decode import MemberStream, chunks, is_seekable, member, members, open_bytes, open_stream, skip
 
 #: Stream types: numpy code, and bytes of a value.
 TYPES = {"int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "int64": "i8", "float32": "f4", "float64": "f8", "complex64": "c8", "complex128": "c16", "rgb24": "u1", "rgba32": "u1", "bit": "u1"}
+#: The next wider integer type of a stream.
+WIDER = {"int8": "int16", "uint8": "uint16", "int16": "int32", "uint16": "uint32", "int32": "int64", "uint32": "int64"}
 ALIASES = {"char": "uint8", "int": "int32", "float": "float32", "double": "float64"}
 CHANNELS = {"rgb24": 3, "rgba32": 4}
 #: Values that one read task decodes.
@@ -281,8 +283,9 @@ def im_type(d: StorageDescriptor) -> bool:
     return d.type.startswith("complex")
 
 
-def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescriptor:
-    """Write an image as a stream; returns the descriptor that reads it (with the scaling used). A path that ends in .gz is compressed, one that ends in .parts stays in parts."""
+def write_image(image: Image, path: str, d: StorageDescriptor, widen: bool = False) -> StorageDescriptor:
+    """Write an image as a stream; returns the descriptor that reads it (with the scaling used; ``widen``: and the wider
+    integer type, where the one asked for does not reach the values with their scaling, or whole values without one). A path that ends in .gz is compressed, one that ends in .parts stays in parts."""
     channels = CHANNELS.get(d.type)
     dims = image.dims[:-1] if channels else image.dims
     if channels and image.dims[-1] != channels:
@@ -305,6 +308,9 @@ def write_image(image: Image, path: str, d: StorageDescriptor) -> StorageDescrip
             row = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(bad).alias("bad"), F.bool_and(v == F.floor(v).cast("double")).alias("whole")).first()
             if row["bad"]:
                 raise ValueError("integers can't hold missing or infinite values")
+            if widen and (row["whole"] or slope is not None or intercept is not None):
+                d = replace(d, type=wide_enough(d.type, row["lo"], row["hi"], slope or 1.0, intercept or 0.0, WIDER))
+                low, high = np.iinfo(TYPES[d.type]).min, np.iinfo(TYPES[d.type]).max
             if slope is None and intercept is None:
                 fits = row["lo"] is None or row["whole"] and row["lo"] >= low and row["hi"] <= high
                 slope, intercept = (1.0, 0.0) if fits else calibrate(d.type, row["lo"], row["hi"], row["whole"]) if d.type in PACKED else (None, None)

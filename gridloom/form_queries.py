@@ -153,8 +153,12 @@ def _streams() -> None:
         return {"path": f"{folder}/{name}", "axes": "i,j,k", "dims": dims, **more}
 
     def stream(s, d, only: dict[str, str] | None = None, **more) -> DataFrame:
-        at = options(s, "cube", **more)
-        _ijk(cube(s, d, "dense")).write.format(stream_source.NAME).options(**at).mode("append").save()
+        frame = _ijk(cube(s, d, "dense")).cache()  # its range is read, then it is written
+        try:
+            at = stream_source.widened(frame, options(s, "cube", **more))
+            frame.write.format(stream_source.NAME).options(**at).mode("append").save()
+        finally:
+            frame.unpersist()
         return s.read.format(stream_source.NAME).options(**at, **(only or {})).load()
 
     def packed(s, d) -> DataFrame:

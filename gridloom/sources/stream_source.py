@@ -31,11 +31,13 @@ from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..image import wide_enough
 from ..streaming.decode import MemberStream, chunks, is_seekable, members, open_stream, skip
-from .codec import RUN, StorageDescriptor, _preallocate, _segments
+from .codec import RUN, WIDER, StorageDescriptor, _preallocate, _segments
 from .shared import mounted
 
 NAME = "gridloom_stream"
@@ -48,6 +50,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ImageStream)
 
 
+def widened(frame: DataFrame, options: dict[str, str]) -> dict[str, str]:
+    """The options with the integer type, or the first wider one, that holds the column v of a frame with their scaling; one pass over it."""
+    form = ImageStream(options).form
+    if form.type not in WIDER:
+        return options
+    row = frame.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    return options | {"type": wide_enough(form.type, row["lo"], row["hi"], form.slope or 1.0, form.intercept or 0.0, WIDER)}
+
+
 class ImageStream(DataSource):
     """The source; one object for each read or write."""
 

@@ -14,7 +14,7 @@ from gridloom.sources.codec import StorageDescriptor, read_image, write_image
 from .conftest import DATA
 from .test_queries import plain
 
-NAMES = ["codec_scaled", "codec_sparse_uint16_little", "codec_layout"]
+NAMES = ["codec_scaled", "source_scaled", "codec_sparse_uint16_little", "codec_layout"]
 
 
 @pytest.fixture(scope="module")

@@ -33,14 +33,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cube(spark: SparkSession, sf_dir: str, kind: str = "sparse") -> Image:
-    """Ordered quantity by part size (50), line number (7) and month (12)."""
+    """Ordered quantity by part size (50), line number (7) and month (12); packed, it is of 16-bit values, or wider ones where they don't hold the quantities."""
     lines, parts = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
     loc = (F.col("p_size") - 1) + 50 * (F.col("l_linenumber") - 1) + 350 * (F.month("l_shipdate") - 1)
     cells = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy(loc.cast("long").alias("loc")).agg(F.sum("l_quantity").alias("v"))
     image = from_cells(cells.select("loc", F.lit(0).alias("elem"), "v"), CUBE_DIMS, 3, "sparse", geometry=make_geometry(CUBE_DIMS, (2.0, 2.0, 3.0), unit="mm"))
     if kind == "sparse":
         return image
-    out = image.as_dense() if kind == "dense" else image.as_packed("int16", 1.0, 0.0)
+    out = image.as_dense() if kind == "dense" else image.as_packed("int16", 1.0, 0.0, widen=True)
     return out.as_blocked(_TILE_CELLS.get()) if _TILE_CELLS.get() else out
 
 

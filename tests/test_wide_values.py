@@ -14,7 +14,7 @@ from gridloom.sources.codec import StorageDescriptor, read_image, write_image
 from .conftest import DATA
 from .test_queries import plain
 
-NAMES = ["codec_scaled", "source_scaled", "codec_sparse_uint16_little", "codec_layout"]
+NAMES = ["codec_scaled", "source_scaled", "array_minus_packed", "assign_packed", "assign_at_accounts_packed", "blocked_dense_plus_packed", "blocked_reorient_flip_packed", "blocked_reorient_swap_packed", "blocked_reduce_packed_which_max_by_k", "blocked_reduce_packed_var_by_k", "reduce_packed_sum_by_k", "codec_packed_int16_big", "codec_sparse_uint16_little", "codec_layout", "image_from_bytes"]
 
 
 @pytest.fixture(scope="module")

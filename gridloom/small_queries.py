@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from . import points
 from .describe import bar, describe
 from .fixtures import CUBE_SQL, cube
-from .geometry import affine_inverse, decompose, keep_axes, make_geometry, permute_axes, same_geometry, with_transform, with_voxel_size, world_axes
+from .geometry import make_geometry
+from .grids import Grids, inverse, split
 from .image import PACKED, Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask, wide_enough
 from .operators import apply, elementwise, index
 from .operators.reduce import imreduce, sparseness, summaries, summary
@@ -270,23 +272,54 @@ GRIDS = """WITH g AS (SELECT c_custkey AS id, c_custkey % 50 + 2 AS n1, c_nation
  CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS f, c_custkey % 100 AS o1, -c_nationkey AS o2, 7 AS o3 FROM customer)"""
 
 
-def _of_grids(fun: Callable[[dict], dict]) -> Query:
-    """(id, what, k, v): each value, first axis fastest, of what ``fun`` makes of the grid of each customer, many to an Arrow batch."""
+@dataclass(frozen=True)
+class Rows:
+    """What the customers of a batch say of their grids; ``g`` are the grids."""
+
+    dims: np.ndarray
+    size: np.ndarray
+    world: np.ndarray
+
+    @cached_property
+    def g(self) -> Grids:
+        return Grids.make(self.dims, world_transform=self.world, unit="mm")
+
+    @staticmethod
+    def of(c: np.ndarray, n: np.ndarray) -> Rows:
+        size = np.stack([1.0 + c % 3, np.full(len(c), 2.5), 0.5 * (1 + n % 4)], axis=1)
+        world = np.zeros((len(c), 4, 4)) + np.eye(4)
+        world[:, [0, 1, 2], [0, 1, 2]] = size
+        world[:, 0, 0] *= np.where(c % 2 == 0, -1, 1)
+        world[:, :3, 3] = np.stack([c % 100, -n, np.full(len(c), 7)], axis=1)
+        return Rows(np.stack([c % 50 + 2, n + 2, c % 12 + 2], axis=1), size, world)
+
+
+def _of_grids(fun: Callable[[Rows], dict]) -> Query:
+    """(id, what, k, v): each value, first axis fastest, of what ``fun`` makes of the grids of the customers, a batch at a time.
+
+    A batch leaves Python as one array for each grid; Spark makes rows of them.
+    The table is dealt to all cores first: a small file of many keys is one split.
+    """
+
+    def values(c: np.ndarray, n: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        found = [(what, np.asarray(v, float)) for what, v in fun(Rows.of(c, n)).items()]
+        return [(what, v.transpose(0, *range(v.ndim - 1, 0, -1)).reshape(len(c), -1)) for what, v in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                c, n = r["c_custkey"], r["c_nationkey"]
-                size, f = (1.0 + c % 3, 2.5, 0.5 * (1 + n % 4)), -1 if c % 2 == 0 else 1
-                world = np.diag([f * size[0], size[1], size[2], 1.0])
-                world[:3, 3] = c % 100, -n, 7
-                dims = (c % 50 + 2, n + 2, c % 12 + 2)
-                grid = {"dims": dims, "size": size, "world": world, "g": make_geometry(dims, world_transform=world, unit="mm")}
-                out += [(c, what, k, round(float(v), 9)) for what, values in fun(grid).items() for k, v in enumerate(np.ravel(np.asarray(values, float), order="F"))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [[]] * 4, [pa.int64(), pa.string(), pa.int32(), pa.float64()], strict=True)], ["id", "what", "k", "v"])
+            ids = batch.column("c_custkey")
+            v = np.round(np.concatenate([v for _, v in values(ids.to_numpy(), batch.column("c_nationkey").to_numpy())], axis=1), 9) + 0.0
+            ends = np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()))], ["id", "v"])
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        places = [(what, k) for what, v in values(np.zeros(1, np.int64), np.zeros(1, np.int64)) for k in range(v.shape[1])]
+        what, k = F.array(*(F.lit(w) for w, _ in places)), F.array(*(F.lit(k) for _, k in places))
+        keys = s.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as bigint) c_custkey", "cast(c_nationkey as bigint) c_nationkey")
+        made = keys.repartition(2 * s.sparkContext.defaultParallelism).mapInArrow(run, "id long, v array<double>")
+        return made.select("id", F.posexplode("v").alias("at", "v")).select("id", what[F.col("at")].alias("what"), k[F.col("at")].alias("k"), "v")
 
-    return lambda s, d: s.read.parquet(f"{d}/customer.parquet").selectExpr("cast(c_custkey as bigint) c_custkey", "cast(c_nationkey as bigint) c_nationkey").mapInArrow(run, "id long, what string, k int, v double")
+    return query
 
 
 def _listed(**found: list[str]) -> str:
@@ -300,34 +333,35 @@ def _geometry() -> None:
     turn = ["f", "0", "0", "0", "0", "1", "0", "0", "0", "0", "1", "0", "o1", "o2", "o3", "1"]
     world = ["f*s1", "0", "0", "0", "0", "s2", "0", "0", "0", "0", "s3", "0", "o1", "o2", "o3", "1"]
     eye = [str(int(k % 5 == 0)) for k in range(16)]
-    _add("geometry_accessors", _of_grids(lambda r: {"size": r["g"].voxel_size, "centre": r["g"].centre, "extent": r["g"].extent, "axes": world_axes(r["g"]), "transform": r["g"].world_transform}), _listed(size=["s1", "s2", "s3"], centre=centre, extent=["n1*s1", "n2*s2", "n3*s3"], axes=["f", "2", "3"], transform=world))
-    _add("geometry_default", _of_grids(lambda r: (lambda g: {"size": g.voxel_size, "transform": g.world_transform, "centre": g.centre})(make_geometry(r["dims"]))), _listed(size=["1"] * 3, transform=eye, centre=["(n1-1)/2.0", "(n2-1)/2.0", "(n3-1)/2.0"]))
-    _add("geometry_setters", _of_grids(lambda r: {"extent": with_voxel_size(r["g"], (1, 2, 3)).extent, "turned": with_voxel_size(r["g"], 4).world_transform[:3, 0], "moved": with_transform(make_geometry(r["dims"]), r["world"]).voxel_size}), _listed(extent=["n1", "2*n2", "3*n3"], turned=["4*f", "0", "0"], moved=["s1", "s2", "s3"]))
+    _add("geometry_accessors", _of_grids(lambda r: {"size": r.g.voxel_size, "centre": r.g.centre, "extent": r.g.extent, "axes": r.g.world_axes, "transform": r.g.world_transform}), _listed(size=["s1", "s2", "s3"], centre=centre, extent=["n1*s1", "n2*s2", "n3*s3"], axes=["f", "2", "3"], transform=world))
+    _add("geometry_default", _of_grids(lambda r: (lambda g: {"size": g.voxel_size, "transform": g.world_transform, "centre": g.centre})(Grids.make(r.dims))), _listed(size=["1"] * 3, transform=eye, centre=["(n1-1)/2.0", "(n2-1)/2.0", "(n3-1)/2.0"]))
+    _add("geometry_setters", _of_grids(lambda r: {"extent": r.g.with_voxel_size((1, 2, 3)).extent, "turned": r.g.with_voxel_size(4).world_transform[:, :3, 0], "moved": Grids.make(r.dims).with_transform(r.world).voxel_size}), _listed(extent=["n1", "2*n2", "3*n3"], turned=["4*f", "0", "0"], moved=["s1", "s2", "s3"]))
 
     def precedence(r):
-        base = make_geometry(r["dims"], r["size"], unit="mm")
-        made = [make_geometry(r["dims"], template=base), make_geometry(r["dims"], (5, 5, 5), template=base), make_geometry(r["dims"], world_transform=np.diag([9.0, 8, 7, 1]), template=base), make_geometry(r["dims"], (5, 5, 5), r["world"]), make_geometry(r["dims"])]
-        return {f"g{k}": g.voxel_size for k, g in enumerate(made)} | {"unit": [made[2].unit == "mm"]}
+        base = Grids.make(r.dims, r.size, unit="mm")
+        other = np.zeros(r.world.shape) + np.diag([9.0, 8, 7, 1])
+        made = [Grids.make(r.dims, template=base), Grids.make(r.dims, (5, 5, 5), template=base), Grids.make(r.dims, world_transform=other, template=base), Grids.make(r.dims, (5, 5, 5), r.world), Grids.make(r.dims)]
+        return {f"g{k}": g.voxel_size for k, g in enumerate(made)} | {"unit": np.full(len(r.dims), made[2].unit == "mm")}
 
     _add("geometry_precedence", _of_grids(precedence), _listed(g0=["s1", "s2", "s3"], g1=["5"] * 3, g2=["9", "8", "7"], g3=["5"] * 3, g4=["1"] * 3, unit=["1"]))
-    _add("geometry_same", _of_grids(lambda r: {"same": [same_geometry(r["g"], g) for g in (r["g"], with_voxel_size(r["g"], tuple(x + 1e-10 for x in r["size"])), with_voxel_size(r["g"], 1.25), replace(r["g"], unit=None), replace(r["g"], unit="cm"))]}), _listed(same=["1", "1", "0", "1", "0"]))
+    _add("geometry_same", _of_grids(lambda r: {"same": np.stack([r.g.same(g) for g in (r.g, r.g.with_voxel_size(r.size + 1e-10), r.g.with_voxel_size(1.25), replace(r.g, unit=None), replace(r.g, unit="cm"))], axis=1)}), _listed(same=["1", "1", "0", "1", "0"]))
 
     def decomposed(r):
-        size, turned = decompose(r["world"] @ np.diag([1, 1.5, 2, 1]), 3)
-        shear, refused = r["world"].copy(), 0
-        shear[0, 1] = 0.3
-        try:
-            decompose(shear, 3)
-        except ValueError:
-            refused = 1
-        return {"size": size, "turn": turned, "refused": [refused]}
+        size, turned, _ = split(r.world @ np.diag([1, 1.5, 2, 1]), 3)
+        shear = r.world.copy()
+        shear[:, 0, 1] = 0.3
+        return {"size": size, "turn": turned, "refused": split(shear, 3)[2] > 0}
 
     _add("geometry_decompose", _of_grids(decomposed), _listed(size=["s1", "1.5*s2", "2*s3"], turn=turn, refused=["1"]))
-    _add("geometry_drop_axes", _of_grids(lambda r: {"slice": keep_axes(r["g"], [2]).world_transform, "plane": keep_axes(r["g"], [0, 2]).centre}), _listed(slice=["0", "0", "s3", "0", "f", "0", "0", "0", "0", "1", "0", "0", centre[0], centre[1], "o3", "1"], plane=centre))
-    _add("geometry_inverse", _of_grids(lambda r: {"inverse": affine_inverse(r["world"])}), _listed(inverse=["f/s1", "0", "0", "0", "0", "1/s2", "0", "0", "0", "0", "1/s3", "0", "-f*o1/s1", "-o2/s2", "-o3/s3", "1"]))
-    _add("geometry_permuted", _of_grids(lambda r: (lambda g: {"dims": g.dims, "centre": g.centre, "axes": world_axes(g)})(permute_axes(r["g"], (3, -1, 2)))), _listed(dims=["n3", "n1", "n2"], centre=centre, axes=["3", "-f", "2"]))
-    line = lambda r: bar(r["dims"][0], 60, float(r["dims"][2]), 60)
-    _add("progress_bar", _of_grids(lambda r: {"full": [line(r).count("=")], "width": [len(line(r))], "share": [int(line(r).split("|")[2].split("%")[0])]}), _listed(full=["round_even(n1/60.0 * 33, 0)"], width=["59"], share=["round_even(n1/60.0::DOUBLE * 100, 0)"]))
+    _add("geometry_drop_axes", _of_grids(lambda r: {"slice": r.g.keep_axes([2]).world_transform, "plane": r.g.keep_axes([0, 2]).centre}), _listed(slice=["0", "0", "s3", "0", "f", "0", "0", "0", "0", "1", "0", "0", centre[0], centre[1], "o3", "1"], plane=centre))
+    _add("geometry_inverse", _of_grids(lambda r: {"inverse": inverse(r.world)}), _listed(inverse=["f/s1", "0", "0", "0", "0", "1/s2", "0", "0", "0", "0", "1/s3", "0", "-f*o1/s1", "-o2/s2", "-o3/s3", "1"]))
+    _add("geometry_permuted", _of_grids(lambda r: (lambda g: {"dims": g.dims, "centre": g.centre, "axes": g.world_axes})(r.g.permute_axes((3, -1, 2)))), _listed(dims=["n3", "n1", "n2"], centre=centre, axes=["3", "-f", "2"]))
+
+    def drawn(r):
+        lines = [bar(done, 60, float(seconds), 60) for done, _, seconds in r.dims.tolist()]
+        return {"full": [x.count("=") for x in lines], "width": list(map(len, lines)), "share": [int(x.split("|")[2].split("%")[0]) for x in lines]}
+
+    _add("progress_bar", _of_grids(drawn), _listed(full=["round_even(n1/60.0 * 33, 0)"], width=["59"], share=["round_even(n1/60.0::DOUBLE * 100, 0)"]))
 
 
 def _points() -> None:

@@ -75,21 +75,26 @@ class WordIds:
         if not words:
             return [np.zeros(0, self.kind)] * len(texts)
         data = np.frombuffer("".join(texts).encode(), np.uint8)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        ends = np.cumsum(np.array(list(map(len, words)), np.int64))
         if ends[-1] < len(data):  # ends in characters to ends in bytes
             ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[ends]
         keys = WordTable.keys(data, np.append(0, ends[:-1]), ends)
         number = self.table.find(*keys)
         known = len(self.starts) - 1
-        new: dict[str, int] = {}
-        first: list[int] = []
-        for k in np.flatnonzero(number < 0).tolist():
-            w = words[k]
+        at = np.flatnonzero(number < 0)
+        # Different unknown words are numbered as they come, so a word's first place is where the number rises.
+        order: dict[str, int] = {}
+        which = np.array([order.setdefault(words[k], len(order)) for k in at.tolist()], np.int64)
+        own, new = [], {}
+        for w in order:
             n = self.long.get(w)
-            if n is None and (n := new.get(w)) is None:
+            if n is None:
                 n = new[w] = known + len(new)
-                first.append(k)
-            number[k] = n
+            own.append(n)
+        if order:
+            own = np.array(own, np.int64)
+            number[at] = own[which]
+            first = at[np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))][own >= known]
         if new:
             made, sizes = [], []
             for w in new:
@@ -104,9 +109,8 @@ class WordIds:
         if known + len(new) > self.remembered:  # the new words served this call alone
             self.pool, self.starts = self.pool[: self.starts[known]].copy(), self.starts[: known + 1].copy()
         elif new:
-            at = np.array(first)
-            short = keys[2][at] <= WordTable.SHORT
-            self.table.add(*(k[at[short]] for k in keys), known + np.flatnonzero(short))
+            short = keys[2][first] <= WordTable.SHORT
+            self.table.add(*(k[first[short]] for k in keys), known + np.flatnonzero(short))
             self.long.update((w, n) for (w, n), x in zip(new.items(), short, strict=True) if not x)
         cuts = np.append(0, done)[np.cumsum([0, *map(len, rows)])]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

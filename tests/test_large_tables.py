@@ -12,6 +12,7 @@ from .test_queries import plain
 #: Queries of the packed cube.
 PACKED = [
     "blocked_reorient_swap_packed",
+    "assign_at_accounts_packed",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

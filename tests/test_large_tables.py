@@ -13,6 +13,7 @@ from .test_queries import plain
 PACKED = [
     "blocked_reorient_swap_packed",
     "assign_at_accounts_packed",
+    "assign_packed",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

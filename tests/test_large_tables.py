@@ -14,6 +14,7 @@ PACKED = [
     "blocked_reorient_swap_packed",
     "assign_at_accounts_packed",
     "assign_packed",
+    "blocked_dense_plus_packed",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

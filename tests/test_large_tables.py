@@ -15,6 +15,7 @@ PACKED = [
     "assign_at_accounts_packed",
     "assign_packed",
     "blocked_dense_plus_packed",
+    "blocked_reduce_packed_max_by_k",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

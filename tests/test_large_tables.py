@@ -16,6 +16,7 @@ PACKED = [
     "assign_packed",
     "blocked_dense_plus_packed",
     "blocked_reduce_packed_max_by_k",
+    "blocked_reduce_packed_mean_by_k",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

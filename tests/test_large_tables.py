@@ -22,6 +22,7 @@ PACKED = [
     "blocked_reduce_packed_sum_by_k",
     "blocked_reduce_packed_var_by_k",
     "blocked_reduce_packed_which_max_by_k",
+    "blocked_reduce_packed_which_min_by_k",
 ]
 #: Queries of a grid for each customer.
 GRIDS = [

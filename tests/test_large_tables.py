@@ -26,6 +26,7 @@ PACKED = [
 ]
 #: Queries of a grid for each customer.
 GRIDS = [
+    "geometry_accessors",
 ]
 
 

@@ -27,6 +27,7 @@ PACKED = [
 #: Queries of a grid for each customer.
 GRIDS = [
     "geometry_accessors",
+    "progress_bar",
 ]
 
 

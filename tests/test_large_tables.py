@@ -28,6 +28,7 @@ PACKED = [
 GRIDS = [
     "geometry_accessors",
     "progress_bar",
+    "geometry_precedence",
 ]
 
 

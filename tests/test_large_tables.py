@@ -29,6 +29,7 @@ GRIDS = [
     "geometry_accessors",
     "progress_bar",
     "geometry_precedence",
+    "geometry_same",
 ]
 
 

@@ -30,6 +30,7 @@ GRIDS = [
     "progress_bar",
     "geometry_precedence",
     "geometry_same",
+    "geometry_setters",
 ]
 
 

@@ -31,6 +31,7 @@ GRIDS = [
     "geometry_precedence",
     "geometry_same",
     "geometry_setters",
+    "geometry_inverse",
 ]
 
 

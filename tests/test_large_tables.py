@@ -32,6 +32,7 @@ GRIDS = [
     "geometry_same",
     "geometry_setters",
     "geometry_inverse",
+    "geometry_drop_axes",
 ]
 
 

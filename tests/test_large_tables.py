@@ -33,6 +33,7 @@ GRIDS = [
     "geometry_setters",
     "geometry_inverse",
     "geometry_drop_axes",
+    "geometry_permuted",
 ]
 
 

@@ -22,7 +22,7 @@ from .describe import bar, describe
 from .fixtures import CUBE_SQL, cube
 from .geometry import make_geometry
 from .grids import Grids, inverse, split
-from .image import PACKED, Image, from_cells, from_numpy, packed_from_bytes, sparse_from_mask, wide_enough
+from .image import PACKED, Image, exact_scaling, from_cells, from_numpy, packed_from_bytes, sparse_from_mask, wide_enough
 from .operators import apply, elementwise, index
 from .operators.reduce import imreduce, sparseness, summaries, summary
 from .plans import layout as L
@@ -189,9 +189,13 @@ def _of_boxes() -> None:
 
     def kinds(s, d):
         x = box(s, d)
-        whole = from_cells(x.cells.withColumn("v", F.col("v").cast("int")), x.dims, 3, value_type="integer")
-        forms = [x, x.as_sparse(), x.as_packed("int16", 1.0, 0.0), x > 60, whole]
-        totals = [i.view().agg(F.coalesce(F.sum(F.col("v").cast("double")), F.lit(0.0))).first()[0] for i in forms]
+        x = replace(x, cells=x.cells.cache())  # each form and its scaling is a job
+        try:
+            whole = from_cells(x.cells.withColumn("v", F.col("v").cast("int")), x.dims, 3, value_type="integer")
+            forms = [x, x.as_sparse(), x.as_packed("int16", *exact_scaling(x, "int16")), x > 60, whole]
+            totals = [i.view().agg(F.coalesce(F.sum(F.col("v").cast("double")), F.lit(0.0))).first()[0] for i in forms]
+        finally:
+            x.cells.unpersist()
         return s.createDataFrame([(k, i.is_dense, i.is_sparse, i.is_packed, i.storage_type, i.length, ",".join(map(str, i.storage_layout)), t) for k, (i, t) in enumerate(zip(forms, totals, strict=True))], "k int, dense boolean, sparse boolean, packed boolean, storage string, length int, layout string, total double")
 
     _add("image_kinds", kinds, f"{BOX}, t AS (SELECT sum(v) AS total, count(*) FILTER (v > 60) AS high FROM box) SELECT k, dense, sparse, packed, storage, 24 AS length, '1,2,3' AS layout, CASE WHEN k = 3 THEN high ELSE total END::DOUBLE AS total FROM t, (VALUES (0, true, false, false, 'double'), (1, false, true, false, 'double'), (2, false, false, true, 'int16'), (3, true, false, false, 'logical'), (4, true, false, false, 'integer')) AS f(k, dense, sparse, packed, storage)")

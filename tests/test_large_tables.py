@@ -1,9 +1,11 @@
 """What larger tables brought up: cubes whose every cell is beyond 16 bits, and many grids, against the SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark import TaskContext
 
+from gridloom.image import exact_scaling, from_numpy
 from gridloom.queries import QUERIES, SQL
 
 from .conftest import DATA
@@ -74,6 +76,23 @@ def test_packed_cube_beyond_16_bits(spark, full, name):
     same_rows(df.collect(), sorted(df.columns), duck, SQL[name])
 
 
+def test_image_kinds_beyond_16_bits(spark, full):
+    """Its SQL wants 16 bits and the exact total: the values have a common step."""
+    folder, duck = full
+    df = QUERIES["image_kinds"](spark, folder)
+    same_rows(df.collect(), sorted(df.columns), duck, SQL["image_kinds"])
+
+
+def test_exact_scaling(spark):
+    packed = lambda *v: (lambda x: x.as_packed("int16", *exact_scaling(x, "int16")))(from_numpy(spark, np.array(v)))
+    for v in ((3.0, -7.0), (40_000.0, 100_000.0, 99_999.0), (-6e9, 0.0, 6e5), (7e6, 7e6), (0.0, 65_535 * 12.0), (1.0 - 2**50, 2.0**50)):
+        assert packed(*v).to_numpy().tolist() == list(v)
+    assert packed(3.0, -7.0).slope == 1 and packed(3.0, -7.0).intercept == 0
+    for v in ((0.0, 1.0, 65_536.0), (0.5, 1.0), (0.0, float("inf")), (0.0, 2.0**51)):
+        with pytest.raises(ValueError, match="exactly"):
+            packed(*v)
+
+
 @pytest.mark.parametrize("name", GRIDS)
 def test_grids_are_worked_on_by_all_cores(spark, customers, name):
     folder, duck = customers
